@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, shards, urlfilter, warc
-from .common import materialise, scratch_path
+from . import decontam, langid, media, packing, quality, shards, urlfilter, warc
+from .common import in_fold, scratch_path
 
 SHARDS = 24
 #: The rules that the contract of the URL filter gives: verdict, host, path.
@@ -28,6 +26,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~in_fold("doc_id")))
+    return langid.predict(docs.select("doc_id", "text", in_fold("doc_id").alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.withColumn("held_out", in_fold("doc_id")), machine).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "media")
     media.store(table(spark, sf_dir, "documents"), path)
@@ -49,12 +59,20 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), *packing.public_paths())
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_language_id": op2_language_id,
+    "op4_quality": op4_quality,
     "op5_media_columns": op5_media_columns,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op9_url_filter": op9_url_filter,
+    "op10_packing": op10_packing,
 }
 
 SQL = {
