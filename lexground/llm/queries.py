@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, media, packing, quality, shards, urlfilter, warc
+from . import decontam, langid, media, neardup, packing, quality, shards, urlfilter, warc
 from .common import in_fold, scratch_path
 
 SHARDS = 24
@@ -54,6 +54,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [(v, h, p) for v, h, p in RULES]
     return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -71,6 +75,7 @@ QUERIES = {
     "op5_media_columns": op5_media_columns,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
 }
