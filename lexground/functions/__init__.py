@@ -1,0 +1 @@
+"""Small vectorised helpers."""
