@@ -101,7 +101,7 @@ class Words:
         return b" ".join([self.data[a:b].tobytes() for a, b in zip(self.starts[i:j], self.ends[i:j], strict=True)])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``most`` bytes at a time; no row is ever cut."""
     for batch in batches:
         if not batch.num_rows:

@@ -152,6 +152,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "document",
 
         out = []
         for text, own in zip(texts, spans, strict=True):
+            if text is None or not len(own):
+                out.append(text)
+                continue
             words = Words(*string_parts(pa.array([text], pa.string())), ALNUM, LOWER)
             raw = text.encode()
             gone = [False] * len(words)

@@ -28,6 +28,11 @@ _MEMBER, _INDEX = b"MBR1", b"IDX1"
 WIDTH = 576
 
 
+def _crc(key: int | None, media: bytes) -> int:
+    """Over a member's id and bytes."""
+    return zlib.crc32(media, zlib.crc32(repr(key).encode()))
+
+
 def _fs(path: str):
     from pyarrow import fs
 
@@ -89,7 +94,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 media = media or b""
                 offsets.append(at)
-                out.write(_HEAD.pack(_MEMBER, key is not None, key or 0, len(media), zlib.crc32(media)) + media)
+                out.write(_HEAD.pack(_MEMBER, key is not None, key or 0, len(media), _crc(key, media)) + media)
                 at += _HEAD.size + len(media)
                 if at >= self.file_bytes:
                     close()
@@ -125,9 +130,10 @@ def read_member(f, offset: int) -> tuple[int | None, bytes]:
     f.seek(offset)
     magic, known, key, size, crc = _HEAD.unpack(f.read(_HEAD.size))
     media = f.read(size)
-    if magic != _MEMBER or len(media) != size or zlib.crc32(media) != crc:
+    key = key if known else None
+    if magic != _MEMBER or len(media) != size or _crc(key, media) != crc:
         raise OSError(f"damaged member at byte {offset}")
-    return (key if known else None), media
+    return key, media
 
 
 class ArchiveReader(DataSourceReader):

@@ -26,7 +26,9 @@ from .common import ddl, materialise, without
 
 SIZE = 13
 #: Text bytes behind one part of the hash space and one bucket of documents; windows that a task gathers before it sends.
-PART_BYTES, BUCKET_BYTES, CHUNK = 16_000_000, 6_000_000, 4_000_000
+PART_BYTES, BUCKET_BYTES, CHUNK = 8_000_000, 4_000_000, 1_500_000
+#: Parts and buckets at least, so that a small corpus is spread too.
+LEAST = 32
 #: Bits of a hash that travel within a part: one window in 500,000 asks in vain.
 _BITS = 40
 _REQUEST = np.dtype([("src", "<i8"), ("hash", "<u8"), ("bucket", "<i4")])
@@ -38,15 +40,22 @@ def _windows(texts: pa.Array, size: int) -> tuple[Words, np.ndarray, np.ndarray]
     return words, at, h
 
 
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """Places of the distinct rows of ``columns``, in their order."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    return order[new]
+
+
 def _requests(src: np.ndarray, src_bucket: np.ndarray, h: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Distinct requests, by the bucket of the document that is asked."""
-    rows = np.empty(len(src), _REQUEST)
-    rows["src"], rows["hash"], rows["bucket"] = src, h, bucket
-    order = np.lexsort((bucket, h, src, src_bucket))
-    rows, src_bucket = rows[order], src_bucket[order]
+    order = _distinct(src_bucket, src, h, bucket)
+    rows, src_bucket = np.empty(len(order), _REQUEST), src_bucket[order]
+    rows["src"], rows["hash"], rows["bucket"] = src[order], h[order], bucket[order]
     if len(rows):
-        new = np.r_[True, rows[1:] != rows[:-1]]
-        rows, src_bucket = rows[new], src_bucket[new]
         cuts = np.flatnonzero(np.r_[True, src_bucket[1:] != src_bucket[:-1]])
         for a, b in zip(cuts, np.r_[cuts[1:], len(rows)], strict=True):
             yield int(src_bucket[a]), rows[a:b].tobytes()
@@ -105,9 +114,9 @@ def _probe(parts: int, size: int):
         for batch in slices(batches, "text"):
             words, at, h = _windows(batch.column("text"), size)
             # A window of a document counts once.
-            pair = np.unique(np.rec.fromarrays([words.text[at], h])) if len(at) else None
-            doc, h = (pair["f0"], pair["f1"]) if pair is not None else (np.zeros(0, np.int64), h)
-            held.append((batch.column("id").to_numpy(), batch.column("bucket").to_numpy(), doc, h))
+            own = np.sort(_distinct(h, words.text[at]))
+            held.append((batch.column("id").to_numpy(), batch.column("bucket").to_numpy(), words.text[at[own]], h[own]))
+            h = h[own]
             n += len(h)
             if n >= CHUNK:
                 yield from flush(held)
@@ -146,25 +155,26 @@ def _cut(size: int):
         asked = np.concatenate(asked) if asked else np.zeros(0, _REQUEST)
         low = np.uint64((1 << _BITS) - 1)
         if len(asked):
-            key = np.rec.fromarrays([asked["src"], asked["hash"] & low, asked["bucket"]], names="src,hash,bucket")
-            key = np.unique(key)
+            by_src, by_hash, by_bucket = asked["src"], asked["hash"] & low, asked["bucket"]
+            order = _distinct(by_src, by_hash, by_bucket)
+            by_src, by_hash, by_bucket = by_src[order], by_hash[order], by_bucket[order]
             for batch in slices(iter(texts.select(["id", "text"]).to_batches()), "text"):
                 ids = batch.column("id").to_numpy()
                 words, at, h = _windows(batch.column("text"), size)
                 h = h & low
                 first = np.searchsorted(words.text[at], np.arange(len(ids) + 1))
                 for row in range(len(ids)):
-                    lo, hi = np.searchsorted(key["src"], ids[row]), np.searchsorted(key["src"], ids[row], "right")
-                    own, a, b = key[lo:hi], first[row], first[row + 1]
+                    lo, hi = np.searchsorted(by_src, ids[row]), np.searchsorted(by_src, ids[row], "right")
+                    a, b = first[row], first[row + 1]
                     if hi == lo or a == b:
                         continue
                     # Every place of every hash that was asked for.
                     order = np.argsort(h[a:b], kind="stable")
                     hs = h[a:b][order]
-                    left, right = np.searchsorted(hs, own["hash"]), np.searchsorted(hs, own["hash"], "right")
+                    left, right = np.searchsorted(hs, by_hash[lo:hi]), np.searchsorted(hs, by_hash[lo:hi], "right")
                     count = right - left
                     spot = np.repeat(left - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-                    place, who = at[a:b][order[spot]], np.repeat(own["bucket"], count)
+                    place, who = at[a:b][order[spot]], np.repeat(by_bucket[lo:hi], count)
                     by = np.lexsort((place, who))
                     place, who = place[by], who[by]
                     # Windows that touch are one passage.
@@ -253,7 +263,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = own.columns
     inner = own.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text_col])
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-    parts, buckets = int(-(-total // PART_BYTES)) or 1, int(max(32, total // BUCKET_BYTES))
+    parts, buckets = int(max(LEAST, total // PART_BYTES)), int(max(LEAST, total // BUCKET_BYTES))
     inner = inner.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
     slim = inner.select("id", "bucket", "text")
 
