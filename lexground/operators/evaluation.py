@@ -55,8 +55,10 @@ def alignment_accuracy(pred: DataFrame, gold: DataFrame, pos: str = "t") -> Data
 
 def word_iou(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """Mean over predicted intervals of the best IoU with a gold interval of the example; without gold intervals 0."""
-    g = gold.select(EX, F.col("start").alias("gs"), F.col("end").alias("ge"))
-    best = pred.select(EX, "start", "end").join(g, EX, "left").groupBy(EX, "start", "end").agg(F.coalesce(F.max(iou(F.col("start"), F.col("end"), F.col("gs"), F.col("ge"))), F.lit(0.0)).alias("best"))
+    g = gold.select(F.col(EX).alias("_ex"), F.col("start").alias("gs"), F.col("end").alias("ge"))
+    # Intervals apart have an IoU of 0, so only those that meet are joined.
+    meet = (F.col(EX) == F.col("_ex")) & (F.col("gs") <= F.col("end")) & (F.col("ge") >= F.col("start"))
+    best = pred.select(EX, "start", "end").join(g, meet, "left").groupBy(EX, "start", "end").agg(F.coalesce(F.max(iou(F.col("start"), F.col("end"), F.col("gs"), F.col("ge"))), F.lit(0.0)).alias("best"))
     return best.agg(F.avg("best").alias("iou"))
 
 

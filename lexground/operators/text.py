@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import numbered
+
 EX = "example_idx"
 
 
@@ -29,9 +31,9 @@ def top_words(freq: DataFrame, k: int) -> DataFrame:
 
 def build_index(words: DataFrame, order: str = "name") -> DataFrame:
     """T4: (word, idx) of a table of distinct words ``(word[, n][, first])``, by ``name``, ``rank`` (n descending, then word) or
-    ``first`` appearance. Only distinct words are numbered."""
+    ``first`` appearance. Words are numbered in ranges, so that a large vocabulary is no single task."""
     by = {"name": ["word"], "rank": [F.desc("n"), "word"], "first": ["first", "word"]}[order]
-    return words.select("word", (F.row_number().over(Window.orderBy(*by)) - 1).alias("idx"))
+    return numbered(words, *by).select("word", F.col("idx").cast("int").alias("idx"))
 
 
 def filter_captions(captions: DataFrame, vocab: DataFrame) -> DataFrame:

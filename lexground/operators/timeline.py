@@ -196,9 +196,13 @@ def concept_segments(segments: DataFrame, alignment: DataFrame, null: object = 0
 
 
 def snap_boundaries(bounds: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """each boundary (example_idx, b) to its nearest landmark, the lower of two."""
-    near = bounds.join(landmarks, EX)
-    return near.groupBy(EX, "b").agg(F.min_by("frame", F.struct(F.abs(F.col("frame") - F.col("b")), F.col("frame"))).alias("frame"))
+    """each boundary (example_idx, b) to its nearest landmark, the lower of two: the last landmark up to it and the first from
+    it on, by one running value in either direction."""
+    both = landmarks.select(EX, F.col("frame").alias("p"), F.col("frame").alias("lm"), F.lit(None).cast("long").alias("b")).union(bounds.select(EX, F.col("b"), F.lit(None).cast("long"), F.col("b")))
+    run = lambda order: F.last("lm", ignorenulls=True).over(Window.partitionBy(EX).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    near = both.withColumns({"lo": run(F.col("p").asc()), "hi": run(F.col("p").desc())}).where("b is not null")
+    lower = F.col("hi").isNull() | (F.col("b") - F.col("lo") <= F.col("hi") - F.col("b"))
+    return near.select(EX, "b", F.when(lower & F.col("lo").isNotNull(), F.col("lo")).otherwise(F.col("hi")).alias("frame"))
 
 
 def top_concept_spans(spans: DataFrame, n: int, least: int = 1600) -> DataFrame:

@@ -118,7 +118,12 @@ def frame_map(spark, d):
     return tl.frame_map(fx.units(spark, d).groupBy("example_idx").agg(F.count("*").alias("n"), F.sum("dur").alias("len")))
 
 
-@register("f11_times_to_frames")
+@register("f11_times_to_frames", f"""WITH {LM}, ln AS (SELECT example_idx, count(*) AS n, CAST(sum(dur) AS BIGINT) AS len FROM units GROUP BY example_idx), {FRAMES},
+tm AS (SELECT lm.example_idx, lm_idx AS pos, least(CAST(trunc(frame / 100 * 100.0::DOUBLE) AS BIGINT), len - 1) AS sample, n FROM lm JOIN ln USING (example_idx) WHERE lm_idx > 0),
+raw AS (SELECT tm.example_idx, any_value(n) AS n, list(fm.frame ORDER BY pos) AS raw FROM tm JOIN fm ON fm.example_idx = tm.example_idx AND sample >= s0 AND sample < s1 GROUP BY tm.example_idx),
+kept AS (SELECT example_idx, n, list_reduce(list_prepend([0], list_transform(raw, lambda f: [f])), lambda a, f: CASE WHEN f[1] > a[-1] THEN list_append(a, f[1] + 1) ELSE a END) AS k FROM raw),
+cap AS (SELECT DISTINCT example_idx, least(f, least(n, 2000)) AS frame FROM (SELECT example_idx, n, unnest(k) AS f FROM kept))
+SELECT example_idx, CAST(row_number() OVER (PARTITION BY example_idx ORDER BY frame) - 1 AS INTEGER) AS lm_idx, CAST(frame AS INTEGER) AS frame FROM cap""")
 def f11_times_to_frames(spark, d):
     times = landmarks(spark, d).where("lm_idx > 0").select("example_idx", F.col("lm_idx").alias("pos"), (F.col("frame") / 100).alias("t"))
     return tl.times_to_frames(times, frame_map(spark, d), 100.0).select("example_idx", F.col("lm_idx").cast("int").alias("lm_idx"), "frame")
@@ -188,6 +193,13 @@ for _how in ("mean", "block", "interpolate", "fourier"):
         _sql = f"""WITH {REGIONS}, sg AS (SELECT DISTINCT example_idx, s, e FROM regions, (VALUES (0, 2), (1, 5)) v(s, e)), x AS (SELECT example_idx, idx, unnest(range(0, 64)) AS dim, unnest(vec) AS x FROM regions)
         SELECT sg.example_idx, s AS start, e AS "end", CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS value FROM sg JOIN x ON x.example_idx = sg.example_idx AND idx >= s AND idx < e GROUP BY ALL"""
 
+    if _how == "block":  # two frames repeat to four and are cut to three; four are cut to three
+        _sql = f"""WITH {REGIONS}, b(s, e, block, i) AS (VALUES (0, 2, 0, 0), (0, 2, 1, 0), (0, 2, 2, 1), (1, 5, 0, 1), (1, 5, 1, 2), (1, 5, 2, 3))
+        SELECT example_idx, s AS start, e AS "end", CAST(block * 64 + d AS INTEGER) AS dim, round(vec[d + 1], 6) AS value FROM regions JOIN b ON idx = i, range(0, 64) r(d)"""
+    if _how == "interpolate":  # three points of two frames: 0, 1/2, 1; of four frames: 0, 3/2, 3
+        _sql = f"""WITH {REGIONS}, b(s, e, block, i, j) AS (VALUES (0, 2, 0, 0, 0), (0, 2, 1, 0, 1), (0, 2, 2, 1, 1), (1, 5, 0, 1, 1), (1, 5, 1, 2, 3), (1, 5, 2, 4, 4))
+        SELECT x.example_idx, s AS start, e AS "end", CAST(block * 64 + d AS INTEGER) AS dim, round((x.vec[d + 1] + y.vec[d + 1]) / 2, 6) + 0 AS value FROM b JOIN regions x ON x.idx = i JOIN regions y ON y.idx = j AND y.example_idx = x.example_idx, range(0, 64) r(d)"""
+
     @register(f"f19_embed_{_how}", _sql)
     def f19_embed(spark, d, how=_how):
         """Fixed-size vectors of all segments, by dimension."""
@@ -206,7 +218,9 @@ def f20_pool_last(spark, d):
     return tl.pool_last(region_segments(spark, d), fx.regions(spark, d)).select("example_idx", "start", "end", F.round(F.col("vec")[0], 6).alias("v0"), F.round(F.col("vec")[63], 6).alias("v63"))
 
 
-@register("f20_pool_argmax")
+@register("f20_pool_argmax", f"""WITH {REGIONS}, sg AS (SELECT DISTINCT example_idx, s, e FROM regions, (VALUES (0, 2), (1, 5)) v(s, e)), c AS (SELECT example_idx, idx, k, vec[k + 1] AS x FROM regions, range(1, 10) r(k)),
+b AS (SELECT sg.*, c.idx, c.k, row_number() OVER (PARTITION BY sg.example_idx, s, e ORDER BY x DESC, c.idx, k) AS n FROM sg JOIN c ON c.example_idx = sg.example_idx AND c.idx >= s AND c.idx < e)
+SELECT example_idx, s AS start, e AS "end", idx, CAST(k AS INTEGER) AS class FROM b WHERE n = 1""")
 def f20_pool_argmax(spark, d):
     """Weights of class k: 1 at dimension k."""
     import numpy as np
@@ -222,7 +236,8 @@ def f21_concept_segments(spark, d):
 
 @register("f22_snap_boundaries", f"WITH {LM}, b AS (SELECT DISTINCT example_idx, CAST(t * 50 AS INTEGER) AS b FROM units), n AS (SELECT b.example_idx, b.b, lm.frame, row_number() OVER (PARTITION BY b.example_idx, b.b ORDER BY abs(lm.frame - b.b), lm.frame) AS k FROM b JOIN lm USING (example_idx)) SELECT example_idx, b, frame FROM n WHERE k = 1")
 def f22_snap_boundaries(spark, d):
-    return tl.snap_boundaries(fx.units(spark, d).select("example_idx", (F.col("t") * 50).cast("int").alias("b")).distinct(), landmarks(spark, d))
+    out = tl.snap_boundaries(fx.units(spark, d).select("example_idx", (F.col("t") * 50).cast("long").alias("b")).distinct(), landmarks(spark, d))
+    return out.select("example_idx", F.col("b").cast("int").alias("b"), "frame")
 
 
 @register("f23_dendrogram")
