@@ -31,6 +31,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts and pages can be long, so fewer rows go to Python at once than Spark's default of 10,000, unless the session has a
+    setting of its own. A batch of 10,000 long texts may exceed what an Arrow string column can hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def in_fold(id_col: str, folds: int = 5) -> Column:
     """True for the held-out fold: crc32 of the id as text, modulo ``folds``, is 0 (a null id counts as '')."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, LOWER, Words, covered, slices, string_parts
-from .common import ddl, without
+from .common import bound_batches, ddl, without
 
 #: Bytes of benchmark text behind one broadcast set at most.
 MOST_BYTES = 64_000_000
@@ -76,6 +76,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     judged alike. Empty tables: nothing is hit.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = 1 if total <= most_bytes else 2 * (-(-total // most_bytes))

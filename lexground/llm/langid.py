@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import slices
-from .common import ddl, materialise, without
+from .common import bound_batches, ddl, materialise, without
 
 LETTERS = regex.compile(r"\p{L}+")
 MAX_WORDS, MAX_GRAMS, ORDERS = 50_000, 20_000, (4, 3, 2, 1)
@@ -104,6 +104,7 @@ def most_frequent(counts: DataFrame, most: int, *by: Column) -> list:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
     """The model: languages, known words and n-grams with a log frequency for each language (smoothed by half a count)."""
+    bound_batches(docs.sparkSession)
     words = materialise(count_words(docs, text_col, lang_col), "langid-words")
     totals = {r["lang"]: r["t"] for r in words.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     langs = sorted(totals)
@@ -179,6 +180,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     A null text, a text without a letter, or a model without languages gives 'und' and 0. Ties go to the first language by
     name. ``score`` is the winner's share of exp(evidence / (1 + log words)). Result columns replace columns of the same name.
     """
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     own = without(docs, "lang_pred", "score")
 

@@ -234,7 +234,9 @@ FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256
 def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text (null: empty) as a PNG and add it to the archives below ``path``."""
     from .arrays import slices
+    from .common import bound_batches
 
+    bound_batches(docs.sparkSession)
     docs.sparkSession.dataSource.register(MediaArchives)
 
     def encode(batches):

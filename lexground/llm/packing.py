@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import slices
-from .common import materialise
+from .common import bound_batches, materialise
 
 #: Nodes of the branch-and-bound search, pieces of one rank group.
 NODES, GROUP = 4000, 100_000
@@ -51,6 +51,7 @@ class Encoder:
 def pieces(docs: DataFrame, ranks_path: str, json_path: str, size: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Tokenise every text (null: empty), add id ``end``, and cut what is longer than ``size``: all pieces but the first then
     have ``size`` tokens. Rows: id, ``piece``, ``start``, ``length``, ``ids_crc32`` and, with ``keep_ids``, ``ids``."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
     last = np.array([end], "<u4").tobytes()

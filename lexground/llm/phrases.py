@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SPACED, Words, covered, slices, string_parts
-from .common import ddl, materialise, without
+from .common import bound_batches, ddl, materialise, without
 
 SIZE = 13
 #: Text bytes behind one part of the hash space and one bucket of documents; windows that a task gathers before it sends.
@@ -259,6 +259,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null id counts as larger than every other; rows with equal ids take nothing from each other. Result columns replace columns
     of the same name; other columns stay. Empty tables give an empty result.
     """
+    bound_batches(docs.sparkSession)
     own = without(docs, "n_words", "n_removed", "removed_spans", "kept_text")
     names = own.columns
     inner = own.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text_col])

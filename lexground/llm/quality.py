@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SPACED, Words, mix, slices, string_parts
-from .common import ddl, in_fold, without
+from .common import bound_batches, ddl, in_fold, without
 
 DIMS, RANK, MAX_ROWS = 1 << 15, 8, 6000
 STATS = ["log_words", "log_chars", "word_length", "upper", "digit", "punct", "mark", "space", "newline", "high", "distinct", "repeat", "all_upper", "ends_marked", "echo", "echo_2", "empty"]
@@ -148,6 +148,7 @@ def _chars(batch: pa.RecordBatch) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", max_rows: int = MAX_ROWS, seed: int = 7) -> Machine:
     """Fit on labelled rows outside the held-out fold. More than ``max_rows`` of them are sampled by a hash of the id, before any
     text moves. Null labels and ids are left out; an id with several labels has the largest."""
+    bound_batches(docs.sparkSession)
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~in_fold(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     n = own.count()
     keep = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.95 * max_rows / max(n, 1)))
@@ -174,6 +175,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", chars_col:
     Null and empty texts are scored by their statistics. Columns other than the text and its character count are never
     read; result columns replace columns of the same name.
     """
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(machine)
     own = without(docs, "score", "predicted", "_chars")
     chars = F.col(chars_col).cast("double") if chars_col in own.columns else F.lit(None).cast("double")

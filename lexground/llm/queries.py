@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages -> ARC archives -> WARC files -> rows."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    records = warc.mark_revisits(warc.convert_arc(warc.write_arc(pages)).where("record_type != 'warcinfo'"))
+    records = warc.mark_revisits(warc.convert_pages(pages).where("record_type != 'warcinfo'"))
     path = scratch_path(spark, "warc")
     warc.write_warc(records, path)
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import slices
+from .common import bound_batches
 
 # Field names of the two ARC versions' record lines, and line ends of WARC.
 V1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -38,13 +39,7 @@ def _url(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f-\xa0  　\x85]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "-"
 
 
-def write_arc(pages: DataFrame, version: int | None = None, date: str = "20240101000000") -> DataFrame:
-    """Pack ``pages(page_id, url, html)`` into ARC archives of about ARCHIVE_BYTES: rows (archive, content).
-
-    ``version`` 1 or 2; None alternates. A null html is an empty payload, a null url the url '-'; a null page_id has no
-    X-Page-Id line. Each record holds an HTTP response whose body is the html in UTF-8.
-    """
-
+def _pack(version: int | None, date: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, batch in enumerate(slices(batches, "html", ARCHIVE_BYTES)):
             v = version or 1 + n % 2
@@ -64,7 +59,17 @@ def write_arc(pages: DataFrame, version: int | None = None, date: str = "2024010
                 at += len(line) + len(block) + 1
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(out)], pa.binary())], names=["archive", "content"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(pack, ARCHIVES)
+    return pack
+
+
+def write_arc(pages: DataFrame, version: int | None = None, date: str = "20240101000000") -> DataFrame:
+    """Pack ``pages(page_id, url, html)`` into ARC archives of about ARCHIVE_BYTES: rows (archive, content).
+
+    ``version`` 1 or 2; None alternates. A null html is an empty payload, a null url the url '-'; a null page_id has no
+    X-Page-Id line. Each record holds an HTTP response whose body is the html in UTF-8.
+    """
+    bound_batches(pages.sparkSession)
+    return pages.select("page_id", "url", "html").mapInArrow(_pack(version, date), ARCHIVES)
 
 
 def _inflate(content: bytes) -> bytes:
@@ -120,6 +125,24 @@ def _date(stamp: str) -> str:
     return f"{s[:4]}-{s[4:6]}-{s[6:8]}T{s[8:10]}:{s[10:12]}:{s[12:14]}Z"
 
 
+_FIELDS = [c.split(" ") for c in RECORDS.split(", ")]
+_TYPES = [{"long": pa.int64(), "binary": pa.binary()}.get(kind, pa.string()) for _, kind in _FIELDS]
+
+
+def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            archive, content = batch.column("archive")[i].as_py(), batch.column("content")[i].as_py()
+            rows = []
+            for at, head, block in arc_records(content or b""):
+                http, body = _payload(block)
+                page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http)
+                kind = "warcinfo" if head["URL"].startswith("filedesc:") else "response" if http else "resource"
+                rows.append((archive, at, int(page[1]) if page else None, kind, f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}/{at}')}>", _date(head["Archive-date"]), head["URL"], head["IP-address"], head["Content-type"], block, len(body), hashlib.sha256(body).hexdigest()))
+            for k in range(0, len(rows), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 512], strict=True), _TYPES, strict=True)], names=[n for n, _ in _FIELDS])
+
+
 def convert_arc(archives: DataFrame) -> DataFrame:
     """ARC archives (archive, content) to WARC records, one row each (schema RECORDS).
 
@@ -127,22 +150,14 @@ def convert_arc(archives: DataFrame) -> DataFrame:
     UUID of archive and offset; the digest is SHA-256 (hex) of the payload, the HTTP body.
     A null content has no record.
     """
-    names = [c.split(" ")[0] for c in RECORDS.split(", ")]
-    schema = pa.schema([(n, pa.int64() if k == "long" else pa.binary() if k == "binary" else pa.string()) for n, k in (c.split(" ") for c in RECORDS.split(", "))])
+    return archives.select("archive", "content").mapInArrow(_convert, RECORDS)
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = []
-                for at, head, block in arc_records(content or b""):
-                    http, body = _payload(block)
-                    page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http)
-                    kind = "warcinfo" if head["URL"].startswith("filedesc:") else "response" if http else "resource"
-                    rows.append((archive, at, int(page[1]) if page else None, kind, f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}/{at}')}>", _date(head["Archive-date"]), head["URL"], head["IP-address"], head["Content-type"], block, len(body), hashlib.sha256(body).hexdigest()))
-                for i in range(0, len(rows), 512):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 512], strict=True), schema.types, strict=True)], names=names)
 
-    return archives.select("archive", "content").mapInArrow(convert, RECORDS)
+def convert_pages(pages: DataFrame, version: int | None = None, date: str = "20240101000000") -> DataFrame:
+    """``convert_arc(write_arc(pages))`` in one pass: each archive is parsed as soon as it is packed, so that a task holds one."""
+    bound_batches(pages.sparkSession)
+    pack = _pack(version, date)
+    return pages.select("page_id", "url", "html").mapInArrow(lambda batches: _convert(pack(batches)), RECORDS)
 
 
 def mark_revisits(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -205,7 +220,8 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Records of the WARC files below ``path``. Sizes and digests of responses are taken from the payload that was read, and
-    a response whose digest differs from its header fails the task; those of revisits are the declared ones."""
+    a response whose SHA-256 differs from its header fails the task; those of revisits are the declared ones (null size if none is
+    declared). Digests of other kinds are not compared."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,10 +231,11 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                     http, body = _payload(block)
                     page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http)
                     size, digest = len(body), hashlib.sha256(body).hexdigest()
-                    declared = head["WARC-Payload-Digest"].removeprefix("sha256:")
+                    declared = head.get("WARC-Payload-Digest", "")
                     if head["WARC-Type"] == "revisit":
-                        size, digest = int(head["X-Payload-Length"]), declared
-                    elif digest != declared:
+                        known = head.get("X-Payload-Length")
+                        size, digest = int(known) if known else None, declared.removeprefix("sha256:")
+                    elif declared.startswith("sha256:") and digest != declared.removeprefix("sha256:"):
                         raise ValueError(f"damaged payload at byte {at}")
                     to = head.get("X-Refers-To-Page")
                     rows.append((int(page[1]) if page else None, size, digest, head["WARC-Type"], int(to) if to else None, head["WARC-Record-ID"], head["WARC-Date"], head.get("WARC-Target-URI"), body if payloads else None))
