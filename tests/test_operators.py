@@ -284,3 +284,17 @@ def test_match_similarity(spark, kind):
     got = rt.match_similarity(im, cap, kind).first().value
     m = np.array([[2.0, 3.0], [4.0, 6.0]])
     assert got == {"sisa": m.mean(), "misa": m.max(0).mean(), "sima": m.max(1).mean()}[kind]
+
+
+def test_snap_boundaries(spark):
+    lm = spark.createDataFrame([(0, f) for f in (0, 10, 20)], "example_idx long, frame long")
+    b = spark.createDataFrame([(0, x) for x in (0, 4, 5, 6, 19, 35)], "example_idx long, b long")
+    assert rows(tl.snap_boundaries(b, lm), "b", "frame") == [(0, 0), (4, 0), (5, 0), (6, 10), (19, 20), (35, 20)]
+
+
+def test_numbered_is_gapless_and_in_order(spark):
+    from lexground.functions.ranking import numbered
+
+    df = spark.createDataFrame([(f"w{i * 7919 % 1000:04d}",) for i in range(1000)], "word string").repartition(6)
+    got = sorted((r.idx, r.word) for r in numbered(df, "word").collect())
+    assert got == list(enumerate(sorted(f"w{i:04d}" for i in range(1000))))
