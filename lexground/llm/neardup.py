@@ -1,9 +1,11 @@
 """Near duplicates by Order MinHash: several smallest occurrence-labelled k-mers of words, kept in text order, make a key;
 texts that share a key are candidates, and a banded alignment verifies them.
 
-Equal texts are one node throughout. Within a bucket every node is compared with the bucket's first node only, in the buckets
-of single keys and in those of two neighbouring keys, so pairs grow with the number of nodes and not with the square of a
-bucket; links are closed transitively.
+Equal texts are one node throughout. Buckets are those of single keys and of two neighbouring keys. In rounds, every node of a
+bucket is compared with representatives of the bucket, first with the one that shares most buckets with others, then with
+twice as many others each round. Pairs that a chain of links joins already are left out, and a bucket is done when all its
+nodes are in one group or have met each other: the groups are those of all pairs of all buckets. Pairs beyond the number of
+nodes are formed only where a bucket holds nodes that are not linked.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from .arrays import ALNUM, Words, mix, slices, span_hash, string_parts
 from .common import bound_batches, materialise, without
 
 K, PICK, KEYS, SIMILAR = 5, 3, 20, 0.8
+#: So few pairs left are compared in one round.
+LAST_PAIRS = 100_000
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, 256, np.uint64)
@@ -109,22 +113,25 @@ def _sketch(docs: DataFrame, k: int, pick: int, keys: int) -> DataFrame:
             words = _words(batch.column("text"))
             h = words.hashes()
             own = [order_minhash(h[a:b], k, pick, keys).view(np.int64) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["id", "node", "keys"])
+            size = [len(np.unique(_kmers(h[a:b], k))) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(own, pa.list_(pa.int64())), pa.array(size, pa.int32())], names=["id", "node", "keys", "size"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "node", "text").mapInArrow(run, f"id {kind}, node binary, keys array<long>")
+    return docs.select("id", "node", "text").mapInArrow(run, f"id {kind}, node binary, keys array<long>, size int")
 
 
 def _verify(pairs: DataFrame, least: float, k: int) -> DataFrame:
+    """(a, b): the groups of the pairs that are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_b"):
             a, b = _words(batch.column("text_a")), _words(batch.column("text_b"))
             ha, hb = a.hashes(), b.hashes()
             keep = [similarity(ha[a.first[i] : a.first[i + 1]], hb[b.first[i] : b.first[i + 1]], least, k) >= least for i in range(batch.num_rows)]
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("label_a").filter(mask), batch.column("label_b").filter(mask)], names=["a", "b"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("label_a", "label_b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -147,6 +154,46 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
+def _link(members: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
+    """(node, label) of the nodes of ``members(key, node, size, n)``, n nodes a bucket: equal labels for what links join."""
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    rows = materialise(members.join(degree, "node").select("key", "node", "size", "degree", F.col("node").alias("label")), "neardup-rows")
+    labels, met, reps = rows.select("node", "label").distinct(), None, 1
+    while True:
+        buckets = rows.groupBy("key").agg(F.count("*").alias("n"))
+        left = buckets.agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
+        if not left["rows"]:
+            return labels
+        last = left["pairs"] <= max(LAST_PAIRS, reps * left["rows"])
+        slot = F.pmod(F.xxhash64("node", "key"), F.lit(reps))
+        first = rows if last else rows.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("degree", "node", "size", "label")).alias("top")).select("key", "top.*")
+        first = first.select("key", F.col("node").alias("rep"), F.col("size").alias("rep_size"), F.col("label").alias("rep_label"))
+        if not last:
+            first = materialise(first, "neardup-reps")
+        # Too unlike in size to be similar: ``similarity`` is 0 for these.
+        alike = F.least("size", "rep_size") >= F.lit(least) * F.greatest("size", "rep_size")
+        swap = F.col("rep") < F.col("node")
+        pair = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("rep", "node", "a"), ("node", "rep", "b"), ("rep_label", "label", "label_a"), ("label", "rep_label", "label_b"))]
+        apart = (F.col("label") != F.col("rep_label")) & alike & ((F.col("rep") < F.col("node")) if last else F.lit(True))
+        pairs = rows.join(first, "key").where(apart).select(*pair).distinct()
+        pairs = materialise(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "neardup-pairs")
+        loaded = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        edges = materialise(_verify(loaded, least, k), "neardup-edges")
+        moved = components(edges, "neardup-labels").select(F.col("node").alias("label"), F.col("label").alias("to")) if edges.limit(1).count() else None
+        if moved is not None:
+            labels = materialise(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "neardup-labels")
+        if last:
+            return labels
+        met = pairs.select("a", "b") if met is None else met.union(pairs.select("a", "b"))
+        rows = rows.join(first.select("key", F.col("rep").alias("node")), ["key", "node"], "left_anti")
+        if moved is not None:
+            rows = rows.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        rows = materialise(rows.select("key", "node", "size", "degree", "label"), "neardup-rows")
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        rows = materialise(rows.join(mixed, "key", "left_semi"), "neardup-rows")
+        reps *= 2
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, pick: int = PICK, keys: int = KEYS, least: float = SIMILAR) -> DataFrame:
     """Add ``class_id``, the least id of the document's group of near copies, and ``class_size`` (documents of the group).
 
@@ -159,20 +206,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = without(docs, "class_id", "class_size", "_node")
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     sketches = _sketch(slim, k, pick, keys).where(F.size("keys") > 0)
-    nodes = materialise(sketches.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "neardup-nodes")
+    nodes = materialise(sketches.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("size").alias("size")), "neardup-nodes")
 
     # Buckets: each key alone, and each key with the next one.
     paired = F.zip_with(F.col("keys"), F.slice("keys", 2, keys), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    members = nodes.select("node", F.explode(F.concat(F.col("keys"), F.filter(paired, lambda x: x.isNotNull()))).alias("key"))
-    hubs = members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    pairs = materialise(members.join(hubs, "key").where("node != a").select("a", F.col("node").alias("b")).distinct(), "neardup-pairs")
+    members = nodes.select("node", "size", F.explode(F.concat(F.col("keys"), F.filter(paired, lambda x: x.isNotNull()))).alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(members.join(shared, "key").select("key", "node", "size", "n"), "neardup-members")
 
-    chosen = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node")
+    chosen = members.select("node").distinct().join(nodes.select("node", "id"), "node")
     texts = slim.alias("t").join(chosen.alias("c"), (F.col("t.node") == F.col("c.node")) & F.col("t.id").eqNullSafe(F.col("c.id")), "left_semi")
     texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "neardup-texts")
-    loaded = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    edges = materialise(_verify(loaded, least, k), "neardup-edges")
-    labels = components(edges, "neardup-labels")
+    labels = _link(members, texts, least, k)
 
     grouped = nodes.select("node", "id", "copies").join(labels, "node", "left").select("node", "id", "copies", F.coalesce("label", "node").alias("label"))
     classes = grouped.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))

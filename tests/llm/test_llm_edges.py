@@ -132,6 +132,33 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == dict(enumerate(label))
 
 
+@pytest.mark.parametrize("last", [0, 100_000])
+def test_near_duplicates_of_borderline_copies(spark, monkeypatch, last):
+    """Copies that are close to their base but not to each other are one group, as by all pairs."""
+    monkeypatch.setattr(neardup, "LAST_PAIRS", last, raising=False)
+    rng = np.random.default_rng(12)
+    rows = []
+    for copies in (100, 20, 40):
+        base = [f"b{copies}w{i}" for i in range(150)]
+        texts = [base]
+        for c in range(copies):
+            own = list(base)
+            for place in rng.choice(150, 3, replace=False):
+                own[place] = f"c{c}p{place}"
+            texts.append(own)
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    words = [np.unique(t.split(" "), return_inverse=True) for _, t in rows]
+    hashes = [np.array([hash(w) & (2**64 - 1) for w in names], np.uint64)[at] for names, at in words]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and neardup.similarity(hashes[i], hashes[j], neardup.SIMILAR) >= neardup.SIMILAR:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert got == dict(enumerate(label))
+
+
 def test_banded_lcs():
     rng = np.random.default_rng(8)
     for _ in range(30):
