@@ -1,8 +1,9 @@
 """Language identification, words first: known words score by their log frequency in each language, unseen ones by the longest
 character n-grams that are known, shorter ones where those are not.
 
-Counts cover all labelled training texts. The model that is broadcast is bounded by ``max_words`` and ``max_grams`` per
-language (and n-gram length): those at least as frequent as a threshold that keeps the number below the bound.
+Counts cover all labelled training texts, and every counted word and n-gram is used. The words that are broadcast are bounded by
+``max_words`` per language: those at least as frequent as a threshold that keeps the number below the bound, with their
+counts in all languages. All other words of the texts meet the full count tables in joins.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import slices
-from .common import bound_batches, ddl, materialise, without
+from .common import bound_batches, materialise, text_key, without
 
 LETTERS = regex.compile(r"\p{L}+")
-MAX_WORDS, MAX_GRAMS, ORDERS = 50_000, 20_000, (4, 3, 2, 1)
-#: Entries of a task's count table before it is sent on, and of its cache of unseen words.
-FLUSH, CACHE = 300_000, 200_000
+MAX_WORDS, ORDERS = 50_000, (4, 3, 2, 1)
+#: Entries of a task's count table before it is sent on.
+FLUSH = 300_000
 COUNTS = "lang string, item string, n long"
 
 
@@ -102,76 +103,80 @@ def most_frequent(counts: DataFrame, most: int, *by: Column) -> list:
     return keyed.where(F.col("_step") >= F.element_at(bound, F.col("_group"))).select("lang", "item", "n").collect()
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
-    """The model: languages, known words and n-grams with a log frequency for each language (smoothed by half a count)."""
+def _logs(counts: DataFrame, totals: list[tuple[str, Column]]) -> DataFrame:
+    """(item, logs): for each language the log frequency, smoothed by half a count; ``totals`` has (lang, total) in pairs."""
+    logs = [F.log((F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) + 0.5) / (total + 1)) for lang, total in totals]
+    return counts.groupBy("item").agg(F.array(*logs).alias("logs"))
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS) -> dict:
+    """The model: languages, the most frequent words for a broadcast, and tables (item, logs) of all words and all n-grams."""
     bound_batches(docs.sparkSession)
-    words = materialise(count_words(docs, text_col, lang_col), "langid-words")
-    totals = {r["lang"]: r["t"] for r in words.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
+    counts = materialise(count_words(docs, text_col, lang_col), "langid-words")
+    totals = {r["lang"]: r["t"] for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     langs = sorted(totals)
-    place = {x: i for i, x in enumerate(langs)}
-
-    def table(rows: list, total: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-        items = sorted({r["item"] for r in rows})
-        index = {x: i for i, x in enumerate(items)}
-        n = np.full((len(items), len(langs)), 0.5)
-        for r in rows:
-            n[index[r["item"]], place[r["lang"]]] += r["n"]
-        return index, np.log(n / (total + 1)).astype(np.float32)
-
-    sums = np.array([totals[x] for x in langs], float)
-    grams = materialise(count_grams(words), "langid-grams")
-    by_order = grams.groupBy("lang", F.length("item").alias("k")).agg(F.sum("n").alias("t")).collect()
-    gram_rows = most_frequent(grams, max_grams, F.col("lang"), F.length("item").cast("string"))
-    model = {"langs": langs, "words": table(most_frequent(words, max_words, F.col("lang")), sums), "grams": {}}
-    for k in ORDERS:
-        total = np.ones(len(langs))
-        for r in by_order:
-            if r["k"] == k:
-                total[place[r["lang"]]] += r["t"]
-        model["grams"][k] = table([r for r in gram_rows if len(r["item"]) == k], total)
-    return model
-
-
-class Scorer:
-    def __init__(self, model: dict):
-        self.langs, (self.words, self.word_logs), self.grams = model["langs"], model["words"], model["grams"]
-        self.cache: dict[str, np.ndarray] = {}
-
-    def unseen(self, word: str) -> np.ndarray:
-        """At each position the longest known n-gram; the sum counts as one word of two n-grams."""
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            padded, total, n = f"^{word}$", np.zeros(len(self.langs), np.float32), 0
-            for i in range(len(padded)):
-                for k in ORDERS:
-                    index, logs = self.grams[k]
-                    at = index.get(padded[i : i + k]) if i + k <= len(padded) else None
-                    if at is not None:
-                        total = total + logs[at]
-                        n += 1
-                        break
-            got = self.cache[word] = total * (2 / n) if n else total
-        return got
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words_of(text))
-        if not counts or not self.langs:
-            return "und", 0.0
-        at, times, total = [], [], np.zeros(len(self.langs))
-        for word, n in counts.items():
-            i = self.words.get(word)
-            if i is None:
-                total += self.unseen(word) * n
-            else:
-                at.append(i), times.append(n)
-        if at:
-            total += np.asarray(times, np.float32) @ self.word_logs[at]
-        p = total / (1 + np.log(sum(counts.values())))
-        p = np.exp(p - p.max())
-        best = int(np.argmax(total))
-        return self.langs[best], float(p[best] / p.sum())
+    if not langs:
+        return {"langs": []}
+    words = materialise(_logs(counts, [(x, F.lit(totals[x])) for x in langs]), "langid-word-logs")
+    often = sorted({r["item"] for r in most_frequent(counts, max_words, F.col("lang"))})
+    hot = words.join(docs.sparkSession.createDataFrame([(x,) for x in often], "item string"), "item").collect() if often else []
+    index = {r["item"]: i for i, r in enumerate(hot)}
+    held = np.array([r["logs"] for r in hot], np.float32).reshape(len(hot), len(langs))
+
+    grams = materialise(count_grams(counts), "langid-grams")
+    of = {(r["lang"], r["k"]): r["t"] for r in grams.groupBy("lang", F.length("item").alias("k")).agg(F.sum("n").alias("t")).collect()}
+    by_order = [_logs(grams.where(F.length("item") == k), [(x, F.lit(of.get((x, k), 0) + 1)) for x in langs]) for k in ORDERS]
+    table = by_order[0]
+    for other in by_order[1:]:
+        table = table.union(other)
+    return {"langs": langs, "words": (index, held), "word_logs": words, "gram_logs": materialise(table, "langid-gram-logs")}
+
+
+EVIDENCE = "key binary, n long, total array<double>, rest array<struct<item:string,n:long>>"
+
+
+def _evidence(docs: DataFrame, langs: int, words: tuple[dict[str, int], np.ndarray]) -> DataFrame:
+    """Of each text the number of words, the evidence of the broadcast words, and the other words with their counts."""
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, logs = held.value
+        for batch in slices(batches, "text", 4_000_000):
+            n, totals, rest = [], [], []
+            for text in batch.column("text").to_pylist():
+                at, times, other = [], [], []
+                counts = Counter(words_of(text))
+                for word, c in counts.items():
+                    i = index.get(word)
+                    if i is None:
+                        other.append({"item": word, "n": c})
+                    else:
+                        at.append(i), times.append(c)
+                n.append(sum(counts.values())), rest.append(other)
+                totals.append(np.asarray(times, float) @ logs[at] if at else np.zeros(langs))
+            kinds = pa.int64(), pa.list_(pa.float64()), pa.list_(pa.struct([("item", pa.string()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(x, kind) for x, kind in zip((n, totals, rest), kinds, strict=True)]], names=["key", "n", "total", "rest"])
+
+    return docs.mapInArrow(run, EVIDENCE)
+
+
+def _unseen(words: DataFrame, grams: DataFrame, langs: int) -> DataFrame:
+    """(item, logs) of words that were not counted: at each position the longest known n-gram; the sum counts as one word of
+    two n-grams. Words without a known n-gram are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in range(0, batch.num_rows, 1000):
+                out = []
+                for word in batch.column("item").slice(some, 1000).to_pylist():
+                    padded = f"^{word}$"
+                    out += [(word, i, k, padded[i : i + k]) for k in ORDERS for i in range(len(padded) - k + 1)]
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3])], names=["word", "i", "k", "item"])
+
+    spots = words.select("item").mapInArrow(run, "word string, i int, k int, item string").join(grams, "item")
+    best = spots.groupBy("word", "i").agg(F.max_by("logs", "k").alias("logs"))
+    return best.groupBy(F.col("word").alias("item")).agg(F.array(*[F.sum(F.col("logs")[j]) * 2 / F.count("*") for j in range(langs)]).alias("logs"))
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
@@ -181,13 +186,22 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     name. ``score`` is the winner's share of exp(evidence / (1 + log words)). Result columns replace columns of the same name.
     """
     bound_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    own = without(docs, "lang_pred", "score")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
-        for batch in slices(batches, text_col, 4_000_000):
-            got = [scorer.predict(t) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-
-    return own.mapInArrow(run, f"{ddl(own)}, lang_pred string, score double")
+    own, langs = without(docs, "lang_pred", "score", "_key"), model["langs"]
+    names = [F.col(f"`{c}`") for c in own.columns]
+    if not langs:
+        return own.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    text = F.col(f"`{text_col}`")
+    slim = docs.where(text.isNotNull()).select(text_key(text).alias("key"), text.alias("text"))
+    found = materialise(_evidence(slim, len(langs), model["words"]).dropDuplicates(["key"]).where("n > 0"), "langid-evidence")
+    rest = found.select("key", F.explode("rest").alias("x")).select("key", "x.item", "x.n")
+    items = materialise(rest.select("item").distinct().join(model["word_logs"], "item", "left"), "langid-rest")
+    unseen = _unseen(items.where("logs is null"), model["gram_logs"], len(langs))
+    logs = materialise(items.where("logs is not null").union(unseen), "langid-rest-logs")
+    more = rest.join(logs, "item").groupBy("key").agg(F.array(*[F.sum(F.col("n") * F.col("logs")[j]) for j in range(len(langs))]).alias("more"))
+    total = F.when(F.col("more").isNull(), F.col("total")).otherwise(F.zip_with("total", "more", lambda a, b: a + b))
+    summed = found.select("key", "n", "total").join(more, "key", "left").select("key", "n", total.alias("total")).withColumn("top", F.array_max("total"))
+    share = F.transform("total", lambda x: F.exp((x - F.col("top")) / (1 + F.log("n"))))
+    best = F.element_at(F.array(*map(F.lit, langs)), F.array_position("total", F.col("top")).cast("int"))
+    result = summed.select(F.col("key").alias("_key"), best.alias("lang_pred"), (1 / F.aggregate(share, F.lit(0.0), lambda a, b: a + b)).alias("score"))
+    joined = own.withColumn("_key", text_key(text)).join(result, "_key", "left")
+    return joined.select(*names, F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))

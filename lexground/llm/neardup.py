@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, Words, mix, slices, span_hash, string_parts
-from .common import bound_batches, materialise, without
+from .common import bound_batches, materialise, text_key, without
 
 K, PICK, KEYS, SIMILAR = 5, 3, 20, 0.8
 #: So few pairs left are compared in one round.
@@ -103,10 +103,6 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float, k: int = K) -> float:
     return shared if 2 * banded_lcs(a.tolist(), b.tolist(), band) >= least * (n + m) else 0.0
 
 
-def text_key(text: Column) -> Column:
-    return F.unhex(F.md5(text.cast("binary")))
-
-
 def _sketch(docs: DataFrame, k: int, pick: int, keys: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

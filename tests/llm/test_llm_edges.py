@@ -239,6 +239,19 @@ def test_language_id(docs, none, spark):
     assert {r.lang_pred for r in langid.predict(ask, langid.fit(train.limit(0))).collect()} == {"und"}
 
 
+def test_every_counted_word_is_known(spark):
+    """A bound on the broadcast words doesn't change the result, and a word's counts in all languages are used."""
+    rows = [("the " * 50 + "rare xylem", "en"), ("das " * 50 + "xylem xylem xylem selten", "de")] * 2
+    train = spark.createDataFrame(rows, "text string, lang string")
+    ask = spark.createDataFrame([(1, "xylem"), (2, "rare"), (3, "selten the"), (4, "unknown rarest"), (5, None)], "doc_id long, text string")
+    whole, bounded, none = ({r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.predict(ask, langid.fit(train, max_words=m)).collect()} for m in (50_000, 1, 0))
+    n, t = {"en": 2.5, "de": 6.5}, {"en": 105, "de": 109}
+    odds = n["en"] / t["en"] / (n["de"] / t["de"])
+    assert whole[1][0] == "de" and abs(whole[1][1] - 1 / (1 + odds)) < 1e-6
+    assert {k: v[0] for k, v in whole.items()} == {k: v[0] for k, v in bounded.items()} == {k: v[0] for k, v in none.items()}
+    assert all(abs(whole[k][1] - other[k][1]) < 1e-6 for other in (bounded, none) for k in whole)
+
+
 def test_most_frequent_is_bounded(spark):
     rows = [("en", f"w{i}", 1 + i) for i in range(100)]
     got = langid.most_frequent(spark.createDataFrame(rows, langid.COUNTS), 10, __import__("pyspark").sql.functions.col("lang"))
