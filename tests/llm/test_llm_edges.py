@@ -87,6 +87,26 @@ def test_substring_dedup_random(spark):
     assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()], key=repr) == brute_repeats(rows)
 
 
+def test_windows_with_equal_low_bits_are_not_mixed_up(monkeypatch):
+    """Document 1 has another window whose hash ends in the same 40 bits; document 3 still asks document 2."""
+    texts = [" ".join(f"{c}{i}" for i in range(13)) for c in "abb"]
+    made = phrases._windows
+    other = {texts[0]: (1 << 50) + 5, texts[1]: (1 << 60) + 5}
+
+    def windows(column, size):
+        words, at, _ = made(column, size)
+        return words, at, np.array([other[t] for t in column.to_pylist()], np.uint64)
+
+    monkeypatch.setattr(phrases, "_windows", windows)
+    entries = []
+    for i, text in enumerate(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array([i + 1], pa.int64()), pa.array([i + 1], pa.int32()), pa.array([text])], names=["id", "bucket", "text"])
+        entries += phrases._probe(1, 13)(iter([batch]))
+    asked = phrases._match(pa.Table.from_batches(entries))
+    got = [(b, r["src"], r["bucket"]) for b, data in zip(asked["bucket"].to_pylist(), asked["data"].to_pylist(), strict=True) for r in np.frombuffer(data, phrases._REQUEST)]
+    assert got == [(2, 2, 3)]
+
+
 def test_automaton_finds_every_window():
     words = PASSAGE.split()
     m = phrases.Automaton([(1, PASSAGE)], 13)
