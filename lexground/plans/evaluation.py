@@ -166,14 +166,14 @@ def e13_error_rate(spark, d):
     return rounded(ev.error_rate(pairs).select("ref_length", "distance", "rate"), "rate")
 
 
-SCORES = f"{fx.REGIONS}, scores AS (SELECT example_idx, idx AS t, unnest(range(0, 10)) AS class, unnest(vec[1:10]) AS value FROM regions)"
+SCORES = f"{fx.REGIONS}, scores AS (SELECT example_idx, idx AS t, unnest(range(0, 64)) AS class, unnest(vec) AS value FROM regions)"
 
 
 @register("e14_ctc_collapse", f"""WITH {SCORES}, b AS (SELECT example_idx, t, CAST(class AS INTEGER) AS symbol FROM (SELECT *, row_number() OVER (PARTITION BY example_idx, t ORDER BY value DESC, class) AS k FROM scores) WHERE k = 1),
 f AS (SELECT * FROM (SELECT *, lag(symbol) OVER (PARTITION BY example_idx ORDER BY t) AS was FROM b) WHERE (was IS NULL OR was <> symbol) AND symbol <> 0)
 SELECT example_idx, CAST(row_number() OVER (PARTITION BY example_idx ORDER BY t) - 1 AS INTEGER) AS pos, symbol FROM f""")
 def e14_ctc_collapse(spark, d):
-    return ev.ctc_collapse(fx.regions(spark, d).select("example_idx", F.col("idx").alias("t"), F.posexplode(F.slice("vec", 1, 10)).alias("class", "value")))
+    return ev.ctc_collapse(fx.regions(spark, d).select("example_idx", F.col("idx").alias("t"), F.posexplode("vec").alias("class", "value")))
 
 
 @register("e15_prf", f"""WITH {UNITS}, c AS (SELECT CAST(example_idx % 5 AS INTEGER) AS fold, sum(CASE WHEN gold = 'view' AND pred = 'view' THEN 1 ELSE 0 END) AS h, sum(CASE WHEN pred = 'view' THEN 1 ELSE 0 END) AS f, sum(CASE WHEN gold = 'view' THEN 1 ELSE 0 END) AS g FROM units GROUP BY 1)
@@ -201,6 +201,6 @@ def e18_class_accuracy(spark, d):
     return rounded(ev.class_accuracy(fx.units(spark, d)), "accuracy")
 
 
-@register("e19_posterior_gap", "WITH r AS (SELECT CAST(label AS INTEGER) AS iteration, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings) SELECT iteration, round(sum(abs(a - b)) / count(*), 6) AS gap FROM r GROUP BY iteration")
+@register("e19_posterior_gap", "WITH r AS (SELECT CAST(label AS INTEGER) AS iteration, unnest(CAST(embedding[1:32] AS DOUBLE[])) AS a, unnest(CAST(embedding[33:64] AS DOUBLE[])) AS b FROM embeddings) SELECT iteration, round(sum(abs(a - b)) / count(*), 6) AS gap FROM r GROUP BY iteration")
 def e19_posterior_gap(spark, d):
-    return rounded(ev.posterior_gap(fx.regions(spark, d).select(F.col("label").cast("int").alias("iteration"), F.col("vec")[0].alias("a"), F.col("vec")[1].alias("b"))), "gap")
+    return rounded(ev.posterior_gap(fx.regions(spark, d).select(F.col("label").cast("int").alias("iteration"), F.explode(F.arrays_zip(F.slice("vec", 1, 32).alias("a"), F.slice("vec", 33, 32).alias("b"))).alias("x")).select("iteration", "x.a", "x.b")), "gap")

@@ -74,11 +74,11 @@ def d7_curves(spark, d):
     return rounded(rp.curves(spark, f"{path}/model=*", "v"), "value")
 
 
-SC = f"{REGIONS}, s AS (SELECT example_idx, idx AS t, unnest(range(0, 4)) AS i, unnest(vec[1:4]) AS v FROM regions)"
+SC = f"{REGIONS}, s AS (SELECT example_idx, idx AS t, unnest(range(0, 64)) AS i, unnest(vec) AS v FROM regions)"
 
 
 def weights(spark, d, absolute: bool):
-    s = fx.regions(spark, d).select("example_idx", F.col("idx").alias("t"), F.posexplode(F.slice("vec", 1, 4)).alias("i", "value"))
+    s = fx.regions(spark, d).select("example_idx", F.col("idx").alias("t"), F.posexplode("vec").alias("i", "value"))
     return s.withColumn("value", F.abs("value")) if absolute else s
 
 

@@ -23,13 +23,13 @@ def register(name: str, sql: str | None = None):
     return put
 
 
-DOTS = f"{fx.REGIONS}, dt AS (SELECT b.example_idx AS row, a.example_idx AS col, a.idx AS i, b.idx AS f, list_dot_product(a.vec, b.vec) AS x FROM regions a, regions b WHERE b.idx < 3)"
+DOTS = f"{fx.REGIONS}, dt AS (SELECT b.example_idx AS row, a.example_idx AS col, a.idx AS i, b.idx AS f, list_dot_product(a.vec, b.vec) AS x FROM regions a, regions b)"
 SISA = f"{DOTS}, sc AS (SELECT row, col, avg(x) AS value FROM dt GROUP BY ALL)"
 
 
 def sides(spark, d):
     r = fx.regions(spark, d)
-    return r, r.where("idx < 3")
+    return r, r
 
 
 def sisa(spark, d):
@@ -60,10 +60,10 @@ def r4_recall(spark, d):
     return rounded(rt.recall_at_k(sisa(spark, d)), "recall")
 
 
-@register("r5_matchmap", f"WITH {fx.REGIONS}, x AS (SELECT a.example_idx, b.idx AS f, a.idx AS region, row_number() OVER (PARTITION BY a.example_idx, b.idx ORDER BY list_dot_product(a.vec, b.vec) DESC, a.idx) AS r FROM regions a JOIN regions b ON a.example_idx = b.example_idx AND b.idx < 3) SELECT example_idx, CAST(f * 4 + o AS INTEGER) AS t, region FROM x, range(0, 4) n(o) WHERE r = 1 AND f * 4 + o < 10")
+@register("r5_matchmap", f"WITH {fx.REGIONS}, x AS (SELECT a.example_idx, b.idx AS f, a.idx AS region, row_number() OVER (PARTITION BY a.example_idx, b.idx ORDER BY list_dot_product(a.vec, b.vec) DESC, a.idx) AS r FROM regions a JOIN regions b ON a.example_idx = b.example_idx) SELECT example_idx, CAST(f * 4 + o AS INTEGER) AS t, region FROM x, range(0, 4) n(o) WHERE r = 1 AND f * 4 + o < 18")
 def r5_matchmap(spark, d):
     im, cap = sides(spark, d)
-    return rt.align_matchmap(im, cap, 4, im.select("example_idx").distinct().withColumn("n", F.lit(10)))
+    return rt.align_matchmap(im, cap, 4, im.select("example_idx").distinct().withColumn("n", F.lit(18)))
 
 
 @register("r6_margin_loss")

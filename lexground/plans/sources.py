@@ -53,14 +53,18 @@ def s2_phrase_boxes(spark, d):
     return r.groupBy("capt_id", F.array_join("words", "|").alias("words"), F.col("box.x").alias("x"), F.col("box.h").alias("h")).agg(F.count("*").alias("n"))
 
 
-@register("s3_alignments", f"WITH {UNITS} SELECT example_idx AS index, '1,2' AS concepts, string_agg(CAST(dur AS VARCHAR), ',' ORDER BY t) AS alignment FROM units GROUP BY example_idx")
+@register("s3_alignments", f"WITH {UNITS}, a AS (SELECT example_idx AS index, '1,2' AS concepts, string_agg(CAST(dur AS VARCHAR), ',' ORDER BY t) AS alignment FROM units GROUP BY example_idx) SELECT NULL AS example_id, * FROM a UNION ALL SELECT 'arr_' || CAST(index AS VARCHAR), * FROM a")
 def s3_alignments(spark, d):
-    path = scratch(spark, "alignments")
-    a = fx.units(spark, d).groupBy(F.col("example_idx").alias("index")).agg(F.array(F.lit(1), F.lit(2)).alias("image_concepts"), F.transform(F.sort_array(F.collect_list(F.struct("t", "dur"))), lambda x: x["dur"]).alias("alignment"))
-    a.write.json(path)
-    r = spark.read.schema(fl.ALIGNMENT).json(path)
+    """Both forms: files of a list of records, and files of one object by example id."""
+    record = F.struct(F.col("example_idx").alias("index"), F.array(F.lit(1), F.lit(2)).alias("image_concepts"), F.col("durs").alias("alignment"))
+    a = fx.units(spark, d).groupBy("example_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "dur"))), lambda x: x["dur"]).alias("durs"))
+    files = a.groupBy(F.floor(F.col("example_idx") / 64)).agg(F.collect_list(record).alias("list"), F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("arr_"), F.col("example_idx").cast("string")), record))).alias("keyed"))
+    lists, keyed = scratch(spark, "alignments"), scratch(spark, "alignments")
+    for form, path in (("list", lists), ("keyed", keyed)):
+        files.select(F.to_json(form)).write.option("maxRecordsPerFile", 1).text(path)
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return r.select("index", join("image_concepts").alias("concepts"), join("alignment").alias("alignment"))
+    r = fl.read_alignments(spark, lists).withColumn("example_id", F.lit(None).cast("string")).unionByName(fl.read_alignments(spark, keyed, keyed=True))
+    return r.select("example_id", "index", join("image_concepts").alias("concepts"), join("alignment").alias("alignment"))
 
 
 @register("s4_s6_classes", f"""WITH {RUNS}, f AS (SELECT label, row_number() OVER (ORDER BY min((example_idx, s))) AS class_id FROM gr GROUP BY label)
@@ -87,7 +91,7 @@ def s7_segmented(spark, d):
     return fl.numbered_lines(spark, path)
 
 
-@register("s8_region_tsv", f"WITH {fx.REGIONS} SELECT example_idx AS image_id, CAST(count(*) AS INTEGER) AS num_boxes, round(sum(vec[1]), 4) AS v FROM regions WHERE example_idx % 3 = 0 GROUP BY example_idx")
+@register("s8_region_tsv", f"WITH {fx.REGIONS} SELECT example_idx AS image_id, CAST(count(*) AS INTEGER) AS num_boxes, round(sum(vec[1]), 4) AS v FROM regions WHERE example_idx IN (SELECT doc_id FROM labels) GROUP BY example_idx")
 def s8_region_tsv(spark, d):
     path = scratch(spark, "tsv")
 
@@ -100,7 +104,7 @@ def s8_region_tsv(spark, d):
     r = fx.regions(spark, d)
     packed = r.groupBy("example_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "vec"))), lambda x: x["vec"]).alias("vecs"))
     packed.mapInPandas(encode, "value string").write.text(path)
-    ids = r.where("example_idx % 3 = 0").select(F.col("example_idx").alias("image_id"))
+    ids = fx.table(spark, d, "labels").select(F.col("doc_id").alias("image_id"))
     out = fl.read_region_tsv(spark, path, ids)
     return out.select("image_id", "num_boxes", F.round(F.aggregate("features", F.lit(0.0).cast("double"), lambda a, v: a + v[0]), 4).alias("v"))
 

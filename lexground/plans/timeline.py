@@ -58,20 +58,21 @@ def f3_classes(spark, d):
     return tl.to_classes(value(u, "gold"), n)
 
 
-SEGMENTS = """seg AS (SELECT example_idx, pos, CASE WHEN pos % 2 = 0 THEN token || ',x' ELSE token END AS segment FROM (SELECT example_idx, pos, regexp_replace(token, ',', '', 'g') AS token FROM tokens WHERE pos < 12))"""
+SEGMENTS = """seg AS (SELECT example_idx, pos, CASE WHEN pos % 2 = 0 THEN token || ',x' ELSE token END AS segment FROM (SELECT example_idx, pos, regexp_replace(token, ',', '', 'g') AS token FROM tokens))"""
 
 
 def segments(spark, d):
     tok = F.regexp_replace("token", ",", "")
-    return fx.tokens(spark, d).where("pos < 12").select("example_idx", "pos", F.when(F.col("pos") % 2 == 0, F.concat(tok, F.lit(",x"))).otherwise(tok).alias("segment"))
+    return fx.tokens(spark, d).select("example_idx", "pos", F.when(F.col("pos") % 2 == 0, F.concat(tok, F.lit(",x"))).otherwise(tok).alias("segment"))
 
 
-@register("f4_segmented_classes", f"""WITH {fx.TOKENS}, {SEGMENTS}, n AS (SELECT example_idx, CAST(10 + example_idx % 15 AS INTEGER) AS n FROM captions),
+@register("f4_segmented_classes", f"""WITH {fx.TOKENS}, {SEGMENTS}, n AS (SELECT example_idx, CAST(greatest(1, len(tokens) + len(tokens) // 2 + example_idx % 15 - 7) AS INTEGER) AS n FROM captions),
 c AS (SELECT example_idx, segment, sum(k) OVER (PARTITION BY example_idx ORDER BY pos) AS e, k FROM (SELECT *, len(string_split(segment, ',')) AS k FROM seg))
 SELECT example_idx, CAST(e - k AS INTEGER) AS start, CAST(least(e, n) AS INTEGER) AS "end", segment AS label FROM c JOIN n USING (example_idx) WHERE e - k < n
 UNION ALL SELECT example_idx, CAST(max(e) AS INTEGER), n, 'NULL' FROM c JOIN n USING (example_idx) GROUP BY example_idx, n HAVING max(e) < n""")
 def f4_segmented_classes(spark, d):
-    n = fx.captions(spark, d).select("example_idx", (10 + F.col("example_idx") % 15).cast("int").alias("n"))
+    size = F.size("tokens")
+    n = fx.captions(spark, d).select("example_idx", F.greatest(F.lit(1), size + F.floor(size / 2) + F.col("example_idx") % 15 - 7).cast("int").alias("n"))
     return tl.segmented_to_classes(segments(spark, d), n)
 
 
@@ -176,10 +177,10 @@ def f17_preemphasis(spark, d):
     return rounded(tl.preemphasis(fx.units(spark, d).select("example_idx", "t", F.col("dur").cast("double").alias("y"))), "y")
 
 
-@register("f18_cmvn", f"""WITH {REGIONS}, x AS (SELECT example_idx, idx, label, unnest(range(0, 4)) AS dim, unnest(vec[1:4]) AS x FROM regions), s AS (SELECT label, dim, avg(x) AS m, stddev_pop(x) AS d FROM x GROUP BY ALL)
+@register("f18_cmvn", f"""WITH {REGIONS}, x AS (SELECT example_idx, idx, label, unnest(range(0, 64)) AS dim, unnest(vec) AS x FROM regions), s AS (SELECT label, dim, avg(x) AS m, stddev_pop(x) AS d FROM x GROUP BY ALL)
 SELECT example_idx, idx, label, CAST(dim AS INTEGER) AS dim, round((x - m) / greatest(d, 1e-20), 6) AS value FROM x JOIN s USING (label, dim)""")
 def f18_cmvn(spark, d):
-    return rounded(tl.cmvn(fx.regions(spark, d).withColumn("vec", F.slice("vec", 1, 4)), "label"), "value")
+    return rounded(tl.cmvn(fx.regions(spark, d), "label"), "value")
 
 
 def region_segments(spark, d):
