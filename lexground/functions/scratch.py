@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder in ``spark.checkpoint.dir``; a local folder is made only where none is set."""
+    """A new path below the shared folder in ``spark.checkpoint.dir``. Where none is set, local mode makes a local folder, and a
+    cluster raises ValueError, as its executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexground-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -86,11 +86,14 @@ def pool_argmax(segments: DataFrame, frames: DataFrame, weights: np.ndarray, bia
     return best.select(EX, "start", "end", "b.idx", "b.class")
 
 
-def merge_levels(x: np.ndarray, levels: int) -> list[list[int]]:
+def merge_levels(x: np.ndarray, levels: int, metric: str = "euclidean") -> list[list[int]]:
     """Boundaries after each level: a boundary goes if its two sides are closer to each other than to their other neighbours;
-    distances are mean Euclidean ones between blocks, and beyond the ends infinite."""
-    t = len(x)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
+    distances are means between blocks, Euclidean or cosine ones, and beyond the ends infinite."""
+    t, size = len(x), (x * x).sum(1)
+    if metric == "cosine":
+        d = 1 - x @ x.T / np.maximum(np.sqrt(np.outer(size, size)), 1e-300)
+    else:
+        d = np.sqrt(np.maximum(size[:, None] + size[None] - 2 * (x @ x.T), 0))
     sums = np.zeros((t + 1, t + 1))
     sums[1:, 1:] = d.cumsum(0).cumsum(1)
     bounds, out = list(range(t + 1)), []
@@ -105,12 +108,12 @@ def merge_levels(x: np.ndarray, levels: int) -> list[list[int]]:
     return out
 
 
-def dendrogram(frames: DataFrame, levels: int = 2) -> DataFrame:
+def dendrogram(frames: DataFrame, levels: int = 2, metric: str = "euclidean") -> DataFrame:
     """(example_idx, level, lm_idx, frame): boundaries left after each level of merging adjacent frames."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("idx")
-        found = merge_levels(np.stack(own["vec"].to_numpy()), levels)
+        found = merge_levels(np.stack(own["vec"].to_numpy()), levels, metric)
         rows = [(own[EX].iloc[0], lv, i, f) for lv, b in enumerate(found) for i, f in enumerate(b)]
         return pd.DataFrame(rows, columns=[EX, "level", "lm_idx", "frame"])
 

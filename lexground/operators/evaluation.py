@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import numbered
+from ..functions.scratch import cut
 from ..functions.sequences import edit_counts_of, edit_distance_of
 from .timeline import EX, interval_overlap, iou, runs
 
@@ -64,8 +68,8 @@ def word_iou(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
 def boundary_f1(pred: DataFrame, gold: DataFrame, tol: int = 2) -> DataFrame:
     """A gold unit is hit if some predicted unit of the example ends within ``tol``; recall over gold, precision over predicted."""
-    ends = pred.select(F.col(EX).alias("_ex"), F.col("end").alias("_e"))
-    hit = gold.join(ends, (F.col(EX) == F.col("_ex")) & (F.abs(F.col("end") - F.col("_e")) <= tol), "left_semi").agg(F.count("*").alias("hits"))
+    near = pred.select(EX, F.explode(F.sequence(F.col("end") - tol, F.col("end") + tol)).alias("end"))
+    hit = gold.join(near, [EX, "end"], "left_semi").agg(F.count("*").alias("hits"))
     sizes = gold.agg(F.count("*").alias("n_gold")).join(pred.agg(F.count("*").alias("n_pred")), F.lit(True))
     r, p = F.col("hits") / F.col("n_gold"), F.col("hits") / F.col("n_pred")
     return hit.join(sizes, F.lit(True)).select("hits", "n_gold", "n_pred", r.alias("recall"), p.alias("precision"), harmonic(p, r).alias("f1"))
@@ -73,10 +77,23 @@ def boundary_f1(pred: DataFrame, gold: DataFrame, tol: int = 2) -> DataFrame:
 
 def token_confusion(pred: DataFrame, gold: DataFrame, tol: int = 1, least: float = 0.5, label: str = "label") -> DataFrame:
     """For each gold unit the first predicted unit that matches it at both ends within ``tol`` or has an IoU above ``least``:
-    (gold, pred, n)."""
+    (gold, pred, n).
+
+    Candidates meet by equal keys: starts within ``tol``; and for the IoU, which bounds the ratio of two lengths, the cells that
+    both cover on a grid as wide as the predicted unit, to a power of two."""
     p = pred.select(F.col(EX).alias("_ex"), F.col("start").alias("ps"), F.col("end").alias("pe"), F.col(label).alias("pl"))
-    near = (F.abs(F.col("start") - F.col("ps")) <= tol) & (F.abs(F.col("end") - F.col("pe")) <= tol) | (iou(F.col("start"), F.col("end"), F.col("ps"), F.col("pe")) > least)
-    both = gold.join(p, (F.col(EX) == F.col("_ex")) & near)
+    g = gold.select(EX, "start", "end", label)
+    level = lambda a, b: F.floor(F.log2(F.greatest(F.col(b) - F.col(a), F.lit(1)).cast("double"))).cast("int")
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.pow(F.lit(2.0), F.col("_level"))), F.floor(F.col(b) / F.pow(F.lit(2.0), F.col("_level"))))).alias("_cell")
+    around = math.ceil(math.log2(1 / least)) if least > 0 else 32
+    wide = g.withColumn("_level", F.explode(F.sequence(level("start", "end") - around, level("start", "end") + around))).select("*", cells("start", "end"))
+    held = p.withColumn("_level", level("ps", "pe")).select("*", cells("ps", "pe"))
+    meet = wide.join(held.withColumnsRenamed({"_level": "_l", "_cell": "_c"}), (F.col(EX) == F.col("_ex")) & (F.col("_level") == F.col("_l")) & (F.col("_cell") == F.col("_c")))
+    meet = meet.where(iou(F.col("start"), F.col("end"), F.col("ps"), F.col("pe")) > least)
+    at = g.withColumn("_at", F.explode(F.sequence(F.col("start") - tol, F.col("start") + tol)))
+    near = at.join(p, (F.col(EX) == F.col("_ex")) & (F.col("_at") == F.col("ps"))).where(F.abs(F.col("end") - F.col("pe")) <= tol)
+    names = [EX, "start", "end", label, "ps", "pe", "pl"]
+    both = meet.select(*names).union(near.select(*names))
     first = both.groupBy(EX, "start", "end", F.col(label).alias("gold")).agg(F.min_by("pl", F.struct("ps", "pe", "pl")).alias("pred"))
     return first.groupBy("gold", "pred").agg(F.count("*").alias("n"))
 
@@ -163,16 +180,30 @@ def coverage(disc: DataFrame, phones: DataFrame) -> DataFrame:
     return got.join(phones.agg(F.count("*").alias("n")), F.lit(True)).select("covered", "n", (F.col("covered") / F.col("n")).alias("coverage"))
 
 
-def ned(disc: DataFrame, tokens: str = "phones") -> DataFrame:
+def ned(disc: DataFrame, tokens: str = "phones", block: int = 1000) -> DataFrame:
     """Mean over the pairs of each class of edit distance over longer length, ``disc(class_id, phones ARRAY)``.
 
-    Members with equal strings are counted, not paired: only distinct strings of a class meet, weighted by their counts.
+    Members with equal strings are counted, not paired: only distinct strings of a class meet, weighted by their counts. The
+    pairs of a large class are dealt to blocks of about ``block`` strings of either side. Symbols are spelt as single characters, so that
+    the built-in distance serves; beyond 50,000 symbols a Python one does.
     """
-    s = disc.groupBy("class_id", F.col(tokens).alias("a")).agg(F.count("*").alias("n"))
+    s = cut(disc.groupBy("class_id", F.col(tokens).alias("a")).agg(F.count("*").alias("n")), "ned")
     same = s.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.lit(0.0).alias("total"))
-    o = s.select("class_id", F.col("a").alias("b"), F.col("n").alias("m"))
-    pairs = s.join(o, "class_id").where(F.array_join("a", "\x1f") < F.array_join("b", "\x1f"))
-    d = edit_distance_of("a", "b") / F.greatest(F.size("a"), F.size("b"), F.lit(1))
+    symbols = s.select(F.explode("a").alias("symbol")).distinct()
+    few = symbols.count() <= 50_000
+    if few:
+        spelt = numbered(symbols, "symbol").select("symbol", F.decode(F.unhex(F.lpad(F.hex(F.col("idx") + 256), 4, "0")), "UTF-16BE").alias("letter"))
+        each = s.select("class_id", "a", F.posexplode("a").alias("i", "symbol")).join(spelt, "symbol").groupBy("class_id", "a").agg(F.array_sort(F.collect_list(F.struct("i", "letter"))).alias("x"))
+        s = s.join(each.select("class_id", "a", F.array_join(F.transform("x", lambda x: x["letter"]), "").alias("w")), ["class_id", "a"], "left").withColumn("w", F.coalesce("w", F.lit("")))
+    else:
+        s = s.withColumn("w", F.array_join("a", "\x1f"))
+    blocks = s.groupBy("class_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = s.join(blocks, "class_id").withColumn("here", F.pmod(F.xxhash64("w"), F.col("blocks")).cast("int"))
+    there = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = own.select("class_id", "a", "w", "n", F.col("here").alias("i"), there.alias("j"))
+    right = own.select("class_id", F.col("a").alias("b"), F.col("w").alias("v"), F.col("n").alias("m"), there.alias("i"), F.col("here").alias("j"))
+    pairs = left.join(right, ["class_id", "i", "j"]).where("w < v")
+    d = (F.levenshtein("w", "v") if few else edit_distance_of("a", "b")) / F.greatest(F.size("a"), F.size("b"), F.lit(1))
     diff = pairs.select((F.col("n") * F.col("m")).cast("double").alias("pairs"), (d * F.col("n") * F.col("m")).alias("total")).agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"))
     return same.union(diff).agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total")).select(F.col("pairs").cast("long").alias("pairs"), (F.col("total") / F.col("pairs")).alias("ned"))
 

@@ -92,12 +92,17 @@ def concept_subset(rows: DataFrame, cap: int, by: str = "concept", order: tuple[
 def power_law_sample(instances: DataFrame, alpha: float, size: int, n: int, seed: int) -> DataFrame:
     """P10: ``size`` examples of ``n`` distinct concepts: (example, concept, instance). Quotas follow 1 / rank**alpha over concepts by
     frequency; a concept's instances are in hash order and none is used twice. Instance r of a concept with an offset of
-    earlier quotas goes to example (offset + r) mod size, so an example never gets a concept twice while quotas stay below size.
+    earlier quotas goes to example (offset + r) mod size, so an example never gets a concept twice while quotas stay below size. What
+    rounding and concepts with few instances leave over goes to the next ranks that have instances left.
     """
     counts = instances.groupBy("concept").agg(F.count("*").alias("k"))
     rank = counts.select("concept", "k", F.row_number().over(Window.orderBy(F.desc("k"), "concept")).alias("r"))
     weighted = rank.withColumn("w", 1 / F.pow(F.col("r").cast("double"), F.lit(alpha)))
     quota = weighted.withColumn("q", F.least(F.col("k"), F.lit(size), F.floor(F.lit(float(size * n)) * F.col("w") / F.sum("w").over(Window.partitionBy()))).cast("long"))
+    # Only the table of concepts meets in one task.
+    ahead = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    room = quota.withColumn("room", F.least(F.col("k"), F.lit(size)) - F.col("q")).withColumn("over", F.lit(size * n) - F.sum("q").over(Window.partitionBy()))
+    quota = room.withColumn("q", F.col("q") + F.least("room", F.greatest(F.lit(0), F.col("over") - F.coalesce(F.sum("room").over(ahead), F.lit(0)))))
     offset = quota.select("concept", "q", F.coalesce(F.sum("q").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
     drawn = instances.withColumn("_i", F.row_number().over(Window.partitionBy("concept").orderBy(F.xxhash64("instance", F.lit(seed)), "instance")) - 1)
     return drawn.join(F.broadcast(offset), "concept").where(F.col("_i") < F.col("q")).select(((F.col("o") + F.col("_i")) % size).cast("long").alias("example"), "concept", "instance")

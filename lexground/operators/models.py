@@ -3,6 +3,7 @@ stay distributed: each round is one pass that emits counts and one aggregation."
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ def image_prior(post: DataFrame) -> DataFrame:
 def phone_prior(tokens: DataFrame) -> DataFrame:
     """M5: (token, p): relative frequencies."""
     c = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    return c.select("token", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))
+    return c.join(c.agg(F.sum("n").alias("all")), F.lit(True)).select("token", (F.col("n") / F.col("all")).alias("p"))
 
 
 def segment_prior(segments: DataFrame, prior: DataFrame) -> DataFrame:
@@ -123,13 +124,14 @@ def span_scores(spans_: DataFrame, probs: DataFrame, prior: DataFrame, alpha: fl
 
 
 def _split(scored: DataFrame, cutter) -> DataFrame:
-    """(example_idx, start, end) by a function of (example, scores[s, e])."""
+    """(example_idx, start, end) by a function of (example, band[end, length]); a band is as wide as the longest span."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         n = int(own["end"].max())
-        scores = np.full((n + 1, n + 1), -np.inf)
-        scores[own["start"], own["end"]] = own["log_p"]
-        ends = cutter(int(own[EX].iloc[0]), scores)
+        size = own["end"] - own["start"]
+        band = np.full((n + 1, int(size.max()) + 1), -np.inf)
+        band[own["end"], size] = own["log_p"]
+        ends = cutter(int(own[EX].iloc[0]), band)
         return pd.DataFrame({EX: own[EX].iloc[0], "start": [0, *ends[:-1]], "end": ends})
 
     return scored.select(EX, "start", "end", "log_p").groupBy(EX).applyInPandas(run, f"{EX} long, start int, end int")
@@ -138,12 +140,12 @@ def _split(scored: DataFrame, cutter) -> DataFrame:
 def segment_viterbi(scored: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
     """M8: the best segmentation under the span log probabilities with ``least`` to ``most`` positions a span."""
     n = F.col("end") - F.col("start")
-    return _split(scored.where((n >= least) & (n <= most if most else F.lit(True))), lambda _, s: kn.viterbi_split(s))
+    return _split(scored.where((n >= least) & (n <= most if most else F.lit(True))), lambda _, band: kn.viterbi_band(band))
 
 
 def segment_sample(scored: DataFrame, temp: float = 1.0, seed: int = 0) -> DataFrame:
     """M9: a segmentation drawn by forward filtering and backward sampling; the seed of an example is a hash of it and ``seed``."""
-    return _split(scored, lambda ex, s: kn.sample_split(s, temp, (ex + 1) * 0x9E3779B97F4A7C15 ^ seed))
+    return _split(scored, lambda ex, band: kn.sample_band(band, temp, (ex + 1) * 0x9E3779B97F4A7C15 ^ seed))
 
 
 def crp_segment(tokens: DataFrame, alpha: float, rounds: int, seed: int, max_len: int = 6) -> DataFrame:
@@ -169,8 +171,26 @@ def crp_segment(tokens: DataFrame, alpha: float, rounds: int, seed: int, max_len
 
 
 def mixture_terms(pairs: DataFrame, q: DataFrame, table: DataFrame) -> DataFrame:
-    """A(t, j) = sum over k of P(w_t, k) q(j, k): (example_idx, t, w, j, a) of ``pairs(example_idx, t, w)`` and ``q(example_idx, j, k, q)``."""
-    return pairs.join(q, EX).join(table, ["w", "k"]).groupBy(EX, "t", "w", "j").agg(F.sum(F.col("p") * F.col("q")).alias("a"))
+    """A(t, j) = sum over k of P(w_t, k) q(j, k): (example_idx, t, w, j, a) of ``pairs(example_idx, t, w)`` and ``q(example_idx, j, k, q)``:
+    one matrix product an example, with the rows of the table that its words have."""
+    rows = table.groupBy("w").agg(F.collect_list(F.struct("k", "p")).alias("row"))
+    caps = pairs.join(rows, "w").groupBy(EX).agg(F.collect_list(F.struct("t", "w", "row")).alias("cap"))
+    images = q.groupBy(EX).agg(F.collect_list(F.struct("j", "k", "q")).alias("im"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ex, cap, im in zip(b[EX], b["cap"], b["im"], strict=True):
+                js, at = np.unique([x["j"] for x in im], return_inverse=True)
+                ks = max(max(x["k"] for x in im), max(x["k"] for c in cap for x in c["row"])) + 1
+                right, left = np.zeros((ks, len(js))), np.zeros((len(cap), ks))
+                right[[x["k"] for x in im], at] = [x["q"] for x in im]
+                for i, c in enumerate(cap):
+                    left[i, [x["k"] for x in c["row"]]] = [x["p"] for x in c["row"]]
+                a = left @ right
+                yield pd.DataFrame({EX: ex, "t": np.repeat([c["t"] for c in cap], len(js)), "w": np.repeat([c["w"] for c in cap], len(js)), "j": np.tile(js, len(cap)), "a": a.ravel()})
+
+    kind = {f.name: f.dataType.simpleString() for f in [*pairs.schema, *q.schema]}
+    return caps.join(images, EX).mapInPandas(run, f"{EX} long, t {kind['t']}, w {kind['w']}, j {kind['j']}, a double")
 
 
 def mixture_round(pairs: DataFrame, q: DataFrame, table: DataFrame, alpha: float, ks: int) -> tuple[DataFrame, DataFrame]:
@@ -461,6 +481,16 @@ def shrink_components(assign: DataFrame, k: int) -> DataFrame:
     return assign.join(F.broadcast(rank), "k", "left").select(EX, "idx", F.col("new").alias("k"))
 
 
+def shrink_and_assign(vectors: DataFrame, assign: DataFrame, k: int, mu0: np.ndarray, var: float, var0: float, alpha: float = 1.0) -> DataFrame:
+    """(example_idx, idx, k): the ``k`` largest components, renumbered, and every vector of a dropped one in the best of those that
+    are left, given their counts."""
+    kept = shrink_components(assign, k)
+    held = cut(vectors.select(EX, "idx", "vec").join(kept, [EX, "idx"]), "shrunk")
+    n, total = stats_arrays(component_stats(held.where("k is not null").select("k", "vec"), 0.0, var, var0), k, len(mu0))
+    again = gmm_assign(held.where("k is null").select(EX, "idx", "vec"), n, total, mu0, var, var0, alpha)
+    return held.where("k is not null").select(EX, "idx", F.col("k").cast("int").alias("k")).unionByName(again)
+
+
 def segment_acoustic(candidates: DataFrame, comps: int, mu0: np.ndarray, var: float, var0: float, alpha: float, rounds: int, seed: int, power: float = 1.0, length_term: str = "duration", temp: float | None = None) -> DataFrame:
     """(example_idx, start, end, k) of ``candidates(example_idx, start, end, dur, vec)`` after ``rounds`` of: log-marginals of all
     candidates, a segmentation of every example, new assignments, new counts.
@@ -468,7 +498,9 @@ def segment_acoustic(candidates: DataFrame, comps: int, mu0: np.ndarray, var: fl
     A candidate's score is its log-marginal times dur**power; ``length_term='poisson'`` adds -lgamma(L + 1) - 1 for its L
     landmarks instead. Segmentations are the best ones, or drawn with ``temp``.
     """
-    import math
+    @F.pandas_udf("double")
+    def log_factorial(x: pd.Series) -> pd.Series:
+        return x.map({n: math.lgamma(n + 1) for n in x.unique()})
 
     keyed = cut(candidates.withColumn("idx", (F.col("end") * (F.col("end") - 1) / 2 + F.col("start")).cast("int")), "acoustic")
     n, total = np.zeros(comps), np.zeros((comps, len(mu0)))
@@ -476,8 +508,7 @@ def segment_acoustic(candidates: DataFrame, comps: int, mu0: np.ndarray, var: fl
     for r in range(rounds):
         marg = log_predictive(keyed, n, total, mu0, var, var0, alpha).select(EX, "idx", "log_marginal")
         size = F.col("end") - F.col("start")
-        table = F.create_map(*[F.lit(x) for i in range(1, 65) for x in (i, -math.lgamma(i + 1) - 1)])
-        score = F.col("log_marginal") * F.pow(F.col("dur").cast("double"), F.lit(power)) if length_term == "duration" else F.col("log_marginal") + F.coalesce(F.element_at(table, size), F.lit(-300.0))
+        score = F.col("log_marginal") * F.pow(F.col("dur").cast("double"), F.lit(power)) if length_term == "duration" else F.col("log_marginal") - log_factorial(size) - 1
         scored = keyed.join(marg, [EX, "idx"]).withColumn("log_p", score)
         chosen = segment_viterbi(scored) if temp is None else segment_sample(scored, temp, seed + r)
         own = cut(chosen.join(keyed, [EX, "start", "end"]), f"acoustic-segments-{r}")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import numbered
+
 EX = "example_idx"
 
 
@@ -44,7 +46,7 @@ def to_classes(alignment: DataFrame, length: DataFrame | None = None, value: str
 def number_classes(found: DataFrame, label: str = "label") -> DataFrame:
     """Class numbers by first appearance (example, then start); only the distinct labels are ranked."""
     first = found.groupBy(label).agg(F.min(F.struct(EX, "start")).alias("_first"))
-    ids = first.select(label, F.row_number().over(Window.orderBy("_first", label)).alias("class_id"))
+    ids = numbered(first, "_first", label, name="class_id").select(label, (F.col("class_id") + 1).cast("int").alias("class_id"))
     return found.join(ids, label).select("class_id", EX, "start", "end", label)
 
 

@@ -106,7 +106,7 @@ def p9_concept_subset(spark, d):
     return ex.concept_subset(fx.table(spark, d, "part").select(F.col("p_brand").alias("concept"), F.col("p_partkey").alias("example_idx")), 7)
 
 
-@register("p10_power_law", "WITH c AS (SELECT p_brand AS concept, count(*) AS k FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY k DESC, concept) AS r FROM c), q AS (SELECT concept, CAST(least(k, 60, floor(CAST(60 * 4 AS DOUBLE) * (1 / pow(CAST(r AS DOUBLE), 1.0)) / sum(1 / pow(CAST(r AS DOUBLE), 1.0)) OVER ())) AS BIGINT) AS n FROM r) SELECT concept, n, n AS distinct_examples, n AS distinct_instances FROM q WHERE n > 0")
+@register("p10_power_law", "WITH c AS (SELECT p_brand AS concept, count(*) AS k FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY k DESC, concept) AS r FROM c), q AS (SELECT concept, CAST(least(k, 60, floor(CAST(60 * 4 AS DOUBLE) * (1 / pow(CAST(r AS DOUBLE), 1.0)) / sum(1 / pow(CAST(r AS DOUBLE), 1.0)) OVER ())) AS BIGINT) AS n, least(k, 60) AS most, r FROM r), o AS (SELECT concept, n + least(most - n, greatest(0, 240 - sum(n) OVER () - coalesce(sum(most - n) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS n FROM q) SELECT concept, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS distinct_examples, CAST(n AS BIGINT) AS distinct_instances FROM o WHERE n > 0")
 def p10_power_law(spark, d):
     s = ex.power_law_sample(fx.table(spark, d, "part").select(F.col("p_brand").alias("concept"), F.col("p_partkey").alias("instance")), 1.0, 60, 4, 5)
     return s.groupBy("concept").agg(F.count("*").alias("n"), F.countDistinct("example").alias("distinct_examples"), F.countDistinct("instance").alias("distinct_instances"))

@@ -363,6 +363,13 @@ def acoustic(spark, d):
     return v.withColumn("dur", F.col("end") - F.col("start"))
 
 
+@register("m26_reassign")
+def m26_reassign(spark, d):
+    """Labels as components: the four largest stay, and the vectors of all others go to the best of them."""
+    r = fx.regions(spark, d)
+    return md.shrink_and_assign(r, r.select("example_idx", "idx", F.col("label").alias("k")), 4, np.full(64, MU0), VAR, VAR0)
+
+
 @register("m27_acoustic")
 def m27_acoustic(spark, d):
     return md.segment_acoustic(acoustic(spark, d), 4, np.zeros(DIM), VAR, VAR0, 1.0, 2, 3)

@@ -24,9 +24,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(offset, ["_f", "_b"]).select((F.col("_o") + F.col("_k")).alias("line"), "value")
 
 
-def write_lines(df: DataFrame, path: str, order: list[str], value: str = "value", files: int = 4) -> None:
-    """Text files whose names and lines follow ``order``; ranges of it are written in parallel."""
-    df.repartitionByRange(files, *order).sortWithinPartitions(*order).select(value).write.text(path)
+def write_lines(df: DataFrame, path: str, order: list[str], value: str = "value") -> None:
+    """Text files whose names and lines follow ``order``; ranges of it are written in parallel, as many as the session shuffles into."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select(value).write.text(path)
 
 
 def read_captions(spark: SparkSession, path: str, multiple: bool = False) -> DataFrame:
@@ -60,11 +60,16 @@ def read_alignments(spark: SparkSession, path: str, keyed: bool = False) -> Data
 
 
 def read_classes(spark: SparkSession, path: str) -> DataFrame:
-    """(class_id, example_id, start, end): ``Class n:`` lines stand above the rows of their class. The window is per file."""
+    """(class_id, example_id, start, end): ``Class n:`` lines stand above the rows of their class."""
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
     head = F.regexp_extract("value", r"^Class (\d+):", 1)
-    w = Window.partitionBy("_f").orderBy("_b", "_i")
-    marked = rows.withColumn("class_id", F.last(F.when(head != "", head.cast("int")), ignorenulls=True).over(w))
+    rows = rows.withColumn("_h", F.when(head != "", head.cast("int")))
+    w = Window.partitionBy("_f", "_b").orderBy("_i")
+    # The last header of the blocks before; one row per block of a file.
+    blocks = rows.groupBy("_f", "_b").agg(F.max_by("_h", F.when(F.col("_h").isNotNull(), F.col("_i"))).alias("_h"))
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select("_f", "_b", F.last("_h", ignorenulls=True).over(before).alias("_c"))
+    marked = rows.join(carried, ["_f", "_b"]).withColumn("class_id", F.coalesce(F.last("_h", ignorenulls=True).over(w), "_c"))
     p = F.split("value", " ")
     return marked.where(~F.col("value").startswith("Class ") & (F.trim("value") != "")).select("class_id", p[0].alias("example_id"), p[1].cast("double").alias("start"), p[2].cast("double").alias("end"))
 
@@ -78,7 +83,7 @@ def write_classes(found: DataFrame, path: str) -> None:
     heads = rows.select("class_id").distinct().select("class_id", F.lit(0).alias("k"), F.lit(None).cast("long").alias(EX), F.lit(None).cast("int").alias("start"), F.concat(F.lit("Class "), F.col("class_id").cast("string"), F.lit(":")).alias("value"))
     # A class may span files, so each file repeats no head: ranges are cut between classes.
     both = heads.unionByName(text)
-    both.repartitionByRange(8, "class_id").sortWithinPartitions("class_id", "k", EX, "start").select("value").write.text(path)
+    both.repartitionByRange("class_id").sortWithinPartitions("class_id", "k", EX, "start").select("value").write.text(path)
 
 
 UNIT = "example_id string, start double, end double, label string"
@@ -152,10 +157,10 @@ def read_time_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(example_idx, pos, t): blocks of lines, each ended by a blank one; the second column is in seconds. A file
     holds whole blocks, and examples are numbered through the files."""
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
-    w = Window.partitionBy("_f").orderBy("_b", "_i")
     blank = (F.trim("value") == "").cast("int")
-    marked = rows.withColumn("_g", F.sum(blank).over(w))
-    per = marked.groupBy("_f").agg(F.max("_g").alias("_m"))
-    offset = per.select("_f", F.coalesce(F.sum("_m").over(Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    real = marked.where(blank == 0).join(offset, "_f")
-    return real.select((F.col("_o") + F.col("_g")).alias(EX), (F.row_number().over(Window.partitionBy("_f", "_g").orderBy("_b", "_i")) - 1).alias("pos"), F.split("value", " ")[1].cast("double").alias("t"))
+    marked = rows.withColumn("_g", F.sum(blank).over(Window.partitionBy("_f", "_b").orderBy("_i")))
+    # Blank lines before each block, through the files; one row per block of a file.
+    per = marked.groupBy("_f", "_b").agg(F.sum(blank).alias("_m"))
+    offset = per.select("_f", "_b", F.coalesce(F.sum("_m").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    real = marked.where(blank == 0).join(offset, ["_f", "_b"]).withColumn(EX, F.col("_o") + F.col("_g"))
+    return real.select(EX, (F.row_number().over(Window.partitionBy(EX).orderBy("_f", "_b", "_i")) - 1).alias("pos"), F.split("value", " ")[1].cast("double").alias("t"))

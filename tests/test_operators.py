@@ -298,3 +298,94 @@ def test_numbered_is_gapless_and_in_order(spark):
     df = spark.createDataFrame([(f"w{i * 7919 % 1000:04d}",) for i in range(1000)], "word string").repartition(6)
     got = sorted((r.idx, r.word) for r in numbered(df, "word").collect())
     assert got == list(enumerate(sorted(f"w{i:04d}" for i in range(1000))))
+
+
+def test_dendrogram_by_cosine():
+    x = np.array([[1.0, 0.0], [2.0, 0.1], [0.0, 1.0], [-1.0, 0.0]])
+    assert merge_levels(x, 1, "cosine")[0] == [0, 2, 3, 4]
+    big = np.random.default_rng(1).normal(size=(50, 7))
+    d = np.sqrt(((big[:, None] - big[None]) ** 2).sum(-1))
+    gap = [np.inf, *(d[i - 1, i] for i in range(1, 50)), np.inf]
+    assert merge_levels(big, 1)[0] == [0, *(i for i in range(1, 50) if not (gap[i] < gap[i - 1] and gap[i] < gap[i + 1])), 50]
+
+
+def test_bands_of_long_sequences():
+    """Spans of at most three positions: the band gives what the whole matrix gives."""
+    rng = np.random.default_rng(7)
+    n, w = 40, 3
+    s, band = np.full((n + 1, n + 1), -np.inf), np.full((n + 1, w + 1), -np.inf)
+    for e in range(1, n + 1):
+        for size in range(1, min(w, e) + 1):
+            s[e - size, e] = band[e, size] = rng.normal()
+    assert kn.viterbi_band(band) == kn.viterbi_split(s) and kn.sample_band(band, 0.7, 5) == kn.sample_split(s, 0.7, 5)
+    assert np.allclose(kn.forward_band(band), kn.forward_split(s))
+
+
+def test_dropped_components_are_assigned_again(spark):
+    rng = np.random.default_rng(3)
+    centres = np.array([[0.0, 0.0], [9.0, 9.0], [0.4, 0.1]])
+    labels = [0] * 9 + [1] * 8 + [2] * 3
+    rows = [(i // 5, i % 5, [float(v) for v in centres[k] + rng.normal(0, 0.1, 2)], k) for i, k in enumerate(labels)]
+    t = spark.createDataFrame(rows, "example_idx long, idx int, vec array<double>, k int")
+    got = {(r.example_idx, r.idx): r.k for r in md.shrink_and_assign(t, t.select("example_idx", "idx", "k"), 2, np.zeros(2), 0.1, 4.0).collect()}
+    assert [got[i // 5, i % 5] for i in range(20)] == [0] * 9 + [1] * 8 + [0] * 3
+
+
+def test_power_law_leaves_nothing_over(spark):
+    rows = [(c, c * 100 + i) for c, n in enumerate((30, 30, 9, 9, 9, 2)) for i in range(n)]
+    got = ex.power_law_sample(spark.createDataFrame(rows, "concept int, instance int"), 1.0, 12, 3, 1).collect()
+    assert len(got) == 36 and len({r.instance for r in got}) == 36 and len({(r.example, r.concept) for r in got}) == 36
+    assert {sum(r.example == e for r in got) for e in range(12)} == {3}
+
+
+def test_tokens_match_by_intervals(spark):
+    """Against all pairs, with units of very different lengths."""
+    rng = np.random.default_rng(11)
+    pred, gold = ([(int(e), int(a), int(a + max(1, rng.integers(0, 2 ** rng.integers(0, 7)))), f"l{rng.integers(3)}") for e in range(3) for a in rng.choice(200, 25, replace=False)] for _ in range(2))
+    schema = "example_idx long, start int, end int, label string"
+    got = {(r.gold, r.pred): r.n for r in ev.token_confusion(spark.createDataFrame(pred, schema), spark.createDataFrame(gold, schema)).collect()}
+    want = {}
+    for e, s, t, label in gold:
+        fits = []
+        for e2, a, b, other in pred:
+            both = max(0, min(t, b) - max(s, a))
+            if e2 == e and (abs(s - a) <= 1 and abs(t - b) <= 1 or both / (t - s + b - a - both) > 0.5):
+                fits.append((a, b, other))
+        if fits:
+            key = label, min(fits)[2]
+            want[key] = want.get(key, 0) + 1
+    assert got == want
+    ends = {(e, b) for e, _, b, _ in pred}
+    assert ev.boundary_f1(spark.createDataFrame(pred, schema), spark.createDataFrame(gold, schema)).first().hits == sum(any((e, t + k) in ends for k in range(-2, 3)) for e, _, t, _ in gold)
+
+
+def test_edit_distances_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(2)), [f"s{x}" for x in rng.integers(0, 300, rng.integers(0, 6))]) for _ in range(40)]
+    t = spark.createDataFrame(rows, "class_id int, phones array<string>")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    pairs = [distance(a, b) / max(1, len(a), len(b)) for (c, a), (d, b) in itertools.combinations(rows, 2) if c == d]
+    for block in (1000, 7):
+        r = ev.ned(t, block=block).first()
+        assert r.pairs == len(pairs) and abs(r.ned - sum(pairs) / len(pairs)) < 1e-9
+
+
+def test_scratch_folder_must_be_shared():
+    from types import SimpleNamespace as Box
+
+    from lexground.functions.scratch import scratch
+
+    session = lambda master, root: Box(conf=Box(get=lambda *_: root), sparkContext=Box(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
+    assert scratch(session("yarn", "hdfs://x/y/"), "t").startswith("hdfs://x/y/t-") and scratch(session("local[2]", None), "t").startswith("file:")
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://h:1"):
+        with pytest.raises(ValueError):
+            scratch(session(master, None), "t")
