@@ -39,7 +39,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         back = np.full(size, pow(base, -1, 1 << 64), np.uint64)
         steps[0] = back[0] = 1
         got = np.multiply.accumulate(steps), np.multiply.accumulate(back)
-        if size <= 1 << 23:
+        if size <= 1 << 21:  # longer tables serve one long text and are not kept
             _powers[base] = got
     return got
 
@@ -101,12 +101,21 @@ class Words:
         return b" ".join([self.data[a:b].tobytes() for a, b in zip(self.starts[i:j], self.ends[i:j], strict=True)])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` holds about ``most`` bytes at a time; no row is ever cut."""
+def gather(words: Words, at: np.ndarray) -> pa.Array:
+    """The words at these places as strings."""
+    size = words.ends[at] - words.starts[at]
+    offsets = np.r_[0, np.cumsum(size)]
+    spots = np.repeat(words.starts[at] - offsets[:-1], size) + np.arange(offsets[-1])
+    data = pa.py_buffer(np.ascontiguousarray(words.data[spots]).tobytes())
+    return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), data])
+
+
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``columns`` hold about ``most`` bytes at a time; no row is ever cut."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = string_parts(batch.column(column))
+        offsets = sum(string_parts(batch.column(c))[1] for c in columns)
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1

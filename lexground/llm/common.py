@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut as materialise
+from ..functions.scratch import scratch as scratch_path
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a local one is made only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lexground-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bound_batches", "ddl", "fresh", "in_fold", "materialise", "scratch_path", "text_key", "without"]
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -54,5 +34,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that ``df`` does not have, for columns that only live within an operator."""
+    low = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

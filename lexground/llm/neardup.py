@@ -1,15 +1,17 @@
-"""Near duplicates by Order MinHash: several smallest occurrence-labelled k-mers of words, kept in text order, make a key;
-texts that share a key are candidates, and a banded alignment verifies them.
-
-Equal texts are one node throughout. Buckets are those of single keys and of two neighbouring keys. In rounds, every node of a
-bucket is compared with representatives of the bucket, first with the one that shares most buckets with others, then with
-twice as many others each round. Pairs that a chain of links joins already are left out, and a bucket is done when all its
-nodes are in one group or have met each other: the groups are those of all pairs of all buckets. Pairs beyond the number of
+"""Near duplicates by Order MinHash: smallest occurrence-labelled k-mers of words, kept in text order, make a key; texts that share
+a key are candidates, and a banded alignment decides.
+
+Every key takes the smallest k-mer of each of ``pick`` equal parts of the text, in text order, so that a passage that many
+texts share can't fill a key alone unless it covers most of the text. Equal texts are one node throughout. Every node is
+compared with one representative of its buckets, the one that shares most buckets with others; then, in rounds, with
+representatives of every bucket that still holds nodes apart, twice as many each round. Pairs that a chain of links joins already are left out, and a bucket is done when all
+its nodes are in one group or have met each other: the groups are those of all pairs of all buckets. Pairs beyond the number of
 nodes are formed only where a bucket holds nodes that are not linked.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, Words, mix, slices, span_hash, string_parts
-from .common import bound_batches, materialise, text_key, without
+from .common import fresh, materialise, text_key, without
 
-K, PICK, KEYS, SIMILAR = 5, 3, 20, 0.8
+K, PICK, KEYS, SIMILAR = 5, 3, 40, 0.8
 #: So few pairs left are compared in one round.
 LAST_PAIRS = 100_000
 _rng = np.random.default_rng(11)
@@ -34,37 +36,34 @@ def _words(texts: pa.Array) -> Words:
     return Words(*string_parts(pc.utf8_lower(texts.cast(pa.large_string()))), ALNUM)
 
 
-def _kmers(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the runs of ``k`` words; a shorter text is one run."""
-    n = len(words)
-    at = np.arange(max(1, n - k + 1) if n else 0)
-    return span_hash(words, at, np.minimum(at + k, n))
-
-
-def order_minhash(words: np.ndarray, k: int = K, pick: int = PICK, keys: int = KEYS) -> np.ndarray:
-    """``keys`` sketches of one text given as word hashes: each takes the ``pick`` smallest occurrence-labelled k-mers under its
-    own hash function and hashes them in the order of the text."""
-    grams = _kmers(words, k)
-    if not len(grams):
-        return np.zeros(0, np.uint64)
-    order = np.argsort(grams, kind="stable")
-    same = grams[order]
-    start = np.maximum.accumulate(np.where(np.r_[True, same[1:] != same[:-1]], np.arange(len(same)), 0))
-    occurrence = np.empty(len(grams), np.uint64)
-    occurrence[order] = (np.arange(len(same)) - start).astype(np.uint64)
-    labelled = mix(grams + occurrence * np.uint64(0x9E3779B97F4A7C15))
-    out = np.zeros(keys, np.uint64)
-    step = max(1, 4_000_000 // len(labelled))
-    for i in range(0, keys, step):
-        own = slice(i, min(i + step, keys))
-        values = labelled[None, :] * _MULTIPLY[own, None] + _ADD[own, None]
-        best = np.argpartition(values, pick - 1, axis=1)[:, :pick] if len(labelled) > pick else np.tile(np.arange(len(labelled)), (values.shape[0], 1))
-        best.sort(axis=1)
-        key = np.arange(own.start, own.stop).astype(np.uint64) + np.uint64(1)
-        for c in range(best.shape[1]):
-            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + labelled[best[:, c]])
-        out[own] = key
-    return out
+def order_minhash(words: Words, k: int = K, pick: int = PICK, keys: int = KEYS) -> tuple[np.ndarray, np.ndarray]:
+    """(texts with a word, their ``keys`` sketches as rows). The k-mers of a text (a shorter text is one) are labelled with their
+    occurrence and dealt to ``pick`` equal parts by place; a sketch hashes the smallest k-mer of each part, in text order."""
+    n = np.diff(words.first)
+    grams = np.where(n > 0, np.maximum(1, n - k + 1), 0)
+    text = np.repeat(np.arange(len(n)), grams)
+    if not len(text):
+        return np.zeros(0, np.int64), np.zeros((0, keys), np.uint64)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(grams) - grams, grams)
+    at = words.first[:-1][text] + place
+    h = span_hash(words.hashes(), at, np.minimum(at + k, words.first[1:][text]))
+    order = np.lexsort((h, text))
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])]
+    occurrence = np.empty(len(h), np.uint64)
+    occurrence[order] = (np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))).astype(np.uint64)
+    labelled = mix(h + occurrence * np.uint64(0x9E3779B97F4A7C15))
+    part = place * pick // grams[text]
+    starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (text[1:] != text[:-1])])
+    own, row = np.unique(text[starts], return_inverse=True)
+    out = np.zeros((len(own), keys), np.uint64)
+    for i in range(keys):
+        least = np.minimum.reduceat(labelled * _MULTIPLY[i] + _ADD[i], starts)
+        key = np.full(len(own), i + 1, np.uint64)
+        for c in range(pick):
+            here = part[starts] == c
+            key[row[here]] = mix(key[row[here]] * np.uint64(0xD6E8FEB86659FD93) + least[here])
+        out[:, i] = key
+    return own, out
 
 
 def banded_lcs(a: list, b: list, band: int) -> int:
@@ -85,45 +84,48 @@ def banded_lcs(a: list, b: list, band: int) -> int:
     return n - v.bit_count()
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float, k: int = K) -> float:
-    """Share of common k-mers (intersection over union) if the banded alignment of the words bears it out, else 0.
+def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
+    """Edit similarity of two texts given as word hashes: 2 * aligned words / words of both; 0 if it is below ``least``.
 
-    Alignment similarity is 2 * matches / (words of both); the band is as wide as ``least`` allows."""
-    x, y = np.unique(_kmers(a, k)), np.unique(_kmers(b, k))
-    if not len(x) or not len(y) or min(len(x), len(y)) < least * max(len(x), len(y)):
-        return 0.0
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    shared = both / (len(x) + len(y) - both)
-    if shared < least:
-        return 0.0
+    The band holds every alignment that reaches ``least``: with so few words left over, none is further off the diagonal.
+    Texts whose lengths, or whose words as bags, rule that out are not aligned."""
     n, m = len(a), len(b)
+    if not n or not m or 2 * min(n, m) < least * (n + m):
+        return 0.0
     if n == m and (a == b).all():
         return 1.0
-    band = int((1 - least) * max(n, m)) + abs(n - m) + k
-    return shared if 2 * banded_lcs(a.tolist(), b.tolist(), band) >= least * (n + m) else 0.0
+    words, times = np.unique(np.concatenate([a, b]), return_inverse=True)[1], None
+    times = np.minimum(np.bincount(words[:n], minlength=words.max() + 1), np.bincount(words[n:], minlength=words.max() + 1))
+    if 2 * int(times.sum()) < least * (n + m):
+        return 0.0
+    band = math.ceil((1 - least) / 2 * (n + m) + abs(n - m) / 2) + 1
+    found = 2 * banded_lcs(words[:n].tolist(), words[n:].tolist(), band)
+    return found / (n + m) if found >= least * (n + m) else 0.0
 
 
 def _sketch(docs: DataFrame, k: int, pick: int, keys: int) -> DataFrame:
+    """(id, node, keys, size in words) of the texts that have a word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = _words(batch.column("text"))
-            h = words.hashes()
-            own = [order_minhash(h[a:b], k, pick, keys).view(np.int64) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-            size = [len(np.unique(_kmers(h[a:b], k))) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(own, pa.list_(pa.int64())), pa.array(size, pa.int32())], names=["id", "node", "keys", "size"])
+            own, found = order_minhash(words, k, pick, keys)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(own) * keys + 1, keys, np.int32), found.view(np.int64).ravel())
+            rows = pa.array(own)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("node").take(rows), lists, pa.array(np.diff(words.first)[own], pa.int32())], names=["id", "node", "keys", "size"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "node", "text").mapInArrow(run, f"id {kind}, node binary, keys array<long>, size int")
 
 
-def _verify(pairs: DataFrame, least: float, k: int) -> DataFrame:
+def _verify(pairs: DataFrame, least: float) -> DataFrame:
     """(a, b): the groups of the pairs that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_b"):
+        for batch in slices(batches, "text_a", "text_b"):
             a, b = _words(batch.column("text_a")), _words(batch.column("text_b"))
             ha, hb = a.hashes(), b.hashes()
-            keep = [similarity(ha[a.first[i] : a.first[i + 1]], hb[b.first[i] : b.first[i + 1]], least, k) >= least for i in range(batch.num_rows)]
+            keep = [similarity(ha[a.first[i] : a.first[i + 1]], hb[b.first[i] : b.first[i + 1]], least) >= least for i in range(batch.num_rows)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("label_a").filter(mask), batch.column("label_b").filter(mask)], names=["a", "b"])
 
@@ -150,76 +152,123 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
-def _link(members: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
+def _compare(rows: DataFrame, first: DataFrame, least: float) -> DataFrame:
+    """Rows joined with representatives of their buckets: pairs with different labels, of lengths that can be similar."""
+    rep = first.select("key", F.col("node").alias("rep"), F.col("size").alias("rep_size"), F.col("label").alias("rep_label"), F.col("degree").alias("rep_degree"))
+    # ``similarity`` is 0 for all others.
+    alike = 2 * F.least("size", "rep_size") >= F.lit(least) * (F.col("size") + F.col("rep_size"))
+    return rows.join(rep, "key").where((F.col("label") != F.col("rep_label")) & alike)
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """Distinct (a, b, label_a, label_b) with a < b."""
+    swap = F.col("rep") < F.col("node")
+    pair = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("rep", "node", "a"), ("node", "rep", "b"), ("rep_label", "label", "label_a"), ("label", "rep_label", "label_b"))]
+    return found.select(*pair).distinct()
+
+
+def _moves(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
+    """(label, to) of the labels that the links among ``pairs`` change."""
+    loaded = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    edges = materialise(_verify(loaded, least), "neardup-edges")
+    return components(edges, "neardup-labels").select(F.col("node").alias("label"), F.col("label").alias("to")) if edges.limit(1).count() else None
+
+
+def _moved(rows: DataFrame, moves: DataFrame | None) -> DataFrame:
+    return rows if moves is None else rows.join(moves, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+
+
+def _link(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(node, label) of the nodes of ``members(key, node, size, n)``, n nodes a bucket: equal labels for what links join."""
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     rows = materialise(members.join(degree, "node").select("key", "node", "size", "degree", F.col("node").alias("label")), "neardup-rows")
-    labels, met, reps = rows.select("node", "label").distinct(), None, 1
+    labels, reps = rows.select("node", "label").distinct(), 1
+    top = lambda *by: rows.groupBy("key", *by).agg(F.max(F.struct("degree", "node", "size", "label")).alias("top")).select("key", "top.*")
+    # At first every node meets one other only: of its buckets' representatives the one with most neighbours.
+    best = _compare(rows, top(), least).groupBy("node", "label").agg(F.max(F.struct("rep_degree", "rep", "rep_label")).alias("best")).select("node", "label", "best.*")
+    met = materialise(_pairs(best), "neardup-pairs")
+    moves = _moves(met, texts, least)
     while True:
-        buckets = rows.groupBy("key").agg(F.count("*").alias("n"))
-        left = buckets.agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
+        labels = materialise(_moved(labels, moves), "neardup-labels")
+        rows = _moved(rows, moves).select("key", "node", "size", "degree", "label")
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        rows = materialise(rows.join(mixed, "key", "left_semi"), "neardup-rows")
+        # Of each bucket the nodes, the pairs of different labels, and the label that most nodes have.
+        own = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+        buckets = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("alike"), F.max(F.struct("n", "label")).alias("most"))
+        left = buckets.agg(F.sum("n").alias("rows"), F.sum(F.expr("(n * n - alike) div 2")).alias("pairs")).first()
         if not left["rows"]:
             return labels
         last = left["pairs"] <= max(LAST_PAIRS, reps * left["rows"])
-        slot = F.pmod(F.xxhash64("node", "key"), F.lit(reps))
-        first = rows if last else rows.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("degree", "node", "size", "label")).alias("top")).select("key", "top.*")
-        first = first.select("key", F.col("node").alias("rep"), F.col("size").alias("rep_size"), F.col("label").alias("rep_label"))
-        if not last:
-            first = materialise(first, "neardup-reps")
-        # Too unlike in size to be similar: ``similarity`` is 0 for these.
-        alike = F.least("size", "rep_size") >= F.lit(least) * F.greatest("size", "rep_size")
-        swap = F.col("rep") < F.col("node")
-        pair = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("rep", "node", "a"), ("node", "rep", "b"), ("rep_label", "label", "label_a"), ("label", "rep_label", "label_b"))]
-        apart = (F.col("label") != F.col("rep_label")) & alike & ((F.col("rep") < F.col("node")) if last else F.lit(True))
-        pairs = rows.join(first, "key").where(apart).select(*pair).distinct()
-        pairs = materialise(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "neardup-pairs")
-        loaded = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        edges = materialise(_verify(loaded, least, k), "neardup-edges")
-        moved = components(edges, "neardup-labels").select(F.col("node").alias("label"), F.col("label").alias("to")) if edges.limit(1).count() else None
-        if moved is not None:
-            labels = materialise(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "neardup-labels")
         if last:
-            return labels
-        met = pairs.select("a", "b") if met is None else met.union(pairs.select("a", "b"))
-        rows = rows.join(first.select("key", F.col("rep").alias("node")), ["key", "node"], "left_anti")
-        if moved is not None:
-            rows = rows.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-        rows = materialise(rows.select("key", "node", "size", "degree", "label"), "neardup-rows")
-        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        rows = materialise(rows.join(mixed, "key", "left_semi"), "neardup-rows")
+            # All pairs of different labels: those without the commonest label meet every node.
+            first = rows.join(buckets.select("key", F.col("most.label").alias("most")), "key").where("label != most")
+        else:
+            first = materialise(top(F.pmod(F.xxhash64("node", "key"), F.lit(reps)).alias("slot")), "neardup-reps")
+        pairs = materialise(_pairs(_compare(rows, first, least)).join(met, ["a", "b"], "left_anti"), "neardup-pairs")
+        moves = _moves(pairs, texts, least)
+        if last:
+            return materialise(_moved(labels, moves), "neardup-labels")
+        met = met.select("a", "b").union(pairs.select("a", "b"))
+        rows = rows.join(first.select("key", "node"), ["key", "node"], "left_anti")
         reps *= 2
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, pick: int = PICK, keys: int = KEYS, least: float = SIMILAR) -> DataFrame:
-    """Add ``class_id``, the least id of the document's group of near copies, and ``class_size`` (documents of the group).
-
-    Two texts are linked if their runs of ``k`` words (lower case, without ASCII punctuation) have a similarity of ``least``
-    or more and their banded alignment has so too; groups are closed under links. Equal texts are always in one group. A null
-    text, or one without a word, is a group of its own, and so is a null id with such a text (class_id null). Rows that
-    repeat an id belong to their own texts' groups. Result columns replace columns of the same name; others stay.
-    """
-    bound_batches(docs.sparkSession)
-    out = without(docs, "class_id", "class_size", "_node")
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, pick: int, keys: int, least: float) -> DataFrame:
+    """(node, class_id, class_node, class_size) of every distinct text with a word; class_node is the least text key with the
+    least id."""
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    sketches = _sketch(slim, k, pick, keys).where(F.size("keys") > 0)
+    sketches = _sketch(slim, k, pick, keys)
     nodes = materialise(sketches.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("size").alias("size")), "neardup-nodes")
 
-    # Buckets: each key alone, and each key with the next one.
-    paired = F.zip_with(F.col("keys"), F.slice("keys", 2, keys), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    members = nodes.select("node", "size", F.explode(F.concat(F.col("keys"), F.filter(paired, lambda x: x.isNotNull()))).alias("key"))
+    members = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(members.join(shared, "key").select("key", "node", "size", "n"), "neardup-members")
 
     chosen = members.select("node").distinct().join(nodes.select("node", "id"), "node")
     texts = slim.alias("t").join(chosen.alias("c"), (F.col("t.node") == F.col("c.node")) & F.col("t.id").eqNullSafe(F.col("c.id")), "left_semi")
     texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "neardup-texts")
-    labels = _link(members, texts, least, k)
+    labels = _link(members, texts, least)
 
     grouped = nodes.select("node", "id", "copies").join(labels, "node", "left").select("node", "id", "copies", F.coalesce("label", "node").alias("label"))
-    classes = grouped.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_node = grouped.join(classes, "label").select(F.col("node").alias("_node"), "class_id", "class_size")
-    keyed = out.withColumn("_node", text_key(F.col(f"`{text_col}`")))
-    found = keyed.join(of_node, "_node", "left")
-    alone = F.col("class_size").isNull()
+    least_row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
+    classes = grouped.groupBy("label").agg(least_row.alias("least"), F.sum("copies").alias("class_size"))
+    return grouped.join(classes, "label").select("node", F.col("least.id").alias("class_id"), F.col("least.node").alias("class_node"), "class_size")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, pick: int = PICK, keys: int = KEYS, least: float = SIMILAR) -> DataFrame:
+    """Add ``class_id``, the least id of the document's group of near copies, and ``class_size`` (documents of the group).
+
+    Two texts that share a key are linked if the alignment of their words (lower case, without ASCII punctuation) has a
+    similarity of ``least`` or more; groups are closed under links. Equal texts are always in one group. A null
+    text, or one without a word, is a group of its own, and so is a null id with such a text (class_id null). Rows that
+    repeat an id belong to their own texts' groups. Result columns replace columns of the same name; others stay.
+    """
+    classes = _classes(docs, id_col, text_col, k, pick, keys, least)
+    out = without(docs, "class_id", "class_size")
+    node, found_id, size = fresh(out, "node", "class_id", "class_size")
+    found = out.withColumn(node, text_key(F.col(f"`{text_col}`"))).join(classes.select(F.col("node").alias(node), F.col("class_id").alias(found_id), F.col("class_size").alias(size)), node, "left")
     own = [F.col(f"`{c}`") for c in out.columns]
-    return found.select(*own, F.when(alone, F.col(f"`{id_col}`")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return found.select(*own, F.when(F.col(size).isNull(), F.col(f"`{id_col}`")).otherwise(F.col(found_id)).alias("class_id"), F.coalesce(size, F.lit(1)).alias("class_size"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, pick: int = PICK, keys: int = KEYS, least: float = SIMILAR) -> DataFrame:
+    """One row of each group of near copies, with the columns and values of ``docs``: that of the least id (null is the largest;
+    of several texts with that id the one with the least key, and one of equal rows of both). Null texts and texts without
+    a word are groups of their own and stay."""
+    classes = _classes(docs, id_col, text_col, k, pick, keys, least).select("node", "class_id", "class_node")
+    text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    again = docs.where(text.isNotNull()).groupBy(text_key(text).alias("node"), key.alias("class_id")).count().where("count > 1")
+    again = materialise(classes.where("node = class_node").join(again.alias("r"), (F.col("class_node") == F.col("r.node")) & F.col("r.class_id").eqNullSafe(classes["class_id"]), "left_semi").select(F.col("node"), F.lit(True).alias("again")), "neardup-again")
+    repeated = again.limit(1).count() > 0
+    if repeated:
+        classes = classes.join(again, "node", "left")
+    names = {c: fresh(docs, c)[0] for c in classes.columns}
+    found = docs.withColumn(names["node"], text_key(text)).join(classes.select(*[F.col(c).alias(n) for c, n in names.items()]), names["node"], "left")
+    alone = F.col(names["class_node"]).isNull()
+    found = found.where(alone | ((F.col(names["node"]) == F.col(names["class_node"])) & key.eqNullSafe(F.col(names["class_id"]))))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    if not repeated:
+        return found.select(*own)
+    more = F.coalesce(F.col(names["again"]), F.lit(False))
+    return found.where(~more).select(*own).unionAll(found.where(more).dropDuplicates([names["node"]]).select(*own))
