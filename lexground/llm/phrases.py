@@ -1,14 +1,15 @@
 """Substring deduplication by repeated-phrase automata.
 
 1. Probe: every window of ``size`` words is hashed; a task keeps one entry for each hash and its own smallest document.
-   Entries go to parts of the hash space, and a part finds the hashes of several documents. A document with such a window
-   asks, through its bucket, for the passage in the smaller document.
-2. Confirm: the smaller documents' texts are cut into the passages that were asked for, one copy for each bucket that needs it.
-3. Locate: every bucket of documents compiles an Aho-Corasick automaton of its passages' phrases and streams all its texts
-   through it; around each phrase the exact words of whole windows decide.
+   Entries go to parts of the hash space, and a part finds the hashes of several documents. The block of words around the
+   window in the smaller document is noted twice: to be cut, once, and as wanted by the bucket of the other document.
+2. Confirm: the noted blocks are cut out of the smaller documents' texts, each once, and a join hands them to the buckets that
+   want them; Spark splits a block that very many buckets want.
+3. Locate: every bucket of documents compiles an Aho-Corasick automaton of its blocks' phrases and streams all its texts
+   through it; around each phrase the words themselves decide.
 
 Hashes only choose what to compare: words are removed because an equal window was read from a smaller document. A window
-that millions of documents share is one entry a task, one request a bucket, one passage a bucket.
+that millions of documents share is one entry a task, one block to cut, and one row a bucket in the join.
 """
 
 from __future__ import annotations
@@ -22,16 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SPACED, Words, covered, slices, string_parts
-from .common import bound_batches, ddl, materialise, without
+from .common import bound_batches, ddl, fresh, materialise, without
 
 SIZE = 13
+#: Windows that begin in one block of a document, which is cut and handed out as a whole.
+BLOCK = 32
 #: Text bytes behind one part of the hash space and one bucket of documents; windows that a task gathers before it sends.
-PART_BYTES, BUCKET_BYTES, CHUNK = 8_000_000, 4_000_000, 1_500_000
+PART_BYTES, BUCKET_BYTES, CHUNK = 8_000_000, 4_000_000, 1_000_000
 #: Parts and buckets at least, so that a small corpus is spread too.
 LEAST = 32
 #: The bits of a hash above these choose its part.
 _BITS = 40
-_REQUEST = np.dtype([("src", "<i8"), ("hash", "<u8"), ("bucket", "<i4")])
+_ENTRY, WANT, CUT = 0, 1, 2
+_PLACE = np.dtype([("src", "<i8"), ("block", "<i4")])
+RESULTS = ["n_words", "n_removed", "removed_spans", "kept_text"]
 
 
 def _windows(texts: pa.Array, size: int) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -50,19 +55,18 @@ def _distinct(*columns: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def _requests(src: np.ndarray, src_bucket: np.ndarray, h: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Distinct requests, by the bucket of the document that is asked."""
-    order = _distinct(src_bucket, src, h, bucket)
-    rows, src_bucket = np.empty(len(order), _REQUEST), src_bucket[order]
-    rows["src"], rows["hash"], rows["bucket"] = src[order], h[order], bucket[order]
-    if len(rows):
-        cuts = np.flatnonzero(np.r_[True, src_bucket[1:] != src_bucket[:-1]])
-        for a, b in zip(cuts, np.r_[cuts[1:], len(rows)], strict=True):
-            yield int(src_bucket[a]), rows[a:b].tobytes()
+def _places(kind: int, bucket: np.ndarray, src: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, bucket, distinct places of blocks) for each bucket."""
+    order = _distinct(bucket, src, block)
+    rows, bucket = np.empty(len(order), _PLACE), bucket[order]
+    rows["src"], rows["block"] = src[order], block[order]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rows) else []
+    for a, b in zip(cuts, np.r_[cuts[1:], len(rows)] if len(rows) else [], strict=True):
+        yield kind, int(bucket[a]), rows[a:b].tobytes()
 
 
-def _meet(h: np.ndarray, ids: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """Equal hashes meet: (order, whether an entry is its hash's first with the smallest id, requests of the larger ids)."""
+def _meet(h: np.ndarray, ids: np.ndarray, buckets: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
+    """Equal hashes meet: (each hash's first entry with the smallest id, places that the larger ids want and that are to be cut)."""
     order = np.argsort(h, kind="stable")
     hs, own = h[order], ids[order]
     starts = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
@@ -71,15 +75,29 @@ def _meet(h: np.ndarray, ids: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarr
     at = np.flatnonzero(own == least[group])
     first = np.zeros(len(starts), np.int64)
     first[group[at][::-1]] = at[::-1]
-    keep = np.zeros(len(hs), bool)
-    keep[first] = True
     more = own > least[group]
     source = order[first][group[more]]
-    return order, keep, (ids[source], buckets[source], hs[more], buckets[order[more]])
+    src, block = ids[source], blocks[source]
+    return order[first], [*_places(WANT, buckets[order[more]], src, block), *_places(CUT, buckets[source], src, block)]
+
+
+def _steps(block: np.ndarray, doc: np.ndarray) -> bytes:
+    """Blocks in the order of their documents and places, as steps from one to the next: a byte each where they are small."""
+    step = np.diff(block, prepend=0)
+    new = np.flatnonzero(np.diff(doc, prepend=-1))
+    step[new] = block[new]
+    return step.astype("<u1" if step.max() < 256 else "<u4").tobytes()
+
+
+def _unstep(data: bytes, times: np.ndarray) -> np.ndarray:
+    step = np.frombuffer(data, "<u1" if len(data) == times.sum() else "<u4").astype(np.int64)
+    sums = np.cumsum(step)
+    first = np.cumsum(times) - times
+    return (sums - np.repeat(sums[first] - step[first], times)).astype(np.int32)
 
 
 def _probe(parts: int, size: int):
-    """Rows (part, kind, key, docs, hashes): kind 0 are entries for a part, kind 1 requests that the task found itself."""
+    """Rows (part, kind, bucket, docs, data): entries for a part, and places that the task found itself."""
     names = ["part", "kind", "bucket", "docs", "data"]
     shift = np.uint64(_BITS)
 
@@ -89,21 +107,21 @@ def _probe(parts: int, size: int):
         ids, buckets = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
         base = np.r_[0, np.cumsum([len(x[0]) for x in held])]
         doc = np.concatenate([x[2] + b for x, b in zip(held, base, strict=False)])
-        h = np.concatenate([x[3] for x in held])
+        h, block = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
+        held.clear()
         if not len(h):
             return
-        order, keep, asked = _meet(h, ids[doc], buckets[doc])
-        rows = [(b % parts, 1, b, b"", data) for b, data in _requests(asked[0], asked[1], asked[2], asked[3])]
-        kept = np.sort(order[keep])
+        kept, noted = _meet(h, ids[doc], buckets[doc], block)
+        rows = [(b % parts, kind, b, b"", data) for kind, b, data in noted]
+        kept = np.sort(kept)
         part = ((h[kept] >> shift) % np.uint64(parts)).astype(np.int64)
         by = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[by], np.arange(parts + 1))
-        for p in range(parts):
-            own = kept[by[cuts[p] : cuts[p + 1]]]
-            if len(own):
-                d, times = np.unique(doc[own], return_counts=True)
-                docs = ids[d].tobytes() + buckets[d].astype("<i4").tobytes() + times.astype("<i4").tobytes()
-                rows.append((p, 0, -1, docs, h[own].astype("<u8").tobytes()))
+        cuts = np.flatnonzero(np.r_[True, part[by][1:] != part[by][:-1]])
+        for a, b in zip(cuts, np.r_[cuts[1:], len(by)], strict=True):
+            own = kept[by[a:b]]
+            d, times = np.unique(doc[own], return_counts=True)
+            docs = ids[d].tobytes() + buckets[d].astype("<i4").tobytes() + times.astype("<i4").tobytes()
+            rows.append((int(part[by[a]]), _ENTRY, -1, docs, h[own].astype("<u8").tobytes() + _steps(block[own], doc[own])))
         for i in range(0, len(rows), 64):
             cols = list(zip(*rows[i : i + 64], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], names=names)
@@ -114,113 +132,137 @@ def _probe(parts: int, size: int):
             words, at, h = _windows(batch.column("text"), size)
             # A window of a document counts once.
             own = np.sort(_distinct(h, words.text[at]))
-            held.append((batch.column("id").to_numpy(), batch.column("bucket").to_numpy(), words.text[at[own]], h[own]))
-            h = h[own]
-            n += len(h)
+            text = words.text[at[own]]
+            held.append((batch.column("id").to_numpy(), batch.column("bucket").to_numpy(), text, h[own], ((at[own] - words.first[text]) // BLOCK).astype(np.int32)))
+            n += len(own)
             if n >= CHUNK:
                 yield from flush(held)
-                held, n = [], 0
+                n = 0
         yield from flush(held)
 
     return run
 
 
 def _match(table: pa.Table) -> pa.Table:
-    """One part of the hash space: requests of all documents that are not the smallest with a window."""
-    hashes, ids, buckets, out = [], [], [], []
+    """One part of the hash space: the places for all documents that are not the smallest with a window."""
+    hashes, ids, buckets, blocks, out = [], [], [], [], []
     for kind, bucket, docs, data in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "docs", "data")), strict=True):
-        if kind:
-            out.append((bucket, data))
+        if kind != _ENTRY:
+            out.append((kind, bucket, data))
             continue
         n = len(docs) // 16
         times = np.frombuffer(docs, "<i4", n, 12 * n)
+        m = int(times.sum())
         ids.append(np.repeat(np.frombuffer(docs, "<i8", n), times))
         buckets.append(np.repeat(np.frombuffer(docs, "<i4", n, 8 * n), times))
-        hashes.append(np.frombuffer(data, "<u8"))
+        hashes.append(np.frombuffer(data, "<u8", m))
+        blocks.append(_unstep(data[8 * m :], times))
     if hashes:
-        _, _, asked = _meet(np.concatenate(hashes), np.concatenate(ids), np.concatenate(buckets))
-        out += _requests(asked[0], asked[1], asked[2], asked[3])
-    return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
+        out += _meet(np.concatenate(hashes), np.concatenate(ids), np.concatenate(buckets), np.concatenate(blocks))[1]
+    return pa.table({"kind": pa.array([k for k, _, _ in out], pa.int32()), "bucket": pa.array([b for _, b, _ in out], pa.int32()), "data": pa.array([d for *_, d in out], pa.binary())})
+
+
+def _noted(data: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places (src, block) of packed ones."""
+    rows = np.concatenate([np.zeros(0, _PLACE), *[np.frombuffer(d, _PLACE) for d in data.to_pylist()]])
+    order = _distinct(rows["src"], rows["block"])
+    return rows["src"][order], rows["block"][order]
+
+
+def _wanted(table: pa.Table) -> pa.Table:
+    src, block = _noted(table.column("data"))
+    return pa.table({"bucket": pa.array(np.full(len(src), table.column("bucket")[0].as_py(), np.int32)), "src": pa.array(src), "block": pa.array(block)})
 
 
 def _cut(size: int):
-    """The passages of a bucket's documents that were asked for: (bucket that asked, id, passage)."""
-
-    def run(texts: pa.Table, requests: pa.Table) -> pa.Table:
-        to, src, passages = [], [], []
-        asked = [np.frombuffer(d, _REQUEST) for d in requests.column("data").to_pylist()]
-        asked = np.concatenate(asked) if asked else np.zeros(0, _REQUEST)
-        if len(asked):
-            by_src, by_hash, by_bucket = asked["src"], asked["hash"], asked["bucket"]
-            order = _distinct(by_src, by_hash, by_bucket)
-            by_src, by_hash, by_bucket = by_src[order], by_hash[order], by_bucket[order]
+    """The blocks of a bucket's documents that were noted: (src, block, passage)."""
+
+    def run(texts: pa.Table, noted: pa.Table) -> pa.Table:
+        out: dict[tuple[int, int, str], None] = {}  # rows may repeat
+        src, block = _noted(noted.column("data"))
+        if len(src):
             for batch in slices(iter(texts.select(["id", "text"]).to_batches()), "text"):
                 ids = batch.column("id").to_numpy()
-                words, at, h = _windows(batch.column("text"), size)
-                first = np.searchsorted(words.text[at], np.arange(len(ids) + 1))
-                for row in range(len(ids)):
-                    lo, hi = np.searchsorted(by_src, ids[row]), np.searchsorted(by_src, ids[row], "right")
-                    a, b = first[row], first[row + 1]
-                    if hi == lo or a == b:
-                        continue
-                    # Every place of every hash that was asked for.
-                    order = np.argsort(h[a:b], kind="stable")
-                    hs = h[a:b][order]
-                    left, right = np.searchsorted(hs, by_hash[lo:hi]), np.searchsorted(hs, by_hash[lo:hi], "right")
-                    count = right - left
-                    spot = np.repeat(left - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-                    place, who = at[a:b][order[spot]], np.repeat(by_bucket[lo:hi], count)
-                    by = np.lexsort((place, who))
-                    place, who = place[by], who[by]
-                    # Windows that touch are one passage.
-                    breaks = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (place[1:] > place[:-1] + size)]) if len(place) else []
-                    for s, e in zip(breaks, np.r_[breaks[1:], len(place)] if len(place) else [], strict=True):
-                        to.append(int(who[s])), src.append(int(ids[row]))
-                        passages.append(words.phrase(int(place[s]), int(place[e - 1]) + size).decode())
-        return pa.table({"bucket": pa.array(to, pa.int32()), "src": pa.array(src, pa.int64()), "passage": pa.array(passages, pa.string())})
+                words = Words(*string_parts(batch.column("text")), SPACED)
+                lo, hi = np.searchsorted(src, ids), np.searchsorted(src, ids, "right")
+                for row in np.flatnonzero(hi > lo):
+                    a, b = int(words.first[row]), int(words.first[row + 1])
+                    for x in block[lo[row] : hi[row]].tolist():
+                        i, j = a + x * BLOCK, min(a + x * BLOCK + BLOCK + size - 1, b)
+                        if j - i >= size:
+                            out[int(ids[row]), x, words.phrase(i, j).decode()] = None
+        return pa.table({"src": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([x[1] for x in out], pa.int32()), "passage": pa.array([x[2] for x in out], pa.string())})
 
     return run
 
 
 class Automaton:
-    """Phrases of ``PHRASE`` words, every ``size + 1 - PHRASE`` words of each passage: every window of a passage holds one whole."""
+    """Phrases of five words (or ``size``, if less) at such a distance that every window of a passage holds one whole.
 
-    PHRASE = 5
+    Words are numbered, and a number is spelt as a few letters, each place with an alphabet of its own, so a phrase is found at
+    words only and no node has many branches."""
+
+    LETTERS = 128
 
     def __init__(self, passages: list[tuple[int, str]], size: int):
-        self.size, self.windows = size, {}
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        stride = size + 1 - self.PHRASE
+        self.size, self.phrase = size, min(5, size)
+        self.lead = size - self.phrase
+        self.numbers: dict[str, int] = {}
+        blob, owner, phrases, stride = [-1] * size, [-1] * size, {}, self.lead + 1
         for src, passage in sorted(set(passages)):
-            words = passage.split(" ")
-            for i in range(len(words) - size + 1):
-                self.windows.setdefault(" ".join(words[i : i + size]), src)  # the smallest id comes first
-            for i in range(0, len(words) - self.PHRASE + 1, stride):
-                phrase = f" {' '.join(words[i : i + self.PHRASE])} "
-                self.machine.add_word(phrase, len(phrase))
+            words = [self.numbers.setdefault(w, len(self.numbers)) for w in passage.split(" ")]
+            for i in range(0, len(words) - self.phrase + 1, stride):
+                phrases.setdefault(tuple(words[i : i + self.phrase]), []).append(len(blob) + i)
+            blob += words
+            blob.append(-1)
+            owner += [src] * (len(words) + 1)
+        self.blob, self.owner = np.array(blob + [-1] * size, np.int32), np.array(owner, np.int64)
+        self.unknown, self.width = len(self.numbers), 1
+        while self.LETTERS**self.width <= self.unknown:
+            self.width += 1
+        self.codes = ["".join(chr(i // self.LETTERS**d % self.LETTERS + 1 + d * self.LETTERS) for d in range(self.width)) for i in range(self.unknown + 1)]
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, phrase in enumerate(phrases):
+            self.machine.add_word("".join([self.codes[w] for w in phrase]), k)
+        self.offsets = np.r_[0, np.cumsum([len(x) for x in phrases.values()], dtype=np.int64)].astype(np.int64)
+        self.places = np.array([p for x in phrases.values() for p in x], np.int64)
         if len(self.machine):
             self.machine.make_automaton()
 
     def spans(self, words: list[str], key: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows of a text, as (start, end) words, that a document with a smaller id than ``key`` has too."""
-        n, size = len(words), self.size
-        if n < size or not len(self.machine):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hay = f" {' '.join(words)} "
-        found = [(end + 1 - length, length) for end, length in self.machine.iter(hay)]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        begin = np.cumsum(np.r_[1, np.fromiter(map(len, words), np.int64, n) + 1])  # of each word, and past the last
-        at = np.unique(np.searchsorted(begin, np.array([f[0] for f in found]) + 1))
-        starts = np.unique((at[:, None] - np.arange(size - self.PHRASE + 1)[None, :]).ravel())
-        starts = starts[(starts >= 0) & (starts <= n - size)]
-        get, none = self.windows.get, key
-        hits = [s for s, a, b in zip(starts.tolist(), begin[starts].tolist(), (begin[starts + size] - 1).tolist(), strict=True) if get(hay[a:b], none) < key]
-        hits = np.array(hits, np.int64)
-        return hits, hits + size
-
-
-def _locate(columns: list[str], text_col: str, size: int):
+        n, none = len(words), np.zeros(0, np.int64)
+        if n < self.size or not len(self.machine):
+            return none, none
+        get, unknown, codes = self.numbers.get, self.unknown, self.codes
+        doc = [get(w, unknown) for w in words]
+        found = np.array(list(self.machine.iter("".join([codes[i] for i in doc]))), np.int64).reshape(-1, 2)
+        if not len(found):
+            return none, none
+        at, phrase = (found[:, 0] + 1) // self.width - self.phrase, found[:, 1]
+        text = np.full(n + 2 * self.size, unknown, np.int32)
+        text[self.size : self.size + n] = doc
+        reach = np.arange(-self.lead, self.phrase + self.lead)
+        times, starts = np.diff(self.offsets)[phrase], []
+        upto = np.cumsum(times)
+        lo = 0
+        while lo < len(at):  # so many places of phrases at a time
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - times[lo] + 100_000, "right")))
+            own = times[lo:hi]
+            spot = np.repeat(at[lo:hi], own)
+            place = self.places[np.repeat(self.offsets[phrase[lo:hi]] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+            smaller = self.owner[place] < key
+            spot, place = spot[smaller], place[smaller]
+            equal = np.zeros((len(spot), len(reach) + 1), np.int32)
+            np.cumsum(text[spot[:, None] + self.size + reach] == self.blob[place[:, None] + reach], axis=1, out=equal[:, 1:])
+            row, shift = np.nonzero(equal[:, self.size :] - equal[:, : -self.size] == self.size)
+            starts.append(np.unique(spot[row] - self.lead + shift))
+            lo = hi
+        starts = np.unique(np.concatenate(starts))
+        return starts, starts + self.size
+
+
+def _locate(columns: list[str], text_col: str, results: list[str], size: int):
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(texts: pa.Table, passages: pa.Table) -> pa.Table:
@@ -240,11 +282,30 @@ def _locate(columns: list[str], text_col: str, size: int):
             n_removed.append(int(gone.sum()))
             kept.append(" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
         own = [texts.column("text" if c == text_col else f"c{i}") for i, c in enumerate(columns)]
-        return pa.table([*own, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())], names=[*columns, "n_words", "n_removed", "removed_spans", "kept_text"])
+        return pa.table([*own, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())], names=[*columns, *results])
 
     return run
 
 
+def _repeats(docs: DataFrame, id_col: str, text_col: str, size: int, results: list[str]) -> DataFrame:
+    """``docs`` with its own columns and the four results by these names."""
+    bound_batches(docs.sparkSession)
+    names = docs.columns
+    inner = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text_col])
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    parts, buckets = int(max(LEAST, total // PART_BYTES)), int(max(LEAST, total // BUCKET_BYTES))
+    inner = inner.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
+
+    entries = inner.select("id", "bucket", "text").where("text is not null").mapInArrow(_probe(parts, size), "part int, kind int, bucket int, docs binary, data binary")
+    noted = materialise(entries.groupBy("part").applyInArrow(_match, "kind int, bucket int, data binary"), "phrases-noted")
+    blocks = inner.groupBy("bucket").cogroup(noted.where(F.col("kind") == CUT).groupBy("bucket")).applyInArrow(_cut(size), "src long, block int, passage string")
+    wanted = noted.where(F.col("kind") == WANT).groupBy("bucket").applyInArrow(_wanted, "bucket int, src long, block int")
+    passages = wanted.join(blocks, ["src", "block"]).select("bucket", "src", "passage")
+    schema = f"{ddl(docs)}, `{results[0]}` long, `{results[1]}` long, `{results[2]}` array<struct<start:int,end:int>>, `{results[3]}` string"
+    located = inner.groupBy("bucket").cogroup(passages.groupBy("bucket"))
+    return located.applyInArrow(_locate(names, text_col, results, size), schema)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """Add ``n_words``, ``n_removed``, ``removed_spans`` (word ranges [start, end)) and ``kept_text`` (kept words, one blank
     between) to ``docs``.
@@ -254,25 +315,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null id counts as larger than every other; rows with equal ids take nothing from each other. Result columns replace columns
     of the same name; other columns stay. Empty tables give an empty result.
     """
-    bound_batches(docs.sparkSession)
-    own = without(docs, "n_words", "n_removed", "removed_spans", "kept_text")
-    names = own.columns
-    inner = own.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text_col])
-    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-    parts, buckets = int(max(LEAST, total // PART_BYTES)), int(max(LEAST, total // BUCKET_BYTES))
-    inner = inner.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-    slim = inner.select("id", "bucket", "text")
-
-    entries = slim.where("text is not null").mapInArrow(_probe(parts, size), "part int, kind int, bucket int, docs binary, data binary")
-    requests = materialise(entries.groupBy("part").applyInArrow(_match, "bucket int, data binary"), "phrases-requests")
-    passages = inner.groupBy("bucket").cogroup(requests.groupBy("bucket")).applyInArrow(_cut(size), "bucket int, src long, passage string")
-    schema = f"{ddl(own)}, n_words long, n_removed long, removed_spans array<struct<start:int,end:int>>, kept_text string"
-    located = inner.groupBy("bucket").cogroup(passages.groupBy("bucket"))
-    return located.applyInArrow(_locate(names, text_col, size), schema)
+    return _repeats(without(docs, *RESULTS), id_col, text_col, size, RESULTS)
 
 
-def deduplicate(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the repeated words cut out of the texts; texts without any stay as they are. Columns are those of ``docs``."""
-    found = remove_repeats(docs, text_col=text_col, **options)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(f"`{text_col}`"))
-    return found.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """``docs`` with the repeated words cut out of the texts; texts without any stay as they are. Columns are those of ``docs``,
+    and all but the text keep their values."""
+    results = fresh(docs, *RESULTS)
+    found = _repeats(docs, id_col, text_col, size, results)
+    text = F.when(F.col(results[1]) > 0, F.col(results[3])).otherwise(F.col(f"`{text_col}`")).alias(text_col)
+    return found.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
