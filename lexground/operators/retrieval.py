@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut
 from .timeline import EX
 
 
@@ -21,32 +22,65 @@ def _packed(rows: DataFrame, block: int, side: str) -> tuple[DataFrame, int]:
     return packed.select(F.col(EX).alias("id"), F.col("vecs").alias("held"), F.pmod(F.xxhash64(EX), F.lit(blocks)).cast("int").alias(side)), blocks
 
 
-def score_blocks(images: DataFrame, captions: DataFrame, score: Callable, block: int = 256, keep: int | None = None) -> DataFrame:
-    """(row, col, value): ``score(image vectors, caption vectors)`` of every caption (row) and image (col), ``example_idx, idx, vec``
-    each. ``keep``: only the best ``keep`` images of a caption in each block, enough for a later top k."""
+def in_blocks(images: DataFrame, captions: DataFrame, score: Callable, found: Callable, schema: str, block: int = 256, own: DataFrame | None = None) -> DataFrame:
+    """``found(caption ids, image ids, values[caption, image], captions' own values, images' own values)`` of every pair of blocks,
+    rows of ``schema``. ``own(id, own)`` has a value for each example, NaN without it."""
     a, na = _packed(images, block, "_a")
     b, nb = _packed(captions, block, "_b")
+    if own is not None:
+        held = cut(own, "own-scores")
+        a, b = (x.join(held.select(F.col("id").alias("_id"), F.col("own").alias(name)), F.col("id") == F.col("_id"), "left").drop("_id") for x, name in ((a, "own_a"), (b, "own_b")))
     left = a.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).groupBy("_a", "_b")
     right = b.withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(na - 1)))).groupBy("_a", "_b")
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        xs = [np.stack([np.asarray(v, float) for v in vs]) for vs in x["held"]]
-        out = []
-        for i, vs in zip(y["id"], y["held"], strict=True):
-            cap = np.stack([np.asarray(v, float) for v in vs])
-            values = np.array([score(im, cap) for im in xs])
-            best = np.argsort(-values, kind="stable")[:keep] if keep else np.arange(len(values))
-            out += [(i, int(x["id"].iloc[j]), float(values[j])) for j in best]
-        return pd.DataFrame(out, columns=["row", "col", "value"])
+        x, y = x.sort_values("id"), y.sort_values("id")
+        ims, caps = ([np.stack([np.asarray(v, float) for v in vs]) for vs in side["held"]] for side in (x, y))
+        values = np.array([[score(im, cap) for im in ims] for cap in caps], float).reshape(len(caps), len(ims))
+        mine = lambda side, name: side[name].to_numpy(float) if name in side else np.full(len(side), np.nan)
+        return pd.DataFrame(found(y["id"].to_numpy(), x["id"].to_numpy(), values, mine(y, "own_b"), mine(x, "own_a")), columns=names)
+
+    return left.cogroup(right).applyInPandas(run, schema)
+
+
+def own_scores(images: DataFrame, captions: DataFrame, score: Callable) -> DataFrame:
+    """(id, own): the score of every example's caption with its own image."""
+    a, b = (_packed(x, 1 << 62, "_s")[0].drop("_s") for x in (images, captions))
+
+    def run(batches):
+        for t in batches:
+            stack = lambda vs: np.stack([np.asarray(v, float) for v in vs])
+            yield pd.DataFrame({"id": t["id"], "own": [float(score(stack(im), stack(cap))) for im, cap in zip(t["held"], t["cap"], strict=True)]})
 
-    return left.cogroup(right).applyInPandas(run, "row long, col long, value double")
+    return a.join(b.withColumnRenamed("held", "cap"), "id").mapInPandas(run, "id long, own double")
+
+
+def score_blocks(images: DataFrame, captions: DataFrame, score: Callable, block: int = 256, keep: int | None = None) -> DataFrame:
+    """(row, col, value): ``score(image vectors, caption vectors)`` of every caption (row) and image (col), ``example_idx, idx, vec``
+    each. ``keep``: of each pair of blocks only the best ``keep`` images of a caption and captions of an image, enough for a later top k."""
+
+    def found(rows, cols, values, *_):
+        mask = np.ones(values.shape, bool)
+        if keep:
+            mask[:] = False
+            np.put_along_axis(mask, np.argsort(-values, axis=1, kind="stable")[:, :keep], True, axis=1)
+            np.put_along_axis(mask, np.argsort(-values, axis=0, kind="stable")[:keep], True, axis=0)
+        i, j = np.nonzero(mask)
+        return {"row": rows[i], "col": cols[j], "value": values[i, j]}
+
+    return in_blocks(images, captions, score, found, "row long, col long, value double", block)
 
 
 def match_similarity(images: DataFrame, captions: DataFrame, kind: str = "sisa", **blocks) -> DataFrame:
     """R2: mean of the dot products (sisa), max over regions then mean over frames (misa), max over frames then mean over regions
     (sima), over the true numbers of regions and frames."""
+    return score_blocks(images, captions, similarity_of(kind), **blocks)
+
+
+def similarity_of(kind: str) -> Callable:
     how = {"sisa": lambda m: m.mean(), "misa": lambda m: m.max(0).mean(), "sima": lambda m: m.max(1).mean()}[kind]
-    return score_blocks(images, captions, lambda im, cap: how(im @ cap.T), **blocks)
+    return lambda im, cap: how(im @ cap.T)
 
 
 def score_pairs(tokens: DataFrame, q: DataFrame, table: DataFrame, floor: float = 1e-30, score: str = "max") -> DataFrame:
@@ -80,17 +114,41 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return a.union(b).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("side", "query", "hit", "rank")
 
 
+def _above(values: np.ndarray, own: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Of each row the values above its own, and equal ones that stand before it."""
+    return ((values > own[:, None]) | ((values == own[:, None]) & before)).sum(1)
+
+
+def recall_of_ranks(ranks: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(side, k, recall) of (side, id, above)."""
+    rank = ranks.groupBy("side", "id").agg((F.sum("above") + 1).alias("rank"))
+    return rank.select("side", F.explode(F.array(*map(F.lit, ks))).alias("k"), "rank").groupBy("side", "k").agg(F.avg((F.col("rank") <= F.col("k")).cast("double")).alias("recall"))
+
+
 def recall_at_k(scores: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """(side, k, recall): share of queries whose own item is among the ``k`` best. Only the scores above the diagonal one are
-    counted; nothing is sorted. Ties before it in id order count as above."""
+    """(side, k, recall): share of queries whose own item is among the ``k`` best of a table of scores. Only the scores above the
+    own one are counted; nothing is sorted. Ties before it in id order count as above."""
     own = scores.where("row = col").select(F.col("row").alias("_id"), F.col("value").alias("_v"))
-    out = None
+    ranks = None
     for side, other in (("row", "col"), ("col", "row")):
         above = (F.col("value") > F.col("_v")) | ((F.col("value") == F.col("_v")) & (F.col(other) < F.col(side)))
-        rank = scores.join(own, F.col(side) == F.col("_id")).groupBy(side).agg((F.sum(above.cast("int")) + 1).alias("rank"))
-        one = rank.select(F.explode(F.array(*map(F.lit, ks))).alias("k"), "rank").groupBy("k").agg(F.avg((F.col("rank") <= F.col("k")).cast("double")).alias("recall")).select(F.lit(side).alias("side"), "k", "recall")
-        out = one if out is None else out.union(one)
-    return out
+        one = scores.join(own, F.col(side) == F.col("_id")).select(F.lit(side).alias("side"), F.col(side).alias("id"), above.cast("int").alias("above"))
+        ranks = one if ranks is None else ranks.union(one)
+    return recall_of_ranks(ranks, ks)
+
+
+def recall_in_blocks(images: DataFrame, captions: DataFrame, kind: str = "sisa", ks: tuple[int, ...] = (1, 5, 10), block: int = 256) -> DataFrame:
+    """R4 from the vectors: the pairs of a block are counted where they are scored, and only counts leave the task. Examples
+    without the other side have no rank."""
+    score = similarity_of(kind)
+
+    def found(rows, cols, values, own_rows, own_cols):
+        before = cols[None, :] < rows[:, None]
+        sides = [("row", rows, _above(values, own_rows, before), own_rows), ("col", cols, _above(values.T, own_cols, rows[None, :] < cols[:, None]), own_cols)]
+        known = [(side, ids[~np.isnan(own)], n[~np.isnan(own)]) for side, ids, n, own in sides]
+        return {"side": np.repeat([x[0] for x in known], [len(x[1]) for x in known]), "id": np.concatenate([x[1] for x in known]), "above": np.concatenate([x[2] for x in known])}
+
+    return recall_of_ranks(in_blocks(images, captions, score, found, "side string, id long, above long", block, own_scores(images, captions, score)), ks)
 
 
 def align_matchmap(images: DataFrame, captions: DataFrame, ratio: int, lengths: DataFrame) -> DataFrame:
@@ -133,3 +191,20 @@ def softmax_loss(scores: DataFrame) -> DataFrame:
 
     own = scores.where("row = col").select(F.col("row").alias("_id"), "value").join(lse("row"), "_id").join(lse("col"), "_id")
     return own.agg((-F.avg(2 * F.col("value") - F.col("z_row") - F.col("z_col"))).alias("loss"))
+
+
+def softmax_loss_in_blocks(images: DataFrame, captions: DataFrame, kind: str = "sisa", block: int = 256) -> DataFrame:
+    """R6 from the vectors: each block gives the largest value and the sum of exponentials below it of its rows and columns."""
+    score = similarity_of(kind)
+
+    def found(rows, cols, values, *_):
+        top = [values.max(1), values.max(0)]
+        sums = [np.exp(values - top[0][:, None]).sum(1), np.exp(values - top[1][None]).sum(0)]
+        return {"side": np.repeat(["row", "col"], [len(rows), len(cols)]), "id": np.concatenate([rows, cols]), "top": np.concatenate(top), "total": np.concatenate(sums)}
+
+    own = own_scores(images, captions, score)
+    parts = in_blocks(images, captions, score, found, "side string, id long, top double, total double", block)
+    w = Window.partitionBy("side", "id")
+    whole = parts.withColumn("_m", F.max("top").over(w)).groupBy("side", "id", "_m").agg(F.sum(F.col("total") * F.exp(F.col("top") - F.col("_m"))).alias("t"))
+    each = whole.groupBy("id").agg(F.sum(F.col("_m") + F.log("t")).alias("z")).join(own, "id")
+    return each.agg((-F.avg(2 * F.col("own") - F.col("z"))).alias("loss"))

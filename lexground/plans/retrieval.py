@@ -51,13 +51,13 @@ for _kind, _sql in (("sisa", "SELECT row, col, avg(x) AS value FROM dt GROUP BY
 
 @register("r3_top_k", f"WITH {SISA}, b AS (SELECT 'row' AS side, row AS query, col AS hit, value FROM sc UNION ALL SELECT 'col', col, row, value FROM sc), k AS (SELECT *, row_number() OVER (PARTITION BY side, query ORDER BY value DESC, hit) AS rank FROM b) SELECT side, query, hit, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
 def r3_top_k(spark, d):
-    return rt.top_k(sisa(spark, d), 5)
+    return rt.top_k(rt.match_similarity(*sides(spark, d), "sisa", keep=5), 5)
 
 
 @register("r4_recall", f"""WITH {SISA}, o AS (SELECT row AS id, value AS v FROM sc WHERE row = col), r AS (SELECT 'row' AS side, row AS id, count(*) FILTER (value > v) + 1 AS rank FROM sc JOIN o ON row = id GROUP BY ALL UNION ALL SELECT 'col', col, count(*) FILTER (value > v) + 1 FROM sc JOIN o ON col = id GROUP BY ALL)
 SELECT side, CAST(k AS INTEGER) AS k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM r, (VALUES (1), (5), (10)) n(k) GROUP BY ALL""")
 def r4_recall(spark, d):
-    return rounded(rt.recall_at_k(sisa(spark, d)), "recall")
+    return rounded(rt.recall_in_blocks(*sides(spark, d)), "recall")
 
 
 @register("r5_matchmap", f"WITH {fx.REGIONS}, x AS (SELECT a.example_idx, b.idx AS f, a.idx AS region, row_number() OVER (PARTITION BY a.example_idx, b.idx ORDER BY list_dot_product(a.vec, b.vec) DESC, a.idx) AS r FROM regions a JOIN regions b ON a.example_idx = b.example_idx) SELECT example_idx, CAST(f * 4 + o AS INTEGER) AS t, region FROM x, range(0, 4) n(o) WHERE r = 1 AND f * 4 + o < 18")
@@ -73,4 +73,4 @@ def r6_margin_loss(spark, d):
 
 @register("r6_softmax_loss", f"WITH {SISA}, a AS (SELECT row AS id, max(value) + ln(sum(exp(value - m))) AS z FROM (SELECT *, max(value) OVER (PARTITION BY row) AS m FROM sc) GROUP BY row), b AS (SELECT col AS id, max(value) + ln(sum(exp(value - m))) AS y FROM (SELECT *, max(value) OVER (PARTITION BY col) AS m FROM sc) GROUP BY col) SELECT round(-avg(2 * value - z - y), 5) AS loss FROM sc JOIN a ON row = a.id JOIN b ON row = b.id WHERE row = col")
 def r6_softmax_loss(spark, d):
-    return rt.softmax_loss(sisa(spark, d)).withColumn("loss", F.round("loss", 5))
+    return rt.softmax_loss_in_blocks(*sides(spark, d)).withColumn("loss", F.round("loss", 5))

@@ -389,3 +389,19 @@ def test_scratch_folder_must_be_shared():
     for master in ("yarn", "local-cluster[3,2,1024]", "spark://h:1"):
         with pytest.raises(ValueError):
             scratch(session(master, None), "t")
+
+
+def test_retrieval_in_blocks(spark):
+    """Small blocks give what the table of all scores gives; values are whole, so there are ties."""
+    rng = np.random.default_rng(5)
+    rows = [(e, i, [float(v) for v in rng.integers(0, 2, 3)]) for e in range(23) for i in range(2)]
+    im = spark.createDataFrame(rows, "example_idx long, idx int, vec array<double>")
+    cap = spark.createDataFrame([(e, i, v[::-1]) for e, i, v in rows], "example_idx long, idx int, vec array<double>")
+    all_ = rt.match_similarity(im, cap, "misa").cache()
+    assert rows_of(rt.recall_in_blocks(im, cap, "misa", (1, 3), 5)) == rows_of(rt.recall_at_k(all_, (1, 3)))
+    assert rows_of(rt.top_k(rt.match_similarity(im, cap, "misa", block=5, keep=2), 2)) == rows_of(rt.top_k(all_, 2))
+    assert np.isclose(rt.softmax_loss_in_blocks(im, cap, "misa", 5).first().loss, rt.softmax_loss(all_).first().loss)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
