@@ -1,12 +1,12 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against the token windows of every text.
 
-The documents are never shuffled. The set is bounded: a benchmark beyond ``most_bytes`` is split by item into parts, and
-the documents pass through one bounded set after another within the same task.
+The documents are never shuffled. The set is a table of sorted 64-bit window hashes that point into the items' text, built once
+on the driver, and it is bounded: a benchmark whose set would exceed ``most_bytes`` is split by item into parts, and the
+documents pass through one bounded set after another within the same task.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 
@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, LOWER, Words, covered, slices, string_parts
-from .common import bound_batches, ddl, without
+from .common import bound_batches, ddl, fresh, without
 
-#: Bytes of benchmark text behind one broadcast set at most.
-MOST_BYTES = 64_000_000
+#: Bytes of one broadcast set at most, and of a set for each byte of benchmark text: a window of 20 bytes a word of at least two.
+MOST_BYTES, SET_BYTES = 64_000_000, 11
+RESULTS = ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated"]
 
 
 def _texts(strings: list[str | None]) -> Words:
@@ -27,42 +28,62 @@ def _texts(strings: list[str | None]) -> Words:
 
 
 class Grams:
-    """Windows of benchmark items, by length: sorted hashes, and for each window's exact words the items that have it."""
+    """Windows of benchmark items, by length: sorted hashes, and of each the place of its words in the items' text and its item."""
 
     def __init__(self, items: list[tuple[object, str]], size: int):
         words = _texts([t for _, t in items])
         hashes = words.hashes()
-        self.exact: dict[bytes, list[str]] = {}
-        at: dict[int, set[int]] = {}
         count = np.diff(words.first)
+        self.names = [str(i) for i, _ in items]
+        # The words of all items, one blank between: a window is one run of bytes.
+        self.text = words.phrase(0, len(words))
+        ends = np.cumsum(words.ends - words.starts + 1) - 1
+        starts = ends - (words.ends - words.starts)
+        self.windows = {}
         for n in sorted({min(int(c), size) for c in count if c}):
-            starts, h = words.windows(hashes, n)
+            at, h = words.windows(hashes, n)
             if n < size:
-                keep = count[words.text[starts]] == n
-                starts, h = starts[keep], h[keep]
-            for s in starts:
-                own = self.exact.setdefault(words.phrase(s, s + n), [])
-                name = str(items[words.text[s]][0])
-                if name not in own:
-                    own.append(name)
-            at[n] = h
-        self.hashes = {n: np.unique(h) for n, h in at.items()}
-
-    def hits(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+                keep = count[words.text[at]] == n
+                at, h = at[keep], h[keep]
+            order = np.lexsort((words.text[at], h))
+            at, h = at[order], h[order]
+            self.windows[n] = h, starts[at].astype(np.uint32), ends[at + n - 1].astype(np.uint32), words.text[at].astype(np.uint32)
+
+    def hits(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
         """(start, end, items) of every verified window of a batch."""
-        starts, ends, items = [], [], []
-        for n, known in self.hashes.items():
+        found, ends, items = [], [], []
+        for n, (known, lo, hi, item) in self.windows.items():
             at, h = words.windows(hashes, n)
-            if not len(at) or not len(known):
-                continue
-            k = np.searchsorted(known, h)
-            k[k == len(known)] = 0
-            for s in at[known[k] == h].tolist():
-                if (own := self.exact.get(words.phrase(s, s + n))) is not None:
-                    starts.append(s)
-                    ends.append(s + n)
-                    items.append(own)
-        return np.array(starts, np.int64), np.array(ends, np.int64), items
+            left = np.searchsorted(known, h)
+            same = np.flatnonzero(known[np.minimum(left, len(known) - 1)] == h) if len(known) else []
+            for k in same:
+                s, own = int(at[k]), set()
+                phrase = words.phrase(s, s + n)
+                for w in range(int(left[k]), int(np.searchsorted(known, h[k], "right"))):
+                    if self.text[lo[w] : hi[w]] == phrase:
+                        own.add(self.names[item[w]])
+                if own:
+                    found.append(s), ends.append(s + n), items.append(own)
+        return np.array(found, np.int64), np.array(ends, np.int64), items
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int, share: tuple[int, int], most_bytes: int, results: list[str]) -> DataFrame:
+    """``docs`` with its own columns and the five results by these names."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    bench = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("t is not null")
+    total = SET_BYTES * (bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0)
+    parts = 1 if total <= most_bytes else 2 * (-(-total // most_bytes))
+    own, (hits,) = ddl(docs), fresh(docs, "hits")
+    out = docs.withColumn(hits, F.lit(None).cast("string"))
+    for part in range(parts):
+        chosen = bench if parts == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
+        grams = Grams([(r.i, r.t) for r in chosen.collect()], size)
+        if grams.windows:
+            out = out.mapInArrow(_scan(spark.sparkContext.broadcast(grams), text_col, hits), f"{own}, `{hits}` string")
+    words, hit, spans, items, bad = results
+    out = out.mapInArrow(_close(text_col, hits, results), f"{own}, `{words}` long, `{hit}` long, `{spans}` array<struct<start:int,end:int>>, `{items}` array<string>")
+    return out.withColumn(bad, (F.col(hit) > 0) & (F.col(hit) * share[1] >= F.col(words) * share[0]))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, share: tuple[int, int] = (1, 20), most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -75,30 +96,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     a null item id is called ''. Result columns replace columns of the same name; other columns stay. Repeated rows are
     judged alike. Empty tables: nothing is hit.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
-    total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = 1 if total <= most_bytes else 2 * (-(-total // most_bytes))
-    out = without(docs, "n_words", "n_hit", "hit_spans", "hit_items", "contaminated", "_hits")
-    own = ddl(out)
-    out = out.withColumn("_hits", F.lit(None).cast("string"))
-    for part in range(parts):
-        chosen = bench if parts == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
-        rows = spark.sparkContext.broadcast([(r.i, r.t) for r in chosen.collect()])
-        out = out.mapInArrow(_scan(rows, text_col, size), f"{own}, `_hits` string")
-    result = "n_words long, n_hit long, hit_spans array<struct<start:int,end:int>>, hit_items array<string>"
-    out = out.mapInArrow(_close(text_col), f"{own}, {result}")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share[1] >= F.col("n_words") * share[0]))
+    return _found(without(docs, *RESULTS), benchmark, text_col, item_col, item_text_col, size, share, most_bytes, RESULTS)
 
 
-def _scan(rows, text_col: str, size: int):
+def _scan(held, text_col: str, hits: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(rows.value, size)
+        grams = held.value
         for batch in slices(batches, text_col):
             words = Words(*string_parts(batch.column(text_col)), ALNUM, LOWER)
             starts, ends, items = grams.hits(words, words.hashes())
-            state = batch.column("_hits").to_pylist()
+            if not len(starts):
+                yield batch
+                continue
+            state = batch.column(hits).to_pylist()
             by: dict[int, list] = {}
             for s, e, names in zip(starts.tolist(), ends.tolist(), items, strict=True):
                 by.setdefault(int(words.text[s]), []).append((s, e, names))
@@ -107,12 +117,12 @@ def _scan(rows, text_col: str, size: int):
                 base = int(words.first[row])
                 spans += [[s - base, e - base] for s, e, _ in found]
                 state[row] = json.dumps([spans, sorted({*names, *(n for *_, own in found for n in own)})])
-            yield batch.set_column(batch.schema.get_field_index("_hits"), "_hits", pa.array(state, pa.string()))
+            yield batch.set_column(batch.schema.get_field_index(hits), hits, pa.array(state, pa.string()))
 
     return run
 
 
-def _close(text_col: str):
+def _close(text_col: str, hits: str, results: list[str]):
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +130,7 @@ def _close(text_col: str):
             words = Words(*string_parts(batch.column(text_col)), ALNUM, LOWER)
             counts = np.diff(words.first)
             hit, spans, names = [], [], []
-            for n, state in zip(counts.tolist(), batch.column("_hits").to_pylist(), strict=True):
+            for n, state in zip(counts.tolist(), batch.column(hits).to_pylist(), strict=True):
                 if not state:
                     hit.append(0), spans.append([]), names.append([])
                     continue
@@ -131,21 +141,24 @@ def _close(text_col: str):
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 hit.append(int(mask.sum()))
                 names.append(items)
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "_hits"]
+            keep = [i for i, n in enumerate(batch.schema.names) if n != hits]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in keep), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))],
-                names=[*(batch.schema.names[i] for i in keep), "n_words", "n_hit", "hit_spans", "hit_items"],
+                names=[*(batch.schema.names[i] for i in keep), *results[:4]],
             )
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "document", text_col: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "document", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, share: tuple[int, int] = (1, 20), most_bytes: int = MOST_BYTES) -> DataFrame:
     """Drop contaminated documents (``how='document'``), or cut the hit words out of them (``how='span'``; the words
-    that stay are joined by one space). Other documents stay as they are; the columns are those of ``docs``."""
-    found = find_contamination(docs, benchmark, text_col, **options)
+    that stay are joined by one space). Other documents stay as they are; the columns are those of ``docs``, and all but
+    the text keep their values."""
+    results = fresh(docs, *RESULTS)
+    found = _found(docs, benchmark, text_col, item_col, item_text_col, size, share, most_bytes, results)
+    _, _, spans, _, bad = results
     if how == "document":
-        return found.where("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+        return found.where(~F.col(bad)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -164,9 +177,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "document",
             out.append(b" ".join(raw[a:b] for a, b, g in zip(words.starts, words.ends, gone, strict=True) if not g).decode())
         return pd.Series(out)
 
-    found = found.withColumn(text_col, F.when(F.col("contaminated"), cut(F.col(text_col), F.col("hit_spans"))).otherwise(F.col(text_col)))
+    text = F.col(f"`{text_col}`")
+    found = found.withColumn(text_col, F.when(F.col(bad), cut(text, F.col(spans))).otherwise(text))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def items_digest(names) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
