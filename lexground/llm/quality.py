@@ -2,7 +2,7 @@
 
 Pairwise interactions have rank ``RANK``; the sum over all pairs is taken in linear time as half the square of the sum less the
 sum of squares. The model is fitted on the driver on a bounded sample of labelled rows (``max_rows``), drawn by a hash of the
-id; what comes to the driver is at most ``max_rows`` sparse vectors of at most ``DIMS`` entries. Every row is scored.
+id; what comes to the driver is about ``max_rows`` sparse vectors of at most ``DIMS`` entries. Every row is scored.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SPACED, Words, mix, slices, string_parts
-from .common import bound_batches, ddl, in_fold, without
+from .common import bound_batches, ddl, fresh, in_fold, without
 
-DIMS, RANK, MAX_ROWS = 1 << 15, 8, 6000
+DIMS, RANK, MAX_ROWS, THRESHOLD = 1 << 15, 8, 6000, 0.3
 STATS = ["log_words", "log_chars", "word_length", "upper", "digit", "punct", "mark", "space", "newline", "high", "distinct", "repeat", "all_upper", "ends_marked", "echo", "echo_2", "empty"]
 
 
@@ -74,10 +74,12 @@ def featurise(texts: pa.Array, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndar
             share_of_words(_MARK[data[words.ends - 1]] if len(words) else np.zeros(0)), share_of_words(echo(1)), share_of_words(echo(2)), (counts == 0).astype(float),
         ]
     )
-    value = np.log1p(times).astype(np.float32)
-    norm = np.sqrt(np.bincount(text[at], value * value, n))
-    value /= np.maximum(norm, 1e-9)[text[at]].astype(np.float32)
-    return np.searchsorted(text[at], np.arange(n + 1)), (mix(h[at]) % np.uint64(DIMS)).astype(np.int32), value, stats.astype(np.float32)
+    # Words of one column are one entry: their counts add up.
+    where, entry = np.unique(text[at] * DIMS + (mix(h[at]) % np.uint64(DIMS)).astype(np.int64), return_inverse=True)
+    row, value = where // DIMS, np.log1p(np.bincount(entry, times, len(where))).astype(np.float32)
+    norm = np.sqrt(np.bincount(row, value * value, n))
+    value /= np.maximum(norm, 1e-9)[row].astype(np.float32)
+    return np.searchsorted(row, np.arange(n + 1)), (where % DIMS).astype(np.int32), value, stats.astype(np.float32)
 
 
 class Machine:
@@ -127,11 +129,12 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs
             starts = np.r_[0, np.cumsum([len(examples[k][0]) for k in own])]
             row, col, val = m.rows(starts, np.concatenate([examples[k][0] for k in own]), np.concatenate([examples[k][1] for k in own]), stats[own])
             y, sums, xv = m.margin(row, col, val, len(own))
-            g = ((1 / (1 + np.exp(-np.clip(y, -30, 30))) - label[own]) / len(own))[row] * val
+            miss = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - label[own]) / len(own)
+            g = miss[row] * val
             at, where = np.unique(col, return_inverse=True)
             d_w = np.bincount(where, g, len(at)) + decay * m.w[at]
             d_v = np.column_stack([np.bincount(where, g * (sums[row, f] - xv[:, f]), len(at)) for f in range(RANK)]) + decay * m.v[at]
-            d_b = float(g[val != 0].sum() and ((1 / (1 + np.exp(-np.clip(y, -30, 30))) - label[own]).mean()))
+            d_b = float(miss.sum())
             g_w[at] += d_w**2
             g_v[at] += d_v**2
             g_b += d_b**2
@@ -141,25 +144,25 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs
     return m
 
 
-def _chars(batch: pa.RecordBatch) -> np.ndarray:
-    return np.asarray(batch.column("_chars").cast(pa.float64()).to_numpy(zero_copy_only=False), float)
+def _chars(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.cast(pa.float64()).to_numpy(zero_copy_only=False), float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", max_rows: int = MAX_ROWS, seed: int = 7) -> Machine:
     """Fit on labelled rows outside the held-out fold. More than ``max_rows`` of them are sampled by a hash of the id, before any
-    text moves. Null labels and ids are left out; an id with several labels has the largest."""
+    text moves. Null labels and ids are left out; an id with several labels has the largest, one with several texts the least."""
     bound_batches(docs.sparkSession)
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~in_fold(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     n = own.count()
     keep = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.95 * max_rows / max(n, 1)))
     keep = F.lit(True) if n <= max_rows else keep
-    chars = F.col(chars_col).cast("double") if chars_col in docs.columns else F.lit(None).cast("double")
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), chars.alias("_chars")).where(keep)
-    sample = text.join(own.where(keep), "_id").select("_id", "_text", "_chars", "_label")
+    chars = F.col(f"`{chars_col}`").cast("double") if chars_col in docs.columns else F.lit(None).cast("double")
+    text = docs.select(F.col(f"`{id_col}`").alias("_id"), F.struct(F.col(f"`{text_col}`").alias("_text"), chars.alias("_chars")).alias("_doc")).where(keep)
+    sample = text.join(own.where(keep), "_id").groupBy("_id").agg(F.min("_doc").alias("_doc"), F.max("_label").alias("_label")).select("_id", "_doc._text", "_doc._chars", "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            starts, cols, values, stats = featurise(batch.column("_text"), _chars(batch))
+            starts, cols, values, stats = featurise(batch.column("_text"), _chars(batch.column("_chars")))
             cut = range(batch.num_rows)
             blobs = [[cols[starts[i] : starts[i + 1]].tobytes() for i in cut], [values[starts[i] : starts[i + 1]].tobytes() for i in cut], [stats[i].tobytes() for i in cut]]
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), *(pa.array(b, pa.binary()) for b in blobs), batch.column("_label")], names=["id", "c", "v", "s", "label"])
@@ -169,23 +172,33 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return train([(np.frombuffer(r.c, np.int32), np.frombuffer(r.v, np.float32), np.frombuffer(r.s, np.float32), r.label) for r in rows], seed=seed)
 
 
-def score(docs: DataFrame, machine: Machine, text_col: str = "text", chars_col: str = "n_chars", threshold: float = 0.3) -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) to every row.
-
-    Null and empty texts are scored by their statistics. Columns other than the text and its character count are never
-    read; result columns replace columns of the same name.
-    """
+def _scored(docs: DataFrame, machine: Machine, text_col: str, chars_col: str, name: str) -> DataFrame:
+    """``docs`` with its own columns and the score by this name."""
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(machine)
-    own = without(docs, "score", "predicted", "_chars")
-    chars = F.col(chars_col).cast("double") if chars_col in own.columns else F.lit(None).cast("double")
-    schema = ddl(own)
+    chars = F.col(f"`{chars_col}`").cast("double") if chars_col in docs.columns else F.lit(None).cast("double")
+    (extra,) = fresh(docs, "chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            got = held.value.score(*featurise(batch.column(text_col), _chars(batch)))
-            keep = [n for n in batch.schema.names if n != "_chars"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(got, pa.float64())], names=[*keep, "score"])
+            got = held.value.score(*featurise(batch.column(text_col), _chars(batch.column(extra))))
+            keep = [i for i, n in enumerate(batch.schema.names) if n != extra]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(got, pa.float64())], names=[*(batch.schema.names[i] for i in keep), name])
+
+    return docs.withColumn(extra, chars).mapInArrow(run, f"{ddl(docs)}, `{name}` double")
+
 
-    out = own.withColumn("_chars", chars).mapInArrow(run, f"{schema}, score double")
+def score(docs: DataFrame, machine: Machine, text_col: str = "text", chars_col: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
+    """Add ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) to every row.
+
+    Null and empty texts are scored by their statistics. Columns other than the text and its character count are never
+    read; result columns replace columns of the same name.
+    """
+    out = _scored(without(docs, "score", "predicted"), machine, text_col, chars_col, "score")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accept(docs: DataFrame, machine: Machine, text_col: str = "text", chars_col: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score ``threshold`` or more, with the columns and values of ``docs``."""
+    (name,) = fresh(docs, "score")
+    return _scored(docs, machine, text_col, chars_col, name).where(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
