@@ -8,6 +8,7 @@ written at commit, are ever read, so tasks that are run again or lost leave noth
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import struct
@@ -23,6 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 SCHEMA = "doc_id bigint, media binary"
 #: Bytes of a read range, of an archive file, of an Arrow batch.
 RANGE_BYTES, FILE_BYTES, BATCH_BYTES = 8_000_000, 64_000_000, 4_000_000
+#: Read ranges that the driver plans at about this number are made larger instead of more.
+MOST_RANGES = 100_000
 _HEAD, _FOOT = struct.Struct("<4sBqII"), struct.Struct("<QI4s")
 _MEMBER, _INDEX = b"MBR1", b"IDX1"
 WIDTH = 576
@@ -140,53 +143,67 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"].rstrip("/")
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
+        self.most_ranges = int(options.get("most_ranges", MOST_RANGES))
         self.retries = int(options.get("retries", 3))
 
     def partitions(self) -> list[Range]:
-        """Byte ranges, from file sizes alone: no member is listed on the driver."""
+        """Byte ranges, from file sizes alone: no member is listed on the driver. A file has one range at least; ranges grow with
+        the total, so that their number does not."""
         from pyarrow import fs as pafs
 
         fs, root = _fs(self.path)
-        out = []
+        files = []
         for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
             if info.base_name.startswith("manifest-"):
-                for name, size in json.loads(fs.open_input_stream(info.path, compression=None).read()):
-                    out += [Range(f"{root}/{name}", size, lo, min(lo + self.range_bytes, size)) for lo in range(0, size, self.range_bytes)]
-        return out or [Range("", 0, 0, 0)]
+                with fs.open_input_stream(info.path, compression=None) as f:
+                    files += json.loads(f.read())
+        step = max(self.range_bytes, -(-sum(size for _, size in files) // self.most_ranges))
+        return [Range(f"{root}/{name}", size, lo, min(lo + step, size)) for name, size in files for lo in range(0, size, step)] or [Range("", 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         """Members that begin within the range."""
         if not partition.size:
             return
-        fs, _ = _fs(self.path)
         keys, media, held = [], [], 0
-        f = self._again(lambda _: fs.open_input_file(partition.path), None)
-        offsets = self._again(lambda _: read_index(f, partition.size), f)
-        for offset in offsets[(offsets >= partition.lo) & (offsets < partition.hi)].tolist():
-            for attempt in range(self.retries + 1):
-                try:
-                    key, member = read_member(f, offset)
-                    break
-                except (OSError, struct.error):
-                    if attempt == self.retries:
-                        raise
-                    f = fs.open_input_file(partition.path)
-            keys.append(key), media.append(member)
-            held += len(member)
-            if held >= BATCH_BYTES:
+        archive = Archive(self.path, partition.path, self.retries)
+        try:
+            offsets = archive.again(lambda f: read_index(f, partition.size))
+            for offset in offsets[(offsets >= partition.lo) & (offsets < partition.hi)].tolist():
+                key, member = archive.again(lambda f, at=offset: read_member(f, at))
+                keys.append(key), media.append(member)
+                held += len(member)
+                if held >= BATCH_BYTES:
+                    yield _batch(keys, media)
+                    keys, media, held = [], [], 0
+            if keys:
                 yield _batch(keys, media)
-                keys, media, held = [], [], 0
-        if keys:
-            yield _batch(keys, media)
+        finally:
+            archive.close()
 
-    def _again(self, action, arg):
+
+class Archive:
+    """An archive file that is opened anew after an error: each action is tried up to ``retries`` times more, opening included."""
+
+    def __init__(self, root: str, path: str, retries: int):
+        self.fs, self.path, self.retries, self.file = _fs(root)[0], path, retries, None
+
+    def again(self, action):
         for attempt in range(self.retries + 1):
             try:
-                return action(arg)
-            except OSError:
+                if self.file is None:
+                    self.file = self.fs.open_input_file(self.path)
+                return action(self.file)
+            except (OSError, struct.error):
+                self.close()
                 if attempt == self.retries:
                     raise
 
+    def close(self) -> None:
+        if self.file is not None:
+            with contextlib.suppress(OSError):
+                self.file.close()
+            self.file = None
+
 
 def _batch(keys: list, media: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "media"])
@@ -240,7 +257,7 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     docs.sparkSession.dataSource.register(MediaArchives)
 
     def encode(batches):
-        for batch in slices(batches, text_col, BATCH_BYTES):
+        for batch in slices(batches, text_col, most=BATCH_BYTES):
             yield _batch(batch.column(id_col).to_pylist(), [encode_png(payload_of(t)) for t in batch.column(text_col).to_pylist()])
 
     docs.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` bigint, media binary").write.format("media_archives").mode("append").save(path)

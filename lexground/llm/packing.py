@@ -8,6 +8,7 @@ their rank within their length.
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -175,13 +176,37 @@ def fillings(counts: np.ndarray, room: int, most: int = 6) -> list[tuple[int, ..
     return sorted(out, key=lambda p: (-out[p], len(p)))[:most]
 
 
-def pack_counts(counts: np.ndarray, size: int, nodes: int = NODES) -> tuple[list[Pattern], int]:
+def every_filling(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
+    """All fillings of ``room`` to which no piece can be added, least waste first."""
+    lengths = [int(s) for s in np.flatnonzero(counts[: room + 1])[::-1] if s]
+    out: list[tuple[int, ...]] = []
+
+    def grow(i: int, left: int, own: tuple[int, ...], skipped: int) -> None:
+        # ``skipped``: the least length of which a piece was left out though there was one more.
+        if i == len(lengths):
+            if left < skipped:
+                out.append(own)
+            return
+        s = lengths[i]
+        for k in range(min(left // s, int(counts[s])), -1, -1):
+            grow(i + 1, left - k * s, own + (s,) * k, min(skipped, s) if k < counts[s] else skipped)
+
+    grow(0, room, (), room + 1)
+    return sorted(out, key=lambda p: (-sum(p), len(p)))
+
+
+def pack_counts(counts: np.ndarray, size: int, nodes: int | None = NODES, exact: bool = False) -> tuple[list[Pattern], int]:
     """Sequences for ``counts[length]`` pieces of every length: [(repeats, lengths)], and the lower bound.
 
     The incumbent is best fit decreasing. Bin completion then takes the largest length left, tries its undominated fillings
     in order of waste, repeats the chosen sequence as long as the counts allow, and gives up a branch once its waste leaves
-    no chance to beat the incumbent. The search ends at the lower bound or after ``nodes`` nodes.
+    no chance to beat the incumbent. The search ends at the lower bound or after ``nodes`` nodes (None: no limit).
+
+    By default at most six fillings of a sequence are tried, and a sequence is repeated as often as can be, so a
+    result above the lower bound need not be the best there is. ``exact`` tries every filling and repeats none, without a limit
+    of nodes: the result is the best, in a time that can grow exponentially with the number of pieces.
     """
+    nodes = math.inf if exact or nodes is None else nodes
     bound = least_bins(counts, size)
     best = best_fit(counts, size)
     n_best = sum(n for n, _ in best)
@@ -192,7 +217,7 @@ def pack_counts(counts: np.ndarray, size: int, nodes: int = NODES) -> tuple[list
     def children() -> Iterator[tuple[int, ...]]:
         s = int(np.flatnonzero(left)[-1])
         left[s] -= 1
-        own = fillings(left, size - s)
+        own = every_filling(left, size - s) if exact else fillings(left, size - s)
         left[s] += 1
         return iter([(s, *f) for f in own])
 
@@ -212,7 +237,7 @@ def pack_counts(counts: np.ndarray, size: int, nodes: int = NODES) -> tuple[list
                 times, p = path.pop()
                 put(-times, p)
             continue
-        times = min(int(left[v]) // p.count(v) for v in set(p))
+        times = 1 if exact else min(int(left[v]) // p.count(v) for v in set(p))
         put(times, p)
         path.append((times, p))
         visited += 1
@@ -247,11 +272,11 @@ def deal(plan: list[Pattern], size: int) -> dict[str, np.ndarray]:
     return {"key": (cols[0] << 44) + cols[1], "start": cols[1], "per": cols[2], "seq": cols[3], "offset": cols[4]}
 
 
-def pack(cut: DataFrame, size: int = 2048, id_col: str = "doc_id", nodes: int = NODES) -> DataFrame:
+def pack(cut: DataFrame, size: int = 2048, id_col: str = "doc_id", nodes: int | None = NODES, exact: bool = False) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (see ``pieces``); within a sequence offsets have no gaps.
 
     Ranks within a length are counted in salted groups, so that a length which many copies share is no single task.
-    Equal rows are interchangeable. An empty table gives an empty result.
+    Equal rows are interchangeable. An empty table gives an empty result. ``nodes`` and ``exact`` as for ``pack_counts``.
     """
     spark = cut.sparkSession
     cut = materialise(cut, "pieces")
@@ -259,7 +284,7 @@ def pack(cut: DataFrame, size: int = 2048, id_col: str = "doc_id", nodes: int =
     counts = np.zeros(size + 1, np.int64)
     for r in found:
         counts[r["length"]] = r["count"]
-    plan, _ = pack_counts(counts, size, nodes) if counts.any() else ([], 0)
+    plan, _ = pack_counts(counts, size, nodes, exact) if counts.any() else ([], 0)
     held = spark.sparkContext.broadcast(deal(plan, size))
     salts = int(max(32, counts.max() // GROUP))
     salted = cut.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)).cast("int"))

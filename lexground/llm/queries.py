@@ -120,6 +120,16 @@ SQL = {
         SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw LEFT JOIN hit ON dw.doc_id = hit.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id""",
+    "op7_sharding": """
+        WITH RECURSIVE poly(i, k, c) AS (
+            SELECT i, 0, CAST(i AS BIGINT) FROM range(0, 256) r(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM poly WHERE k = 8),
+        d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT doc_id, n + 8 AS size, xor(4294967295, list_reduce(list_transform(range(1, 2 * n, 2), lambda i: CAST(('0x' || substr(h, i, 2)) AS BIGINT)), lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295)) AS text_crc32 FROM d, crc),
+        b AS (SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - size AS b, sum(size) OVER () AS total FROM c),
+        p AS (SELECT *, CAST((b * 24) // total AS INTEGER) AS shard FROM b)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p""",
     "op9_url_filter": r"""
         WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                           regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),

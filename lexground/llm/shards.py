@@ -29,6 +29,11 @@ def _range_of(key: str, splitters: list[int]) -> Column:
     )
 
 
+def _of_range(r: str, values: dict[int, int], last: int, other: int) -> Column:
+    """The value of range ``r``, from an array with one number for each range."""
+    return F.get(F.lit([values.get(i, other) for i in range(last + 1)]).cast("array<bigint>"), F.col(r)) if values else F.lit(other)
+
+
 def _splitters(rows: DataFrame, ranges: int, total: int, seed: int) -> list[int]:
     """Quantile boundaries of a sample in which a record is drawn with a chance in proportion to its size."""
     if ranges < 2 or not total:
@@ -55,10 +60,7 @@ def range_partition(records: DataFrame, ranges: int, seed: int = 7, rounds: int
         heavy = sizes.where((F.col("s") > 2 * total / max(ranges, 1)) & (F.col("lo") < F.col("hi"))).collect()
         if not heavy or len(found) >= 4 * MOST_RANGES:
             break
-        within = F.lit(False)
-        for h in heavy:
-            within = within | F.col("key").between(h.lo, h.hi)
-        inside = out.where(within)
+        inside = placed.where(_of_range("r", {h.r: 1 for h in heavy}, len(found), 0) == 1).drop("r")
         mass = sum(h.s for h in heavy)
         more = _splitters(inside, max(2, 2 * round(mass * ranges / max(total, 1))), mass, seed + r + 1) + [h.hi for h in heavy]
         if set(more) <= set(found):
@@ -67,10 +69,8 @@ def range_partition(records: DataFrame, ranges: int, seed: int = 7, rounds: int
     placed = out.withColumn("r", _range_of("key", found))
     sizes = placed.groupBy("r").agg(F.sum("size").alias("s"))
     heavy = sizes.where(F.col("s") > 4 * total / max(ranges, 1)).collect()
-    cut = F.lit(1)
-    for h in heavy:  # one key alone fills these
-        cut = F.when(F.col("r") == h.r, F.lit(int(2 * h.s * ranges / total))).otherwise(cut)
-    return placed.withColumn("sub", F.pmod(F.xxhash64("tie"), cut)).withColumn("part", F.struct("r", "sub")).drop("r", "sub")
+    cut = _of_range("r", {h.r: int(2 * h.s * ranges / total) for h in heavy}, len(found), 1)  # one key alone fills these
+    return placed.withColumn("sub", F.pmod(F.xxhash64("tie"), cut).cast("long")).withColumn("part", F.struct("r", "sub")).drop("r", "sub")
 
 
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, seed: int = 7) -> DataFrame:

@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +42,16 @@ def _url(url: str | None) -> str:
 
 def _pack(version: int | None, date: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in enumerate(slices(batches, "html", ARCHIVE_BYTES)):
+        context = TaskContext.get()
+        task = context.partitionId() if context else 0
+        for n, batch in enumerate(slices(batches, "html", most=ARCHIVE_BYTES)):
             v = version or 1 + n % 2
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True))
-            name = "arc-" + hashlib.sha1(repr([(k, u, len(h or "")) for k, u, h in rows]).encode()).hexdigest()[:20]
+            # By place and content: a task that runs again gives the same name, and no other does.
+            own = hashlib.sha1(f"{task}/{n}".encode())
+            for row in rows:
+                own.update(repr(row).encode("utf-8", "surrogatepass"))
+            name = "arc-" + own.hexdigest()[:20]
             about = f"{v} 0 {'Origin' if v == 1 else 'reserved Origin'}\n{V1 if v == 1 else V2}\n\n".encode()
             middle = "" if v == 1 else f"200 - - 0 {name} "
             out = [f"filedesc://{name}.arc 0.0.0.0 {date} text/plain {middle}{len(about)}\n".encode(), about]
@@ -72,14 +79,21 @@ def write_arc(pages: DataFrame, version: int | None = None, date: str = "2024010
     return pages.select("page_id", "url", "html").mapInArrow(_pack(version, date), ARCHIVES)
 
 
-def _inflate(content: bytes) -> bytes:
-    """``content``, unpacked if it is gzip of one or more members."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
+def _inflated(content: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """``content`` in pieces, ``step`` packed bytes at a time, unpacked if it is gzip of one or more members."""
+    view, at = memoryview(content), 0
+    if view[:2] != b"\x1f\x8b":
+        yield content
+    while view[at : at + 2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        out.append(z.decompress(content) + z.flush())
-        content = z.unused_data
-    return b"".join(out) if out else content
+        while not z.eof and at < len(view):
+            yield z.decompress(view[at : at + step])
+            at += step
+        at = min(at, len(view)) - len(z.unused_data)
+
+
+def _inflate(content: bytes) -> bytes:
+    return b"".join(_inflated(content))
 
 
 def arc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -165,15 +179,17 @@ def mark_revisits(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     but the one with the smallest page_id become ``revisit`` and keep only their HTTP head.
 
     Digests are counted before they are joined, so a hot payload is one row a task there; its many records are split by AQE.
+    Records that can't be revisits have keys of their own in the join, which spread.
     """
+    can = (F.col("record_type") == "response") & (F.col("payload_bytes") >= least)
     shared = (
-        records.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least))
+        records.where(can)
         .groupBy(F.col("payload_digest").alias("d"))
         .agg(F.count("*").alias("n"), F.min(F.struct("page_id", "record_id")).alias("first"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id"))).alias("known"))
         .where("n > 1")
         .select("d", F.coalesce("known", "first").alias("first"))
     )
-    out = records.join(shared, (F.col("payload_digest") == F.col("d")) & (F.col("record_type") == "response"), "left")
+    out = records.withColumn("_key", F.when(can, F.col("payload_digest")).otherwise(F.col("record_id"))).join(shared, F.col("_key") == F.col("d"), "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     head = F.expr("substring(block, 1, length(block) - cast(payload_bytes as int))")
     return out.select(
@@ -200,19 +216,34 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PE
 
 
 def warc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, block) of every record of a WARC file; ValueError where one is damaged."""
-    content, at = _inflate(content), 0
-    while at < len(content):
-        stop = content.find(b"\r\n\r\n", at)
-        if content[at : at + 5] != b"WARC/" or stop < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in content[at:stop].decode("utf-8", "replace").split(END)[1:])
+    """(offset, header fields, block) of every record of a WARC file, unpacked as far as the record goes; ValueError where one is
+    damaged."""
+    pieces, held, base = _inflated(content), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while not held and more():
+            pass
+        if not held:
+            return
+        while (stop := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if held[:5] != b"WARC/" or stop < 0:
+            raise ValueError(f"no WARC record at byte {base}")
+        head = dict(x.split(": ", 1) for x in bytes(held[:stop]).decode("utf-8", "replace").split(END)[1:])
         length = int(head["Content-Length"])
-        block = content[stop + 4 : stop + 4 + length]
-        if len(block) < length:
-            raise ValueError(f"the record at byte {at} declares {length} bytes and has {len(block)}")
-        yield at, head, block
-        at = stop + 4 + length + 4
+        end = stop + 4 + length
+        while len(held) < end + 4 and more():
+            pass
+        if len(held) < end:
+            raise ValueError(f"the record at byte {base} declares {length} bytes and has {len(held) - stop - 4}")
+        yield base, head, bytes(held[stop + 4 : end])
+        del held[: end + 4]
+        base += end + 4
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, date string, target_uri string, payload binary"
@@ -225,8 +256,10 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+            names = [c.split(" ")[0] for c in READ.split(", ")]
             for i in range(batch.num_rows):
-                rows = []
+                rows, held = [], 0
                 for at, head, block in warc_records(batch.column("content")[i].as_py()):
                     http, body = _payload(block)
                     page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http)
@@ -239,9 +272,12 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                         raise ValueError(f"damaged payload at byte {at}")
                     to = head.get("X-Refers-To-Page")
                     rows.append((int(page[1]) if page else None, size, digest, head["WARC-Type"], int(to) if to else None, head["WARC-Record-ID"], head["WARC-Date"], head.get("WARC-Target-URI"), body if payloads else None))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
-                for k in range(0, len(rows), 1024):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1024], strict=True), types, strict=True)], names=[c.split(" ")[0] for c in READ.split(", ")])
+                    held += len(body) if payloads else 0
+                    if len(rows) == 1024 or held > ARCHIVE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(read, READ)
