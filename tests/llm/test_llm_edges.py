@@ -1,13 +1,17 @@
 """Edge cases of every operator: nulls in any column, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import math
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
-from lexground.llm import arrays, decontam, langid, media, neardup, packing, phrases, quality, shards, urlfilter, warc
+from lexground.llm import arrays, decontam, langid, media, neardup, packing, phrases, quality, queries, shards, urlfilter, warc
 from lexground.llm.common import scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, n_hit string, class_id string, kept_text string"
@@ -77,6 +81,8 @@ def test_substring_dedup(docs, none, spark):
     assert phrases.remove_repeats(none).count() == 0
     cut = {r.doc_id: r.text for r in phrases.deduplicate(docs).collect()}
     assert cut[2] == "beta psi" and cut[3] is None and cut[5] == " \t\n " and cut[1] == ROWS[0][1]
+    own = phrases.deduplicate(docs)
+    assert own.schema == docs.schema and sorted(repr((r.doc_id, r.kept_text, r.n_hit)) for r in own.collect()) == sorted(repr((r[0], r[8], r[6])) for r in ROWS)
 
 
 def test_substring_dedup_random(spark):
@@ -102,9 +108,9 @@ def test_windows_with_equal_low_bits_are_not_mixed_up(monkeypatch):
     for i, text in enumerate(texts):
         batch = pa.RecordBatch.from_arrays([pa.array([i + 1], pa.int64()), pa.array([i + 1], pa.int32()), pa.array([text])], names=["id", "bucket", "text"])
         entries += phrases._probe(1, 13)(iter([batch]))
-    asked = phrases._match(pa.Table.from_batches(entries))
-    got = [(b, r["src"], r["bucket"]) for b, data in zip(asked["bucket"].to_pylist(), asked["data"].to_pylist(), strict=True) for r in np.frombuffer(data, phrases._REQUEST)]
-    assert got == [(2, 2, 3)]
+    noted = phrases._match(pa.Table.from_batches(entries)).to_pylist()
+    got = [(x["kind"], x["bucket"], r["src"], r["block"]) for x in noted for r in np.frombuffer(x["data"], phrases._PLACE)]
+    assert sorted(got) == [(phrases.WANT, 3, 2, 0), (phrases.CUT, 2, 2, 0)]
 
 
 def test_automaton_finds_every_window():
@@ -116,6 +122,20 @@ def test_automaton_finds_every_window():
     assert not len(m.spans(words[:12], 2)[0]) and not len(m.spans(words, 1)[0])
 
 
+def test_automaton_against_all_windows():
+    """Words of a small vocabulary, so that phrases stand in many passages and at many places of one."""
+    rng = np.random.default_rng(3)
+    for size in (13, 5, 7):
+        passages = [(int(rng.integers(5)), " ".join(rng.choice(["a", "b", "é"], rng.integers(size, 60)))) for _ in range(12)]
+        m = phrases.Automaton(passages, size)
+        for key in (0, 2, 9):
+            for _ in range(10):
+                src, passage = passages[int(rng.integers(12))]
+                words = [*rng.choice(["a", "b", "z"], rng.integers(0, 9)), *passage.split(" ")[int(rng.integers(9)) :], *rng.choice(["a", "b"], 4)]
+                have = {tuple(w[i : i + size]) for s, p in passages if s < key for w in [p.split(" ")] for i in range(len(w) - size + 1)}
+                assert m.spans(words, key)[0].tolist() == [i for i in range(len(words) - size + 1) if tuple(words[i : i + size]) in have]
+
+
 def test_near_duplicates(docs, none, spark):
     got = neardup.near_duplicates(docs)
     by = sorted([(r.doc_id, r.class_id, r.class_size) for r in got.collect()], key=repr)
@@ -124,6 +144,29 @@ def test_near_duplicates(docs, none, spark):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def lcs(a, b):
+    """By the textbook table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def all_pairs(texts, least=0.8):
+    """Group of every text: links by the alignment of all pairs of texts."""
+    words = [t.lower().replace(",", " ").replace("!", " ").split() for t in texts]
+    label = list(range(len(texts)))
+    for i, x in enumerate(words):
+        for j, y in enumerate(words[:i]):
+            if label[i] != label[j] and (n := len(x) + len(y)) and 2 * min(len(x), len(y)) >= least * n and 2 * lcs(x, y) >= least * n:
+                a, b = label[i], label[j]
+                label = [min(a, b) if z in (a, b) else z for z in label]
+    return label
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rng = np.random.default_rng(6)
     vocab = [f"w{i}" for i in range(400)]
@@ -132,24 +175,45 @@ def test_near_duplicates_against_all_pairs(spark):
         base = list(rng.choice(vocab, int(rng.integers(40, 160))))
         for _ in range(int(rng.integers(1, 6))):
             own = list(base)
-            for _ in range(int(rng.integers(0, 4))):
+            for _ in range(int(rng.integers(0, 1 + len(own) // 16))):
                 own[int(rng.integers(len(own)))] = str(rng.choice(vocab))
+            if g % 3 == 0:
+                del own[: int(rng.integers(0, 1 + len(own) // 20))]
             rows.append((len(rows), " ".join(own)))
     rows += [(len(rows) + i, t) for i, t in enumerate(["one two three", "One, two three!", "one two four"])]
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == dict(enumerate(all_pairs([t for _, t in rows])))
 
-    def grams(t):
-        w = t.lower().replace(",", " ").replace("!", " ").split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
-    s = [grams(t) for _, t in rows]
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]):
-                a, b = label[i], label[j]
-                label = [min(a, b) if x in (a, b) else x for x in label]
-    assert got == dict(enumerate(label))
+def test_edits_spread_over_a_text():
+    """14 edits in 200 words leave a third of the five-word shingles or less of one another, and are an alignment of 0.93."""
+    a = np.arange(200).astype(np.uint64)
+    b = a.copy()
+    b[7::14] += np.uint64(1000)
+    assert neardup.similarity(a, b, 0.8) == 2 * (200 - len(b[7::14])) / 400
+
+
+def test_similarity_is_that_of_the_whole_table():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        a = list(rng.integers(0, 6, rng.integers(1, 40)))
+        b = [x for x in a if rng.random() > 0.15]
+        b[len(b) // 2 : len(b) // 2] = list(rng.integers(0, 6, rng.integers(0, 8)))
+        want = 2 * lcs(a, b) / (len(a) + len(b))
+        got = neardup.similarity(np.array(a, np.uint64), np.array(b, np.uint64), 0.8)
+        assert np.isclose(got, want) if want >= 0.8 else got == 0
+
+
+def test_one_document_of_each_group_stays(spark, docs):
+    text = " ".join(f"t{i}" for i in range(60))
+    rows = [(2, text, "keep"), (2, text, "keep"), (3, text, "keep"), (2, text + " more", "keep"), (None, "only nulls here", "keep"), (None, "only nulls here", "keep"), (9, None, "keep"), (9, None, "keep"), (8, "", None), (7, "other text", "keep")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
+    got = neardup.keep_one(table)
+    assert got.columns == table.columns and got.schema == table.schema
+    kept = got.collect()
+    assert sorted((repr(r.doc_id), r.text is None) for r in kept) == sorted([("2", False), ("None", False), ("9", True), ("9", True), ("8", False), ("7", False)])
+    assert {r.class_id for r in kept} == {"keep", None}
+    assert neardup.keep_one(docs).columns == docs.columns and neardup.keep_one(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("last", [0, 100_000])
@@ -229,6 +293,41 @@ def test_quality(docs, none, spark):
     assert quality.score(docs.select("doc_id", "text"), quality.fit(docs, labels.limit(0))).count() == len(ROWS)
 
 
+def test_user_columns_keep_their_values(spark):
+    rows = [(i, f"text {i} {PASSAGE}", "keep", 7, "keep", "keep", "keep", "keep") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted int, n_hit string, n_words string, kept_text string, hit_items string")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "text 3 p0")], "item_id long, text string")
+    for out in (quality.accept(docs, quality.fit(docs, labels), threshold=0.0), decontam.decontaminate(docs, bench, size=3), decontam.decontaminate(docs, bench, "span", size=3), phrases.deduplicate(docs)):
+        got = out.collect()
+        assert out.schema == docs.schema and len(got) >= 3 and {tuple(r)[2:] for r in got} == {("keep", 7, "keep", "keep", "keep", "keep")}
+
+
+def test_sample_of_the_classifier_is_bounded(spark):
+    """Ids with several rows count once, and a text has at most one entry a column."""
+    long = " ".join(f"w{i}" for i in range(100_000))
+    starts, cols, _, _ = quality.featurise(pa.array([long, None, "a a b"]), np.full(3, np.nan))
+    assert np.diff(starts).tolist()[1:] == [0, 2] and starts[1] <= quality.DIMS and len(set(cols[: starts[1]].tolist())) == starts[1]
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    seen = []
+    real = quality.train
+    try:
+        quality.train = lambda examples, **k: seen.append(len(examples)) or real(examples, **k)
+        quality.fit(docs, labels)
+        quality.fit(docs, labels, max_rows=10)
+    finally:
+        quality.train = real
+    assert seen[0] == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(50)) and seen[1] < 20
+
+
+def test_benchmark_set_is_small():
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(100)]
+    g = decontam.Grams(items, 13)
+    held = len(g.text) + sum(a.nbytes for w in g.windows.values() for a in w)
+    assert held <= decontam.SET_BYTES * sum(len(t) for _, t in items)
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(3)
     m = quality.Machine(np.zeros(len(quality.STATS)), np.ones(len(quality.STATS)), 1)
@@ -260,22 +359,66 @@ def test_language_id(docs, none, spark):
 
 
 def test_every_counted_word_is_known(spark):
-    """A bound on the broadcast words doesn't change the result, and a word's counts in all languages are used."""
+    """The bounds of the broadcasts don't change the result, and a word's counts in all languages are used."""
     rows = [("the " * 50 + "rare xylem", "en"), ("das " * 50 + "xylem xylem xylem selten", "de")] * 2
     train = spark.createDataFrame(rows, "text string, lang string")
     ask = spark.createDataFrame([(1, "xylem"), (2, "rare"), (3, "selten the"), (4, "unknown rarest"), (5, None)], "doc_id long, text string")
-    whole, bounded, none = ({r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.predict(ask, langid.fit(train, max_words=m)).collect()} for m in (50_000, 1, 0))
+    ways = [{}, {"max_words": 1}, {"max_words": 0}, {"cells": 0}, {"cells": 6}]
+    models = [langid.fit(train, **way) for way in ways]
+    assert [len(m["words"][0]) for m in models] == [5, 1, 0, 0, 3] and [bool(m["grams"]) for m in models] == [True, True, True, False, False]
+    assert list(models[1]["words"][0]) == ["das"]  # as frequent as "the", and first by name
+    whole, *others = ({r.doc_id: (r.lang_pred, r.score) for r in langid.predict(ask, m).collect()} for m in models)
     n, t = {"en": 2.5, "de": 6.5}, {"en": 105, "de": 109}
     odds = n["en"] / t["en"] / (n["de"] / t["de"])
     assert whole[1][0] == "de" and abs(whole[1][1] - 1 / (1 + odds)) < 1e-6
-    assert {k: v[0] for k, v in whole.items()} == {k: v[0] for k, v in bounded.items()} == {k: v[0] for k, v in none.items()}
-    assert all(abs(whole[k][1] - other[k][1]) < 1e-6 for other in (bounded, none) for k in whole)
-
-
-def test_most_frequent_is_bounded(spark):
-    rows = [("en", f"w{i}", 1 + i) for i in range(100)]
-    got = langid.most_frequent(spark.createDataFrame(rows, langid.COUNTS), 10, __import__("pyspark").sql.functions.col("lang"))
-    assert 0 < len(got) <= 10 and min(r.n for r in got) > 80
+    for other in others:
+        assert {k: v[0] for k, v in whole.items()} == {k: v[0] for k, v in other.items()}
+        assert all(abs(whole[k][1] - other[k][1]) < 1e-5 for k in whole)
+
+
+def brute_languages(train, texts):
+    """Language and score of each text by the definition: counts, smoothed logs, back-off to n-grams."""
+    words = lambda t: regex.findall(r"\p{L}+", t.lower()) if t else []
+    langs = sorted({lang for t, lang in train if t is not None and lang is not None})
+    count, grams = {lang: Counter() for lang in langs}, {}
+    for t, lang in train:
+        if t is not None and lang is not None:
+            count[lang].update(words(t))
+    for lang in langs:
+        for w, n in count[lang].items():
+            for k in (1, 2, 3, 4):
+                for i in range(len(w) + 3 - k):
+                    grams.setdefault((k, f"^{w}$"[i : i + k]), Counter())[lang] += n
+    size = {(k, lang): sum(c[lang] for (j, _), c in grams.items() if j == k) for k in (1, 2, 3, 4) for lang in langs}
+    out = []
+    for t in texts:
+        total = dict.fromkeys(langs, 0.0)
+        for w in words(t):
+            if any(count[x][w] for x in langs):
+                own = {x: math.log((count[x][w] + 0.5) / (count[x].total() + 1)) for x in langs}
+            else:
+                m, own, found = f"^{w}$", dict.fromkeys(langs, 0.0), 0
+                for i in range(len(m)):
+                    k = next((k for k in (4, 3, 2, 1) if i + k <= len(m) and (k, m[i : i + k]) in grams), None)
+                    if k:
+                        found += 1
+                        for x in langs:
+                            own[x] += math.log((grams[k, m[i : i + k]][x] + 0.5) / (size[k, x] + 2))
+                own = {x: v * 2 / max(1, found) for x, v in own.items()}
+            for x in langs:
+                total[x] += own[x]
+        n = len(words(t))
+        best = max(langs, key=lambda x: total[x]) if n else "und"
+        out.append((best, 1 / sum(math.exp((v - total[best]) / (1 + math.log(n))) for v in total.values()) if n else 0.0))
+    return out
+
+
+def test_language_id_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    train = [(r.text, r.lang) for r in docs if zlib.crc32(str(r.doc_id).encode()) % 5]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.QUERIES["op2_language_id"](spark, "/root/testdata/sf0.001").collect()}
+    for r, (lang, score) in zip(docs, brute_languages(train, [r.text for r in docs]), strict=True):
+        assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - score) < 1e-4
 
 
 def test_packing(docs, none):
@@ -345,6 +488,38 @@ def test_bin_completion(seed):
     assert n == next(k for k in range(1, 13) if fits(k, 0, [20] * k))
 
 
+def test_exact_packing():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        size = int(rng.integers(8, 30))
+        items = sorted(rng.integers(1, size + 1, rng.integers(1, 10)).tolist(), reverse=True)
+        counts = np.bincount(items, minlength=size + 1)
+        plan, _ = packing.pack_counts(counts, size, exact=True)
+        assert all(sum(p) <= size for _, p in plan) and (sum(np.bincount(p, minlength=size + 1) * t for t, p in plan) == counts).all()
+        reach = {(): 0}  # rooms of the sequences in use, sorted -> their number
+        for x in items:
+            new = {}
+            for rooms, n in reach.items():
+                for i in range(len(rooms)):
+                    if rooms[i] >= x:
+                        new[tuple(sorted((*rooms[:i], rooms[i] - x, *rooms[i + 1 :])))] = n
+                key = tuple(sorted((*rooms, size - x)))
+                new[key] = min(new.get(key, n + 1), n + 1)
+            reach = new
+        assert sum(t for t, _ in plan) == min(reach.values())
+
+
+def test_ids_are_those_of_the_tokenizer():
+    """Of every text of a hundredth of the scale."""
+    from tokenizers import Tokenizer
+
+    paths = packing.public_paths()
+    e, t = packing.Encoder(*paths), Tokenizer.from_file(paths[1])
+    texts = [x for x in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where text is not null").fetchnumpy()["text"]]
+    for text, own in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == own.ids
+
+
 def test_search_beats_best_fit():
     """Best fit decreasing takes three sequences here, two are enough."""
     counts = np.zeros(11, np.int64)
@@ -405,6 +580,12 @@ def test_url_filter(spark):
     assert {r.verdict for r in urlfilter.filter_urls(pages, [], default="block").collect()} == {"block"}
 
 
+def test_many_rules_below_one_segment():
+    t = urlfilter.Trie([("block", "h.com", f"/en/{i}") for i in range(3000)])
+    node = t.root["h", "com"]["h", "h"]["p", ""]["p", "en"]
+    assert node["sizes"] == [4, 3, 2, 1] and t.judge("h.com", "/en/29999")[1] == "h.com/en/2999" and t.judge("h.com", "/en/x") is None
+
+
 def test_url_rules_in_parts(spark, monkeypatch):
     pages = spark.createDataFrame([(i, f"http://h{i % 7}.com/en/{i}") for i in range(50)], "page_id long, url string")
     rules = [("block", "com", "/en/"), *[("allow", f"h{i}.com", f"/en/{i}") for i in range(7)], ("block", "h1.com", "/en/15")]
@@ -428,6 +609,29 @@ def test_warc_round_trip(spark):
     assert warc.convert_arc(warc.write_arc(pages.limit(0))).count() == 0
 
 
+def test_record_ids_differ_with_the_payload(spark):
+    """Batches with equal ids, urls and lengths but other html, and equal batches in other tasks."""
+    rows = [(1, "http://x", html) for html in ("aaaa", "bbbb", "aaaa")]
+    ids = [r.record_id for r in warc.convert_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3, "html")).collect()]
+    again = [r.record_id for r in warc.convert_pages(spark.sparkContext.parallelize(rows, 3).toDF("page_id long, url string, html string")).collect()]
+    assert len(set(ids)) == len(ids) and len(set(again)) == len(again) == 6
+
+
+def test_warc_files_are_unpacked_piece_by_piece():
+    import gzip
+
+    block = b"z" * 3_000_000
+    one = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    small = b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    for content in (one + small + one, gzip.compress(one) + gzip.compress(small + one), gzip.compress(one + small + one)):
+        got = list(warc.warc_records(content))
+        assert [len(b) for *_, b in got] == [3_000_000, 0, 3_000_000] and [at for at, *_ in got] == [0, len(one), len(one) + len(small)]
+    assert max(map(len, warc._inflated(gzip.compress(block + bytes(np.random.default_rng(1).bytes(1_000_000)))))) < 4_000_000
+    assert len(list(warc._inflated(gzip.compress(bytes(np.random.default_rng(1).bytes(1_000_000)))))) > 50
+    with pytest.raises(ValueError):
+        list(warc.warc_records(one[:100]))
+
+
 def test_arc_lines_of_both_versions():
     v1 = b"filedesc://x.arc 0.0.0.0 20010203 text/plain 76\n1 0 Origin\nURL IP-address Archive-date Content-type Archive-length\n\n"
     body = v1[v1.index(b"\n") + 1 :]
@@ -454,6 +658,40 @@ def test_media_round_trip(docs, none, spark):
     assert media.load(spark, empty).count() == 0
 
 
+def test_media_figures(spark):
+    """Stored form and feature, from the PNG format and plain counts."""
+    texts = {1: "", 2: "aé" * 700, 3: "x" * 576, 4: None}
+    path = scratch_path(spark, "t-media")
+    media.store(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path)
+    for r in media.features(media.load(spark, path)).collect():
+        payload = (texts[r.doc_id] or "").encode()
+        payload += b"\xff" * (-len(payload) % 576 if payload else 576)
+        lines = b"".join(b"\0" + payload[i : i + 576] for i in range(0, len(payload), 576))
+        png = b"\x89PNG\r\n\x1a\n"
+        for kind, body in ((b"IHDR", (576).to_bytes(4, "big") + (len(payload) // 576).to_bytes(4, "big") + b"\x08\0\0\0\0"), (b"IDAT", zlib.compress(lines, 1)), (b"IEND", b"")):
+            png += len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        n = len(payload)
+        mean = sum(payload) / n
+        dev = math.sqrt(sum((x - mean) ** 2 for x in payload) / n)
+        bits = -sum(c / n * math.log2(c / n) for c in Counter(payload).values())
+        bands = [sum(x // 32 == k for x in payload) / n for k in range(8)]
+        want = [mean, dev, bits, *bands]
+        got = [float(x) for x in r.feature.replace("mean=", "").replace("dev=", "").replace("bits=", "").replace("bands=", "").replace(";", ",").split(",")]
+        assert np.allclose(got, want, atol=1e-4)
+
+
+def test_number_of_media_ranges_is_bounded(tmp_path):
+    path = f"file://{tmp_path}/m"
+    w = media.ArchiveWriter({"path": path, "file_bytes": "20000"})
+    members = {i: bytes([i]) * 1000 for i in range(100)}
+    w.commit([w.write(iter([media._batch(list(members), list(members.values()))]))])
+    reader = media.ArchiveReader({"path": path, "range_bytes": "10", "most_ranges": "8"})
+    parts = reader.partitions()
+    assert len(parts) <= 16
+    assert {k: m for p in parts for b in reader.read(p) for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)} == members
+
+
 def test_media_ranges_and_retries(tmp_path, monkeypatch):
     path = f"file://{tmp_path}/m"
     w = media.ArchiveWriter({"path": path, "file_bytes": "3000"})
