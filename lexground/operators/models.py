@@ -57,7 +57,7 @@ def assign_nearest(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
             if len(b):
                 yield pd.DataFrame({EX: b[EX], "idx": b["idx"], "k": kn.squared_distances(np.stack(b["vec"].to_numpy()), centroids).argmin(1)})
 
-    return vectors.select(EX, "idx", "vec").mapInPandas(run, f"{EX} long, idx int, k int")
+    return vectors.select(EX, "idx", "vec", *_own_prior(vectors)).mapInPandas(run, f"{EX} long, idx int, k int")
 
 
 def image_prior(post: DataFrame) -> DataFrame:
@@ -424,19 +424,34 @@ def stats_arrays(stats: DataFrame, k: int, dim: int) -> tuple[np.ndarray, np.nda
     return n, total
 
 
-def log_predictive(vectors: DataFrame, n: np.ndarray, total: np.ndarray, mu0: np.ndarray, var: float, var0: float, alpha: float = 1.0) -> DataFrame:
-    """(example_idx, idx, logp ARRAY, log_prior, log_marginal): densities under every component, under the prior, and of the mixture."""
+def _priors(batch: pd.DataFrame, n: np.ndarray, alpha: float) -> np.ndarray:
+    """Log prior of the components: by their counts, or of each row where it has its own in ``prior``."""
+    prior = kn.component_log_prior(n, alpha)
+    if "prior" not in batch:
+        return prior
+    return np.stack([prior if p is None else np.asarray(p, float) for p in batch["prior"]])
+
+
+def log_predictive(vectors: DataFrame, n: np.ndarray, total: np.ndarray, mu0: np.ndarray, var: float, var0: float, alpha: float = 1.0, scale: bool = False) -> DataFrame:
+    """(example_idx, idx, logp ARRAY, log_prior, log_marginal): densities under every component, under the prior, and of the mixture.
+
+    A column ``prior ARRAY`` of the vectors holds log priors of their own. ``scale``: the mixture takes each vector's densities less
+    their sum over the components."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mean, prec = kn.component_posterior(n, total, mu0, var, var0)
-        prior = kn.component_log_prior(n, alpha)
         for b in batches:
             if len(b):
                 x = np.stack(b["vec"].to_numpy())
                 d = kn.log_densities(x, mean, prec)
-                yield pd.DataFrame({EX: b[EX], "idx": b["idx"], "logp": list(d), "log_prior": kn.log_densities(x, mu0[None], np.array([1 / var0]))[:, 0], "log_marginal": kn.log_sum_exp(d + prior)})
+                own = _priors(b, n, alpha) - (kn.log_sum_exp(d)[:, None] if scale else 0)
+                yield pd.DataFrame({EX: b[EX], "idx": b["idx"], "logp": list(d), "log_prior": kn.log_densities(x, mu0[None], np.array([1 / var0]))[:, 0], "log_marginal": kn.log_sum_exp(d + own)})
+
+    return vectors.select(EX, "idx", "vec", *_own_prior(vectors)).mapInPandas(run, f"{EX} long, idx int, logp array<double>, log_prior double, log_marginal double")
+
 
-    return vectors.select(EX, "idx", "vec").mapInPandas(run, f"{EX} long, idx int, logp array<double>, log_prior double, log_marginal double")
+def _own_prior(vectors: DataFrame) -> list[str]:
+    return [c for c in vectors.columns if c == "prior"]
 
 
 def log_marginal(stats: DataFrame, k: int, mu0: float, var: float, var0: float, alpha: float) -> DataFrame:
@@ -458,11 +473,10 @@ def gmm_assign(vectors: DataFrame, n: np.ndarray, total: np.ndarray, mu0: np.nda
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mean, prec = kn.component_posterior(n, total, mu0, var, var0)
-        prior = kn.component_log_prior(n, alpha)
         for b in batches:
             if not len(b):
                 continue
-            s = kn.log_densities(np.stack(b["vec"].to_numpy()), mean, prec) + prior
+            s = kn.log_densities(np.stack(b["vec"].to_numpy()), mean, prec) + _priors(b, n, alpha)
             if temp is None:
                 k = s.argmax(1)
             else:
@@ -471,7 +485,7 @@ def gmm_assign(vectors: DataFrame, n: np.ndarray, total: np.ndarray, mu0: np.nda
                 k = np.minimum((w < (u * w[:, -1])[:, None]).sum(1), len(n) - 1)
             yield pd.DataFrame({EX: b[EX], "idx": b["idx"], "k": k})
 
-    return vectors.select(EX, "idx", "vec").mapInPandas(run, f"{EX} long, idx int, k int")
+    return vectors.select(EX, "idx", "vec", *_own_prior(vectors)).mapInPandas(run, f"{EX} long, idx int, k int")
 
 
 def shrink_components(assign: DataFrame, k: int) -> DataFrame:
@@ -491,32 +505,56 @@ def shrink_and_assign(vectors: DataFrame, assign: DataFrame, k: int, mu0: np.nda
     return held.where("k is not null").select(EX, "idx", F.col("k").cast("int").alias("k")).unionByName(again)
 
 
-def segment_acoustic(candidates: DataFrame, comps: int, mu0: np.ndarray, var: float, var0: float, alpha: float, rounds: int, seed: int, power: float = 1.0, length_term: str = "duration", temp: float | None = None) -> DataFrame:
+def component_prior(state: DataFrame, images: DataFrame, comps: int, alpha: float = 1.0, inner: int = 3, floor: float = 1e-30) -> DataFrame:
+    """M27, the realign step: (example_idx, prior ARRAY), log p(component given the example's image).
+
+    The components of ``state(example_idx, start, k)`` in order are target words for the concepts of ``images(example_idx, idx, post
+    ARRAY)``: ``inner`` rounds of M11 from a uniform table, then M31 with p(component given concept) by the components' counts."""
+    tokens = state.select(EX, (F.row_number().over(Window.partitionBy(EX).orderBy("start")) - 1).alias("t"), F.col("k").alias("w"))
+    q = images.select(EX, F.col("idx").alias("j"), F.posexplode("post").alias("k", "q"))
+    ks = images.agg(F.max(F.size("post"))).first()[0] or 1
+    spark = state.sparkSession
+    table = spark.range(comps).select(F.col("id").cast("int").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(ks - 1))).alias("k"), F.lit(1 / ks).alias("p"))
+    for i in range(inner):
+        table = cut(mixture_round(tokens, q, table, alpha, ks)[0], f"realign-{i}")
+    joint = table.join(tokens.groupBy("w").agg(F.count("*").alias("n")), "w", "left").select("w", "k", (F.col("p") * (F.coalesce("n", F.lit(0)) + alpha / comps)).alias("c"))
+    given = joint.select(F.col("w").cast("string").alias("word"), "k", (F.col("c") / F.sum("c").over(Window.partitionBy("k"))).alias("p"))
+    prior = word_prior(q.select(EX, F.col("j").alias("idx"), "k", F.col("q").alias("p")), given, floor=floor)
+    return prior.groupBy(EX).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("word").cast("int").alias("w"), "log_p"))), lambda x: x["log_p"]).alias("prior"))
+
+
+def segment_acoustic(candidates: DataFrame, comps: int, mu0: np.ndarray, var: float, var0: float, alpha: float, rounds: int, seed: int, power: float = 1.0, length_term: str = "duration", temp: float | None = None, penalty: float = 0.0, images: DataFrame | None = None, scale_from: int = 200) -> DataFrame:
     """(example_idx, start, end, k) of ``candidates(example_idx, start, end, dur, vec)`` after ``rounds`` of: log-marginals of all
     candidates, a segmentation of every example, new assignments, new counts.
 
-    A candidate's score is its log-marginal times dur**power; ``length_term='poisson'`` adds -lgamma(L + 1) - 1 for its L
-    landmarks instead. Segmentations are the best ones, or drawn with ``temp``.
+    A candidate's score is its log-marginal times dur**power plus ``penalty``; ``length_term='poisson'`` adds -lgamma(L + 1) - 1 for its L
+    landmarks instead of the power. Vectors of ``scale_from`` dimensions or more are normalised over the components. Segmentations are
+    the best ones, or drawn with ``temp``. With ``images(example_idx, idx, post ARRAY)`` every round ends with a
+    realignment, and the next takes each example's own component prior from it.
     """
+
     @F.pandas_udf("double")
     def log_factorial(x: pd.Series) -> pd.Series:
         return x.map({n: math.lgamma(n + 1) for n in x.unique()})
 
     keyed = cut(candidates.withColumn("idx", (F.col("end") * (F.col("end") - 1) / 2 + F.col("start")).cast("int")), "acoustic")
     n, total = np.zeros(comps), np.zeros((comps, len(mu0)))
-    state = None
+    state = prior = None
     for r in range(rounds):
-        marg = log_predictive(keyed, n, total, mu0, var, var0, alpha).select(EX, "idx", "log_marginal")
+        own_prior = keyed if prior is None else keyed.join(prior, EX, "left")
+        marg = log_predictive(own_prior, n, total, mu0, var, var0, alpha, len(mu0) >= scale_from).select(EX, "idx", "log_marginal")
         size = F.col("end") - F.col("start")
         score = F.col("log_marginal") * F.pow(F.col("dur").cast("double"), F.lit(power)) if length_term == "duration" else F.col("log_marginal") - log_factorial(size) - 1
-        scored = keyed.join(marg, [EX, "idx"]).withColumn("log_p", score)
+        scored = keyed.join(marg, [EX, "idx"]).withColumn("log_p", score + penalty)
         chosen = segment_viterbi(scored) if temp is None else segment_sample(scored, temp, seed + r)
-        own = cut(chosen.join(keyed, [EX, "start", "end"]), f"acoustic-segments-{r}")
+        own = cut(chosen.join(own_prior, [EX, "start", "end"]), f"acoustic-segments-{r}")
         first = state is None
         # Round one has no counts: components are dealt by a hash.
         assign = own.select(EX, "idx", F.pmod(F.xxhash64(EX, "idx", F.lit(seed)), F.lit(comps)).cast("int").alias("k")) if first else gmm_assign(own, n, total, mu0, var, var0, alpha, temp, seed + r)
-        state = cut(own.join(assign, [EX, "idx"]), f"acoustic-state-{r}")
+        state = cut(own.drop("prior").join(assign, [EX, "idx"]), f"acoustic-state-{r}")
         n, total = stats_arrays(component_stats(state.select("k", "vec"), 0.0, var, var0), comps, len(mu0))
+        if images is not None:
+            prior = cut(component_prior(state, images, comps, alpha), f"acoustic-prior-{r}")
     return state.select(EX, "start", "end", "k")
 
 

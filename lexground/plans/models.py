@@ -380,6 +380,12 @@ def m27_acoustic_poisson(spark, d):
     return md.segment_acoustic(acoustic(spark, d), 4, np.zeros(DIM), VAR, VAR0, 1.0, 2, 3, length_term="poisson", temp=1.0)
 
 
+@register("m27_acoustic_realigned")
+def m27_acoustic_realigned(spark, d):
+    """With concepts of the images, an insertion penalty, and densities normalised over the components."""
+    return md.segment_acoustic(acoustic(spark, d), 4, np.zeros(DIM), VAR, VAR0, 1.0, 2, 3, penalty=-0.5, images=md.posteriors(fx.regions(spark, d), centers(spark, d), WIDTH), scale_from=2)
+
+
 @register("m28_words", f"""WITH {REGIONS}, wd(word, pos, len, k) AS (VALUES ('ab', 0, 2, 0), ('ab', 1, 2, 1), ('bc', 0, 2, 1), ('bc', 1, 2, 2)), u AS (SELECT example_idx, idx // 2 AS seg, idx % 2 AS pos, CAST(k AS INTEGER) AS k, vec[k + 1] AS logp FROM regions, range(0, 3) r(k))
 SELECT example_idx, CAST(seg AS INTEGER) AS seg, word, round(avg(logp) + ln(0.3) + ln(0.7) - 2 * ln(3), 6) AS score FROM u JOIN wd USING (pos, k) GROUP BY ALL HAVING count(*) = 2""")
 def m28_words(spark, d):

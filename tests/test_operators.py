@@ -405,3 +405,26 @@ def test_retrieval_in_blocks(spark):
 
 def rows_of(df):
     return sorted(map(tuple, df.collect()))
+
+
+def test_component_prior_follows_the_image(spark):
+    """Component 0 is said of concept 0 and component 1 of concept 1: an image of concept 1 expects component 1."""
+    state = spark.createDataFrame([(e, 0, e % 2) for e in range(20)], "example_idx long, start int, k int")
+    images = spark.createDataFrame([(e, 0, [0.99, 0.01] if e % 2 == 0 else [0.01, 0.99]) for e in range(20)], "example_idx long, idx int, post array<double>")
+    got = {r.example_idx: np.exp(r.prior) for r in md.component_prior(state, images, 2, inner=8).collect()}
+    assert len(got) == 20 and all(np.isclose(p.sum(), 1) and p[e % 2] > 0.7 for e, p in got.items())
+
+
+def test_own_priors_and_scaled_densities(spark):
+    x, n = np.array([0.2, 0.9]), np.array([3.0, 1.0])
+    total = np.array([[0.3, 0.3], [2.0, 2.0]])
+    own = [math.log(0.1), math.log(0.9)]
+    mean, prec = kn.component_posterior(n, total, np.zeros(2), 1.0, 2.0)
+    d = kn.log_densities(x[None], mean, prec)[0]
+    for prior in (None, own):
+        schema = "example_idx long, idx int, vec array<double>" + (", prior array<double>" if prior else "")
+        t = spark.createDataFrame([(0, 0, x.tolist(), *([prior] if prior else []))], schema)
+        p = np.array(prior) if prior else kn.component_log_prior(n, 1.0)
+        for scale in (False, True):
+            want = np.log(np.exp(d + p).sum()) - (np.log(np.exp(d).sum()) if scale else 0)
+            assert np.isclose(md.log_predictive(t, n, total, np.zeros(2), 1.0, 2.0, 1.0, scale).first().log_marginal, want)
