@@ -138,9 +138,12 @@ def m6_crp_loglik(spark, d):
     return md.crp_loglik(seats(spark, d), base(spark, d), 2.0).withColumn("loglik", F.round("loglik", 3))
 
 
-@register("m7_span_scores", f"""WITH {GRAMS}, {PRIOR}, x AS (SELECT u.example_idx, u.t AS s, n, string_agg(v.gold, ',' ORDER BY v.t) AS seg, sum(ln(p)) AS l FROM units u CROSS JOIN range(1, 4) r(n) JOIN units v ON v.example_idx = u.example_idx AND v.t >= u.t AND v.t < u.t + n JOIN pr0 ON v.gold = token GROUP BY ALL HAVING count(*) = n),
-c AS (SELECT ngram, count(*) AS n, sum(count(*)) OVER () AS total FROM iv GROUP BY ngram)
-SELECT example_idx, s AS start, CAST(s + x.n AS INTEGER) AS "end", round(CASE WHEN c.n IS NULL THEN ln(3.0 / (3 + (SELECT max(total) FROM c))) + l ELSE ln((3 * exp(l) + c.n) / (3 + total)) END, 5) AS log_p FROM x LEFT JOIN c ON seg = ngram""")
+SPANS = f"""{GRAMS}, {PRIOR}, x AS (SELECT u.example_idx, u.t AS s, n, string_agg(v.gold, ',' ORDER BY v.t) AS seg, sum(ln(p)) AS l FROM units u CROSS JOIN range(1, 4) r(n) JOIN units v ON v.example_idx = u.example_idx AND v.t >= u.t AND v.t < u.t + n JOIN pr0 ON v.gold = token GROUP BY ALL HAVING count(*) = n),
+c AS (SELECT ngram, count(*) AS n, sum(count(*)) OVER () AS total FROM iv GROUP BY ngram),
+sp AS (SELECT example_idx, s AS start, CAST(s + x.n AS INTEGER) AS "end", CASE WHEN c.n IS NULL THEN ln(3.0 / (3 + (SELECT max(total) FROM c))) + l ELSE ln((3 * exp(l) + c.n) / (3 + total)) END AS log_p FROM x LEFT JOIN c ON seg = ngram)"""
+
+
+@register("m7_span_scores", f'WITH {SPANS} SELECT example_idx, start, "end", round(log_p, 5) AS log_p FROM sp')
 def m7_span_scores(spark, d):
     return scored_spans(spark, d).select("example_idx", "start", "end", F.round("log_p", 5).alias("log_p"))
 
@@ -154,7 +157,12 @@ def scored_spans(spark, d):
     return md.span_scores(md.spans(tok, 3), probs, prior, 3.0, total)
 
 
-@register("m8_viterbi")
+@register("m8_viterbi", f"""WITH RECURSIVE {SPANS}, ends AS (SELECT example_idx, "end" AS e, list(log_p ORDER BY "end" - start) AS p FROM sp GROUP BY ALL),
+v(example_idx, e, best, back) AS (SELECT DISTINCT example_idx, 0, [0.0::DOUBLE], CAST([] AS BIGINT[]) FROM sp UNION ALL
+SELECT example_idx, e, list_append(best, list_max(tried)), list_append(back, len(tried) + 1 - list_position(list_reverse(tried), list_max(tried)))
+FROM (SELECT v.example_idx, ends.e, best, back, list_transform(p, lambda q, l: q + best[ends.e - l + 1]) AS tried FROM v JOIN ends ON ends.example_idx = v.example_idx AND ends.e = v.e + 1)),
+cuts(example_idx, e, back) AS (SELECT example_idx, max(e), max_by(back, e) FROM v GROUP BY example_idx UNION ALL SELECT example_idx, e - back[e], back FROM cuts WHERE e - back[e] > 0)
+SELECT example_idx, CAST(e - back[e] AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM cuts""")
 def m8_viterbi(spark, d):
     return md.segment_viterbi(scored_spans(spark, d))
 
@@ -205,19 +213,85 @@ def m13_scores(spark, d):
 
 
 def hmm_inputs(spark, d):
-    """Examples, and parameters whose concepts prefer their own label."""
+    """Examples, and parameters whose concepts prefer their own label, whose early regions come first and whose jumps are short."""
     post = md.posteriors(fx.regions(spark, d), centers(spark, d), WIDTH)
     tokens = fx.regions(spark, d).select("example_idx", F.col("idx").alias("t"), F.col("label").alias("w"))
     lengths = [r[0] for r in post.groupBy("example_idx").count().select("count").distinct().collect()]
-    return md.pack_examples(tokens, post), md.start_params(lengths, K, K, (np.ones((K, K)) + np.eye(K)) / (K + 1))
-
-
-@register("m14_estep")
+    params = md.start_params(lengths, K, K, (np.ones((K, K)) + np.eye(K)) / (K + 1))
+    for n in lengths:
+        at = np.arange(n)
+        first, jump = 1 / (at + 1), 1 / (1 + np.abs(at[:, None] - at[None]))
+        params["init"][n], params["trans"][n] = first / first.sum(), jump / jump.sum(1, keepdims=True)
+    return md.pack_examples(tokens, post), params
+
+
+# The same model in SQL, unrolled over the five tokens of an example.
+HMM = f"""{POST}, sz AS (SELECT example_idx, count(*) AS n FROM regions GROUP BY example_idx), ns AS (SELECT DISTINCT n FROM sz),
+ini AS (SELECT n, i, 1.0::DOUBLE / (i + 1) / sum(1.0::DOUBLE / (i + 1)) OVER (PARTITION BY n) AS v FROM ns, range(0, 5) r(i) WHERE i < n),
+tr AS (SELECT n, i, j, 1.0::DOUBLE / (1 + abs(i - j)) / sum(1.0::DOUBLE / (1 + abs(i - j))) OVER (PARTITION BY n, i) AS v FROM ns, range(0, 5) a(i), range(0, 5) b(j) WHERE i < n AND j < n),
+em AS (SELECT example_idx, idx AS t, label AS w, k, (1 + CASE WHEN k = label THEN 1 ELSE 0 END) / 11.0::DOUBLE AS b FROM regions, range(0, 10) r(k))"""
+
+
+def forward_sql(pi: str = "post", keys: str = "example_idx") -> str:
+    """f0 to f4: joint weights of the tokens up to t and of the state (region, concept)."""
+    out = [f"f0 AS (SELECT {keys}, idx, k, v * p * b AS f FROM {pi} JOIN sz USING (example_idx) JOIN ini ON ini.n = sz.n AND ini.i = idx JOIN em USING (example_idx, k) WHERE t = 0)"]
+    for t in range(1, 5):
+        out.append(f"o{t} AS (SELECT {keys}, idx, sum(f) AS own FROM f{t - 1} GROUP BY ALL)")
+        out.append(f"c{t} AS (SELECT {keys}, tr.j AS idx, sum(CASE WHEN tr.i <> tr.j THEN own * v ELSE 0 END) AS came FROM o{t} JOIN sz USING (example_idx) JOIN tr ON tr.n = sz.n AND tr.i = o{t}.idx GROUP BY ALL)")
+        out.append(f"f{t} AS (SELECT {keys}, idx, k, (v * f + came * p) * b AS f FROM f{t - 1} JOIN c{t} USING ({keys}, idx) JOIN {pi} USING ({keys}, idx, k) JOIN sz USING (example_idx) JOIN tr ON tr.n = sz.n AND tr.i = idx AND tr.j = idx JOIN em USING (example_idx, k) WHERE t = {t})")
+    return ", ".join(out)
+
+
+LIKE = "lk AS (SELECT example_idx, sum(f) AS z FROM f4 GROUP BY example_idx)"
+
+
+def backward_sql() -> str:
+    """b4 to b0: weights of the tokens after t given the state; n4 to n1 with the token's own emission, e4 to e1 summed over concepts."""
+    out = ["b4 AS (SELECT example_idx, idx, k, 1.0::DOUBLE AS v FROM post)"]
+    for t in range(4, 0, -1):
+        out.append(f"n{t} AS (SELECT example_idx, idx, k, b{t}.v * b AS x FROM b{t} JOIN em USING (example_idx, k) WHERE t = {t})")
+        out.append(f"e{t} AS (SELECT example_idx, idx, sum(p * x) AS enter FROM n{t} JOIN post USING (example_idx, idx, k) GROUP BY ALL)")
+        out.append(f"m{t} AS (SELECT example_idx, tr.i AS idx, sum(CASE WHEN tr.i <> tr.j THEN v * enter ELSE 0 END) AS away, max(CASE WHEN tr.i = tr.j THEN v END) AS stay FROM e{t} JOIN sz USING (example_idx) JOIN tr ON tr.n = sz.n AND tr.j = e{t}.idx GROUP BY ALL)")
+        out.append(f"b{t - 1} AS (SELECT example_idx, idx, k, stay * x + away AS v FROM n{t} JOIN m{t} USING (example_idx, idx))")
+    return ", ".join(out)
+
+
+GAMMA = "g AS (" + " UNION ALL ".join(f"SELECT example_idx, {t} AS t, idx, k, f * v / z AS g FROM f{t} JOIN b{t} USING (example_idx, idx, k) JOIN lk USING (example_idx)" for t in range(5)) + ")"
+XI = "xi AS (" + " UNION ALL ".join(
+    f"SELECT o.example_idx, sz.n, tr.i, tr.j, CASE WHEN tr.i = tr.j THEN v * same ELSE v * own * enter END / z AS x FROM o{t} o JOIN (SELECT example_idx, idx, sum(f * x) AS same FROM f{t - 1} JOIN n{t} USING (example_idx, idx, k) GROUP BY ALL) s USING (example_idx, idx) JOIN sz USING (example_idx) JOIN lk USING (example_idx) JOIN tr ON tr.n = sz.n AND tr.i = o.idx JOIN e{t} e ON e.example_idx = o.example_idx AND e.idx = tr.j"
+    for t in range(1, 5)
+) + ")"
+ESTEP = f"""WITH {HMM}, {forward_sql()}, {LIKE}, {backward_sql()}, {GAMMA}, {XI},
+cn AS (SELECT 'obs' AS kind, 0 AS m, k AS i, w AS j, sum(g) AS value FROM g JOIN (SELECT DISTINCT example_idx, t, w FROM em) USING (example_idx, t) GROUP BY ALL
+UNION ALL SELECT 'init', n, idx, 0, sum(g) FROM g JOIN sz USING (example_idx) GROUP BY ALL UNION ALL SELECT 'trans', n, i, j, sum(x) FROM xi GROUP BY ALL
+UNION ALL SELECT 'loglik', n, 0, 0, sum(ln(z)) FROM lk JOIN sz USING (example_idx) GROUP BY ALL UNION ALL SELECT 'examples', n, 0, 0, count(*) FROM sz GROUP BY ALL)
+SELECT kind, CAST(m AS INTEGER) AS m, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(value, 6) AS value FROM cn"""
+CONCEPTS = f"""WITH {HMM}, held AS (SELECT post.example_idx, hi, hk, idx, k, CASE WHEN idx <> hi THEN p WHEN k = hk THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p FROM post JOIN sz USING (example_idx), range(0, 5) a(hi), range(0, 10) b(hk) WHERE hi < n),
+{forward_sql("held", "example_idx, hi, hk")}, z AS (SELECT example_idx, hi AS idx, hk AS k, sum(f) AS z FROM f4 GROUP BY ALL)
+SELECT example_idx, CAST(idx AS INTEGER) AS idx, CAST(k AS INTEGER) AS k, round(z * p / sum(z * p) OVER (PARTITION BY example_idx, idx), 6) AS p FROM z JOIN post USING (example_idx, idx, k)"""
+
+
+def viterbi_sql() -> str:
+    out = ["es AS (SELECT example_idx, t, idx, ln(greatest(sum(p * b), 1e-300)) AS le FROM post JOIN em USING (example_idx, k) GROUP BY ALL)"]
+    out.append("v0 AS (SELECT example_idx, 0 AS t, idx, ln(v) + le AS s, -1 AS prev FROM es JOIN sz USING (example_idx) JOIN ini ON ini.n = sz.n AND ini.i = idx WHERE t = 0)")
+    for t in range(1, 5):
+        out.append(f"w{t} AS (SELECT v{t - 1}.example_idx, tr.j AS idx, s + ln(v) AS s, v{t - 1}.idx AS prev FROM v{t - 1} JOIN sz USING (example_idx) JOIN tr ON tr.n = sz.n AND tr.i = v{t - 1}.idx)")
+        out.append(f"v{t} AS (SELECT x.example_idx, {t} AS t, x.idx, x.s + le AS s, prev FROM (SELECT *, row_number() OVER (PARTITION BY example_idx, idx ORDER BY s DESC, prev) AS r FROM w{t}) x JOIN es ON es.example_idx = x.example_idx AND es.idx = x.idx AND es.t = {t} WHERE r = 1)")
+    out.append("p4 AS (SELECT example_idx, 4 AS t, idx AS region FROM (SELECT *, row_number() OVER (PARTITION BY example_idx ORDER BY s DESC, idx) AS r FROM v4) WHERE r = 1)")
+    out += [f"p{t} AS (SELECT example_idx, {t} AS t, prev AS region FROM v{t + 1} JOIN p{t + 1} ON v{t + 1}.example_idx = p{t + 1}.example_idx AND v{t + 1}.idx = p{t + 1}.region)".replace("SELECT example_idx", f"SELECT v{t + 1}.example_idx") for t in range(3, -1, -1)]
+    every = lambda x: " UNION ALL ".join(f"SELECT example_idx, t, {x[1]} FROM {x[0]}{t}" for t in range(5))
+    out.append(f"sc AS (SELECT example_idx, t, idx, exp(s - max(s) OVER (PARTITION BY example_idx, t)) AS s FROM ({every(('v', 'idx, s'))}))")
+    out.append("pr AS (SELECT example_idx, t, idx AS region, s / sum(s) OVER (PARTITION BY example_idx, t) AS score FROM sc)")
+    out.append(f"pt AS ({every(('p', 'region'))})")
+    return ", ".join(out)
+
+
+@register("m14_estep", ESTEP)
 def m14_estep(spark, d):
     return rounded(md.hmm_estep(*hmm_inputs(spark, d)), "value")
 
 
-@register("m14_concept_counts")
+@register("m14_concept_counts", CONCEPTS)
 def m14_concept_counts(spark, d):
     return rounded(md.concept_counts(*hmm_inputs(spark, d)), "p")
 
@@ -255,7 +329,7 @@ def m17_train_hmm(spark, d):
     return md.align_viterbi(md.pack_examples(tokens, md.posteriors(r, mu, WIDTH)), params).drop("score")
 
 
-@register("m18_viterbi")
+@register("m18_viterbi", f"WITH {HMM}, {viterbi_sql()} SELECT example_idx, CAST(t AS INTEGER) AS t, CAST(region AS INTEGER) AS region, round(score, 6) AS score FROM pt JOIN pr USING (example_idx, t, region)")
 def m18_viterbi(spark, d):
     return rounded(md.align_viterbi(*hmm_inputs(spark, d)), "score")
 
@@ -273,7 +347,7 @@ def m19_positions(spark, d):
     return md.decode_positions(long_post(spark, d).select("example_idx", F.col("idx").alias("t"), "k", F.col("p").alias("value")))
 
 
-@register("m20_loglik")
+@register("m20_loglik", f"WITH {HMM}, {forward_sql()}, {LIKE} SELECT round(avg(ln(z)), 6) AS loglik FROM lk")
 def m20_loglik(spark, d):
     return rounded(md.avg_loglik(*hmm_inputs(spark, d)), "loglik")
 
