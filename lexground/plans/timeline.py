@@ -241,7 +241,20 @@ def f22_snap_boundaries(spark, d):
     return out.select("example_idx", F.col("b").cast("int").alias("b"), "frame")
 
 
-@register("f23_dendrogram")
+def dendrogram_sql(levels: int = 2) -> str:
+    """Level by level: the mean distance across every inner boundary; a boundary goes if both its neighbours' are larger."""
+    out = ["fr AS (SELECT example_idx, idx, vec FROM regions)", "pd AS (SELECT a.example_idx, a.idx AS i, b.idx AS j, list_distance(a.vec, b.vec) AS d FROM fr a JOIN fr b ON a.example_idx = b.example_idx AND a.idx < b.idx)",
+           "k0 AS (SELECT example_idx, idx AS b FROM fr UNION ALL SELECT example_idx, count(*) FROM fr GROUP BY example_idx)"]
+    for lv in range(levels):
+        out.append(f"t{lv} AS (SELECT example_idx, b, lag(b) OVER w AS a, lead(b) OVER w AS c FROM k{lv} WINDOW w AS (PARTITION BY example_idx ORDER BY b))")
+        out.append(f"h{lv} AS (SELECT t.example_idx, b, avg(d) AS gap FROM t{lv} t JOIN pd ON pd.example_idx = t.example_idx AND i >= a AND i < b AND j >= b AND j < c GROUP BY ALL)")
+        out.append(f"n{lv} AS (SELECT t.example_idx, t.b, coalesce(gap, 'inf'::DOUBLE) AS gap FROM t{lv} t LEFT JOIN h{lv} h ON h.example_idx = t.example_idx AND h.b = t.b)")
+        out.append(f"k{lv + 1} AS (SELECT example_idx, b FROM (SELECT *, lag(gap) OVER w AS before, lead(gap) OVER w AS after FROM n{lv} WINDOW w AS (PARTITION BY example_idx ORDER BY b)) WHERE before IS NULL OR after IS NULL OR NOT (gap < before AND gap < after))")
+    rows = " UNION ALL ".join(f"SELECT example_idx, {lv} AS level, CAST(row_number() OVER (PARTITION BY example_idx ORDER BY b) - 1 AS INTEGER) AS lm_idx, CAST(b AS INTEGER) AS frame FROM k{lv + 1}" for lv in range(levels))
+    return f"WITH {fx.REGIONS}, {', '.join(out)} {rows}"
+
+
+@register("f23_dendrogram", dendrogram_sql())
 def f23_dendrogram(spark, d):
     return seg.dendrogram(fx.regions(spark, d), levels=2)
 
