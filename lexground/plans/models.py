@@ -188,7 +188,18 @@ def m11_mixture_loglik(spark, d):
     return md.mixture_round(pairs(spark, d), likelihoods(spark, d), start_table(spark, d), 2.0, K)[1].withColumn("loglik", F.round("loglik", 5))
 
 
-@register("m11_train_mixture")
+def mixture_sql(rounds: int) -> str:
+    """t0 is the start table, and t1 to t<rounds> follow from one another."""
+    out = ["t0 AS (SELECT * FROM tb)"]
+    for r in range(rounds):
+        out.append(f"a{r} AS (SELECT example_idx, t, w, j, sum(p * q) AS a FROM pairs JOIN q USING (example_idx) JOIN t{r} USING (w, k) GROUP BY ALL)")
+        out.append(f"s{r} AS (SELECT *, a / sum(a) OVER (PARTITION BY example_idx, j) AS c FROM a{r})")
+        out.append(f"n{r} AS (SELECT w, k, sum(c * p) AS c FROM s{r} JOIN (SELECT example_idx, idx AS j, k, p FROM post) USING (example_idx, j) GROUP BY ALL)")
+        out.append(f"t{r + 1} AS (SELECT w, k, (2.0::DOUBLE / 10 + coalesce(c, 0)) / (2.0::DOUBLE + sum(coalesce(c, 0)) OVER (PARTITION BY w)) AS p FROM t{r} LEFT JOIN n{r} USING (w, k))")
+    return ", ".join(out)
+
+
+@register("m11_train_mixture", f"WITH {TERMS}, {mixture_sql(3)} SELECT w, k, round(p, 6) AS p FROM t3")
 def m11_train_mixture(spark, d):
     return rounded(md.train_mixture(pairs(spark, d), cut(likelihoods(spark, d)), start_table(spark, d), 3, 2.0, K)[0], "p")
 
