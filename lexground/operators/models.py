@@ -345,22 +345,60 @@ def pack_examples(tokens: DataFrame, post: DataFrame) -> DataFrame:
     return a.join(b, EX)
 
 
-def train_hmm(tokens: DataFrame, vectors: DataFrame, centroids: np.ndarray, v: int, iters: int = 40, lr: float = 0.1, width: float = 1.0, obs: np.ndarray | None = None) -> tuple[dict, np.ndarray, list[float]]:
+def symbol_counts(examples: DataFrame, params: dict) -> DataFrame:
+    """M17, acoustic: (example_idx, idx, k, p): posterior of each frame's symbol k given the example, for tokens that are rows of
+    symbol posteriors."""
+    held = examples.sparkSession.sparkContext.broadcast(params)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = held.value
+        for b in batches:
+            for ex, tokens, post in zip(b[EX], b["tokens"], b["post"], strict=True):
+                pi, x = (np.stack([np.asarray(r, float) for r in rows]) for rows in (post, tokens))
+                emit = x @ p["obs"].T
+                gamma = kn.hmm_estep(pi, p["init"][len(pi)], p["trans"][len(pi)], emit)["gamma"]
+                c = x * (gamma / np.maximum(emit, 1e-300) @ p["obs"])
+                t, k = np.indices(c.shape)
+                yield pd.DataFrame({EX: ex, "idx": t.ravel(), "k": k.ravel(), "p": c.ravel()})
+
+    return examples.select(EX, "tokens", "post").where((F.size("tokens") > 0) & (F.size("post") > 0)).mapInPandas(run, f"{EX} long, idx int, k int, p double")
+
+
+def train_hmm(tokens: DataFrame | None, vectors: DataFrame, centroids: np.ndarray, v: int, iters: int = 40, lr: float = 0.1, width: float = 1.0, obs: np.ndarray | None = None, frames: DataFrame | None = None, frame_centroids: np.ndarray | None = None, base: np.ndarray | None = None, alpha: float = 1.0) -> tuple[dict, np.ndarray, list[float]]:
     """(parameters, centroids, mean log-likelihood of each round). Each round: posteriors, E step, M step, gradient step on the
-    centroids; the learning rate falls tenfold every ten rounds."""
+    centroids; the learning rate falls tenfold every ten rounds.
+
+    Tokens are symbols (example_idx, t, w). Instead, ``frames(example_idx, idx, vec)`` are soft symbols by their posteriors under
+    ``frame_centroids``, which take gradient steps too and come back in the parameters as ``frames``. With ``base``, the prior
+    of the words, tokens are segments of M10 and emissions are M6's predictive probabilities with concentration ``alpha``."""
     lengths = [r[0] for r in vectors.groupBy(EX).count().select("count").distinct().collect()]
     params, curve = start_params(lengths, len(centroids), v, obs), []
+    if base is not None and obs is None:
+        params["obs"] = np.tile(base / base.sum(), (len(centroids), 1))
     for i in range(iters):
+        step = lr * 0.1 ** (i // 10)
         post = posteriors(vectors, centroids, width)
+        if frames is not None:
+            soft = posteriors(frames, frame_centroids, width)
+            tokens = soft.select(EX, F.col("idx").alias("t"), F.col("post").alias("w"))
         examples = cut(pack_examples(tokens, post), f"hmm-{i}")
         counts = cut(hmm_estep(examples, params), f"hmm-counts-{i}")
         totals = {r.kind: r.t for r in counts.where("kind in ('loglik', 'examples')").groupBy("kind").agg(F.sum("value").alias("t")).collect()}
         curve.append(totals["loglik"] / totals["examples"])
         new = params_of(hmm_mstep(counts), params)
-        long = post.select(EX, "idx", F.posexplode("post").alias("k", "p"))
+        if base is not None:
+            seats = np.zeros_like(params["obs"])
+            for r in counts.where("kind = 'obs'").collect():
+                seats[r.i, r.j] = r.value
+            new["obs"] = (alpha * base / base.sum() + seats) / (alpha + seats.sum(1, keepdims=True))
+        flat = lambda soft: soft.select(EX, "idx", F.posexplode("post").alias("k", "p"))
         if lr:
-            centroids, _ = gradient_step(long, concept_counts(examples, params), vectors, centroids, lr * 0.1 ** (i // 10), width)
+            centroids, _ = gradient_step(flat(post), concept_counts(examples, params), vectors, centroids, step, width)
+            if frames is not None:
+                frame_centroids, _ = gradient_step(flat(soft), symbol_counts(examples, params), frames, frame_centroids, step, width)
         params = new
+    if frames is not None:
+        params["frames"] = frame_centroids
     return params, centroids, curve
 
 

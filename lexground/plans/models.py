@@ -340,6 +340,27 @@ def m17_train_hmm(spark, d):
     return md.align_viterbi(md.pack_examples(tokens, md.posteriors(r, mu, WIDTH)), params).drop("score")
 
 
+@register("m17_train_acoustic")
+def m17_train_acoustic(spark, d):
+    """The vectors of an image's regions as its frames, too."""
+    r = fx.regions(spark, d)
+    mu = centers(spark, d)
+    params, _, _ = md.train_hmm(None, r, mu, K, 2, 0.1, WIDTH, (np.ones((K, K)) + np.eye(K)) / (K + 1), frames=r, frame_centroids=mu)
+    rows = [(k, i, float(params["frames"][k, i])) for k in range(K) for i in range(DIM)]
+    return rounded(spark.createDataFrame(rows, "k int, dim int, value double"), "value")
+
+
+@register("m17_train_segments")
+def m17_train_segments(spark, d):
+    """Emissions of words by their predictive probabilities; labels are the words."""
+    r = fx.regions(spark, d)
+    counts = {x.label: x["count"] for x in r.groupBy("label").count().collect()}
+    base = np.array([counts.get(k, 0) for k in range(K)], float)
+    params, _, _ = md.train_hmm(r.select("example_idx", F.col("idx").alias("t"), F.col("label").alias("w")), r, centers(spark, d), K, 2, 0.1, WIDTH, base=base, alpha=2.0)
+    rows = [(k, w, float(params["obs"][k, w])) for k in range(K) for w in range(K)]
+    return rounded(spark.createDataFrame(rows, "k int, w int, p double"), "p")
+
+
 @register("m18_viterbi", f"WITH {HMM}, {viterbi_sql()} SELECT example_idx, CAST(t AS INTEGER) AS t, CAST(region AS INTEGER) AS region, round(score, 6) AS score FROM pt JOIN pr USING (example_idx, t, region)")
 def m18_viterbi(spark, d):
     return rounded(md.align_viterbi(*hmm_inputs(spark, d)), "score")

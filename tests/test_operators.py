@@ -428,3 +428,48 @@ def test_own_priors_and_scaled_densities(spark):
         for scale in (False, True):
             want = np.log(np.exp(d + p).sum()) - (np.log(np.exp(d).sum()) if scale else 0)
             assert np.isclose(md.log_predictive(t, n, total, np.zeros(2), 1.0, 2.0, 1.0, scale).first().log_marginal, want)
+
+
+def hmm_tables(spark, examples=12, frames=3, seed=4):
+    """Two kinds of regions far apart; each token stands near its region's kind."""
+    rng = np.random.default_rng(seed)
+    kinds = [[int(k) for k in rng.permutation(2)] for _ in range(examples)]
+    spot = np.array([[0.0, 0.0], [4.0, 4.0]])
+    near = lambda k: [float(x) for x in spot[k] + rng.normal(0, 0.3, 2)]
+    regions = [(e, i, near(k)) for e, own in enumerate(kinds) for i, k in enumerate(own)]
+    said = [(e, t, own[t % 2]) for e, own in enumerate(kinds) for t in range(frames)]
+    vec = "example_idx long, idx int, vec array<double>"
+    return spark.createDataFrame(regions, vec), spark.createDataFrame(said, "example_idx long, t int, w int"), spark.createDataFrame([(e, t, near(k)) for e, t, k in said], vec), spot
+
+
+def test_acoustic_training_moves_frame_centroids(spark):
+    regions, _, frames, spot = hmm_tables(spark)
+    start = spot + 0.5
+    obs = np.array([[0.6, 0.4], [0.4, 0.6]])
+    params, _, curve = md.train_hmm(None, regions, spot, 2, 4, 2.0, 1.0, obs, frames=frames, frame_centroids=start)
+    assert np.abs(params["frames"] - spot).sum() < np.abs(start - spot).sum() and curve[-1] > curve[0]
+    assert params["obs"][0, 0] > obs[0, 0] + 0.05 and params["obs"][1, 1] > obs[1, 1] + 0.05  # sharper each round
+
+
+def test_symbol_counts_against_all_symbols(spark):
+    """Soft symbols are a sum over hard ones: their posterior by trying each symbol at a frame."""
+    pi, init, trans, _ = hmm_case()
+    rng = np.random.default_rng(9)
+    soft = rng.random((4, 2))
+    obs = np.array([[0.7, 0.3], [0.2, 0.8], [0.5, 0.5]])
+    e = spark.createDataFrame([(0, soft.tolist(), pi.tolist())], "example_idx long, tokens array<array<double>>, post array<array<double>>")
+    got = {(r.idx, r.k): r.p for r in md.symbol_counts(e, {"init": {2: init}, "trans": {2: trans}, "obs": obs}).collect()}
+    like = lambda x: math.exp(kn.hmm_estep(pi, init, trans, x @ obs.T)["loglik"])
+    for t in range(4):
+        for v in range(2):
+            one = soft.copy()
+            one[t] = 0
+            one[t, v] = soft[t, v]
+            assert np.isclose(got[t, v], like(one) / like(soft))
+
+
+def test_training_on_segments_smooths_by_the_base(spark):
+    regions, said, _, spot = hmm_tables(spark)
+    base = np.array([2.0, 1.0, 1.0])
+    params, _, _ = md.train_hmm(said, regions, spot, 3, 3, 0.0, 1.0, base=base, alpha=2.0)
+    assert np.allclose(params["obs"].sum(1), 1) and (params["obs"][:, 2] > 0.01).all()
