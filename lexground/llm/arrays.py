@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,9 +112,19 @@ def gather(words: Words, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), data])
 
 
+def release() -> None:
+    """Give memory that is no longer in use back to the system: Spark keeps Python workers for later tasks, and several share an
+    executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system's library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``columns`` hold about ``most`` bytes at a time; no row is ever cut."""
+    """The batches cut so that ``columns`` hold about ``most`` bytes at a time; no row is ever cut. Memory is given back between
+    batches and at the end."""
     for batch in batches:
+        release()
         if not batch.num_rows:
             continue
         offsets = sum(string_parts(batch.column(c))[1] for c in columns)
@@ -122,6 +134,7 @@ def slices(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 1_000_0
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
