@@ -108,11 +108,17 @@ def _sketch(docs: DataFrame, k: int, pick: int, keys: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = _words(batch.column("text"))
+            # Equal texts of a slice are sketched once.
+            code = batch.column("node").dictionary_encode().indices.to_numpy()
+            words = _words(batch.column("text").take(pa.array(np.unique(code, return_index=True)[1])))
             own, found = order_minhash(words, k, pick, keys)
-            lists = pa.ListArray.from_arrays(np.arange(0, len(own) * keys + 1, keys, np.int32), found.view(np.int64).ravel())
-            rows = pa.array(own)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("node").take(rows), lists, pa.array(np.diff(words.first)[own], pa.int32())], names=["id", "node", "keys", "size"])
+            place = np.full(len(words.first) - 1, -1)
+            place[own] = np.arange(len(own))
+            rows = np.flatnonzero(place[code] >= 0)
+            found = found[place[code[rows]]].view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(rows) * keys + 1, keys, np.int32), found.ravel())
+            size, rows = pa.array(np.diff(words.first)[code[rows]], pa.int32()), pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("node").take(rows), lists, size], names=["id", "node", "keys", "size"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "node", "text").mapInArrow(run, f"id {kind}, node binary, keys array<long>, size int")
