@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import cut as materialise
 from ..functions.scratch import scratch as scratch_path
 
-__all__ = ["bound_batches", "ddl", "fresh", "in_fold", "materialise", "scratch_path", "text_key", "without"]
+__all__ = ["bound_batches", "ddl", "fresh", "in_fold", "materialise", "reclaim", "scratch_path", "text_key", "without"]
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once the driver's JVM has collected their plans, which
+    without pressure on its memory may take longer than the job."""
+    for _ in range(2):  # some plans are held by others that go first
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SPACED, Words, covered, slices, string_parts
-from .common import bound_batches, ddl, fresh, materialise, without
+from .arrays import SPACED, Words, covered, release, slices, string_parts
+from .common import bound_batches, ddl, fresh, materialise, reclaim, without
 
 SIZE = 13
 #: Windows that begin in one block of a document, which is cut and handed out as a whole.
 BLOCK = 32
 #: Text bytes behind one part of the hash space and one bucket of documents; windows that a task gathers before it sends.
-PART_BYTES, BUCKET_BYTES, CHUNK = 8_000_000, 4_000_000, 1_000_000
+PART_BYTES, BUCKET_BYTES, CHUNK = 8_000_000, 4_000_000, 600_000
 #: Parts and buckets at least, so that a small corpus is spread too.
 LEAST = 32
 #: The bits of a hash above these choose its part.
@@ -145,6 +145,7 @@ def _probe(parts: int, size: int):
 
 def _match(table: pa.Table) -> pa.Table:
     """One part of the hash space: the places for all documents that are not the smallest with a window."""
+    release()
     hashes, ids, buckets, blocks, out = [], [], [], [], []
     for kind, bucket, docs, data in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "docs", "data")), strict=True):
         if kind != _ENTRY:
@@ -266,6 +267,7 @@ def _locate(columns: list[str], text_col: str, results: list[str], size: int):
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(texts: pa.Table, passages: pa.Table) -> pa.Table:
+        release()
         machine = Automaton(list(zip(passages.column("src").to_pylist(), passages.column("passage").to_pylist(), strict=True)), size)
         n_words, n_removed, spans, kept = [], [], [], []
         for key, text in zip(texts.column("id").to_pylist(), texts.column("text").to_pylist(), strict=True):
@@ -281,6 +283,8 @@ def _locate(columns: list[str], text_col: str, results: list[str], size: int):
             spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
             n_removed.append(int(gone.sum()))
             kept.append(" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
+        del machine
+        release()
         own = [texts.column("text" if c == text_col else f"c{i}") for i, c in enumerate(columns)]
         return pa.table([*own, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())], names=[*columns, *results])
 
@@ -297,7 +301,10 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, size: int, results: li
     inner = inner.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
 
     entries = inner.select("id", "bucket", "text").where("text is not null").mapInArrow(_probe(parts, size), "part int, kind int, bucket int, docs binary, data binary")
-    noted = materialise(entries.groupBy("part").applyInArrow(_match, "kind int, bucket int, data binary"), "phrases-noted")
+    # As many tasks as parts, however few the session shuffles into.
+    noted = materialise(entries.repartition(parts, "part").groupBy("part").applyInArrow(_match, "kind int, bucket int, data binary"), "phrases-noted")
+    del entries
+    reclaim(docs.sparkSession)
     blocks = inner.groupBy("bucket").cogroup(noted.where(F.col("kind") == CUT).groupBy("bucket")).applyInArrow(_cut(size), "src long, block int, passage string")
     wanted = noted.where(F.col("kind") == WANT).groupBy("bucket").applyInArrow(_wanted, "bucket int, src long, block int")
     passages = wanted.join(blocks, ["src", "block"]).select("bucket", "src", "passage")
