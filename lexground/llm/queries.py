@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, media, neardup, packing, phrases, quality, shards, urlfilter, warc
-from .common import in_fold, scratch_path
+from . import decontam, langid, media, neardup, packing, phrases, quality, shards, simhash, urlfilter, warc
+from .common import in_fold, materialise, scratch_path
 
 SHARDS = 24
 #: The rules that the contract of the URL filter gives: verdict, host, path.
@@ -73,6 +73,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_near`` counts the neighbours of the documents whose id is divisible by 100."""
+    found = materialise(simhash.edited(table(spark, sf_dir, "documents").select("doc_id", "text")), "fingerprints")
+    return simhash.with_neighbours(found, F.col("doc_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 SQL = {
