@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, media, neardup, packing, phrases, quality, shards, simhash, urlfilter, warc
+from . import decontam, langid, media, neardup, packing, phrases, quality, shards, simhash, turns, urlfilter, warc
 from .common import in_fold, materialise, scratch_path
 
 SHARDS = 24
@@ -73,6 +73,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, repaired = turns.repair(turns.damage(table(spark, sf_dir, "conversations")))
+    done = turns.digests(repaired).withColumnRenamed("conv", "of")
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    out = found.join(done, F.col("conv").eqNullSafe(F.col("of")), "left")
+    return out.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("sha256", empty).alias("repaired_sha256"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_near`` counts the neighbours of the documents whose id is divisible by 100."""
     found = materialise(simhash.edited(table(spark, sf_dir, "documents").select("doc_id", "text")), "fingerprints")
@@ -90,10 +98,61 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
+    "op11_turns": op11_turns,
     "op13_fingerprints": op13_fingerprints,
 }
 
+
+
+def _best(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _way(state: int, when: str, cost: str, edits: str, lines: str = "''") -> str:
+    """The way to a state of the conversation pattern from a state before a row."""
+    return f"CASE WHEN s{state} IS NOT NULL AND {when} THEN {{'c': s{state}.c + {cost}, 'a': s{state}.a || '{edits}', 'r': s{state}.r || {lines}}} END"
+
+
+def _to(state: int, role: str, before: list[tuple[int, str]]) -> str:
+    """The least way to the state after ``role``: a deletion in it, or a kept or renamed row from those before, perhaps after an insertion."""
+    out = [_way(state, "true", "2", "D")]
+    for source, inserted in before:
+        more, edit = (5, "I") if inserted else (0, "")
+        put = f"'{inserted}:' || chr(10) || " if inserted else ""
+        out.append(_way(source, f"stays AND starts_with(role, '{role[0]}')", f"{more} + extra", edit + "K", f"{put}role || ':' || text || chr(10)"))
+        out.append(_way(source, "stays", f"{more + 1} + extra", edit + "R", f"{put}'{role}:' || text || chr(10)"))
+    return _best(*out)
+
+
 SQL = {
+    "op11_turns": rf"""
+        WITH RECURSIVE poly(i, k, c) AS (
+            SELECT i, 0, CAST(i AS BIGINT) FROM range(0, 256) r(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM poly WHERE k = 8),
+        named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations),
+        kinds AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_transform(range(1, CAST(length(h) AS BIGINT), 2), lambda i: CAST(('0x' || substr(h, i, 2)) AS BIGINT)), lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295)) % 20 AS kind FROM named, crc),
+        harmed AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                          unnest(CASE WHEN kind = 0 THEN [] WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds),
+        line AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM harmed),
+        faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS fault,
+                          lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM line),
+        rows AS (SELECT *, fault NOT IN ('b', 'd') AS stays, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS extra FROM faults),
+        none AS (SELECT {{'c': 0, 'a': '', 'r': ''}} AS z),
+        walk(conv_id, i, s0, s1, s2, s3) AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT), z, CASE WHEN false THEN z END, CASE WHEN false THEN z END, CASE WHEN false THEN z END FROM conversations, none
+            UNION ALL
+            SELECT w.conv_id, rows.i, {_best(_way(0, "true", "2", "D"))},
+                   {_best(_way(1, "true", "2", "D"), _way(0, "stays AND starts_with(role, 's')", "extra", "K", "role || ':' || text || chr(10)"))},
+                   {_to(2, "user", [(0, ""), (1, ""), (3, ""), (2, "assistant")])},
+                   {_to(3, "assistant", [(2, ""), (0, "user"), (1, "user"), (3, "user")])}
+            FROM walk w JOIN rows ON rows.conv_id IS NOT DISTINCT FROM w.conv_id AND rows.i = w.i + 1),
+        ends AS (SELECT conv_id, arg_max({_best(_way(0, "true", "0", ""), _way(3, "true", "0", ""), _way(2, "true", "5", "I", "'assistant:' || chr(10)"), _way(1, "true", "10", "II", "'user:' || chr(10) || 'assistant:' || chr(10)"))}, i) AS e FROM walk GROUP BY conv_id),
+        sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id)
+        SELECT ends.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(e.c AS BIGINT) AS cost, e.a AS audit, sha256(CASE WHEN e.r = '' THEN '' ELSE left(e.r, length(e.r) - 1) END) AS repaired_sha256
+        FROM ends LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM ends.conv_id""",
     "op1_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
