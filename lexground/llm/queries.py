@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, media, neardup, packing, phrases, quality, shards, simhash, turns, urlfilter, warc
+from . import collocations, decontam, langid, media, neardup, packing, phrases, quality, shards, simhash, turns, urlfilter, warc
 from .common import in_fold, materialise, scratch_path
 
 SHARDS = 24
@@ -81,6 +81,10 @@ def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("sha256", empty).alias("repaired_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_near`` counts the neighbours of the documents whose id is divisible by 100."""
     found = materialise(simhash.edited(table(spark, sf_dir, "documents").select("doc_id", "text")), "fingerprints")
@@ -99,6 +103,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
     "op11_turns": op11_turns,
+    "op12_collocations": op12_collocations,
     "op13_fingerprints": op13_fingerprints,
 }
 
@@ -125,6 +130,21 @@ def _to(state: int, role: str, before: list[tuple[int, str]]) -> str:
 
 
 SQL = {
+    "op12_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS p FROM documents),
+        words AS (SELECT lang, regexp_extract_all(p, '[^ \t]+') AS w FROM pieces),
+        grams AS (SELECT lang, s, array_to_string(w[i : i + s - 1], ' ') AS g FROM (SELECT lang, w, s, unnest(range(1, CAST(len(w) - s + 2 AS BIGINT))) AS i FROM words, range(1, 6) r(s))),
+        f AS (SELECT lang, s, g, count(*) AS f FROM grams GROUP BY lang, s, g),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE s = 1 GROUP BY lang),
+        c AS (SELECT lang, s, g, f AS a, string_split(g, ' ') AS w FROM f WHERE s > 1 AND f >= 100),
+        cuts AS (SELECT lang, g, a, k, array_to_string(w[1 : k], ' ') AS lg, array_to_string(w[k + 1 : s], ' ') AS rg FROM (SELECT *, unnest(range(1, s)) AS k FROM c)),
+        scores AS (SELECT cuts.*, l.f AS l, r.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+                   FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = lg JOIN f r ON r.lang = cuts.lang AND r.g = rg JOIN n ON n.lang = cuts.lang),
+        best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        inner_ AS (SELECT lang, array_to_string(w[i : i + z - 1], ' ') AS g, max(a) AS most
+                   FROM (SELECT *, unnest(range(1, CAST(s - z + 2 AS BIGINT))) AS i FROM (SELECT *, unnest(range(2, s)) AS z FROM c)) GROUP BY ALL),
+        kept AS (SELECT best.* FROM best LEFT JOIN inner_ i ON i.lang = best.lang AND i.g = best.g WHERE most IS NULL OR 100 * most < 100 * a)
+        SELECT lang, rank, g AS phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept) WHERE rank <= 2000""",
     "op11_turns": rf"""
         WITH RECURSIVE poly(i, k, c) AS (
             SELECT i, 0, CAST(i AS BIGINT) FROM range(0, 256) r(i)
@@ -135,7 +155,9 @@ SQL = {
         harmed AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
                           unnest(CASE WHEN kind = 0 THEN [] WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds),
         line AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM harmed),
-        faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS fault,
+        faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 't' ELSE '' END AS fault,
                           lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM line),
         rows AS (SELECT *, fault NOT IN ('b', 'd') AS stays, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS extra FROM faults),
         none AS (SELECT {{'c': 0, 'a': '', 'r': ''}} AS z),
