@@ -34,82 +34,6 @@ def uniforms(key: int, n: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(float) + 0.5) / 2**53
 
 
-# Segmentation of one sequence by span log-probabilities: scores[s, e] of span [s, e), -inf where there is none.
-
-
-# A band holds them by end and length, band[e, l] of span [e - l, e), for l up to the longest span.
-
-
-def banded(scores: np.ndarray) -> np.ndarray:
-    n = len(scores) - 1
-    out = np.full((n + 1, n + 1), -np.inf)
-    for e in range(1, n + 1):
-        out[e, 1 : e + 1] = scores[:e, e][::-1]
-    return out
-
-
-def _feasible_tail(band: np.ndarray, end: int) -> int:
-    """Where no split of [0, end) is feasible: the first feasible cut from the right, or a span of one."""
-    found = np.flatnonzero(np.isfinite(band[end, 1 : end + 1]))
-    return end - 1 - int(found[0]) if len(found) else end - 1
-
-
-def viterbi_band(band: np.ndarray) -> list[int]:
-    """Boundaries (ends) of the best segmentation; ties take the longer last span."""
-    n, w = len(band) - 1, band.shape[1] - 1
-    best, back = np.full(n + 1, -np.inf), np.zeros(n + 1, int)
-    best[0] = 0
-    for e in range(1, n + 1):
-        lo = max(0, e - w)
-        total = best[lo:e] + band[e, 1 : e - lo + 1][::-1]
-        back[e] = lo + int(np.argmax(total))
-        best[e] = total[back[e] - lo]
-    out, e = [], n
-    while e:
-        out.append(e)
-        e = int(back[e]) if np.isfinite(best[e]) else _feasible_tail(band, e)
-    return out[::-1]
-
-
-def forward_band(band: np.ndarray) -> np.ndarray:
-    """log alpha: alpha_0 = 1, alpha_t = sum over s of alpha_s p(s..t)."""
-    n, w = len(band) - 1, band.shape[1] - 1
-    a = np.full(n + 1, -np.inf)
-    a[0] = 0
-    for e in range(1, n + 1):
-        lo = max(0, e - w)
-        a[e] = log_sum_exp(a[lo:e] + band[e, 1 : e - lo + 1][::-1])
-    return a
-
-
-def sample_band(band: np.ndarray, temp: float, key: int) -> list[int]:
-    """Boundaries drawn backward with weight (alpha_s p(s..t))^(1/temp)."""
-    n, width = len(band) - 1, band.shape[1] - 1
-    a, u, out, e = forward_band(band), uniforms(key, n + 1), [], n
-    while e:
-        out.append(e)
-        lo = max(0, e - width)
-        w = (a[lo:e] + band[e, 1 : e - lo + 1][::-1]) / temp
-        if not np.isfinite(w).any():
-            e = _feasible_tail(band, e)
-            continue
-        c = np.cumsum(np.exp(w - w.max()))
-        e = lo + min(int(np.searchsorted(c, u[e] * c[-1], "right")), len(c) - 1)
-    return out[::-1]
-
-
-def viterbi_split(scores: np.ndarray) -> list[int]:
-    return viterbi_band(banded(scores))
-
-
-def forward_split(scores: np.ndarray) -> np.ndarray:
-    return forward_band(banded(scores))
-
-
-def sample_split(scores: np.ndarray, temp: float, key: int) -> list[int]:
-    return sample_band(banded(scores), temp, key)
-
-
 # Alignment of positions to regions: pi[n, K] concept posteriors of the regions, init[n], trans[n, n], b[T, K] emissions.
 
 
@@ -195,6 +119,14 @@ def log_densities(x: np.ndarray, mean: np.ndarray, prec: np.ndarray) -> np.ndarr
     return 0.5 * d * (np.log(prec) - math.log(2 * math.pi)) - 0.5 * prec * squared_distances(x, mean)
 
 
+def own_removed(x: np.ndarray, at: np.ndarray, k: np.ndarray, n_own: np.ndarray, own: np.ndarray, n: np.ndarray, total: np.ndarray, mu0: np.ndarray, var: float, var0: float) -> np.ndarray:
+    """log density of each row ``x[at]`` under component ``k``, after ``n_own`` vectors that sum to ``own`` are taken out of it."""
+    left = n[k] - n_own
+    mean, prec = component_posterior(left, total[k] - own, mu0, var, var0)
+    d = x.shape[1]
+    return 0.5 * d * (np.log(prec) - math.log(2 * math.pi)) - 0.5 * prec * ((x[at] - mean) ** 2).sum(1)
+
+
 def component_log_prior(n: np.ndarray, alpha: float) -> np.ndarray:
     return np.log(alpha / len(n) + n) - np.log(n.sum() + alpha)
 

@@ -26,3 +26,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str | list[str], name: str = "buckets", buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as a table of ``buckets`` buckets of ``key``, a column or several (by default as many as shuffles have partitions) and read it back. Tables with
+    the same buckets are joined and grouped by ``key`` where their files lie, so the rounds of a loop don't move them. A frame that comes from
+    such a table needs no shuffle to be written with the same buckets."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table = f"{name.replace('-', '_')}_{path.rsplit('-', 1)[1]}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [key] if isinstance(key, str) else key
+    df.write.format("parquet").option("path", path).bucketBy(n, keys[0], *keys[1:]).sortBy(keys[0], *keys[1:]).saveAsTable(table)
+    return spark.table(table)

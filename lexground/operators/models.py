@@ -3,16 +3,18 @@ stay distributed: each round is one pass that emits counts and one aggregation."
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as kn
-from ..functions.scratch import cut
+from ..functions import packed as pk
+from ..functions.scratch import bucketed, cut
+from ..functions.statistics import vector_sums, weighted_sums
 
 EX = "example_idx"
 
@@ -123,29 +125,37 @@ def span_scores(spans_: DataFrame, probs: DataFrame, prior: DataFrame, alpha: fl
     return spans_.join(known, "segment").select(EX, "start", "end", "segment", "log_p")
 
 
-def _split(scored: DataFrame, cutter) -> DataFrame:
-    """(example_idx, start, end) by a function of (example, band[end, length]); a band is as wide as the longest span."""
+def _split(scored: DataFrame, temp: float | None = None, seed: int = 0) -> DataFrame:
+    """(example_idx, start, end): each example's spans are packed into one row, and a kernel segments all examples of an Arrow batch at once."""
+    packed = scored.groupBy(EX).agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("log_p").cast("double").alias("log_p"))).alias("spans"))
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        n = int(own["end"].max())
-        size = own["end"] - own["start"]
-        band = np.full((n + 1, int(size.max()) + 1), -np.inf)
-        band[own["end"], size] = own["log_p"]
-        ends = cutter(int(own[EX].iloc[0]), band)
-        return pd.DataFrame({EX: own[EX].iloc[0], "start": [0, *ends[:-1]], "end": ends})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, _ = pk.lists(batch.column("spans"))
+            for lo, hi in pk.groups(np.diff(sizes), 1_000_000):
+                part = batch.slice(lo, hi - lo)
+                offsets, values = pk.lists(part.column("spans"))
+                start, end, log_p = (np.asarray(values.field(i)) for i in range(3))
+                of = np.repeat(np.arange(hi - lo), np.diff(offsets))
+                first = np.r_[0, np.cumsum(np.maximum.reduceat(end, offsets[:-1]) + 1)]
+                band = pk.bands(first, of, start, end, log_p)
+                ids = part.column(EX).to_pylist()
+                rows = pk.viterbi(band, first) if temp is None else pk.sample(band, first, temp, [(ex + 1) * 0x9E3779B97F4A7C15 ^ seed for ex in ids])
+                of, start, end = pk.ends_of(rows, first)
+                yield pa.RecordBatch.from_arrays([part.column(EX).take(pa.array(of)), pa.array(start, pa.int32()), pa.array(end, pa.int32())], [EX, "start", "end"])
 
-    return scored.select(EX, "start", "end", "log_p").groupBy(EX).applyInPandas(run, f"{EX} long, start int, end int")
+    return packed.mapInArrow(run, f"{EX} long, start int, end int")
 
 
 def segment_viterbi(scored: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
     """M8: the best segmentation under the span log probabilities with ``least`` to ``most`` positions a span."""
     n = F.col("end") - F.col("start")
-    return _split(scored.where((n >= least) & (n <= most if most else F.lit(True))), lambda _, band: kn.viterbi_band(band))
+    return _split(scored.where((n >= least) & (n <= most if most else F.lit(True))))
 
 
 def segment_sample(scored: DataFrame, temp: float = 1.0, seed: int = 0) -> DataFrame:
     """M9: a segmentation drawn by forward filtering and backward sampling; the seed of an example is a hash of it and ``seed``."""
-    return _split(scored, lambda ex, band: kn.sample_band(band, temp, (ex + 1) * 0x9E3779B97F4A7C15 ^ seed))
+    return _split(scored, temp, seed)
 
 
 def crp_segment(tokens: DataFrame, alpha: float, rounds: int, seed: int, max_len: int = 6) -> DataFrame:
@@ -193,24 +203,91 @@ def mixture_terms(pairs: DataFrame, q: DataFrame, table: DataFrame) -> DataFrame
     return caps.join(images, EX).mapInPandas(run, f"{EX} long, t {kind['t']}, w {kind['w']}, j {kind['j']}, a double")
 
 
-def mixture_round(pairs: DataFrame, q: DataFrame, table: DataFrame, alpha: float, ks: int) -> tuple[DataFrame, DataFrame]:
-    """M11, one round: (new table (w, k, p), log-likelihood per example). Rows of the table are target words and sum to 1."""
-    a = mixture_terms(pairs, q, table)
-    by_source = Window.partitionBy(EX, "j")
-    c = a.withColumn("c", F.col("a") / F.sum("a").over(by_source))
-    share = q.withColumn("s", F.col("q") / F.sum("q").over(by_source)).select(EX, "j", "k", "s")
-    counts = c.join(share, [EX, "j"]).groupBy("w", "k").agg(F.sum(F.col("c") * F.col("s")).alias("c"))
+def pack_mixture(pairs: DataFrame, q: DataFrame) -> DataFrame:
+    """One row an example, (example_idx, cap, im), for the rounds of M11: they read it where it lies."""
+    caps = pairs.groupBy(EX).agg(F.collect_list(F.struct("t", "w")).alias("cap"))
+    images = q.groupBy(EX).agg(F.collect_list(F.struct("j", "k", "q")).alias("im"))
+    return caps.join(images, EX)
+
+
+def _mixture_counts(left: np.ndarray, im) -> tuple[np.ndarray, float]:
+    """Expected counts [T, K] and log-likelihood of one example, of ``left[T, K]`` = P(w_t, k)."""
+    js, at = np.unique([x["j"] for x in im], return_inverse=True)
+    right = np.zeros((left.shape[1], len(js)))
+    np.add.at(right, ([x["k"] for x in im], at), [x["q"] for x in im])
+    a = left @ right
+    c = a / a.sum(0)
+    return c @ (right / right.sum(0)).T, float(np.log(np.maximum(a.mean(0), 1e-300)).sum())
+
+
+def mixture_counts(packed: DataFrame, table: DataFrame, most: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+    """(expected counts (w, k, c), log-likelihood (example_idx, loglik)), both from one pass over ``pack_mixture``.
+
+    A table of up to ``most`` numbers is broadcast; of a larger one each example gets the rows of its words in a join. Each task adds
+    counts up before they leave it, word by word, and passes them on when it holds ``most`` numbers."""
+    kind = {f.name: f.dataType.simpleString() for f in table.schema}["w"]
+    ks = (table.agg(F.max("k")).first()[0] or 0) + 1
+    words = table.select("w").distinct().count()
+    if words * ks <= most:
+        found: dict = {}
+        for r in table.collect():
+            found.setdefault(r.w, np.zeros(ks))[r.k] = r.p
+        shared = table.sparkSession.sparkContext.broadcast(found)
+        rows = packed
+    else:
+        shared = None
+        by_word = table.groupBy("w").agg(F.collect_list(F.struct("k", "p")).alias("row"))
+        caps = packed.select(EX, F.explode("cap").alias("x")).select(EX, "x.*").join(by_word, "w").groupBy(EX).agg(F.collect_list(F.struct("t", "w", "row")).alias("cap"))
+        rows = packed.drop("cap").join(caps, EX).select(EX, "cap", "im")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def counts() -> pd.DataFrame:
+            out = pd.DataFrame({"w": np.repeat(np.array(list(held), object), ks), "k": np.tile(np.arange(ks), len(held)), "value": np.concatenate([*held.values(), np.zeros(0)])})
+            held.clear()
+            return out.assign(**{EX: None})[lambda x: x["value"] != 0]
+
+        for b in batches:
+            lls = []
+            for ex, cap, im in zip(b[EX], b["cap"], b["im"], strict=True):
+                cap = [c for c in cap if shared is None or c["w"] in shared.value]
+                if not len(cap):
+                    continue
+                left = np.zeros((len(cap), ks))
+                for i, c in enumerate(cap):
+                    if shared is not None:
+                        left[i] = shared.value[c["w"]]
+                    else:
+                        left[i, [x["k"] for x in c["row"]]] = [x["p"] for x in c["row"]]
+                c, ll = _mixture_counts(left, im)
+                for x, row in zip(cap, c, strict=True):
+                    held[x["w"]] = held[x["w"]] + row if x["w"] in held else row
+                lls.append((ex, ll))
+            yield pd.DataFrame({EX: [x for x, _ in lls], "w": None, "k": None, "value": [v for _, v in lls]})
+            if len(held) * ks > most:
+                yield counts()
+        yield counts()
+
+    out = cut(rows.mapInPandas(run, f"{EX} long, w {kind}, k int, value double"), "mixture-counts")
+    return out.where("k IS NOT NULL").groupBy("w", "k").agg(F.sum("value").alias("c")), out.where("k IS NULL").select(EX, F.col("value").alias("loglik"))
+
+
+def mixture_round(pairs: DataFrame | None, q: DataFrame | None, table: DataFrame, alpha: float, ks: int, packed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """M11, one round: (new table (w, k, p), log-likelihood per example). Rows of the table are target words and sum to 1. Examples that
+    are packed already come as ``packed``."""
+    counts, ll = mixture_counts(pack_mixture(pairs, q) if packed is None else packed, table)
     full = table.select("w", "k").join(counts, ["w", "k"], "left").fillna(0.0)
     new = full.select("w", "k", ((alpha / ks + F.col("c")) / (alpha + F.sum("c").over(Window.partitionBy("w")))).alias("p"))
-    ll = a.groupBy(EX, "j").agg(F.log(F.greatest(F.avg("a"), F.lit(1e-300))).alias("l")).groupBy(EX).agg(F.sum("l").alias("loglik"))
     return new, ll
 
 
 def train_mixture(pairs: DataFrame, q: DataFrame, table: DataFrame, iters: int, alpha: float, ks: int) -> tuple[DataFrame, list[float]]:
-    """(table, mean log-likelihood before each round)."""
+    """(table, mean log-likelihood before each round). The examples are packed once and stay where they lie."""
+    packed = cut(pack_mixture(pairs, q), "mixture-examples")
     curve = []
     for i in range(iters):
-        new, ll = mixture_round(pairs, q, table, alpha, ks)
+        new, ll = mixture_round(None, None, table, alpha, ks, packed)
         curve.append(ll.agg(F.avg("loglik")).first()[0])
         table = cut(new, f"mixture-{i}")
     return table, curve
@@ -221,8 +298,7 @@ def update_centroids(pairs: DataFrame, post: DataFrame, table: DataFrame, vector
     prior = pairs.join(table, "w").groupBy(EX, "k").agg(F.avg("p").alias("c"))
     w = post.join(prior, [EX, "k"]).withColumn("w", F.col("p") * F.col("c"))
     w = w.withColumn("w", F.col("w") / F.greatest(F.sum("w").over(Window.partitionBy(EX, "idx")), F.lit(1e-300)))
-    x = w.join(vectors.select(EX, "idx", "vec"), [EX, "idx"]).select("k", "w", F.posexplode("vec").alias("dim", "x"))
-    return x.groupBy("k", "dim").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("value"))
+    return weighted_sums(w.select(EX, "idx", "k", "w"), vectors, [EX, "idx"]).where("weight <> 0").select("k", "dim", (F.col("total") / F.col("weight")).alias("value"))
 
 
 def align_mixture(terms: DataFrame, score: str = "max", floor: float = 1e-30) -> tuple[DataFrame, DataFrame]:
@@ -313,11 +389,9 @@ def gradient_step(post: DataFrame, counts: DataFrame, vectors: DataFrame, centro
     d = post.join(counts.withColumnRenamed("p", "c"), [EX, "idx", "k"]).select(EX, "idx", "k", (F.col("c") - F.col("p")).alias("d"))
     n = vectors.select(EX).distinct().count()
     gap = d.agg(F.avg(F.abs("d"))).first()[0]
-    rows = d.join(vectors.select(EX, "idx", "vec"), [EX, "idx"]).select("k", "d", F.posexplode("vec").alias("dim", "x"))
-    sums = rows.groupBy("k", "dim").agg(F.sum(F.col("d") * F.col("x")).alias("dx"), F.sum("d").alias("d")).collect()
     new = centroids.copy()
-    for r in sums:
-        new[r.k, r.dim] += lr / (n * width) * (r.dx - centroids[r.k, r.dim] * r.d)
+    for r in weighted_sums(d.withColumnRenamed("d", "w"), vectors, [EX, "idx"]).collect():
+        new[r.k, r.dim] += lr / (n * width) * (r.total - centroids[r.k, r.dim] * r.weight)
     return new, gap
 
 
@@ -449,7 +523,7 @@ def length_probs(lengths: DataFrame, laplace: float = 0.0) -> DataFrame:
 
 def component_stats(vectors: DataFrame, mu0: float, var: float, var0: float) -> DataFrame:
     """(k, dim, n, total, squares, mean, prec) of ``vectors(k, vec)``."""
-    s = vectors.select("k", F.posexplode("vec").alias("dim", "x")).groupBy("k", "dim").agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares"))
+    s = vector_sums(vectors)
     prec = F.lit(1 / var0) + F.col("n") / var
     return s.withColumns({"mean": (mu0 / var0 + F.col("total") / var) / prec, "prec": prec / var / (prec + 1 / var)})
 
@@ -505,16 +579,28 @@ def log_marginal(stats: DataFrame, k: int, mu0: float, var: float, var0: float,
     return stats.sparkSession.createDataFrame([(float(x or 0), float(z))], "log_x double, log_z double")
 
 
-def gmm_assign(vectors: DataFrame, n: np.ndarray, total: np.ndarray, mu0: np.ndarray, var: float, var0: float, alpha: float = 1.0, temp: float | None = None, seed: int = 0) -> DataFrame:
+def gmm_assign(vectors: DataFrame, n: np.ndarray, total: np.ndarray, mu0: np.ndarray, var: float, var0: float, alpha: float = 1.0, temp: float | None = None, seed: int = 0, own: str | None = None) -> DataFrame:
     """(example_idx, idx, k): the best component, or with ``temp`` one drawn by a hash of the vector's place, against a snapshot of
-    the counts."""
+    the counts. With ``own``, a column with each vector's component in that snapshot (null: none), the vector itself is taken out of its
+    component first, so each draw is that of a Gibbs step from the snapshot."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mean, prec = kn.component_posterior(n, total, mu0, var, var0)
         for b in batches:
             if not len(b):
                 continue
-            s = kn.log_densities(np.stack(b["vec"].to_numpy()), mean, prec) + _priors(b, n, alpha)
+            x = np.stack(b["vec"].to_numpy())
+            s, prior = kn.log_densities(x, mean, prec), _priors(b, n, alpha)
+            if own is not None:
+                at = np.flatnonzero(b["own"].notna())
+                k = b["own"].to_numpy()[at].astype(int)
+                s[at, k] = kn.own_removed(x, at, k, np.ones(len(at)), x[at], n, total, mu0, var, var0)
+                prior = np.broadcast_to(prior, s.shape).copy()
+                mine = at if "prior" not in b else at[b["prior"].isna().to_numpy()[at]]  # priors that come with a row stay
+                prior[mine] += np.log(n.sum() + alpha) - np.log(n.sum() - 1 + alpha)
+                mk = b["own"].to_numpy()[mine].astype(int)
+                prior[mine, mk] = np.log(alpha / len(n) + n[mk] - 1) - np.log(n.sum() - 1 + alpha)
+            s = s + prior
             if temp is None:
                 k = s.argmax(1)
             else:
@@ -523,7 +609,22 @@ def gmm_assign(vectors: DataFrame, n: np.ndarray, total: np.ndarray, mu0: np.nda
                 k = np.minimum((w < (u * w[:, -1])[:, None]).sum(1), len(n) - 1)
             yield pd.DataFrame({EX: b[EX], "idx": b["idx"], "k": k})
 
-    return vectors.select(EX, "idx", "vec", *_own_prior(vectors)).mapInPandas(run, f"{EX} long, idx int, k int")
+    held = [F.col(own).cast("int").alias("own")] if own is not None else []
+    return vectors.select(EX, "idx", "vec", *_own_prior(vectors), *held).mapInPandas(run, f"{EX} long, idx int, k int")
+
+
+def gmm_rounds(vectors: DataFrame, assign: DataFrame, comps: int, mu0: np.ndarray, var: float, var0: float, alpha: float, rounds: int, temp: float | None = 1.0, seed: int = 0) -> tuple[DataFrame, list[float]]:
+    """(assignments (example_idx, idx, k), log p(X, z) before each round): all vectors are drawn in parallel against the last round's
+    counts less their own. Vectors and assignments lie in the same buckets, and only sums of components are shuffled."""
+    held = bucketed(vectors.select(EX, "idx", "vec"), [EX, "idx"], "gmm-vectors")
+    state, curve = bucketed(assign.select(EX, "idx", F.col("k").cast("int").alias("k")), [EX, "idx"], "gmm-start"), []
+    for r in range(rounds):
+        both = held.join(state, [EX, "idx"])
+        stats = cut(component_stats(both.select("k", "vec"), 0.0, var, var0), f"gmm-stats-{r}")
+        n, total = stats_arrays(stats, comps, len(mu0))
+        curve.append(sum(log_marginal(stats, comps, 0.0, var, var0, alpha).first()))
+        state = bucketed(gmm_assign(both, n, total, mu0, var, var0, alpha, temp, seed + r, own="k"), [EX, "idx"], f"gmm-round-{r}")
+    return state, curve
 
 
 def shrink_components(assign: DataFrame, k: int) -> DataFrame:
@@ -543,57 +644,24 @@ def shrink_and_assign(vectors: DataFrame, assign: DataFrame, k: int, mu0: np.nda
     return held.where("k is not null").select(EX, "idx", F.col("k").cast("int").alias("k")).unionByName(again)
 
 
-def component_prior(state: DataFrame, images: DataFrame, comps: int, alpha: float = 1.0, inner: int = 3, floor: float = 1e-30) -> DataFrame:
-    """M27, the realign step: (example_idx, prior ARRAY), log p(component given the example's image).
-
-    The components of ``state(example_idx, start, k)`` in order are target words for the concepts of ``images(example_idx, idx, post
-    ARRAY)``: ``inner`` rounds of M11 from a uniform table, then M31 with p(component given concept) by the components' counts."""
-    tokens = state.select(EX, (F.row_number().over(Window.partitionBy(EX).orderBy("start")) - 1).alias("t"), F.col("k").alias("w"))
-    q = images.select(EX, F.col("idx").alias("j"), F.posexplode("post").alias("k", "q"))
-    ks = images.agg(F.max(F.size("post"))).first()[0] or 1
-    spark = state.sparkSession
-    table = spark.range(comps).select(F.col("id").cast("int").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(ks - 1))).alias("k"), F.lit(1 / ks).alias("p"))
-    for i in range(inner):
-        table = cut(mixture_round(tokens, q, table, alpha, ks)[0], f"realign-{i}")
-    joint = table.join(tokens.groupBy("w").agg(F.count("*").alias("n")), "w", "left").select("w", "k", (F.col("p") * (F.coalesce("n", F.lit(0)) + alpha / comps)).alias("c"))
-    given = joint.select(F.col("w").cast("string").alias("word"), "k", (F.col("c") / F.sum("c").over(Window.partitionBy("k"))).alias("p"))
-    prior = word_prior(q.select(EX, F.col("j").alias("idx"), "k", F.col("q").alias("p")), given, floor=floor)
-    return prior.groupBy(EX).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("word").cast("int").alias("w"), "log_p"))), lambda x: x["log_p"]).alias("prior"))
-
+def component_prior_of(posts: DataFrame, p: np.ndarray, mass: np.ndarray, floor: float) -> DataFrame:
+    """M31 for a small table: (example_idx, prior ARRAY), log of the mean over an example's regions of sum over k of pi(k) p(w given k), where
+    p(w given k) is in proportion to ``p[w, k]`` times ``mass[w]``; ``posts(example_idx, posts ARRAY)`` of structs (idx, post)."""
+    given = p * mass[:, None]
+    given = given / given.sum(0)
 
-def segment_acoustic(candidates: DataFrame, comps: int, mu0: np.ndarray, var: float, var0: float, alpha: float, rounds: int, seed: int, power: float = 1.0, length_term: str = "duration", temp: float | None = None, penalty: float = 0.0, images: DataFrame | None = None, scale_from: int = 200) -> DataFrame:
-    """(example_idx, start, end, k) of ``candidates(example_idx, start, end, dur, vec)`` after ``rounds`` of: log-marginals of all
-    candidates, a segmentation of every example, new assignments, new counts.
-
-    A candidate's score is its log-marginal times dur**power plus ``penalty``; ``length_term='poisson'`` adds -lgamma(L + 1) - 1 for its L
-    landmarks instead of the power. Vectors of ``scale_from`` dimensions or more are normalised over the components. Segmentations are
-    the best ones, or drawn with ``temp``. With ``images(example_idx, idx, post ARRAY)`` every round ends with a
-    realignment, and the next takes each example's own component prior from it.
-    """
-
-    @F.pandas_udf("double")
-    def log_factorial(x: pd.Series) -> pd.Series:
-        return x.map({n: math.lgamma(n + 1) for n in x.unique()})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, regions = pk.lists(batch.column("posts"))
+            if not len(regions):
+                continue
+            scores = pk.matrix(regions.field(1)) @ given.T
+            live = np.flatnonzero(np.diff(offsets))
+            mean = np.add.reduceat(scores, offsets[live], 0) / np.diff(offsets)[live][:, None]
+            prior = pa.array(list(np.log(np.maximum(mean, floor))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(EX).take(pa.array(live)), prior], [EX, "prior"])
 
-    keyed = cut(candidates.withColumn("idx", (F.col("end") * (F.col("end") - 1) / 2 + F.col("start")).cast("int")), "acoustic")
-    n, total = np.zeros(comps), np.zeros((comps, len(mu0)))
-    state = prior = None
-    for r in range(rounds):
-        own_prior = keyed if prior is None else keyed.join(prior, EX, "left")
-        marg = log_predictive(own_prior, n, total, mu0, var, var0, alpha, len(mu0) >= scale_from).select(EX, "idx", "log_marginal")
-        size = F.col("end") - F.col("start")
-        score = F.col("log_marginal") * F.pow(F.col("dur").cast("double"), F.lit(power)) if length_term == "duration" else F.col("log_marginal") - log_factorial(size) - 1
-        scored = keyed.join(marg, [EX, "idx"]).withColumn("log_p", score + penalty)
-        chosen = segment_viterbi(scored) if temp is None else segment_sample(scored, temp, seed + r)
-        own = cut(chosen.join(own_prior, [EX, "start", "end"]), f"acoustic-segments-{r}")
-        first = state is None
-        # Round one has no counts: components are dealt by a hash.
-        assign = own.select(EX, "idx", F.pmod(F.xxhash64(EX, "idx", F.lit(seed)), F.lit(comps)).cast("int").alias("k")) if first else gmm_assign(own, n, total, mu0, var, var0, alpha, temp, seed + r)
-        state = cut(own.drop("prior").join(assign, [EX, "idx"]), f"acoustic-state-{r}")
-        n, total = stats_arrays(component_stats(state.select("k", "vec"), 0.0, var, var0), comps, len(mu0))
-        if images is not None:
-            prior = cut(component_prior(state, images, comps, alpha), f"acoustic-prior-{r}")
-    return state.select(EX, "start", "end", "k")
+    return posts.select(EX, "posts").mapInArrow(run, f"{EX} long, prior array<double>")
 
 
 def score_words(units: DataFrame, words: DataFrame, p: float, m: int) -> DataFrame:
@@ -605,7 +673,9 @@ def score_words(units: DataFrame, words: DataFrame, p: float, m: int) -> DataFra
 
 def empirical_prior(vectors: DataFrame, scale: float = 1.0) -> DataFrame:
     """(dim, mean, var): mean and scaled variance of the initial segments' vectors."""
-    return vectors.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mean"), (F.var_pop("x") * scale).alias("var"))
+    s = vector_sums(vectors.select(F.lit(0).alias("k"), "vec"))
+    mean = F.col("total") / F.col("n")
+    return s.select("dim", mean.alias("mean"), (F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)) * scale).alias("var"))
 
 
 def results_table(segments: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scratch import cut
+from ..operators import acoustic as ac
 from ..operators import models as md
 from ..operators import timeline as tl
 from . import fixtures as fx
@@ -478,18 +479,39 @@ def m26_reassign(spark, d):
 
 @register("m27_acoustic")
 def m27_acoustic(spark, d):
-    return md.segment_acoustic(acoustic(spark, d), 4, np.zeros(DIM), VAR, VAR0, 1.0, 2, 3)
+    return ac.segment_acoustic(acoustic(spark, d), 4, np.zeros(DIM), VAR, VAR0, 1.0, 2, 3)
 
 
 @register("m27_acoustic_poisson")
 def m27_acoustic_poisson(spark, d):
-    return md.segment_acoustic(acoustic(spark, d), 4, np.zeros(DIM), VAR, VAR0, 1.0, 2, 3, length_term="poisson", temp=1.0)
+    return ac.segment_acoustic(acoustic(spark, d), 4, np.zeros(DIM), VAR, VAR0, 1.0, 2, 3, length_term="poisson", temp=1.0)
 
 
 @register("m27_acoustic_realigned")
 def m27_acoustic_realigned(spark, d):
     """With concepts of the images, an insertion penalty, and densities normalised over the components."""
-    return md.segment_acoustic(acoustic(spark, d), 4, np.zeros(DIM), VAR, VAR0, 1.0, 2, 3, penalty=-0.5, images=md.posteriors(fx.regions(spark, d), centers(spark, d), WIDTH), scale_from=2)
+    return ac.segment_acoustic(acoustic(spark, d), 4, np.zeros(DIM), VAR, VAR0, 1.0, 2, 3, penalty=-0.5, images=md.posteriors(fx.regions(spark, d), centers(spark, d), WIDTH), scale_from=2)
+
+
+@register("m27_words")
+def m27_words(spark, d):
+    """Regions as slices; a word spells the units of up to three of them."""
+    return ac.segment_words(fx.regions(spark, d), 8, 200, np.full(DIM, MU0), VAR, VAR0, 1.0, 3, 3, most=3, temp=1.0)[0]
+
+
+@register("m27_words_realigned")
+def m27_words_realigned(spark, d):
+    """Best segmentations, with the concepts of the images and few words."""
+    images = md.posteriors(fx.regions(spark, d), centers(spark, d), WIDTH)
+    slices = fx.regions(spark, d).withColumn("unit", F.col("label") % 8)
+    return ac.segment_words(slices, 8, 40, np.full(DIM, MU0), VAR, VAR0, 1.0, 3, 3, most=3, penalty=-0.5, images=images)[0]
+
+
+@register("m25_rounds")
+def m25_rounds(spark, d):
+    """Two rounds of draws from the labels, each vector's own count taken out."""
+    r = fx.regions(spark, d)
+    return md.gmm_rounds(r, r.select("example_idx", "idx", F.col("label").alias("k")), K, np.full(DIM, MU0), VAR, VAR0, 1.0, 2)[0]
 
 
 @register("m28_words", f"""WITH {REGIONS}, wd(word, pos, len, k) AS (VALUES ('ab', 0, 2, 0), ('ab', 1, 2, 1), ('bc', 0, 2, 1), ('bc', 1, 2, 2)), u AS (SELECT example_idx, idx // 2 AS seg, idx % 2 AS pos, CAST(k AS INTEGER) AS k, vec[k + 1] AS logp FROM regions, range(0, 3) r(k))

@@ -116,29 +116,6 @@ def test_dendrogram_merges_the_close_pair():
     assert merge_levels(x, 1)[0] == [0, 2, 4]  # 0.1 and 4 are below both neighbours, 4.9 is not
 
 
-def all_splits(n):
-    for bits in itertools.product([0, 1], repeat=n - 1):
-        yield [i + 1 for i in range(n - 1) if bits[i]] + [n]
-
-
-def test_segmentation_against_all_paths():
-    rng = np.random.default_rng(2)
-    n = 6
-    s = np.full((n + 1, n + 1), -np.inf)
-    for a in range(n):
-        for b in range(a + 1, min(n, a + 3) + 1):
-            s[a, b] = rng.normal()
-    score = {tuple(p): sum(s[a, b] for a, b in zip([0, *p[:-1]], p, strict=True)) for p in all_splits(n)}
-    assert tuple(kn.viterbi_split(s)) == max(score, key=score.get)
-    assert np.isclose(kn.forward_split(s)[n], kn.log_sum_exp(np.array(list(score.values()))))
-    draws = [tuple(kn.sample_split(s, 1.0, k * 7919)) for k in range(4000)]
-    z = kn.log_sum_exp(np.array(list(score.values())))
-    top = max(score, key=score.get)
-    assert abs(draws.count(top) / len(draws) - math.exp(score[top] - z)) < 0.03
-    # Nothing feasible: still a segmentation of everything.
-    assert kn.viterbi_split(np.full((4, 4), -np.inf))[-1] == 3
-
-
 def hmm_case(seed=3):
     rng = np.random.default_rng(seed)
     n, k, steps = 2, 3, 4
@@ -238,12 +215,6 @@ def test_log_marginal_is_the_product_of_predictives():
     assert np.isclose(chain, kn.log_marginal(3, x.sum(0), (x**2).sum(0), mu0, var, var0))
 
 
-def test_acoustic_segmentation_covers(spark):
-    cands = spark.createDataFrame([(e, s, t, t - s, [float(s), float(t), 1.0]) for e in range(2) for s in range(3) for t in range(s + 1, 4)], "example_idx long, start int, end int, dur int, vec array<double>")
-    out = md.segment_acoustic(cands, 2, np.zeros(3), 1.0, 1.0, 1.0, 2, 1)
-    assert rows(out.groupBy("example_idx").agg(F.sum(F.col("end") - F.col("start")).alias("n")), "example_idx", "n") == [(0, 3), (1, 3)]
-
-
 def test_expand_person(spark):
     e = spark.createDataFrame([(0, ["person", "dog"], "m ae n"), (1, ["person"], "x"), (2, ["dog"], "m ae n")], "example_idx long, concepts array<string>, phones string")
     rule = {"man": "m ae n"}
@@ -309,18 +280,6 @@ def test_dendrogram_by_cosine():
     assert merge_levels(big, 1)[0] == [0, *(i for i in range(1, 50) if not (gap[i] < gap[i - 1] and gap[i] < gap[i + 1])), 50]
 
 
-def test_bands_of_long_sequences():
-    """Spans of at most three positions: the band gives what the whole matrix gives."""
-    rng = np.random.default_rng(7)
-    n, w = 40, 3
-    s, band = np.full((n + 1, n + 1), -np.inf), np.full((n + 1, w + 1), -np.inf)
-    for e in range(1, n + 1):
-        for size in range(1, min(w, e) + 1):
-            s[e - size, e] = band[e, size] = rng.normal()
-    assert kn.viterbi_band(band) == kn.viterbi_split(s) and kn.sample_band(band, 0.7, 5) == kn.sample_split(s, 0.7, 5)
-    assert np.allclose(kn.forward_band(band), kn.forward_split(s))
-
-
 def test_dropped_components_are_assigned_again(spark):
     rng = np.random.default_rng(3)
     centres = np.array([[0.0, 0.0], [9.0, 9.0], [0.4, 0.1]])
@@ -407,14 +366,6 @@ def rows_of(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_component_prior_follows_the_image(spark):
-    """Component 0 is said of concept 0 and component 1 of concept 1: an image of concept 1 expects component 1."""
-    state = spark.createDataFrame([(e, 0, e % 2) for e in range(20)], "example_idx long, start int, k int")
-    images = spark.createDataFrame([(e, 0, [0.99, 0.01] if e % 2 == 0 else [0.01, 0.99]) for e in range(20)], "example_idx long, idx int, post array<double>")
-    got = {r.example_idx: np.exp(r.prior) for r in md.component_prior(state, images, 2, inner=8).collect()}
-    assert len(got) == 20 and all(np.isclose(p.sum(), 1) and p[e % 2] > 0.7 for e, p in got.items())
-
-
 def test_own_priors_and_scaled_densities(spark):
     x, n = np.array([0.2, 0.9]), np.array([3.0, 1.0])
     total = np.array([[0.3, 0.3], [2.0, 2.0]])
