@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import numbered
 from ..functions.scratch import cut
 from ..functions.sequences import edit_counts_of, edit_distance_of
-from .timeline import EX, interval_overlap, iou, runs
+from .timeline import EX, interval_join, interval_overlap, iou
 
 
 def harmonic(p, r):
@@ -37,8 +37,9 @@ def cluster_f1(counts: DataFrame) -> DataFrame:
 
 def word_confusion(labels: DataFrame) -> DataFrame:
     """The majority predicted label of every gold run (ties: the least label), counted against the gold label."""
-    gold = runs(labels, "gold")
-    inside = gold.join(labels.select(F.col(EX).alias("_ex"), "t", "pred"), (F.col(EX) == F.col("_ex")) & (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")))
+    w = Window.partitionBy(EX).orderBy("t")
+    change = (~F.col("gold").eqNullSafe(F.lag("gold").over(w)) | F.lag("t").over(w).isNull()).cast("int")
+    inside = labels.select(EX, "t", "gold", "pred", change.alias("_c")).withColumn("start", F.sum("_c").over(w))
     votes = inside.groupBy(EX, "start", "gold", "pred").agg(F.count("*").alias("n"))
     major = votes.groupBy(EX, "start", "gold").agg(F.min(F.struct((-F.col("n")).alias("n"), "pred")).alias("best")).select("gold", F.col("best.pred").alias("pred"))
     return confusion(major)
@@ -59,11 +60,11 @@ def alignment_accuracy(pred: DataFrame, gold: DataFrame, pos: str = "t") -> Data
 
 def word_iou(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """Mean over predicted intervals of the best IoU with a gold interval of the example; without gold intervals 0."""
-    g = gold.select(F.col(EX).alias("_ex"), F.col("start").alias("gs"), F.col("end").alias("ge"))
+    p = pred.select(EX, "start", "end").distinct()
     # Intervals apart have an IoU of 0, so only those that meet are joined.
-    meet = (F.col(EX) == F.col("_ex")) & (F.col("gs") <= F.col("end")) & (F.col("ge") >= F.col("start"))
-    best = pred.select(EX, "start", "end").join(g, meet, "left").groupBy(EX, "start", "end").agg(F.coalesce(F.max(iou(F.col("start"), F.col("end"), F.col("gs"), F.col("ge"))), F.lit(0.0)).alias("best"))
-    return best.agg(F.avg("best").alias("iou"))
+    pairs = interval_join(p, gold.select(EX, F.col("start").alias("rs"), F.col("end").alias("re")))
+    best = pairs.groupBy(EX, "start", "end").agg(F.max(iou(F.col("start"), F.col("end"), F.col("rs"), F.col("re"))).alias("best"))
+    return best.agg(F.sum("best").alias("s")).join(p.agg(F.count("*").alias("n")), F.lit(True)).select((F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("iou"))
 
 
 def boundary_f1(pred: DataFrame, gold: DataFrame, tol: int = 2) -> DataFrame:
@@ -122,9 +123,9 @@ def boundary_sets(disc: DataFrame, gold: DataFrame) -> DataFrame:
 def transcribe(intervals: DataFrame, phones: DataFrame, least: float = 3, share: float = 0.5) -> DataFrame:
     """Phone string and phone-exact onset and offset of each interval: phones (example_idx, start, end, phone) overlapped by at
     least ``least`` frames or ``share`` of their length."""
-    p = phones.select(F.col(EX).alias("_ex"), F.col("start").alias("ps"), F.col("end").alias("pe"), "phone")
     over = interval_overlap(F.col("start"), F.col("end"), F.col("ps"), F.col("pe"))
-    inside = intervals.join(p, (F.col(EX) == F.col("_ex")) & (F.col("ps") < F.col("end")) & (F.col("pe") > F.col("start")) & ((over >= least) | (over >= share * (F.col("pe") - F.col("ps")))))
+    pairs = interval_join(intervals, phones.select(EX, F.col("start").alias("ps"), F.col("end").alias("pe"), "phone"), "ps", "pe")
+    inside = pairs.where((F.col("ps") < F.col("end")) & (F.col("pe") > F.col("start")) & ((over >= least) | (over >= share * (F.col("pe") - F.col("ps")))))
     keys = intervals.columns
     return inside.groupBy(*keys).agg(F.min("ps").alias("onset"), F.max("pe").alias("offset"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ps", "phone"))), lambda x: x["phone"]), ",").alias("ngram"))
 
@@ -135,7 +136,7 @@ def grouping(disc: DataFrame) -> DataFrame:
     Pairs are never formed: a token belongs to a pair set if it has one qualifying partner, which counts per type, per class
     and per example tell. Two tokens overlap if they share time in one example.
     """
-    t = disc.select("class_id", EX, "onset", "offset", "ngram").distinct()
+    t = cut(disc.select("class_id", EX, "onset", "offset", "ngram").distinct(), "grouping")  # read by four branches
     token = F.struct(EX, "onset", "offset")
 
     def partnered(keys: list[str]) -> DataFrame:
@@ -160,9 +161,9 @@ def grouping(disc: DataFrame) -> DataFrame:
 def token_type(intervals: DataFrame, words: DataFrame) -> DataFrame:
     """Token and type scores of ``intervals(example_idx, start, end, ngram)`` against ``words(example_idx, start, end, ngram)``:
     the word of largest overlap counts, once, if its phones are the interval's."""
-    w = words.select(F.col(EX).alias("_ex"), F.col("start").alias("ws"), F.col("end").alias("we"), F.col("ngram").alias("wn"))
     over = interval_overlap(F.col("start"), F.col("end"), F.col("ws"), F.col("we"))
-    best = intervals.join(w, (F.col(EX) == F.col("_ex")) & (F.col("ws") < F.col("end")) & (F.col("we") > F.col("start")))
+    pairs = interval_join(intervals, words.select(EX, F.col("start").alias("ws"), F.col("end").alias("we"), F.col("ngram").alias("wn")), "ws", "we")
+    best = pairs.where((F.col("ws") < F.col("end")) & (F.col("we") > F.col("start")))
     best = best.groupBy(EX, "start", "end", "ngram").agg(F.min_by(F.struct("ws", "we", "wn"), F.struct(-over, "ws")).alias("b")).where("b.wn = ngram")
     hits = best.agg(F.countDistinct(EX, "b.ws", "b.we").alias("hits"), F.countDistinct("ngram").alias("type_hits"))
     n = intervals.agg(F.count("*").alias("n_intervals"), F.countDistinct("ngram").alias("n_types"))
@@ -175,9 +176,12 @@ def token_type(intervals: DataFrame, words: DataFrame) -> DataFrame:
 
 def coverage(disc: DataFrame, phones: DataFrame) -> DataFrame:
     """Share of gold phones covered by some interval."""
-    d = disc.select(F.col(EX).alias("_ex"), F.col("start").alias("ds"), F.col("end").alias("de"))
-    got = phones.join(d, (F.col(EX) == F.col("_ex")) & (F.col("ds") <= F.col("start")) & (F.col("de") >= F.col("end")), "left_semi").agg(F.count("*").alias("covered"))
-    return got.join(phones.agg(F.count("*").alias("n")), F.lit(True)).select("covered", "n", (F.col("covered") / F.col("n")).alias("coverage"))
+    d = disc.select(EX, "start", "end", F.lit(0).alias("_side"))
+    both = d.unionByName(phones.select(EX, "start", "end", F.lit(1).alias("_side")))
+    # A sweep: the farthest end of the intervals that have begun, those that begin with the phone included.
+    begun = Window.partitionBy(EX).orderBy("start", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("_to", F.max(F.when(F.col("_side") == 0, F.col("end"))).over(begun)).where("_side = 1")
+    return swept.agg(F.count(F.when(F.col("_to") >= F.col("end"), 1)).alias("covered"), F.count("*").alias("n")).select("covered", "n", (F.col("covered") / F.col("n")).alias("coverage"))
 
 
 def ned(disc: DataFrame, tokens: str = "phones", block: int = 1000) -> DataFrame:

@@ -5,6 +5,8 @@ Intervals are half open. Every window is partitioned by the example, so one shuf
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,6 +216,29 @@ def top_concept_spans(spans: DataFrame, n: int, least: int = 1600) -> DataFrame:
     return spans.join(F.broadcast(rank), "concept").where(F.col("s1") - F.col("s0") > least).select("concept", EX, "s0", "s1")
 
 
+def interval_join(left: DataFrame, right: DataFrame, start: str = "rs", end: str = "re") -> DataFrame:
+    """Pairs of intervals of ``left(example_idx, start, end, ...)`` and ``right(example_idx, <start>, <end>, ...)`` of one example that meet, or touch:
+    all columns of both sides, the example's once. Other columns must not share a name. Rows that repeat pair each.
+
+    Pairs come together by equal keys, cells of a grid. A right interval lies on a grid as wide as itself, to a power of two, or as wide as
+    the mean right interval if it is shorter, so it is in three cells at most; a left interval looks into the cells that it covers on the
+    grids that have right intervals. So a long example is spread over many keys, and a pair is kept in the cell of the later start
+    alone. Only the grids' widths come to the driver, at most 64 numbers."""
+    width = F.greatest(F.col(end) - F.col(start), F.lit(1)).cast("double")
+    own = F.floor(F.log2(width)).cast("int")
+    found = [r for r in right.groupBy(own.alias("l")).agg(F.count("*").alias("n"), F.sum(width).alias("s")).collect() if r.l is not None]
+    least = math.floor(math.log2(sum(r.s for r in found) / sum(r.n for r in found))) if found else 0
+    levels = sorted({max(r.l, least) for r in found})
+    placed = right.withColumn("_level", F.greatest(own, F.lit(least)))
+    cell = lambda at: F.floor(at / F.pow(F.lit(2.0), F.col("_level").cast("double")))
+    cells = lambda a, b: F.explode(F.sequence(cell(F.col(a)), cell(F.col(b)))).alias("_cell")
+    held = placed.select("*", cells(start, end))
+    asks = left.withColumn("_level", F.explode(F.lit(levels).cast("array<int>"))).select("*", cells("start", "end"))
+    both = asks.join(held, [EX, "_level", "_cell"])
+    once = cell(F.greatest(F.col("start"), F.col(start))) == F.col("_cell")
+    return both.where(once & (F.col(start) <= F.col("end")) & (F.col(end) >= F.col("start"))).drop("_level", "_cell")
+
+
 def interval_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
 
