@@ -1,86 +1,248 @@
-"""Caption and image retrieval. All pairs are the result here; they are scored in blocks: each side is cut into blocks of a fixed
-number of examples, and a task holds one block of either side."""
+"""Caption and image retrieval. Examples lie in blocks, near ones together, and a task scores one block of either side with one matrix
+product. Where only the best pairs count, pairs of blocks that can't hold one are left out by exact bounds.
+
+Scores are rounded to eleven decimals, so that equal vectors tie in whichever block they are scored.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import packed as pk
+from ..functions.ranking import numbered
 from ..functions.scratch import cut
 from .timeline import EX
 
+#: Groups of near examples: what every task holds of the other side is a centre and a radius of each.
+MOST_GROUPS = 1024
+#: Dot products that a task holds at once.
+MOST = 4_000_000
+
+
+def _mean(products: np.ndarray, first: np.ndarray, axis: int) -> np.ndarray:
+    sizes = np.diff(first)
+    return np.add.reduceat(products, first[:-1], axis) / (sizes[:, None] if axis == 0 else sizes)
+
+
+def _sisa(im, im_first, cap, cap_first):
+    return _mean(cap, cap_first, 0) @ _mean(im, im_first, 0).T
+
+
+def _misa(im, im_first, cap, cap_first):
+    return _mean(np.maximum.reduceat(cap @ im.T, im_first[:-1], 1), cap_first, 0)
+
+
+def _sima(im, im_first, cap, cap_first):
+    return _mean(np.maximum.reduceat(cap @ im.T, cap_first[:-1], 0), im_first, 1)
+
+
+def similarity_of(kind: str) -> Callable:
+    """R2's kernel: (region vectors, first region of each image, frame vectors, first frame of each caption) -> values[caption, image]."""
+    return {"sisa": _sisa, "misa": _misa, "sima": _sima}[kind]
+
+
+def _scored(kernel: Callable, im: tuple[np.ndarray, np.ndarray], cap: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The kernel's values of two packed blocks, some captions at a time."""
+    (x, x_first), (y, y_first) = im, cap
+    out = np.empty((len(y_first) - 1, len(x_first) - 1))
+    for lo, hi in pk.groups(np.diff(y_first) * len(x), MOST):
+        own = y_first[lo : hi + 1]
+        out[lo:hi] = kernel(x, x_first, y[own[0] : own[-1]], own - own[0])
+    return np.round(out, 11) + 0.0
+
+
+def _stacked(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    sizes = [len(v) for v in column]
+    return np.stack([np.asarray(v, float) for vs in column for v in vs]), np.r_[0, np.cumsum(sizes)]
+
+
+def pack(rows: DataFrame) -> DataFrame:
+    """(id, held): one row for each example of ``rows(example_idx, idx, vec)``, its vectors in order."""
+    return rows.groupBy(EX).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "vec"))), lambda x: x["vec"]).alias("held")).select(F.col(EX).alias("id"), "held")
+
+
+def group(packed: DataFrame, block: int) -> DataFrame:
+    """``packed`` with ``group`` and ``sub``: the nearest of some examples' mean vectors, drawn by a hash, at most ``MOST_GROUPS``; and a
+    hash that cuts a group into blocks of about ``block`` examples. Written once."""
+    n = packed.count()
+    many = min(MOST_GROUPS, max(1, -(-n // block)))
+    drawn = packed.orderBy(F.xxhash64("id"), "id").limit(many).select("held").collect()
+    pivots = np.array([np.mean([list(v) for v in r.held], 0) for r in drawn]) if drawn else np.zeros((1, 0))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, first = _stacked(b["held"])
+                far = (pivots**2).sum(1) - 2 * _mean(x, first, 0) @ pivots.T
+                yield b.assign(group=far.argmin(1).astype(np.int32))
+
+    placed = cut(packed.mapInPandas(near, "id long, held array<array<double>>, group int"), "groups")
+    subs = placed.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("subs"))
+    # Sizes of groups: MOST_GROUPS rows.
+    return placed.join(F.broadcast(subs), "group").select("id", "held", "group", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int").alias("sub"))
+
 
-def _packed(rows: DataFrame, block: int, side: str) -> tuple[DataFrame, int]:
-    """((id, vecs, block), number of blocks): ids dealt to blocks by hash; the number of blocks follows the number of examples.
-    The columns are new ones, so that both sides may come from one table."""
-    packed = rows.groupBy(EX).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "vec"))), lambda x: x["vec"]).alias("vecs"))
-    blocks = max(1, -(-rows.select(EX).distinct().count() // block))
-    return packed.select(F.col(EX).alias("id"), F.col("vecs").alias("held"), F.pmod(F.xxhash64(EX), F.lit(blocks)).cast("int").alias(side)), blocks
-
-
-def in_blocks(images: DataFrame, captions: DataFrame, score: Callable, found: Callable, schema: str, block: int = 256, own: DataFrame | None = None) -> DataFrame:
-    """``found(caption ids, image ids, values[caption, image], captions' own values, images' own values)`` of every pair of blocks,
-    rows of ``schema``. ``own(id, own)`` has a value for each example, NaN without it."""
-    a, na = _packed(images, block, "_a")
-    b, nb = _packed(captions, block, "_b")
-    if own is not None:
-        held = cut(own, "own-scores")
-        a, b = (x.join(held.select(F.col("id").alias("_id"), F.col("own").alias(name)), F.col("id") == F.col("_id"), "left").drop("_id") for x, name in ((a, "own_a"), (b, "own_b")))
-    left = a.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).groupBy("_a", "_b")
-    right = b.withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(na - 1)))).groupBy("_a", "_b")
+def _balls(grouped: DataFrame, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, radius, examples) of each group, of all its vectors or with ``whole`` of its examples' mean vectors; a group without
+    examples has a radius of -inf."""
+
+    def vectors(held: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        x, first = _stacked(held)
+        return (_mean(x, first, 0), np.ones(len(held), int)) if whole else (x, np.diff(first))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for b in batches:
+            if len(b):
+                x, sizes = vectors(b["held"])
+                of = np.repeat(b["group"].to_numpy(), sizes)
+                for g in np.unique(of):
+                    t = total.setdefault(int(g), [0, 0, 0.0])
+                    t[0], t[1], t[2] = t[0] + int((b["group"] == g).sum()), t[1] + int((of == g).sum()), t[2] + x[of == g].sum(0)
+        yield pd.DataFrame([(g, t[0], t[1], t[2].tolist()) for g, t in total.items()], columns=["group", "n", "m", "total"])
+
+    parts = grouped.select("group", "held").mapInPandas(sums, "group int, n long, m long, total array<double>")
+    flat = parts.select("group", "n", "m", F.posexplode("total").alias("dim", "x")).groupBy("group", "dim").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("x").alias("x")).collect()
+    groups, dims = max((r.group for r in flat), default=-1) + 1, max((r.dim for r in flat), default=-1) + 1
+    centres, n = np.zeros((groups, dims)), np.zeros(groups, int)
+    for r in flat:
+        centres[r.group, r.dim], n[r.group] = r.x / r.m, r.n
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        far = np.full(groups, -np.inf)
+        for b in batches:
+            if len(b):
+                x, sizes = vectors(b["held"])
+                of = np.repeat(b["group"].to_numpy(), sizes)
+                np.maximum.at(far, of, np.sqrt(((x - centres[of]) ** 2).sum(1)))
+        yield pd.DataFrame({"group": np.flatnonzero(far >= 0), "far": far[far >= 0]})
+
+    radius = np.full(groups, -np.inf)
+    for r in grouped.select("group", "held").mapInPandas(reach, "group int, far double").groupBy("group").agg(F.max("far").alias("far")).collect():
+        radius[r.group] = r.far
+    return centres, radius, n
+
+
+def _bounds(x: np.ndarray, first: np.ndarray, centres: np.ndarray, radius: np.ndarray, how: str) -> tuple[np.ndarray, np.ndarray]:
+    """(least, most) score of each example with an example of each group. ``how``: 'whole' for a mean of mean vectors; 'mean' if the
+    example's own vectors are averaged over the best of the other's, 'max' if the best of its own is averaged over the other's."""
+    if how == "whole":
+        x, first = _mean(x, first, 0), np.arange(len(first))
+    at, reach = x @ centres.T, np.sqrt((x**2).sum(1))[:, None] * np.maximum(radius, 0)
+    slack = 1e-9 * (1 + np.abs(at) + reach)
+    low, high = at - reach - slack, at + reach + slack
+    if how == "max":
+        return np.maximum.reduceat(low, first[:-1], 0), np.maximum.reduceat(high, first[:-1], 0)
+    return _mean(low, first, 0), _mean(high, first, 0)
+
+
+def surviving(a: DataFrame, b: DataFrame, kind: str, keep: int | None = None, own: DataFrame | None = None) -> DataFrame:
+    """(_ag, _as, _bg, _bs): pairs of a block of images ``a`` and a block of captions ``b`` (both of ``group``) that may hold one of the
+    ``keep`` best of an example of either, or a score that is not below an example's ``own(id, own)``.
+
+    The k-th best score of an example is at least the least score with any group of k examples, and no score passes the group's
+    largest: both follow from the group's ball, so no pair that counts is left out."""
+    whole = kind == "sisa"
+    ways = {"sisa": ("whole", "whole"), "misa": ("max", "mean"), "sima": ("mean", "max")}[kind]
+
+    def kept(side: DataFrame, balls: tuple, how: str) -> DataFrame:
+        centres, radius, n = balls
+        if own is not None:
+            side = side.join(own, "id", "left").where("own IS NOT NULL AND NOT isnan(own)")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for t in batches:
+                if not len(t) or not len(centres):
+                    continue
+                x, first = _stacked(t["held"])
+                for lo, hi in pk.groups(np.diff(first) * len(centres), MOST):
+                    part = first[lo : hi + 1]
+                    low, high = _bounds(x[part[0] : part[-1]], part - part[0], centres, radius, how)
+                    if keep:
+                        # Each of a group's n examples scores ``low`` or more; the k-th of all, best groups first, is no lower.
+                        order = np.argsort(-low, 1, kind="stable")
+                        enough = np.cumsum(n[order], 1) >= keep
+                        floor = np.where(enough.any(1), np.take_along_axis(low, np.take_along_axis(order, enough.argmax(1)[:, None], 1), 1)[:, 0], -np.inf)
+                    else:
+                        floor = t["own"].to_numpy(float)[lo:hi] - 1e-9
+                    i, g = np.nonzero((high >= floor[:, None]) & (n > 0))
+                    found = np.unique(np.stack([t["group"].to_numpy()[lo:hi][i], t["sub"].to_numpy()[lo:hi][i], g], 1), axis=0)
+                    yield pd.DataFrame(found, columns=["group", "sub", "other"])
+
+        columns = ["held", "group", "sub"] + (["own"] if own is not None else [])
+        return side.select(*columns).mapInPandas(run, "group int, sub int, other int").distinct()
+
+    subs = lambda x, g, s: x.select(F.col("group").alias(g), F.col("sub").alias(s)).distinct()
+    for_a = kept(a, _balls(b, whole), ways[0]).select(F.col("group").alias("_ag"), F.col("sub").alias("_as"), F.col("other").alias("_bg")).join(subs(b, "_bg", "_bs"), "_bg")
+    for_b = kept(b, _balls(a, whole), ways[1]).select(F.col("group").alias("_bg"), F.col("sub").alias("_bs"), F.col("other").alias("_ag")).join(subs(a, "_ag", "_as"), "_ag")
+    return for_a.unionByName(for_b).distinct()
+
+
+def every_pair(images: DataFrame, captions: DataFrame, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, captions, pairs of blocks) for a result of all pairs: examples are dealt to blocks by a hash, and the pairs are numbers."""
+
+    def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+        packed = pack(rows)
+        n = max(1, -(-rows.select(EX).distinct().count() // block))
+        return packed.select("id", "held", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("group"), F.lit(0).alias("sub")), n
+
+    (a, na), (b, nb) = dealt(images), dealt(captions)
+    numbers = images.sparkSession.range(na).select(F.col("id").cast("int").alias("_ag"), F.lit(0).alias("_as"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_bg"), F.lit(0).alias("_bs"))
+    return a, b, numbers
+
+
+def in_blocks(a: DataFrame, b: DataFrame, pairs: DataFrame, kernel: Callable, found: Callable, schema: str, own: DataFrame | None = None) -> DataFrame:
+    """``found(caption ids, image ids, values[caption, image], captions' own values, images' own values)`` of the ``pairs`` of blocks of
+    images ``a`` and captions ``b``, rows of ``schema``. ``own(id, own)`` has a value for each example, NaN without it."""
+    pairs = cut(pairs, "block-pairs")
+    a, b = (x.join(own, "id", "left") if own is not None else x.withColumn("own", F.lit(None).cast("double")) for x in (a, b))
+    left = a.select(F.col("id").alias("x"), F.col("held").alias("xs"), F.col("own").alias("xo"), F.col("group").alias("_ag"), F.col("sub").alias("_as")).join(pairs, ["_ag", "_as"])
+    right = b.select(F.col("id").alias("y"), F.col("held").alias("ys"), F.col("own").alias("yo"), F.col("group").alias("_bg"), F.col("sub").alias("_bs")).join(pairs, ["_bg", "_bs"])
+    key = ["_ag", "_as", "_bg", "_bs"]
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y = x.sort_values("id"), y.sort_values("id")
-        ims, caps = ([np.stack([np.asarray(v, float) for v in vs]) for vs in side["held"]] for side in (x, y))
-        values = np.array([[score(im, cap) for im in ims] for cap in caps], float).reshape(len(caps), len(ims))
-        mine = lambda side, name: side[name].to_numpy(float) if name in side else np.full(len(side), np.nan)
-        return pd.DataFrame(found(y["id"].to_numpy(), x["id"].to_numpy(), values, mine(y, "own_b"), mine(x, "own_a")), columns=names)
+        x, y = x.sort_values("x"), y.sort_values("y")
+        values = _scored(kernel, _stacked(x["xs"]), _stacked(y["ys"]))
+        return pd.DataFrame(found(y["y"].to_numpy(), x["x"].to_numpy(), values, y["yo"].to_numpy(float), x["xo"].to_numpy(float)), columns=names)
 
-    return left.cogroup(right).applyInPandas(run, schema)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema)
 
 
-def own_scores(images: DataFrame, captions: DataFrame, score: Callable) -> DataFrame:
+def own_scores(images: DataFrame, captions: DataFrame, kernel: Callable) -> DataFrame:
     """(id, own): the score of every example's caption with its own image."""
-    a, b = (_packed(x, 1 << 62, "_s")[0].drop("_s") for x in (images, captions))
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            stack = lambda vs: np.stack([np.asarray(v, float) for v in vs])
-            yield pd.DataFrame({"id": t["id"], "own": [float(score(stack(im), stack(cap))) for im, cap in zip(t["held"], t["cap"], strict=True)]})
+            scores = [_scored(kernel, _stacked(pd.Series([im])), _stacked(pd.Series([cap])))[0, 0] for im, cap in zip(t["held"], t["cap"], strict=True)]
+            yield pd.DataFrame({"id": t["id"], "own": np.array(scores, float)})
+
+    return cut(pack(images).join(pack(captions).withColumnRenamed("held", "cap"), "id").mapInPandas(run, "id long, own double"), "own-scores")
 
-    return a.join(b.withColumnRenamed("held", "cap"), "id").mapInPandas(run, "id long, own double")
 
+def _sides(images: DataFrame, captions: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    return group(pack(images), block), group(pack(captions), block)
 
-def score_blocks(images: DataFrame, captions: DataFrame, score: Callable, block: int = 256, keep: int | None = None) -> DataFrame:
-    """(row, col, value): ``score(image vectors, caption vectors)`` of every caption (row) and image (col), ``example_idx, idx, vec``
-    each. ``keep``: of each pair of blocks only the best ``keep`` images of a caption and captions of an image, enough for a later top k."""
+
+def score_blocks(images: DataFrame, captions: DataFrame, kernel: Callable, block: int = 256) -> DataFrame:
+    """(row, col, value): the kernel's value of every caption (row) and image (col), ``example_idx, idx, vec`` each."""
 
     def found(rows, cols, values, *_):
-        mask = np.ones(values.shape, bool)
-        if keep:
-            mask[:] = False
-            np.put_along_axis(mask, np.argsort(-values, axis=1, kind="stable")[:, :keep], True, axis=1)
-            np.put_along_axis(mask, np.argsort(-values, axis=0, kind="stable")[:keep], True, axis=0)
-        i, j = np.nonzero(mask)
-        return {"row": rows[i], "col": cols[j], "value": values[i, j]}
+        return {"row": np.repeat(rows, len(cols)), "col": np.tile(cols, len(rows)), "value": values.ravel()}
 
-    return in_blocks(images, captions, score, found, "row long, col long, value double", block)
+    a, b, pairs = every_pair(images, captions, block)
+    return in_blocks(a, b, pairs, kernel, found, "row long, col long, value double")
 
 
-def match_similarity(images: DataFrame, captions: DataFrame, kind: str = "sisa", **blocks) -> DataFrame:
+def match_similarity(images: DataFrame, captions: DataFrame, kind: str = "sisa", block: int = 256) -> DataFrame:
     """R2: mean of the dot products (sisa), max over regions then mean over frames (misa), max over frames then mean over regions
     (sima), over the true numbers of regions and frames."""
-    return score_blocks(images, captions, similarity_of(kind), **blocks)
-
-
-def similarity_of(kind: str) -> Callable:
-    how = {"sisa": lambda m: m.mean(), "misa": lambda m: m.max(0).mean(), "sima": lambda m: m.max(1).mean()}[kind]
-    return lambda im, cap: how(im @ cap.T)
+    return score_blocks(images, captions, similarity_of(kind), block)
 
 
 def score_pairs(tokens: DataFrame, q: DataFrame, table: DataFrame, floor: float = 1e-30, score: str = "max") -> DataFrame:
@@ -90,9 +252,10 @@ def score_pairs(tokens: DataFrame, q: DataFrame, table: DataFrame, floor: float
     images = q.groupBy(EX, "idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("vec"))
     caps = tokens.select(EX, F.col("t").alias("idx"), F.array(F.col("w").cast("double")).alias("vec"))
 
-    def likelihood(im: np.ndarray, cap: np.ndarray) -> float:
+    def likelihood(im, im_first, cap, cap_first):
         a = rows[cap[:, 0].astype(int)] @ im.T
-        return float(np.log(np.maximum(a.max(0) if score == "max" else a.mean(0), floor)).sum())
+        each = np.maximum.reduceat(a, cap_first[:-1], 0) if score == "max" else _mean(a, cap_first, 0)
+        return np.add.reduceat(np.log(np.maximum(each, floor)), im_first[:-1], 1)
 
     return score_blocks(images, caps, likelihood)
 
@@ -106,6 +269,23 @@ def matrix_rows(table: DataFrame) -> np.ndarray:
     return out
 
 
+def best_in_blocks(images: DataFrame, captions: DataFrame, kind: str, k: int, block: int = 256) -> DataFrame:
+    """R3 from the vectors: (side, query, hit, rank) of ``top_k``. Only pairs of blocks that may hold one of the ``k`` best are scored, and of
+    each only the best ``k`` of a caption and of an image leave the task."""
+
+    def found(rows, cols, values, *_):
+        parts = []
+        for side, ids, others, v in (("row", rows, cols, values), ("col", cols, rows, values.T)):
+            best = np.argsort(-v, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go by id
+            parts.append((np.full(best.size, side), np.repeat(ids, best.shape[1]), others[best].ravel(), np.take_along_axis(v, best, 1).ravel()))
+        return dict(zip(("side", "query", "hit", "value"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
+
+    a, b = _sides(images, captions, block)
+    rows = in_blocks(a, b, surviving(a, b, kind, keep=k), similarity_of(kind), found, "side string, query long, hit long, value double")
+    w = Window.partitionBy("side", "query").orderBy(F.desc("value"), "hit")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("side", "query", "hit", "rank")
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """(side, query, hit, rank): the ``k`` best columns of every row and rows of every column, ties by id."""
     a = scores.select(F.lit("row").alias("side"), F.col("row").alias("query"), F.col("col").alias("hit"), "value")
@@ -138,17 +318,21 @@ def recall_at_k(scores: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFram
 
 
 def recall_in_blocks(images: DataFrame, captions: DataFrame, kind: str = "sisa", ks: tuple[int, ...] = (1, 5, 10), block: int = 256) -> DataFrame:
-    """R4 from the vectors: the pairs of a block are counted where they are scored, and only counts leave the task. Examples
-    without the other side have no rank."""
-    score = similarity_of(kind)
+    """R4 from the vectors: pairs of blocks in which no score can reach an example's own are left out, the others are counted where
+    they are scored, and only counts leave the task. Examples without the other side have no rank."""
+    kernel = similarity_of(kind)
 
     def found(rows, cols, values, own_rows, own_cols):
-        before = cols[None, :] < rows[:, None]
-        sides = [("row", rows, _above(values, own_rows, before), own_rows), ("col", cols, _above(values.T, own_cols, rows[None, :] < cols[:, None]), own_cols)]
+        values = np.where(rows[:, None] == cols[None], -np.inf, values)  # the own one is not above itself
+        sides = [("row", rows, _above(values, own_rows, cols[None, :] < rows[:, None]), own_rows), ("col", cols, _above(values.T, own_cols, rows[None, :] < cols[:, None]), own_cols)]
         known = [(side, ids[~np.isnan(own)], n[~np.isnan(own)]) for side, ids, n, own in sides]
         return {"side": np.repeat([x[0] for x in known], [len(x[1]) for x in known]), "id": np.concatenate([x[1] for x in known]), "above": np.concatenate([x[2] for x in known])}
 
-    return recall_of_ranks(in_blocks(images, captions, score, found, "side string, id long, above long", block, own_scores(images, captions, score)), ks)
+    own = own_scores(images, captions, kernel)
+    a, b = _sides(images, captions, block)
+    counted = in_blocks(a, b, surviving(a, b, kind, own=own), kernel, found, "side string, id long, above long", own)
+    none = own.select(F.explode(F.array(F.lit("row"), F.lit("col"))).alias("side"), "id", F.lit(0).cast("long").alias("above"))  # an example may be in no pair
+    return recall_of_ranks(counted.unionByName(none), ks)
 
 
 def align_matchmap(images: DataFrame, captions: DataFrame, ratio: int, lengths: DataFrame) -> DataFrame:
@@ -170,16 +354,38 @@ def align_matchmap(images: DataFrame, captions: DataFrame, ratio: int, lengths:
     return wide.join(lengths, EX).where("t < n").select(EX, "t", "region")
 
 
-def margin_loss(scores: DataFrame, margin: float, seed: int) -> DataFrame:
-    """Mean over items of max(0, m + s(imp, a) - s_ii) + max(0, m + s(i, imp) - s_ii), the impostors picked by hash, never the item."""
-    own = scores.where("row = col").select(F.col("row").alias("_id"), F.col("value").alias("s"))
-    total = None
-    for side, other in (("col", "row"), ("row", "col")):
-        pick = scores.where("row <> col").groupBy(F.col(side).alias("_i")).agg(F.min_by("value", F.struct(F.xxhash64("row", "col", F.lit(seed)), F.col(other))).alias(f"v_{side}"))
-        own = own.join(pick, F.col("_id") == F.col("_i")).drop("_i")
-        term = F.greatest(F.lit(0.0), margin + F.col(f"v_{side}") - F.col("s"))
-        total = term if total is None else total + term
-    return own.agg(F.avg(total).alias("loss"))
+def impostors(ids: DataFrame, seed: int) -> DataFrame:
+    """(id, caption, image): for each id another one as caption and another one as image, by its neighbour in two hash orders of all ids. A
+    single id has none."""
+    out = ids
+    for i, name in enumerate(("caption", "image")):
+        line = cut(numbered(ids.select("id", F.xxhash64("id", F.lit(seed + i)).alias("h")), "h", "id"), "impostors")
+        n = line.count()
+        after = line.select(((F.col("idx") + n - 1) % max(n, 1)).alias("idx"), F.col("id").alias(name))
+        out = out.join(line.select("id", "idx").join(after, "idx").drop("idx"), "id")
+    return out.where("caption <> id AND image <> id")
+
+
+def margin_loss(images: DataFrame, captions: DataFrame, kind: str, margin: float, seed: int) -> DataFrame:
+    """Mean over items of max(0, m + s(imp, a) - s_ii) + max(0, m + s(i, imp) - s_ii), the impostors picked by hash, never the item. Only the
+    item's own pair and the two with its impostors are scored, in one row of three."""
+    kernel = similarity_of(kind)
+    im, cap = pack(images), pack(captions)
+    both = im.select("id", F.col("held").alias("im")).join(cap.select("id", F.col("held").alias("cap")), "id")
+    both = cut(both, "margin-items")
+    picked = impostors(both.select("id"), seed)
+    other = both.join(picked, "id")
+    other = other.join(both.select(F.col("id").alias("caption"), F.col("cap").alias("cap2")), "caption").join(both.select(F.col("id").alias("image"), F.col("im").alias("im2")), "image")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            rows = []
+            for a, b, b2, a2 in zip(t["im"], t["cap"], t["cap2"], t["im2"], strict=True):
+                v = _scored(kernel, _stacked(pd.Series([a, a2])), _stacked(pd.Series([b, b2])))
+                rows.append(max(0.0, margin + v[1, 0] - v[0, 0]) + max(0.0, margin + v[0, 1] - v[0, 0]))
+            yield pd.DataFrame({"loss": np.array(rows, float)})
+
+    return other.select("im", "cap", "cap2", "im2").mapInPandas(run, "loss double").agg(F.avg("loss").alias("loss"))
 
 
 def softmax_loss(scores: DataFrame) -> DataFrame:
@@ -195,15 +401,16 @@ def softmax_loss(scores: DataFrame) -> DataFrame:
 
 def softmax_loss_in_blocks(images: DataFrame, captions: DataFrame, kind: str = "sisa", block: int = 256) -> DataFrame:
     """R6 from the vectors: each block gives the largest value and the sum of exponentials below it of its rows and columns."""
-    score = similarity_of(kind)
+    kernel = similarity_of(kind)
 
     def found(rows, cols, values, *_):
         top = [values.max(1), values.max(0)]
         sums = [np.exp(values - top[0][:, None]).sum(1), np.exp(values - top[1][None]).sum(0)]
         return {"side": np.repeat(["row", "col"], [len(rows), len(cols)]), "id": np.concatenate([rows, cols]), "top": np.concatenate(top), "total": np.concatenate(sums)}
 
-    own = own_scores(images, captions, score)
-    parts = in_blocks(images, captions, score, found, "side string, id long, top double, total double", block)
+    own = own_scores(images, captions, kernel)
+    a, b, pairs = every_pair(images, captions, block)
+    parts = in_blocks(a, b, pairs, kernel, found, "side string, id long, top double, total double")
     w = Window.partitionBy("side", "id")
     whole = parts.withColumn("_m", F.max("top").over(w)).groupBy("side", "id", "_m").agg(F.sum(F.col("total") * F.exp(F.col("top") - F.col("_m"))).alias("t"))
     each = whole.groupBy("id").agg(F.sum(F.col("_m") + F.log("t")).alias("z")).join(own, "id")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scratch import cut
 from ..operators import retrieval as rt
 from . import fixtures as fx
 from . import models as pm
@@ -32,10 +31,6 @@ def sides(spark, d):
     return r, r
 
 
-def sisa(spark, d):
-    return cut(rt.match_similarity(*sides(spark, d), "sisa"), "scores")
-
-
 @register("r1_pairs", f"WITH {pm.TERMS}, x AS (SELECT c.example_idx AS row, q.example_idx AS col, j, t, sum(p * q) AS a FROM pairs c JOIN tb USING (w) JOIN q USING (k) GROUP BY ALL), m AS (SELECT row, col, j, greatest(max(a), 1e-30) AS m FROM x GROUP BY ALL) SELECT row, col, round(sum(ln(m)), 5) AS value FROM m GROUP BY ALL")
 def r1_pairs(spark, d):
     q = pm.likelihoods(spark, d).withColumnRenamed("j", "idx")
@@ -51,7 +46,7 @@ for _kind, _sql in (("sisa", "SELECT row, col, avg(x) AS value FROM dt GROUP BY
 
 @register("r3_top_k", f"WITH {SISA}, b AS (SELECT 'row' AS side, row AS query, col AS hit, value FROM sc UNION ALL SELECT 'col', col, row, value FROM sc), k AS (SELECT *, row_number() OVER (PARTITION BY side, query ORDER BY value DESC, hit) AS rank FROM b) SELECT side, query, hit, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
 def r3_top_k(spark, d):
-    return rt.top_k(rt.match_similarity(*sides(spark, d), "sisa", keep=5), 5)
+    return rt.best_in_blocks(*sides(spark, d), "sisa", 5)
 
 
 @register("r4_recall", f"""WITH {SISA}, o AS (SELECT row AS id, value AS v FROM sc WHERE row = col), r AS (SELECT 'row' AS side, row AS id, count(*) FILTER (value > v) + 1 AS rank FROM sc JOIN o ON row = id GROUP BY ALL UNION ALL SELECT 'col', col, count(*) FILTER (value > v) + 1 FROM sc JOIN o ON col = id GROUP BY ALL)
@@ -68,7 +63,7 @@ def r5_matchmap(spark, d):
 
 @register("r6_margin_loss")
 def r6_margin_loss(spark, d):
-    return rounded(rt.margin_loss(sisa(spark, d), 1.0, 3), "loss")
+    return rounded(rt.margin_loss(*sides(spark, d), "sisa", 1.0, 3), "loss")
 
 
 @register("r6_softmax_loss", f"WITH {SISA}, a AS (SELECT row AS id, max(value) + ln(sum(exp(value - m))) AS z FROM (SELECT *, max(value) OVER (PARTITION BY row) AS m FROM sc) GROUP BY row), b AS (SELECT col AS id, max(value) + ln(sum(exp(value - m))) AS y FROM (SELECT *, max(value) OVER (PARTITION BY col) AS m FROM sc) GROUP BY col) SELECT round(-avg(2 * value - z - y), 5) AS loss FROM sc JOIN a ON row = a.id JOIN b ON row = b.id WHERE row = col")

@@ -358,7 +358,7 @@ def test_retrieval_in_blocks(spark):
     cap = spark.createDataFrame([(e, i, v[::-1]) for e, i, v in rows], "example_idx long, idx int, vec array<double>")
     all_ = rt.match_similarity(im, cap, "misa").cache()
     assert rows_of(rt.recall_in_blocks(im, cap, "misa", (1, 3), 5)) == rows_of(rt.recall_at_k(all_, (1, 3)))
-    assert rows_of(rt.top_k(rt.match_similarity(im, cap, "misa", block=5, keep=2), 2)) == rows_of(rt.top_k(all_, 2))
+    assert rows_of(rt.best_in_blocks(im, cap, "misa", 2, 5)) == rows_of(rt.top_k(all_, 2))
     assert np.isclose(rt.softmax_loss_in_blocks(im, cap, "misa", 5).first().loss, rt.softmax_loss(all_).first().loss)
 
 
