@@ -19,20 +19,81 @@ from ..functions.statistics import vector_sums, weighted_sums
 EX = "example_idx"
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = 0, partition: str | None = None) -> DataFrame:
-    """M1: (k, vec) centroids of ``vec``; with ``partition`` (a column of few values) k centroids of each of its values."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    spark = vectors.sparkSession
-    parts = [r[0] for r in vectors.select(partition).distinct().orderBy(partition).collect()] if partition else [None]
-    rows = []
-    for p in parts:
-        own = vectors if p is None else vectors.where(F.col(partition) == p)
-        model = KMeans(k=k, seed=seed, featuresCol="f").fit(own.select(array_to_vector("vec").alias("f")))
-        rows += [(p, i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    out = spark.createDataFrame([(i, v) for _, i, v in rows], "k int, vec array<double>") if not partition else spark.createDataFrame(rows, f"`{partition}` {vectors.schema[partition].dataType.simpleString()}, k int, vec array<double>")
-    return out
+def start_centroids(vectors: DataFrame, k: int, seed: int, partition: str, sample: int = 64) -> DataFrame:
+    """(partition, k, vec): ``k`` starting centroids of each partition, far apart by k-means++ over at most ``sample * k`` of its distinct vectors,
+    those of the least hashes. Only the start is sampled; the rounds of ``kmeans`` take all vectors."""
+    h = F.xxhash64("vec", F.lit(seed))
+    rows = vectors.where("vec IS NOT NULL").select(F.col(partition).alias("_p"), "vec", h.alias("_h")).distinct()
+    part = F.pmod(F.xxhash64("_h"), F.lit(64))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("_h", F.col("vec").cast("string")))
+    few = rows.withColumn("_r", rank("_p", part)).where(F.col("_r") <= sample * k).withColumn("_r", rank("_p")).where(F.col("_r") <= sample * k)
+
+    def spread(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_r")
+        x, u = np.stack([np.asarray(v, float) for v in own["vec"]]), kn.uniforms(seed + 1, k)
+        chosen = [0]
+        far = ((x - x[0]) ** 2).sum(1)
+        while len(chosen) < min(k, len(x)):
+            c = np.cumsum(far)
+            chosen.append(int(np.searchsorted(c, u[len(chosen)] * c[-1], "right")) if c[-1] > 0 else len(chosen))
+            far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+        return pd.DataFrame({"_p": own["_p"].iloc[0], "k": np.arange(len(chosen), dtype=np.int32), "vec": [x[i].tolist() for i in chosen]})
+
+    kind = vectors.schema[partition].dataType.simpleString()
+    return few.select("_p", "_r", "vec").groupBy("_p").applyInPandas(spread, f"_p {kind}, k int, vec array<double>").withColumnRenamed("_p", partition)
+
+
+def lloyd_round(vectors: DataFrame, centroids: DataFrame, partition: str) -> DataFrame:
+    """(partition, k, vec): one round for all partitions at once. A vector meets its partition's centroids in one join, the nearest one
+    (the lower of two) takes it, each task adds up by partition and centroid, and one aggregation gives the means; a centroid that
+    nothing is near stays."""
+    packed = centroids.groupBy(F.col(partition).alias("_p")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "vec"))), lambda c: c["vec"]).alias("_mu"))
+    both = vectors.select(F.col(partition).alias("_own"), "vec").join(packed, F.col("_own") == F.col("_p")).select("_p", "_mu", "vec")
+    kind = vectors.schema[partition].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def out() -> pd.DataFrame:
+            rows = [(p, k, n, total.tolist()) for (p, k), (n, total) in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=["_p", "k", "n", "total"])
+
+        for b in batches:
+            for p, own in b.groupby("_p", sort=False):
+                x, mu = np.stack(own["vec"].to_numpy()), np.stack([np.asarray(v, float) for v in own["_mu"].iloc[0]])
+                near = kn.squared_distances(x, mu).argmin(1)
+                for k in np.unique(near):
+                    n, total = held.get((p, k), (0, 0.0))
+                    held[p, k] = n + int((near == k).sum()), total + x[near == k].sum(0)
+            if len(held) > 10_000:
+                yield out()
+        yield out()
+
+    sums = both.mapInPandas(run, f"_p {kind}, k int, n long, total array<double>")
+    flat = sums.select("_p", "k", "n", F.posexplode("total").alias("dim", "x")).groupBy("_p", "k", "dim").agg((F.sum("x") / F.sum("n")).alias("m"))
+    found = flat.groupBy(F.col("_p").alias(partition), "k").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"]).alias("_new"))
+    return centroids.join(found, [partition, "k"], "left").select(partition, "k", F.coalesce("_new", "vec").alias("vec"))
+
+
+def kmeans(vectors: DataFrame, k: int, seed: int = 0, partition: str | None = None, rounds: int = 20, tol: float = 1e-4, start: DataFrame | None = None) -> DataFrame:
+    """M1: (k, vec) centroids of ``vec``; with ``partition`` (a column) ``k`` centroids of each of its values: (partition, k, vec).
+
+    Lloyd's rounds run over all partitions at once, so the number of jobs is that of the rounds, at most ``rounds``, and fewer when no
+    centroid moves farther than ``tol``. ``start`` gives the first centroids. A partition of fewer distinct vectors has as many
+    centroids; null partitions and null vectors are left out."""
+    own = partition or "_all"
+    rows = vectors if partition else vectors.withColumn(own, F.lit(0))
+    centroids = start if start is not None else start_centroids(rows, k, seed, own)
+    centroids = cut((centroids if own in centroids.columns else centroids.withColumn(own, F.lit(0))).select(own, "k", "vec"), "kmeans-start")
+    for r in range(rounds):
+        new = cut(lloyd_round(rows, centroids, own), f"kmeans-{r}")
+        step = F.aggregate(F.zip_with(F.col("a.vec"), F.col("b.vec"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        moved = new.alias("a").join(centroids.alias("b"), [own, "k"]).agg(F.max(step)).first()[0] or 0.0
+        centroids = new
+        if moved <= tol * tol:
+            break
+    return centroids if partition else centroids.drop(own)
 
 
 def matrix(table: DataFrame, row: str = "k", vec: str = "vec") -> np.ndarray:

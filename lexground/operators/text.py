@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lookup import looked_up
 from ..functions.ranking import numbered
 
 EX = "example_idx"
@@ -15,8 +16,8 @@ def normalize_tokens(tokens: DataFrame, lemmas: DataFrame, stop: DataFrame) -> D
     """Lower case, lemma where ``lemmas(word, lemma)`` has one, without stop words, tokens that begin with '_' and tokens
     without a letter or digit; positions stay."""
     low = tokens.withColumn("token", F.lower("token")).where(~F.col("token").startswith("_") & F.col("token").rlike(r"[\p{L}\p{N}]"))
-    out = low.join(lemmas, F.col("token") == F.col("word"), "left").withColumn("token", F.coalesce("lemma", "token")).drop("word", "lemma")
-    return out.join(stop.select(F.col("word").alias("token")), "token", "left_anti").select(*tokens.columns)
+    out = looked_up(low, lemmas.select("word", "lemma")).withColumn("token", F.coalesce("lemma", "token")).drop("lemma")
+    return looked_up(out, stop.select("word", F.lit(True).alias("_stop"))).where("_stop IS NULL").select(*tokens.columns)
 
 
 def word_freq(tokens: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def filter_captions(captions: DataFrame, vocab: DataFrame) -> DataFrame:
 def to_phones(tokens: DataFrame, lexicon: DataFrame, unknown: str = "UNK") -> DataFrame:
     """(example_idx, pos, phone_pos, phone): each word's pronunciation in ``lexicon(word, phones)``, the stress mark U+02C8 in
     front of a phone removed; a word that is not there is one phone ``unknown``."""
-    found = tokens.join(lexicon, F.col("token") == F.col("word"), "left")
+    found = looked_up(tokens.select(EX, "pos", "token"), lexicon.select("word", "phones"))
     return found.select(EX, "pos", F.posexplode(F.coalesce("phones", F.array(F.lit(unknown)))).alias("phone_pos", "phone")).withColumn("phone", F.regexp_replace("phone", "^ˈ", ""))
 
 
@@ -122,7 +123,7 @@ def phones_of_kept(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     """(example_idx, phones) of the words in ``vocab(word)``, from ``rows(example_idx, words ARRAY, phones ARRAY<ARRAY>)``; units
     '#' and those that begin with '_' are dropped."""
     pairs = rows.select(EX, F.posexplode(F.arrays_zip("words", "phones")).alias("pos", "z")).select(EX, "pos", F.col("z.words").alias("word"), F.col("z.phones").alias("p"))
-    kept = pairs.join(vocab.select("word"), "word", "left_semi").where("word <> '#' and not startswith(word, '_')")
+    kept = looked_up(pairs, vocab.select("word", F.lit(True).alias("_kept")), "word").where("_kept").where("word <> '#' and not startswith(word, '_')")
     return kept.groupBy(EX).agg(F.filter(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"])), lambda x: (x != "#") & ~x.startswith("_")).alias("phones"))
 
 

@@ -80,6 +80,25 @@ def m1_kmeans_by_label(spark, d):
     return found.select("label", "k", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
+def lloyd_sql(rounds: int) -> str:
+    """Rounds from the means of the labels: every vector to its nearest centroid, centroids to the means."""
+    out = [f"WITH {MU}, c0 AS (SELECT k, dim, m FROM mu)"]
+    for r in range(rounds):
+        out.append(f"""n{r} AS (SELECT example_idx, idx, k FROM (SELECT *, row_number() OVER (PARTITION BY example_idx, idx ORDER BY d, k) AS r FROM (SELECT example_idx, idx, k, sum((x - m) * (x - m)) AS d FROM rx JOIN c{r} USING (dim) GROUP BY ALL)) WHERE r = 1),
+        g{r} AS (SELECT k, dim, avg(x) AS m FROM rx JOIN n{r} USING (example_idx, idx) GROUP BY ALL),
+        c{r + 1} AS (SELECT k, dim, coalesce(g{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN g{r} USING (k, dim))""")
+    return ", ".join(out) + f" SELECT CAST(k AS INTEGER) AS k, CAST(dim AS INTEGER) AS dim, round(m, 5) AS value FROM c{rounds}"
+
+
+@register("m1_kmeans_from_labels", lloyd_sql(3))
+def m1_kmeans_from_labels(spark, d):
+    """Three rounds of ten centroids that start as the means of the labels."""
+    r = fx.regions(spark, d)
+    start = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(centers(spark, d))], "k int, vec array<double>")
+    found = md.kmeans(r, K, start=start, rounds=3, tol=0.0)
+    return found.select("k", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 5))
+
+
 @register("m2_posteriors", f"WITH {POST} SELECT example_idx, idx, k, round(p, 6) AS p FROM post")
 def m2_posteriors(spark, d):
     return rounded(long_post(spark, d), "p")
