@@ -7,11 +7,12 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.scratch import cut as materialise
 from ..functions.scratch import scratch as scratch_path
 
-__all__ = ["bound_batches", "ddl", "fresh", "in_fold", "materialise", "reclaim", "scratch_path", "text_key", "without"]
+__all__ = ["bound_batches", "ddl", "fresh", "in_fold", "materialise", "reclaim", "scratch_path", "text_key", "whole_ids", "without"]
 
 
 def reclaim(spark: SparkSession) -> None:
@@ -36,6 +37,13 @@ def in_fold(id_col: str, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def whole_ids(docs: DataFrame, id_col: str) -> None:
+    """Raise ValueError for ids that are no whole numbers: an operator that orders by them would otherwise order by what a cast leaves."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise ValueError(f"{id_col} must be a whole number, not {kind.simpleString()}: number the rows first")
+
+
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 

@@ -30,9 +30,10 @@ _LETTERS[0x61:0x7B] = _LETTERS[0x80:] = True
 
 
 def letters(texts: pa.Array) -> Words:
-    """The words of texts: runs of letters in lower case."""
+    """The words of texts: runs of letters in lower case, with the marks that follow a letter (vowel signs, accents of their own)."""
     low = pc.utf8_lower(texts.cast(pa.large_string()))
-    low = pc.replace_substring_regex(low, r"[^\x00-\x7F\pL]+", " ")  # signs and digits beyond ASCII are no letters
+    low = pc.replace_substring_regex(low, r"[^\x00-\x7F\pL\pM]+", " ")  # signs and digits beyond ASCII are no letters
+    low = pc.replace_substring_regex(low, r"(^|[^\pL\pM])\pM+", r"\1 ")  # nor are marks without one
     return Words(*string_parts(low), _LETTERS)
 
 

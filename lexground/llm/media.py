@@ -249,18 +249,23 @@ FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256
 
 
 def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every text (null: empty) as a PNG and add it to the archives below ``path``."""
+    """Encode every text (null: empty) as a PNG and add it to the archives below ``path``. Rows that repeat are members each, an empty
+    table adds none, ids are whole numbers, and other columns are not stored."""
+    from pyspark.sql import functions as F
+
     from .arrays import slices
-    from .common import bound_batches
+    from .common import bound_batches, whole_ids
 
     bound_batches(docs.sparkSession)
+    whole_ids(docs, id_col)
     docs.sparkSession.dataSource.register(MediaArchives)
 
     def encode(batches):
-        for batch in slices(batches, text_col, most=BATCH_BYTES):
-            yield _batch(batch.column(id_col).to_pylist(), [encode_png(payload_of(t)) for t in batch.column(text_col).to_pylist()])
+        for batch in slices(batches, "text", most=BATCH_BYTES):
+            yield _batch(batch.column("doc_id").to_pylist(), [encode_png(payload_of(t)) for t in batch.column("text").to_pylist()])
 
-    docs.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` bigint, media binary").write.format("media_archives").mode("append").save(path)
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))  # names may have dots
+    slim.mapInArrow(encode, "doc_id bigint, media binary").write.format("media_archives").mode("append").save(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

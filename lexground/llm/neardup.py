@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .arrays import ALNUM, Words, mix, slices, span_hash, string_parts
 from .common import fresh, materialise, text_key, without
 
-K, PICK, KEYS, SIMILAR = 5, 3, 40, 0.8
+K, PICK, KEYS, SIMILAR = 5, 2, 60, 0.8
+#: Words of a text from which on an alignment holds a band of positions instead of a number for each word.
+LONG = 20_000
 #: So few pairs left are compared in one round.
 LAST_PAIRS = 100_000
 _rng = np.random.default_rng(11)
@@ -66,13 +68,42 @@ def order_minhash(words: Words, k: int = K, pick: int = PICK, keys: int = KEYS)
     return own, out
 
 
+def _window(spots: np.ndarray, low: int, width: int) -> int:
+    """The positions from ``low`` on, ``width`` of them, as bits."""
+    lo, hi = np.searchsorted(spots, (low, low + width))
+    if hi - lo < 4:
+        return sum(1 << int(i) - low for i in spots[lo:hi])
+    held = np.zeros(width, bool)
+    held[spots[lo:hi] - low] = True
+    return int.from_bytes(np.packbits(held, bitorder="little").tobytes(), "little")
+
+
+def _long_lcs(a: list, b: list, band: int) -> int:
+    """``banded_lcs`` in the memory of the band: only its bits are held, and what leaves it is counted."""
+    spots, width = np.argsort(a, kind="stable"), 2 * band + 1
+    names, first = np.unique(np.asarray(a)[spots], return_index=True)
+    where = dict(zip(names.tolist(), np.split(spots, first[1:]), strict=True))
+    full = (1 << width) - 1
+    v, found = full, 0
+    for j, y in enumerate(b):
+        own = where.get(y)
+        if own is not None and (m := _window(own, j - band, width)):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+        found += 1 - (v & 1)
+        v = v >> 1 | 1 << (width - 1)
+    return found + width - v.bit_count()
+
+
 def banded_lcs(a: list, b: list, band: int) -> int:
     """Length of the longest common subsequence of matches at most ``band`` places off the diagonal, a machine word of
     positions at a time (Hyyro's bit-parallel recurrence with the matches masked to the band)."""
+    n = len(a)
+    if n > LONG:
+        return _long_lcs(a, b, band)
     where: dict = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | (1 << i)
-    n = len(a)
     full = (1 << n) - 1
     v, window = full, (1 << (2 * band + 1)) - 1
     for j, y in enumerate(b):
@@ -248,7 +279,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts that share a key are linked if the alignment of their words (lower case, without ASCII punctuation) has a
     similarity of ``least`` or more; groups are closed under links. Equal texts are always in one group. A null
     text, or one without a word, is a group of its own, and so is a null id with such a text (class_id null). Rows that
-    repeat an id belong to their own texts' groups. Result columns replace columns of the same name; others stay.
+    repeat an id belong to their own texts' groups. Texts are read whole; an alignment of long ones takes the memory of its band. An
+    empty table gives an empty result. Result columns replace columns of the same name; others stay.
     """
     classes = _classes(docs, id_col, text_col, k, pick, keys, least)
     out = without(docs, "class_id", "class_size")

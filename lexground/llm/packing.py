@@ -51,18 +51,19 @@ class Encoder:
 
 def pieces(docs: DataFrame, ranks_path: str, json_path: str, size: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Tokenise every text (null: empty), add id ``end``, and cut what is longer than ``size``: all pieces but the first then
-    have ``size`` tokens. Rows: id, ``piece``, ``start``, ``length``, ``ids_crc32`` and, with ``keep_ids``, ``ids``."""
+    have ``size`` tokens. Rows: id, ``piece``, ``start``, ``length``, ``ids_crc32`` and, with ``keep_ids``, ``ids``. Rows that repeat are cut
+    each; an empty table gives no piece; other columns are not read."""
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
+    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks_path, json_path)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, "text"):
             rows: list[tuple] = []
             which = []
-            for k, text in enumerate(batch.column(text_col).to_pylist()):
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 raw = (encoder.encode(text) if text else b"") + last
                 n = len(raw) // 4
                 cut = n % size or min(n, size)
@@ -74,12 +75,13 @@ def pieces(docs: DataFrame, ranks_path: str, json_path: str, size: int = 2048, e
                     which.append(k)
                     at = to
             cols = list(zip(*rows, strict=True))
-            arrays = [batch.column(id_col).take(pa.array(which)), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:4])]
+            arrays = [batch.column("id").take(pa.array(which)), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:4])]
             if keep_ids:
                 arrays.append(pa.array(list(cols[4]), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))  # names may have dots
+    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 Pattern = tuple[int, tuple[int, ...]]

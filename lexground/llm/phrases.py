@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SPACED, Words, covered, release, slices, string_parts
-from .common import bound_batches, ddl, fresh, materialise, reclaim, without
+from .common import bound_batches, ddl, fresh, materialise, reclaim, whole_ids, without
 
 SIZE = 13
 #: Windows that begin in one block of a document, which is cut and handed out as a whole.
@@ -294,6 +294,7 @@ def _locate(columns: list[str], text_col: str, results: list[str], size: int):
 def _repeats(docs: DataFrame, id_col: str, text_col: str, size: int, results: list[str]) -> DataFrame:
     """``docs`` with its own columns and the four results by these names."""
     bound_batches(docs.sparkSession)
+    whole_ids(docs, id_col)
     names = docs.columns
     inner = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text_col])
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
@@ -319,7 +320,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window of ``size`` consecutive words over it also starts in a document with a smaller id; windows are judged
     on the input. Words are separated by ASCII white space and compared unchanged. Null and empty texts have no words. A
-    null id counts as larger than every other; rows with equal ids take nothing from each other. Result columns replace columns
+    null id counts as larger than every other; ids that are no whole numbers raise ValueError; rows with equal ids take nothing
+    from each other. Result columns replace columns
     of the same name; other columns stay. Empty tables give an empty result.
     """
     return _repeats(without(docs, *RESULTS), id_col, text_col, size, RESULTS)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, whole_ids
 
 #: Splitters, and keys drawn to choose them, at most: both bound what the driver holds.
 MOST_RANGES, DRAWS_PER_RANGE = 8192, 32
@@ -76,10 +76,11 @@ def range_partition(records: DataFrame, ranges: int, seed: int = 7, rounds: int
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, seed: int = 7) -> DataFrame:
     """One row per document: the id, ``size`` (UTF-8 bytes of the text, null 0, plus 8), ``text_crc32``, ``shard`` and ``slot``.
 
-    Key order is id order; a null id counts as the least; equal ids are in any fixed order. A record that starts at byte b of
+    Key order is id order; a null id counts as the least; ids that are no whole numbers raise ValueError; equal ids are in any fixed order. A record that starts at byte b of
     all N bytes in key order is in shard floor(b * shards / N); ``slot`` numbers a shard's records from 0 without gaps.
     Repeated rows are records of their own. Empty tables give no row. Columns other than id and text are not read.
     """
+    whole_ids(docs, id_col)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     # Written once: the tie of a row must not change when a task runs again.
