@@ -3,6 +3,7 @@ stay distributed: each round is one pass that emits counts and one aggregation."
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,26 +220,70 @@ def segment_sample(scored: DataFrame, temp: float = 1.0, seed: int = 0) -> DataF
     return _split(scored, temp, seed)
 
 
-def crp_segment(tokens: DataFrame, alpha: float, rounds: int, seed: int, max_len: int = 6) -> DataFrame:
+def _pack_tokens(tokens: DataFrame, prior: DataFrame, block: int) -> DataFrame:
+    """(block, example_idx, tokens, logs): an example's tokens in order with the logs of their priors, dealt by a hash to blocks of about
+    ``block`` tokens and written in buckets of blocks."""
+    one = F.struct("pos", "token", F.log("p").alias("log_p"))
+    packed = tokens.join(prior, "token").groupBy(EX).agg(F.sort_array(F.collect_list(one)).alias("x"))
+    blocks = max(1, -(-tokens.count() // block))
+    rows = packed.select(F.pmod(F.xxhash64(EX), F.lit(blocks)).cast("int").alias("block"), EX, F.transform("x", lambda x: x["token"]).alias("tokens"), F.transform("x", lambda x: x["log_p"]).alias("logs"))
+    return bucketed(rows, "block", "crp-examples")
+
+
+def _crp_draw(alpha: float, total: int | None, seed: int, max_len: int):
+    """The draw of a block's examples, given rows of their last segments and of the counts of words that occur in them."""
+
+    def run(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        counts = dict(zip(told.loc[told["n"].notna(), "segment"], told.loc[told["n"].notna(), "n"].astype(int), strict=True))
+        last = {int(ex): list(segments) for ex, segments in zip(told[EX], told["segments"], strict=True) if segments is not None}
+        own = own.sort_values(EX)
+        ids, parts, first = own[EX].tolist(), [], np.r_[0, np.cumsum([len(t) + 1 for t in own["tokens"]])]
+        for i, (ex, words, logs) in enumerate(zip(ids, own["tokens"], own["logs"], strict=True)):
+            run_sum = np.r_[0.0, np.cumsum(np.asarray(logs, float))]
+            start, end = zip(*[(s, e) for e in range(1, len(words) + 1) for s in range(max(0, e - max_len), e)], strict=True)
+            log_p = run_sum[list(end)] - run_sum[list(start)]
+            if total is not None:
+                mine = Counter(last.get(ex, []))
+                names = [",".join(words[s:e]) for s, e in zip(start, end, strict=True)]
+                seated = np.array([counts.get(x, 0) - mine.get(x, 0) for x in names], float)
+                log_p = np.log((alpha * np.exp(log_p) + seated) / (alpha + total - mine.total()))
+            parts.append((np.full(len(start), i), np.array(start), np.array(end), log_p))
+        band = pk.bands(first, *[np.concatenate(x) for x in zip(*parts, strict=True)])
+        rows = pk.sample(band, first, 1.0, [(ex + 1) * 0x9E3779B97F4A7C15 ^ seed for ex in ids])
+        of, start, end = pk.ends_of(rows, first)
+        words = own["tokens"].tolist()
+        segments = pd.DataFrame({"of": of, "end": end, "segment": [",".join(words[i][s:e]) for i, s, e in zip(of, start, end, strict=True)]}).groupby("of")
+        return pd.DataFrame({"block": own["block"].to_numpy(), EX: ids, "ends": [g["end"].tolist() for _, g in segments], "segments": [g["segment"].tolist() for _, g in segments]})
+
+    return run
+
+
+def crp_segment(tokens: DataFrame, alpha: float, rounds: int, seed: int, max_len: int = 6, block: int = 200_000) -> DataFrame:
     """(example_idx, start, end, segment) after ``rounds`` of: every example samples in parallel against the last round's
-    counts less its own, then all are counted again. An approximate, distributed Gibbs sampler."""
+    counts less its own, then all are counted again. An approximate, distributed Gibbs sampler.
+
+    Examples lie in buckets of blocks and never move. What moves in a round are the segments that are seated: they are counted, the
+    counts meet the blocks whose examples could hold them (a table of spans by block, in buckets of segments, that is made once), and go
+    to these blocks. Tokens of an example must be at positions without gaps."""
     prior = cut(phone_prior(tokens), "crp-prior")
-    every = cut(spans(tokens, max_len), "crp-spans")
-    base = cut(segment_prior(every, prior), "crp-base").withColumnRenamed("log_p", "log_p0")
-    state = None
+    held = _pack_tokens(tokens, prior, block)
+    spans_of = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_len)), lambda n: F.filter(F.transform("tokens", lambda _, i: F.when(i + n <= F.size("tokens"), F.array_join(F.slice("tokens", i + 1, n), ","))), lambda x: x.isNotNull())))
+    wanted = bucketed(held.select("block", F.explode(spans_of).alias("segment")).distinct(), "segment", "crp-spans") if rounds > 1 else None
+    schema = f"block int, {EX} long, ends array<int>, segments array<string>"
+    told = f"block int, {EX} long, segments array<string>, segment string, n long"
+    state, spark = None, tokens.sparkSession
     for r in range(rounds):
-        scored = every.join(base, "segment")
         if state is None:
-            scored = scored.withColumn("log_p", F.col("log_p0"))
+            total, news = None, spark.createDataFrame([], told)
         else:
-            counts = state.groupBy("segment").agg(F.count("*").alias("n"))
-            own = state.groupBy(EX, "segment").agg(F.count("*").alias("m"))
-            size = state.groupBy(EX).agg(F.count("*").alias("s"))
-            total = counts.agg(F.sum("n")).first()[0] or 0
-            scored = scored.join(counts, "segment", "left").join(own, [EX, "segment"], "left").join(size, EX, "left").fillna(0, ["n", "m", "s"])
-            scored = scored.withColumn("log_p", F.log((alpha * F.exp("log_p0") + F.col("n") - F.col("m")) / (alpha + total - F.col("s"))))
-        state = cut(segment_sample(scored, 1.0, seed + r).join(every, [EX, "start", "end"]), f"crp-round-{r}")
-    return state
+            counts = state.select(F.explode("segments").alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
+            total = state.agg(F.sum(F.size("segments"))).first()[0] or 0
+            seated = wanted.join(counts, "segment").select("block", F.lit(None).cast("long").alias(EX), F.lit(None).cast("array<string>").alias("segments"), "segment", "n")
+            news = state.select("block", EX, "segments", F.lit(None).cast("string").alias("segment"), F.lit(None).cast("long").alias("n")).unionByName(seated)
+        drawn = held.groupBy("block").cogroup(news.groupBy("block")).applyInPandas(_crp_draw(alpha, total, seed + r, max_len), schema)
+        state = cut(drawn, f"crp-round-{r}")
+    starts = F.concat(F.array(F.lit(0)), F.slice("ends", F.lit(1), F.size("ends") - 1))
+    return state.select(EX, F.explode(F.arrays_zip(starts.alias("start"), F.col("ends").alias("end"), F.col("segments").alias("segment"))).alias("x")).select(EX, "x.start", "x.end", "x.segment")
 
 
 def mixture_terms(pairs: DataFrame, q: DataFrame, table: DataFrame) -> DataFrame:

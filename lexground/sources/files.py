@@ -75,15 +75,25 @@ def read_classes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_classes(found: DataFrame, path: str) -> None:
-    """The listing that ``read_classes`` reads: classes in the order of their labels' first appearance; one file a class range."""
+    """The listing that ``read_classes`` reads: classes in the order of their labels' first appearance. Files are ranges of rows, so a
+    large class is cut into several; each of its files begins with its head."""
     from ..operators.timeline import number_classes
 
     rows = number_classes(found)
     text = rows.select("class_id", F.lit(1).alias("k"), EX, "start", F.concat_ws(" ", F.concat(F.lit("arr_"), F.col(EX).cast("string")), "start", "end").alias("value"))
     heads = rows.select("class_id").distinct().select("class_id", F.lit(0).alias("k"), F.lit(None).cast("long").alias(EX), F.lit(None).cast("int").alias("start"), F.concat(F.lit("Class "), F.col("class_id").cast("string"), F.lit(":")).alias("value"))
-    # A class may span files, so each file repeats no head: ranges are cut between classes.
-    both = heads.unionByName(text)
-    both.repartitionByRange("class_id").sortWithinPartitions("class_id", "k", EX, "start").select("value").write.text(path)
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun = False
+        for b in batches:
+            if len(b) and not begun and b["k"].iloc[0]:
+                yield pd.DataFrame({"value": [f"Class {b['class_id'].iloc[0]}:"]})
+            begun = begun or len(b) > 0
+            yield b[["value"]]
+
+    order = ["class_id", "k", EX, "start"]
+    both = heads.unionByName(text).repartitionByRange(*order).sortWithinPartitions(*order)
+    both.select("class_id", "k", "value").mapInPandas(headed, "value string").write.text(path)
 
 
 UNIT = "example_id string, start double, end double, label string"
