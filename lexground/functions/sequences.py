@@ -40,6 +40,50 @@ def edit_counts_of(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["correct", "substitutions", "deletions", "insertions"])
 
 
-@F.pandas_udf(T.IntegerType())
-def edit_distance_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([sum(edit_counts(list(x), list(y))[1:]) for x, y in zip(a, b, strict=True)])
+class Trie:
+    """Edit distances of some strings to many: the many are walked in sorted order, as the nodes of their prefix trie, and a node's row
+    of the distance table, for all of the some at once, is made from its parent's once. ``nodes`` counts the rows made."""
+
+    def __init__(self, some: list[tuple], many: list[tuple]):
+        self.codes = {x: i for i, x in enumerate(dict.fromkeys(s for string in (*some, *many) for s in string))}
+        self.sizes = np.array([len(s) for s in some], int)
+        self.some = np.full((len(some), int(self.sizes.max(initial=0))), -1, np.int32)
+        for i, s in enumerate(some):
+            self.some[i, : len(s)] = [self.codes[x] for x in s]
+        self.many, self.nodes = many, 0
+
+    def __iter__(self):
+        """(index in ``many``, distances of all of ``some``), in the order of the sorted strings."""
+        steps = np.arange(self.some.shape[1] + 1, dtype=np.int32)
+        rows, last, at = [np.broadcast_to(steps, (len(self.some), len(steps)))], (), np.arange(len(self.some))
+        spelt = [tuple(self.codes[x] for x in s) for s in self.many]
+        for k in sorted(range(len(spelt)), key=lambda k: spelt[k]):
+            word, same = spelt[k], 0
+            while same < min(len(word), len(last)) and word[same] == last[same]:
+                same += 1
+            del rows[same + 1 :]
+            for depth in range(same, len(word)):
+                old = rows[-1]
+                new = np.empty_like(old, shape=old.shape)
+                new[:, 0] = depth + 1
+                np.minimum(old[:, 1:] + 1, old[:, :-1] + (self.some != word[depth]), out=new[:, 1:])
+                rows.append(np.minimum.accumulate(new - steps, axis=1) + steps)
+                self.nodes += 1
+            last = word
+            yield k, rows[-1][at, self.sizes]
+
+
+def distance_sums(left: list[tuple], n: np.ndarray, right: list[tuple], m: np.ndarray, same: bool) -> tuple[float, float]:
+    """(pairs, sum of distance over longer length) of the pairs of ``left`` and ``right``, each counted ``n`` times ``m``; with ``same``, of two
+    equal lists of distinct strings, each pair of different ones once."""
+    pairs = total = 0.0
+    longest = max(max(map(len, left), default=0) * max(map(len, right), default=0), 1)
+    step = max(1, 20_000_000 // longest)
+    for lo in range(0, len(left), step):
+        own, weight = left[lo : lo + step], n[lo : lo + step].astype(float)
+        trie = Trie(own, right)
+        for k, d in trie:
+            w = np.where(np.arange(lo, lo + len(own)) < k, weight, 0.0) if same else weight
+            pairs += m[k] * w.sum()
+            total += m[k] * (w * d / np.maximum(np.maximum(trie.sizes, len(right[k])), 1)).sum()
+    return pairs, total

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import numbered
 from ..functions.scratch import cut
-from ..functions.sequences import edit_counts_of, edit_distance_of
+from ..functions.sequences import distance_sums, edit_counts_of
 from .timeline import EX, interval_join, interval_overlap, iou
 
 
@@ -188,28 +188,27 @@ def ned(disc: DataFrame, tokens: str = "phones", block: int = 1000) -> DataFrame
     """Mean over the pairs of each class of edit distance over longer length, ``disc(class_id, phones ARRAY)``.
 
     Members with equal strings are counted, not paired: only distinct strings of a class meet, weighted by their counts. The
-    pairs of a large class are dealt to blocks of about ``block`` strings of either side. Symbols are spelt as single characters, so that
-    the built-in distance serves; beyond 50,000 symbols a Python one does.
+    strings of a large class are dealt to blocks of about ``block``, and each pair of blocks is one task's work: the strings of one block
+    are measured against the prefix trie of the other's, one row of the table for each node. Without a pair the mean is null.
     """
     s = cut(disc.groupBy("class_id", F.col(tokens).alias("a")).agg(F.count("*").alias("n")), "ned")
     same = s.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.lit(0.0).alias("total"))
-    symbols = s.select(F.explode("a").alias("symbol")).distinct()
-    few = symbols.count() <= 50_000
-    if few:
-        spelt = numbered(symbols, "symbol").select("symbol", F.decode(F.unhex(F.lpad(F.hex(F.col("idx") + 256), 4, "0")), "UTF-16BE").alias("letter"))
-        each = s.select("class_id", "a", F.posexplode("a").alias("i", "symbol")).join(spelt, "symbol").groupBy("class_id", "a").agg(F.array_sort(F.collect_list(F.struct("i", "letter"))).alias("x"))
-        s = s.join(each.select("class_id", "a", F.array_join(F.transform("x", lambda x: x["letter"]), "").alias("w")), ["class_id", "a"], "left").withColumn("w", F.coalesce("w", F.lit("")))
-    else:
-        s = s.withColumn("w", F.array_join("a", "\x1f"))
     blocks = s.groupBy("class_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = s.join(blocks, "class_id").withColumn("here", F.pmod(F.xxhash64("w"), F.col("blocks")).cast("int"))
-    there = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = own.select("class_id", "a", "w", "n", F.col("here").alias("i"), there.alias("j"))
-    right = own.select("class_id", F.col("a").alias("b"), F.col("w").alias("v"), F.col("n").alias("m"), there.alias("i"), F.col("here").alias("j"))
-    pairs = left.join(right, ["class_id", "i", "j"]).where("w < v")
-    d = (F.levenshtein("w", "v") if few else edit_distance_of("a", "b")) / F.greatest(F.size("a"), F.size("b"), F.lit(1))
-    diff = pairs.select((F.col("n") * F.col("m")).cast("double").alias("pairs"), (d * F.col("n") * F.col("m")).alias("total")).agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"))
-    return same.union(diff).agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total")).select(F.col("pairs").cast("long").alias("pairs"), (F.col("total") / F.col("pairs")).alias("ned"))
+    own = s.join(blocks, "class_id").withColumn("here", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    # Each pair of blocks once, the smaller number on the left.
+    left = own.select("class_id", "a", "n", F.col("here").alias("i"), F.explode(F.sequence(F.col("here"), F.col("blocks") - 1)).alias("j"))
+    right = own.select(F.col("class_id").alias("_c"), F.col("a").alias("b"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), F.col("here"))).alias("_i"), F.col("here").alias("_j"))
+
+    def measure(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"pairs": [], "total": []})
+        some, many = ([tuple(v) if v is not None else () for v in side] for side in (x["a"], y["b"]))
+        equal = x["i"].iloc[0] == x["j"].iloc[0]
+        pairs, total = distance_sums(some, x["n"].to_numpy(), some if equal else many, (x["n"] if equal else y["m"]).to_numpy(), equal)
+        return pd.DataFrame({"pairs": [pairs], "total": [total]})
+
+    diff = left.groupBy("class_id", "i", "j").cogroup(right.groupBy("_c", "_i", "_j")).applyInPandas(measure, "pairs double, total double")
+    return same.union(diff).agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total")).select(F.col("pairs").cast("long").alias("pairs"), F.try_divide("total", "pairs").alias("ned"))
 
 
 def error_rate(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
