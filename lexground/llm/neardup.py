@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .arrays import ALNUM, Words, mix, slices, span_hash, string_parts
 from .common import fresh, materialise, text_key, without
 
-K, PICK, KEYS, SIMILAR = 5, 2, 60, 0.8
+K, PICK, KEYS, SIMILAR = 5, 2, 24, 0.8
 #: Words of a text from which on an alignment holds a band of positions instead of a number for each word.
 LONG = 20_000
 #: So few pairs left are compared in one round.
