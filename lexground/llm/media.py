@@ -43,8 +43,10 @@ def _fs(path: str):
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, size: int, lo: int, hi: int):
-        self.path, self.size, self.lo, self.hi = path, size, lo, hi
+    """Spans (path, size of the file, first byte, end), of one archive or of several small ones."""
+
+    def __init__(self, spans: list[tuple[str, int, int, int]]):
+        self.spans = spans
 
 
 class Written(WriterCommitMessage):
@@ -147,8 +149,8 @@ class ArchiveReader(DataSourceReader):
         self.retries = int(options.get("retries", 3))
 
     def partitions(self) -> list[Range]:
-        """Byte ranges, from file sizes alone: no member is listed on the driver. A file has one range at least; ranges grow with
-        the total, so that their number does not."""
+        """Byte ranges, from file sizes alone: no member is listed on the driver. A range is ``range_bytes`` of the archives, one after
+        the other, and larger where that would be over ``most_ranges`` of them; small files share a range."""
         from pyarrow import fs as pafs
 
         fs, root = _fs(self.path)
@@ -158,17 +160,30 @@ class ArchiveReader(DataSourceReader):
                 with fs.open_input_stream(info.path, compression=None) as f:
                     files += json.loads(f.read())
         step = max(self.range_bytes, -(-sum(size for _, size in files) // self.most_ranges))
-        return [Range(f"{root}/{name}", size, lo, min(lo + step, size)) for name, size in files for lo in range(0, size, step)] or [Range("", 0, 0, 0)]
+        out, spans, held = [], [], 0
+        for name, size in files:
+            lo = 0
+            while lo < size:
+                hi = min(size, lo + step - held)
+                spans.append((f"{root}/{name}", size, lo, hi))
+                held, lo = held + hi - lo, hi
+                if held == step:
+                    out.append(Range(spans))
+                    spans, held = [], 0
+        return [*out, Range(spans)] if spans or not out else out
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         """Members that begin within the range."""
-        if not partition.size:
-            return
+        for span in partition.spans:
+            yield from self.members(*span)
+
+    def members(self, path: str, size: int, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        """Members of one archive that begin from byte ``lo`` on, before ``hi``."""
         keys, media, held = [], [], 0
-        archive = Archive(self.path, partition.path, self.retries)
+        archive = Archive(self.path, path, self.retries)
         try:
-            offsets = archive.again(lambda f: read_index(f, partition.size))
-            for offset in offsets[(offsets >= partition.lo) & (offsets < partition.hi)].tolist():
+            offsets = archive.again(lambda f: read_index(f, size))
+            for offset in offsets[(offsets >= lo) & (offsets < hi)].tolist():
                 key, member = archive.again(lambda f, at=offset: read_member(f, at))
                 keys.append(key), media.append(member)
                 held += len(member)

@@ -688,10 +688,27 @@ def test_number_of_media_ranges_is_bounded(tmp_path):
     w.commit([w.write(iter([media._batch(list(members), list(members.values()))]))])
     reader = media.ArchiveReader({"path": path, "range_bytes": "10", "most_ranges": "8"})
     parts = reader.partitions()
-    assert len(parts) <= 16
+    assert len(parts) <= 8
     assert {k: m for p in parts for b in reader.read(p) for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)} == members
 
 
+def test_many_archives_share_few_ranges(tmp_path):
+    """Five hundred archives in at most twenty ranges; without a bound small files still share one."""
+    path = f"file://{tmp_path}/m"
+    w = media.ArchiveWriter({"path": path, "file_bytes": "1"})  # a file for each member
+    members = {i: bytes([i % 256]) * (1 + i % 90) for i in range(500)}
+    message = w.write(iter([media._batch(list(members), list(members.values()))]))
+    w.commit([message])
+    assert len(message.files) == 500
+    for options, most in (({"range_bytes": "10", "most_ranges": "20"}, 20), ({}, 1)):
+        reader = media.ArchiveReader({"path": path} | options)
+        parts = reader.partitions()
+        assert len(parts) <= most
+        rows = [(k, m) for p in parts for b in reader.read(p) for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert len(rows) == 500 and dict(rows) == members
+    assert [p.spans for p in media.ArchiveReader({"path": f"file://{tmp_path}/none"}).partitions()] == [[]]
+
+
 def test_media_ranges_and_retries(tmp_path, monkeypatch):
     path = f"file://{tmp_path}/m"
     w = media.ArchiveWriter({"path": path, "file_bytes": "3000"})
