@@ -2,7 +2,8 @@
 
 DataFrame functions only. Records go to many fine ranges of the key; each range is small enough for one task. The exact
 size of every range gives each record its exact place on the line of all bytes in key order, and a shard is an equal
-piece of that line: shard sizes differ by one record at most, whatever the keys and sizes.
+piece of that line: shard sizes differ by one record at most, whatever the keys and sizes. Sampled splitters alone can't promise
+that, as a quantile of a sample is off by its sampling error: they cut the ranges, and the ranges' exact sums place the shards.
 """
 
 from __future__ import annotations
