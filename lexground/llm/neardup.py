@@ -1,6 +1,8 @@
 """Near duplicates by Order MinHash: smallest occurrence-labelled k-mers of words, kept in text order, make a key; texts that share
 a key are candidates, and a banded alignment decides.
 
+Texts of a pair are loaded and aligned only if their profiles, bits of the words they have, allow the similarity.
+
 Every key takes the smallest k-mer of each of ``pick`` equal parts of the text, in text order, so that a passage that many
 texts share can't fill a key alone unless it covers most of the text. Equal texts are one node throughout. Every node is
 compared with one representative of its buckets, the one that shares most buckets with others; then, in rounds, with
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from .arrays import ALNUM, Words, mix, slices, span_hash, string_parts
 from .common import fresh, materialise, text_key, without
 
-K, PICK, KEYS, SIMILAR = 5, 2, 24, 0.8
+K, PICK, KEYS, SIMILAR = 5, 2, 40, 0.8
+#: Bits of a text's profile, as 64-bit numbers.
+LANES = 4
 #: Words of a text from which on an alignment holds a band of positions instead of a number for each word.
 LONG = 20_000
 #: So few pairs left are compared in one round.
@@ -68,6 +72,31 @@ def order_minhash(words: Words, k: int = K, pick: int = PICK, keys: int = KEYS)
     return own, out
 
 
+def profiles(words: Words) -> np.ndarray:
+    """One row of ``LANES`` numbers a text: words labelled with their occurrence are dealt to 64 * ``LANES`` bins by a hash, and a bin has the
+    last bit of its smallest hash (0 if it is empty)."""
+    n, h = len(words.first) - 1, words.hashes()
+    order = np.lexsort((h, words.text))
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (words.text[order][1:] != words.text[order][:-1])] if len(h) else np.zeros(0, bool)
+    occurrence = np.empty(len(h), np.uint64)
+    occurrence[order] = (np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))).astype(np.uint64)
+    labelled = mix(h * np.uint64(0x9E3779B97F4A7C15) + occurrence)
+    bins = 64 * LANES
+    least = np.full(n * bins, (1 << 64) - 2, np.uint64)
+    np.minimum.at(least, words.text * bins + (labelled >> np.uint64(32)).astype(np.int64) % bins, mix(labelled))
+    bits = (least & np.uint64(1)).astype(np.uint8).reshape(n, LANES, 64)
+    return np.packbits(bits, axis=2, bitorder="little").reshape(n, LANES * 8).view("<u8")
+
+
+def most_apart(least: float, bins: int = 64 * LANES) -> int:
+    """Bits in which the profiles of two texts of similarity ``least`` differ at most, but for a chance of about one in 10**8.
+
+    Their words as labelled bags have a Jaccard similarity j of at least least / (2 - least); in a bin the smallest of both texts is one
+    that they share with chance j or more, and else their bits differ with one half. Six deviations are left beyond the mean."""
+    p = (1 - least / (2 - least)) / 2
+    return min(bins, math.ceil(bins * p + 6 * math.sqrt(bins * p * (1 - p))))
+
+
 def _window(spots: np.ndarray, low: int, width: int) -> int:
     """The positions from ``low`` on, ``width`` of them, as bits."""
     lo, hi = np.searchsorted(spots, (low, low + width))
@@ -135,7 +164,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def _sketch(docs: DataFrame, k: int, pick: int, keys: int) -> DataFrame:
-    """(id, node, keys, size in words) of the texts that have a word."""
+    """(id, node, keys, size in words, profile) of the texts that have a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -148,11 +177,13 @@ def _sketch(docs: DataFrame, k: int, pick: int, keys: int) -> DataFrame:
             rows = np.flatnonzero(place[code] >= 0)
             found = found[place[code[rows]]].view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, len(rows) * keys + 1, keys, np.int32), found.ravel())
+            marks = profiles(words)[code[rows]].view(np.int64)
+            profile = pa.ListArray.from_arrays(np.arange(0, len(rows) * LANES + 1, LANES, np.int32), marks.ravel())
             size, rows = pa.array(np.diff(words.first)[code[rows]], pa.int32()), pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("node").take(rows), lists, size], names=["id", "node", "keys", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("node").take(rows), lists, size, profile], names=["id", "node", "keys", "size", "profile"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "node", "text").mapInArrow(run, f"id {kind}, node binary, keys array<long>, size int")
+    return docs.select("id", "node", "text").mapInArrow(run, f"id {kind}, node binary, keys array<long>, size int, profile array<long>")
 
 
 def _verify(pairs: DataFrame, least: float) -> DataFrame:
@@ -190,10 +221,11 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
 
 
 def _compare(rows: DataFrame, first: DataFrame, least: float) -> DataFrame:
-    """Rows joined with representatives of their buckets: pairs with different labels, of lengths that can be similar."""
-    rep = first.select("key", F.col("node").alias("rep"), F.col("size").alias("rep_size"), F.col("label").alias("rep_label"), F.col("degree").alias("rep_degree"))
-    # ``similarity`` is 0 for all others.
-    alike = 2 * F.least("size", "rep_size") >= F.lit(least) * (F.col("size") + F.col("rep_size"))
+    """Rows joined with representatives of their buckets: pairs with different labels, of lengths and words that can be similar."""
+    rep = first.select("key", F.col("node").alias("rep"), F.col("size").alias("rep_size"), *[F.col(f"p{i}").alias(f"rep_p{i}") for i in range(LANES)], F.col("label").alias("rep_label"), F.col("degree").alias("rep_degree"))
+    # ``similarity`` is below ``least`` for all others: by length, and by the profiles.
+    apart = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"rep_p{i}"))) for i in range(1, LANES)), F.bit_count(F.col("p0").bitwiseXOR(F.col("rep_p0"))))
+    alike = (2 * F.least("size", "rep_size") >= F.lit(least) * (F.col("size") + F.col("rep_size"))) & (apart <= most_apart(least))
     return rows.join(rep, "key").where((F.col("label") != F.col("rep_label")) & alike)
 
 
@@ -216,18 +248,19 @@ def _moved(rows: DataFrame, moves: DataFrame | None) -> DataFrame:
 
 
 def _link(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(node, label) of the nodes of ``members(key, node, size, n)``, n nodes a bucket: equal labels for what links join."""
+    """(node, label) of the nodes of ``members(key, node, size, p0, .., n)``, n nodes a bucket: equal labels for what links join."""
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    rows = materialise(members.join(degree, "node").select("key", "node", "size", "degree", F.col("node").alias("label")), "neardup-rows")
+    marks = [f"p{i}" for i in range(LANES)]
+    rows = materialise(members.join(degree, "node").select("key", "node", "size", *marks, "degree", F.col("node").alias("label")), "neardup-rows")
     labels, reps = rows.select("node", "label").distinct(), 1
-    top = lambda *by: rows.groupBy("key", *by).agg(F.max(F.struct("degree", "node", "size", "label")).alias("top")).select("key", "top.*")
+    top = lambda *by: rows.groupBy("key", *by).agg(F.max(F.struct("degree", "node", "size", *marks, "label")).alias("top")).select("key", "top.*")
     # At first every node meets one other only: of its buckets' representatives the one with most neighbours.
     best = _compare(rows, top(), least).groupBy("node", "label").agg(F.max(F.struct("rep_degree", "rep", "rep_label")).alias("best")).select("node", "label", "best.*")
     met = materialise(_pairs(best), "neardup-pairs")
     moves = _moves(met, texts, least)
     while True:
         labels = materialise(_moved(labels, moves), "neardup-labels")
-        rows = _moved(rows, moves).select("key", "node", "size", "degree", "label")
+        rows = _moved(rows, moves).select("key", "node", "size", *marks, "degree", "label")
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
         rows = materialise(rows.join(mixed, "key", "left_semi"), "neardup-rows")
         # Of each bucket the nodes, the pairs of different labels, and the label that most nodes have.
@@ -256,11 +289,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, pick: int, key
     least id."""
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     sketches = _sketch(slim, k, pick, keys)
-    nodes = materialise(sketches.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("size").alias("size")), "neardup-nodes")
+    nodes = materialise(sketches.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("profile").alias("profile")), "neardup-nodes")
 
-    members = nodes.select("node", "size", F.explode("keys").alias("key"))
+    marks = [f"p{i}" for i in range(LANES)]
+    members = nodes.select("node", "size", *[F.get("profile", F.lit(i)).alias(m) for i, m in enumerate(marks)], F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(members.join(shared, "key").select("key", "node", "size", "n"), "neardup-members")
+    members = materialise(members.join(shared, "key").select("key", "node", "size", *marks, "n"), "neardup-members")
 
     chosen = members.select("node").distinct().join(nodes.select("node", "id"), "node")
     texts = slim.alias("t").join(chosen.alias("c"), (F.col("t.node") == F.col("c.node")) & F.col("t.id").eqNullSafe(F.col("c.id")), "left_semi")

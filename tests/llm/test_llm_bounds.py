@@ -82,3 +82,29 @@ def test_equal_rows_and_empty_tables(spark):
     cut = packing.pieces(docs, *packing.public_paths())
     assert cut.count() == 3 and cut.where(F.col("doc_id") == 1).count() == 2
     assert packing.pieces(docs.limit(0), *packing.public_paths()).count() == 0
+
+
+def test_profiles_never_part_similar_texts():
+    """Pairs of a similarity of 0.8 or more, of many sizes and edits, differ in fewer bits than the bound; most others are told apart."""
+    rng = np.random.default_rng(12)
+    most, far = neardup.most_apart(0.8), []
+    for n in (1, 2, 5, 9, 30, 150, 700):
+        for _ in range(60):
+            base = [f"w{x}" for x in rng.zipf(1.4, n) % 500]
+            other = [f"z{rng.integers(0, 900)}" if rng.random() < 0.25 else w for w in base if rng.random() > 0.1]
+            a, b = (neardup._words(pa.array([" ".join(t)])) for t in (base, other))
+            if not len(b) or neardup.similarity(a.hashes(), b.hashes(), 0.8) < 0.8:
+                continue
+            far.append(int(np.bitwise_count(neardup.profiles(a) ^ neardup.profiles(b)).sum()))
+    assert len(far) > 100 and max(far) <= most
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 300)) for _ in range(80)]
+    marks = neardup.profiles(neardup._words(pa.array(texts)))
+    apart = [int(np.bitwise_count(marks[i] ^ marks[j]).sum()) for i in range(80) for j in range(i)]
+    assert np.mean(np.array(apart) > most) > 0.95
+
+
+def test_profile_of_a_text_does_not_depend_on_its_batch():
+    texts = ["a b a", "", "x y z " * 40, "a b a"]
+    whole = neardup.profiles(neardup._words(pa.array(texts)))
+    assert (whole[0] == whole[3]).all() and not whole[1].any()
+    assert all((neardup.profiles(neardup._words(pa.array([t])))[0] == w).all() for t, w in zip(texts, whole, strict=True))
