@@ -220,6 +220,7 @@ def test_one_document_of_each_group_stays(spark, docs):
 def test_near_duplicates_of_borderline_copies(spark, monkeypatch, last):
     """Copies that are close to their base but not to each other are one group, as by all pairs."""
     monkeypatch.setattr(neardup, "LAST_PAIRS", last, raising=False)
+    monkeypatch.setattr(neardup, "LAST_EACH", 64 if last else 0)  # without either, rounds of representatives
     rng = np.random.default_rng(12)
     rows = []
     for copies in (100, 20, 40):
