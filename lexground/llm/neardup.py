@@ -30,7 +30,8 @@ K, PICK, KEYS, SIMILAR = 5, 2, 40, 0.8
 LANES = 4
 #: Words of a text from which on an alignment holds a band of positions instead of a number for each word.
 LONG = 20_000
-#: So few pairs left, in all or for each row of the buckets, are compared in one round: most are told apart by length and profile.
+#: So few pairs left, in all or (after a round of representatives, which joins large groups) for each row of the buckets, are compared in
+#: one round: most are told apart by length and profile.
 LAST_PAIRS, LAST_EACH = 100_000, 64
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -269,7 +270,7 @@ def _link(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         left = buckets.agg(F.sum("n").alias("rows"), F.sum(F.expr("(n * n - alike) div 2")).alias("pairs")).first()
         if not left["rows"]:
             return labels
-        last = left["pairs"] <= max(LAST_PAIRS, max(reps, LAST_EACH) * left["rows"])
+        last = left["pairs"] <= max(LAST_PAIRS, max(reps, LAST_EACH if reps > 1 else 0) * left["rows"])
         if last:
             # All pairs of different labels: those without the commonest label meet every node.
             first = rows.join(buckets.select("key", F.col("most.label").alias("most")), "key").where("label != most")
