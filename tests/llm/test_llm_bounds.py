@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexground.llm import langid, media, neardup, packing, phrases, shards, urlfilter
-from lexground.llm.queries import RULES
+from lexground.llm.queries import RULES, op9_url_filter
 
 
 def test_user_column_of_the_url_filter_stays(spark):
@@ -15,6 +15,19 @@ def test_user_column_of_the_url_filter_stays(spark):
     assert row["_best"] == "mine" and row["a.b"] == 5 and row.verdict == "block" and row.rule == "com/en/"
 
 
+@pytest.mark.parametrize(
+    ("url", "rule", "verdict"),
+    [
+        ("http://example.com/en/1", "com/en/", "block"), ("http://a.example.com/en/7x", "example.com/en/7", "allow"), ("http://b.net/de/", "net/de/", "allow"), ("http://example.net/de/1", "net/de/", "allow"),
+        ("http://x.Example.net/de/80?q", "example.net/de/8", "block"), ("http://c.net/de/8", "net/de/", "allow"), ("http://d.org/es/1", "org/es/", "block"), ("http://d.org/en/1", None, "allow"),
+    ],
+)
+def test_words_of_the_contracts_rules(spark, tmp_path, url, rule, verdict):
+    spark.createDataFrame([(1, url)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    row = op9_url_filter(spark, str(tmp_path)).first()
+    assert (row.rule, row.verdict) == (rule, verdict)
+
+
 def test_names_with_dots(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some words"), (2, None)], "`doc.id` long, `the.text` string")
     cut = packing.pieces(docs, *packing.public_paths(), id_col="doc.id", text_col="the.text").collect()
