@@ -256,7 +256,7 @@ def hmm_inputs(spark, d):
     return md.pack_examples(tokens, post), params
 
 
-# The same model in SQL, unrolled over the five tokens of an example.
+# The same model in SQL, unrolled over the five tokens of an example at most; a table's last example may have fewer.
 HMM = f"""{POST}, sz AS (SELECT example_idx, count(*) AS n FROM regions GROUP BY example_idx), ns AS (SELECT DISTINCT n FROM sz),
 ini AS (SELECT n, i, 1.0::DOUBLE / (i + 1) / sum(1.0::DOUBLE / (i + 1)) OVER (PARTITION BY n) AS v FROM ns, range(0, 5) r(i) WHERE i < n),
 tr AS (SELECT n, i, j, 1.0::DOUBLE / (1 + abs(i - j)) / sum(1.0::DOUBLE / (1 + abs(i - j))) OVER (PARTITION BY n, i) AS v FROM ns, range(0, 5) a(i), range(0, 5) b(j) WHERE i < n AND j < n),
@@ -276,14 +276,23 @@ def forward_sql(pi: str = "post", keys: str = "example_idx") -> str:
 LIKE = "lk AS (SELECT example_idx, sum(f) AS z FROM f4 GROUP BY example_idx)"
 
 
+def last_sql(keys: str = "example_idx") -> str:
+    """fl: the joint weights at each example's own last token."""
+    return "fl AS (" + " UNION ALL ".join(f"SELECT {keys}, f FROM f{t} JOIN sz USING (example_idx) WHERE sz.n = {t + 1}" for t in range(5)) + ")"
+
+
+LIKES = f"{last_sql()}, lk AS (SELECT example_idx, sum(f) AS z FROM fl GROUP BY example_idx)"
+
+
 def backward_sql() -> str:
     """b4 to b0: weights of the tokens after t given the state; n4 to n1 with the token's own emission, e4 to e1 summed over concepts."""
-    out = ["b4 AS (SELECT example_idx, idx, k, 1.0::DOUBLE AS v FROM post)"]
+    ends = lambda t: f"SELECT example_idx, idx, k, 1.0::DOUBLE AS v FROM post JOIN sz USING (example_idx) WHERE sz.n = {t + 1}"
+    out = [f"b4 AS ({ends(4)})"]
     for t in range(4, 0, -1):
         out.append(f"n{t} AS (SELECT example_idx, idx, k, b{t}.v * b AS x FROM b{t} JOIN em USING (example_idx, k) WHERE t = {t})")
         out.append(f"e{t} AS (SELECT example_idx, idx, sum(p * x) AS enter FROM n{t} JOIN post USING (example_idx, idx, k) GROUP BY ALL)")
         out.append(f"m{t} AS (SELECT example_idx, tr.i AS idx, sum(CASE WHEN tr.i <> tr.j THEN v * enter ELSE 0 END) AS away, max(CASE WHEN tr.i = tr.j THEN v END) AS stay FROM e{t} JOIN sz USING (example_idx) JOIN tr ON tr.n = sz.n AND tr.j = e{t}.idx GROUP BY ALL)")
-        out.append(f"b{t - 1} AS (SELECT example_idx, idx, k, stay * x + away AS v FROM n{t} JOIN m{t} USING (example_idx, idx))")
+        out.append(f"b{t - 1} AS (SELECT example_idx, idx, k, stay * x + away AS v FROM n{t} JOIN m{t} USING (example_idx, idx) UNION ALL {ends(t - 1)})")
     return ", ".join(out)
 
 
@@ -292,13 +301,13 @@ XI = "xi AS (" + " UNION ALL ".join(
     f"SELECT o.example_idx, sz.n, tr.i, tr.j, CASE WHEN tr.i = tr.j THEN v * same ELSE v * own * enter END / z AS x FROM o{t} o JOIN (SELECT example_idx, idx, sum(f * x) AS same FROM f{t - 1} JOIN n{t} USING (example_idx, idx, k) GROUP BY ALL) s USING (example_idx, idx) JOIN sz USING (example_idx) JOIN lk USING (example_idx) JOIN tr ON tr.n = sz.n AND tr.i = o.idx JOIN e{t} e ON e.example_idx = o.example_idx AND e.idx = tr.j"
     for t in range(1, 5)
 ) + ")"
-ESTEP = f"""WITH {HMM}, {forward_sql()}, {LIKE}, {backward_sql()}, {GAMMA}, {XI},
+ESTEP = f"""WITH {HMM}, {forward_sql()}, {LIKES}, {backward_sql()}, {GAMMA}, {XI},
 cn AS (SELECT 'obs' AS kind, 0 AS m, k AS i, w AS j, sum(g) AS value FROM g JOIN (SELECT DISTINCT example_idx, t, w FROM em) USING (example_idx, t) GROUP BY ALL
-UNION ALL SELECT 'init', n, idx, 0, sum(g) FROM g JOIN sz USING (example_idx) GROUP BY ALL UNION ALL SELECT 'trans', n, i, j, sum(x) FROM xi GROUP BY ALL
+UNION ALL SELECT 'init', n, idx, 0, sum(g) FROM g JOIN sz USING (example_idx) GROUP BY ALL UNION ALL SELECT 'trans', n, i, j, coalesce(sum(x), 0) FROM tr LEFT JOIN xi USING (n, i, j) GROUP BY ALL
 UNION ALL SELECT 'loglik', n, 0, 0, sum(ln(z)) FROM lk JOIN sz USING (example_idx) GROUP BY ALL UNION ALL SELECT 'examples', n, 0, 0, count(*) FROM sz GROUP BY ALL)
 SELECT kind, CAST(m AS INTEGER) AS m, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(value, 6) AS value FROM cn"""
 CONCEPTS = f"""WITH {HMM}, held AS (SELECT post.example_idx, hi, hk, idx, k, CASE WHEN idx <> hi THEN p WHEN k = hk THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p FROM post JOIN sz USING (example_idx), range(0, 5) a(hi), range(0, 10) b(hk) WHERE hi < n),
-{forward_sql("held", "example_idx, hi, hk")}, z AS (SELECT example_idx, hi AS idx, hk AS k, sum(f) AS z FROM f4 GROUP BY ALL)
+{forward_sql("held", "example_idx, hi, hk")}, {last_sql("example_idx, hi, hk")}, z AS (SELECT example_idx, hi AS idx, hk AS k, sum(f) AS z FROM fl GROUP BY ALL)
 SELECT example_idx, CAST(idx AS INTEGER) AS idx, CAST(k AS INTEGER) AS k, round(z * p / sum(z * p) OVER (PARTITION BY example_idx, idx), 6) AS p FROM z JOIN post USING (example_idx, idx, k)"""
 
 
@@ -308,8 +317,10 @@ def viterbi_sql() -> str:
     for t in range(1, 5):
         out.append(f"w{t} AS (SELECT v{t - 1}.example_idx, tr.j AS idx, s + ln(v) AS s, v{t - 1}.idx AS prev FROM v{t - 1} JOIN sz USING (example_idx) JOIN tr ON tr.n = sz.n AND tr.i = v{t - 1}.idx)")
         out.append(f"v{t} AS (SELECT x.example_idx, {t} AS t, x.idx, x.s + le AS s, prev FROM (SELECT *, row_number() OVER (PARTITION BY example_idx, idx ORDER BY s DESC, prev) AS r FROM w{t}) x JOIN es ON es.example_idx = x.example_idx AND es.idx = x.idx AND es.t = {t} WHERE r = 1)")
-    out.append("p4 AS (SELECT example_idx, 4 AS t, idx AS region FROM (SELECT *, row_number() OVER (PARTITION BY example_idx ORDER BY s DESC, idx) AS r FROM v4) WHERE r = 1)")
-    out += [f"p{t} AS (SELECT example_idx, {t} AS t, prev AS region FROM v{t + 1} JOIN p{t + 1} ON v{t + 1}.example_idx = p{t + 1}.example_idx AND v{t + 1}.idx = p{t + 1}.region)".replace("SELECT example_idx", f"SELECT v{t + 1}.example_idx") for t in range(3, -1, -1)]
+    # Back from each example's own last token.
+    ends = lambda t: f"SELECT example_idx, {t} AS t, idx AS region FROM (SELECT v{t}.*, row_number() OVER (PARTITION BY example_idx ORDER BY s DESC, idx) AS r FROM v{t} JOIN sz USING (example_idx) WHERE sz.n = {t + 1}) WHERE r = 1"
+    out.append(f"p4 AS ({ends(4)})")
+    out += [f"p{t} AS (SELECT v{t + 1}.example_idx, {t} AS t, prev AS region FROM v{t + 1} JOIN p{t + 1} ON v{t + 1}.example_idx = p{t + 1}.example_idx AND v{t + 1}.idx = p{t + 1}.region UNION ALL {ends(t)})" for t in range(3, -1, -1)]
     every = lambda x: " UNION ALL ".join(f"SELECT example_idx, t, {x[1]} FROM {x[0]}{t}" for t in range(5))
     out.append(f"sc AS (SELECT example_idx, t, idx, exp(s - max(s) OVER (PARTITION BY example_idx, t)) AS s FROM ({every(('v', 'idx, s'))}))")
     out.append("pr AS (SELECT example_idx, t, idx AS region, s / sum(s) OVER (PARTITION BY example_idx, t) AS score FROM sc)")

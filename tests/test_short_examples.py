@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["f19_embed_block", "f19_embed_interpolate", "f19_embed_mean"]
+NAMES = ["f19_embed_block", "f19_embed_interpolate", "f19_embed_mean", "m14_concept_counts", "m14_estep", "m18_viterbi"]
 
 
 @pytest.fixture(scope="module")
