@@ -58,6 +58,18 @@ def alignment_accuracy(pred: DataFrame, gold: DataFrame, pos: str = "t") -> Data
     return both.agg(F.avg((F.col("p") == F.col("g")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
+def frame_accuracy(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """E5 on frames, of ``(example_idx, start, end, value)``: share of the common frames on which both agree, and their number. The spans of
+    a side don't overlap within an example. No frame becomes a row: a sweep over the starts of both sides weighs what lies up to the next one."""
+    side = lambda x, name: x.select(EX, F.col("start").alias("at"), F.struct("end", "value").alias(name))
+    w = Window.partitionBy(EX).orderBy("at")
+    last = lambda name: F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name)
+    rows = side(pred, "p").unionByName(side(gold, "g"), allowMissingColumns=True).select("at", F.lead("at").over(w).alias("next"), last("p"), last("g"))
+    both = rows.where("p IS NOT NULL AND g IS NOT NULL").select((F.least("next", "p.end", "g.end") - F.col("at")).alias("n"), (F.col("p.value") == F.col("g.value")).alias("same")).where("n > 0")
+    known = F.sum(F.when(F.col("same").isNotNull(), F.col("n")))
+    return both.agg(F.try_divide(F.sum(F.when(F.col("same"), F.col("n")).when(~F.col("same"), 0)), known).cast("double").alias("accuracy"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+
+
 def word_iou(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """Mean over predicted intervals of the best IoU with a gold interval of the example; without gold intervals 0."""
     p = pred.select(EX, "start", "end").distinct()

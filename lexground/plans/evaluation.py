@@ -78,7 +78,7 @@ def e5_accuracy(spark, d):
 @register("e5_frame_accuracy", f"WITH {UNITS} SELECT round(sum(CASE WHEN gold = pred THEN dur ELSE 0 END) / sum(dur), 6) AS accuracy, CAST(sum(dur) AS BIGINT) AS n FROM units")
 def e5_frame_accuracy(spark, d):
     u = fx.units(spark, d)
-    return rounded(ev.alignment_accuracy(tl.expand_to_frames(value(u, "pred")), tl.expand_to_frames(value(u, "gold")), "frame"), "accuracy")
+    return rounded(ev.frame_accuracy(tl.unit_spans(value(u, "pred")), tl.unit_spans(value(u, "gold"))), "accuracy")
 
 
 @register("e6_word_iou", f"WITH {RUNS}, b AS (SELECT p.example_idx, p.s, max({G_P}) AS best FROM pr p LEFT JOIN gr g ON p.example_idx = g.example_idx GROUP BY ALL) SELECT round(avg(best), 6) AS iou FROM b")

@@ -70,3 +70,17 @@ def test_one_example_of_many_intervals(spark):
     assert time.time() - began < 90
     plan = tl.interval_join(pred, gold.withColumnsRenamed({"start": "rs", "end": "re"}))._jdf.queryExecution().executedPlan().toString()
     assert "_cell" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_frame_accuracy_makes_no_row_a_frame(spark):
+    """Sides of different units, nulls and units without frames, against the join of all frames; and units of a billion frames."""
+    rng = random.Random(5)
+    side = lambda: [(x, t, rng.choice(["a", "b", None]), rng.choice([0, 1, 2, 7])) for x in range(9) for t in range(rng.randrange(12))]
+    pred, gold = (spark.createDataFrame(side(), "example_idx long, t int, value string, dur int") for _ in range(2))
+    want = ev.alignment_accuracy(tl.expand_to_frames(pred), tl.expand_to_frames(gold), "frame").first()
+    got = ev.frame_accuracy(tl.unit_spans(pred), tl.unit_spans(gold)).first()
+    assert got.n == want.n > 0 and got.accuracy == pytest.approx(want.accuracy)
+    none = ev.frame_accuracy(tl.unit_spans(pred.limit(0)), tl.unit_spans(gold)).first()
+    assert none.n == 0 and none.accuracy is None
+    long = [spark.createDataFrame([(1, 0, "a", n), (1, 1, "b", 3_000_000_000 - n)], "example_idx long, t int, value string, dur long") for n in (1_000_000_000, 2_000_000_000)]
+    assert tuple(ev.frame_accuracy(*map(tl.unit_spans, long)).first()) == (pytest.approx(2 / 3), 3_000_000_000)
