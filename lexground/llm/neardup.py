@@ -19,15 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, Words, mix, slices, span_hash, string_parts
 from .common import fresh, materialise, text_key, without
 
 K, PICK, KEYS, SIMILAR = 5, 2, 40, 0.8
-#: Bits of a text's profile, as 64-bit numbers.
-LANES = 4
+#: Bits of a text's profile, as 64-bit numbers, and of the wide one that texts of buckets with several groups have after the first links.
+LANES, WIDE = 4, 32
 #: Words of a text from which on an alignment holds a band of positions instead of a number for each word.
 LONG = 20_000
 #: So few pairs left, in all or (after a round of representatives, which joins large groups) for each row of the buckets, are compared in
@@ -73,8 +73,8 @@ def order_minhash(words: Words, k: int = K, pick: int = PICK, keys: int = KEYS)
     return own, out
 
 
-def profiles(words: Words) -> np.ndarray:
-    """One row of ``LANES`` numbers a text: words labelled with their occurrence are dealt to 64 * ``LANES`` bins by a hash, and a bin has the
+def profiles(words: Words, lanes: int = LANES) -> np.ndarray:
+    """One row of ``lanes`` numbers a text: words labelled with their occurrence are dealt to 64 * ``lanes`` bins by a hash, and a bin has the
     last bit of its smallest hash (0 if it is empty)."""
     n, h = len(words.first) - 1, words.hashes()
     order = np.lexsort((h, words.text))
@@ -82,11 +82,11 @@ def profiles(words: Words) -> np.ndarray:
     occurrence = np.empty(len(h), np.uint64)
     occurrence[order] = (np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))).astype(np.uint64)
     labelled = mix(h * np.uint64(0x9E3779B97F4A7C15) + occurrence)
-    bins = 64 * LANES
+    bins = 64 * lanes
     least = np.full(n * bins, (1 << 64) - 2, np.uint64)
     np.minimum.at(least, words.text * bins + (labelled >> np.uint64(32)).astype(np.int64) % bins, mix(labelled))
-    bits = (least & np.uint64(1)).astype(np.uint8).reshape(n, LANES, 64)
-    return np.packbits(bits, axis=2, bitorder="little").reshape(n, LANES * 8).view("<u8")
+    bits = (least & np.uint64(1)).astype(np.uint8).reshape(n, lanes, 64)
+    return np.packbits(bits, axis=2, bitorder="little").reshape(n, lanes * 8).view("<u8")
 
 
 def most_apart(least: float, bins: int = 64 * LANES) -> int:
@@ -98,6 +98,14 @@ def most_apart(least: float, bins: int = 64 * LANES) -> int:
     return min(bins, math.ceil(bins * p + 6 * math.sqrt(bins * p * (1 - p))))
 
 
+def most_apart_of(least: float, words: Column, bins: int = 64 * WIDE) -> Column:
+    """``most_apart`` for two texts of ``words`` words together: both have at most (1 - least / 2) * words different labelled words, so that short
+    texts leave bins empty, and these don't differ."""
+    filled = 1 - F.exp(words * ((1 - least / 2) * math.log1p(-1 / bins)))
+    p = filled * ((1 - least / (2 - least)) / 2)
+    return F.ceil(bins * p + 6 * F.sqrt(bins * p * (1 - p)))
+
+
 def _window(spots: np.ndarray, low: int, width: int) -> int:
     """The positions from ``low`` on, ``width`` of them, as bits."""
     lo, hi = np.searchsorted(spots, (low, low + width))
@@ -165,7 +173,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def _sketch(docs: DataFrame, k: int, pick: int, keys: int) -> DataFrame:
-    """(id, node, keys, size in words, profile) of the texts that have a word."""
+    """(id, node, keys, size in words, profile, wide profile) of the texts that have a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -178,13 +186,12 @@ def _sketch(docs: DataFrame, k: int, pick: int, keys: int) -> DataFrame:
             rows = np.flatnonzero(place[code] >= 0)
             found = found[place[code[rows]]].view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, len(rows) * keys + 1, keys, np.int32), found.ravel())
-            marks = profiles(words)[code[rows]].view(np.int64)
-            profile = pa.ListArray.from_arrays(np.arange(0, len(rows) * LANES + 1, LANES, np.int32), marks.ravel())
+            profile, wide = (pa.ListArray.from_arrays(np.arange(0, len(rows) * n + 1, n, np.int32), profiles(words, n)[code[rows]].view(np.int64).ravel()) for n in (LANES, WIDE))
             size, rows = pa.array(np.diff(words.first)[code[rows]], pa.int32()), pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("node").take(rows), lists, size, profile], names=["id", "node", "keys", "size", "profile"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("node").take(rows), lists, size, profile, wide], names=["id", "node", "keys", "size", "profile", "wide"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "node", "text").mapInArrow(run, f"id {kind}, node binary, keys array<long>, size int, profile array<long>")
+    return docs.select("id", "node", "text").mapInArrow(run, f"id {kind}, node binary, keys array<long>, size int, profile array<long>, wide array<long>")
 
 
 def _verify(pairs: DataFrame, least: float) -> DataFrame:
@@ -221,12 +228,13 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
-def _compare(rows: DataFrame, first: DataFrame, least: float) -> DataFrame:
+def _compare(rows: DataFrame, first: DataFrame, least: float, lanes: int = LANES) -> DataFrame:
     """Rows joined with representatives of their buckets: pairs with different labels, of lengths and words that can be similar."""
-    rep = first.select("key", F.col("node").alias("rep"), F.col("size").alias("rep_size"), *[F.col(f"p{i}").alias(f"rep_p{i}") for i in range(LANES)], F.col("label").alias("rep_label"), F.col("degree").alias("rep_degree"))
+    rep = first.select("key", F.col("node").alias("rep"), F.col("size").alias("rep_size"), *[F.col(f"p{i}").alias(f"rep_p{i}") for i in range(lanes)], F.col("label").alias("rep_label"), F.col("degree").alias("rep_degree"))
     # ``similarity`` is below ``least`` for all others: by length, and by the profiles.
-    apart = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"rep_p{i}"))) for i in range(1, LANES)), F.bit_count(F.col("p0").bitwiseXOR(F.col("rep_p0"))))
-    alike = (2 * F.least("size", "rep_size") >= F.lit(least) * (F.col("size") + F.col("rep_size"))) & (apart <= most_apart(least))
+    apart = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"rep_p{i}"))) for i in range(1, lanes)), F.bit_count(F.col("p0").bitwiseXOR(F.col("rep_p0"))))
+    both = F.col("size") + F.col("rep_size")
+    alike = (2 * F.least("size", "rep_size") >= F.lit(least) * both) & (apart <= most_apart_of(least, both, 64 * lanes))
     return rows.join(rep, "key").where((F.col("label") != F.col("rep_label")) & alike)
 
 
@@ -248,8 +256,9 @@ def _moved(rows: DataFrame, moves: DataFrame | None) -> DataFrame:
     return rows if moves is None else rows.join(moves, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
 
 
-def _link(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(node, label) of the nodes of ``members(key, node, size, p0, .., n)``, n nodes a bucket: equal labels for what links join."""
+def _link(members: DataFrame, wide: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(node, label) of the nodes of ``members(key, node, size, p0, .., n)``, n nodes a bucket: equal labels for what links join. After the first
+    links, what is left has the wide profiles of ``wide(node, wide)``."""
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     marks = [f"p{i}" for i in range(LANES)]
     rows = materialise(members.join(degree, "node").select("key", "node", "size", *marks, "degree", F.col("node").alias("label")), "neardup-rows")
@@ -263,7 +272,11 @@ def _link(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         labels = materialise(_moved(labels, moves), "neardup-labels")
         rows = _moved(rows, moves).select("key", "node", "size", *marks, "degree", "label")
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        rows = materialise(rows.join(mixed, "key", "left_semi"), "neardup-rows")
+        rows = rows.join(mixed, "key", "left_semi")
+        if len(marks) < WIDE:
+            marks = [f"p{i}" for i in range(WIDE)]
+            rows = rows.select("key", "node", "size", "degree", "label").join(wide, "node").select("key", "node", "size", *[F.get("wide", F.lit(i)).alias(m) for i, m in enumerate(marks)], "degree", "label")
+        rows = materialise(rows, "neardup-rows")
         # Of each bucket the nodes, the pairs of different labels, and the label that most nodes have.
         own = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
         buckets = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("alike"), F.max(F.struct("n", "label")).alias("most"))
@@ -276,7 +289,7 @@ def _link(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             first = rows.join(buckets.select("key", F.col("most.label").alias("most")), "key").where("label != most")
         else:
             first = materialise(top(F.pmod(F.xxhash64("node", "key"), F.lit(reps)).alias("slot")), "neardup-reps")
-        pairs = materialise(_pairs(_compare(rows, first, least)).join(met, ["a", "b"], "left_anti"), "neardup-pairs")
+        pairs = materialise(_pairs(_compare(rows, first, least, WIDE)).join(met, ["a", "b"], "left_anti"), "neardup-pairs")
         moves = _moves(pairs, texts, least)
         if last:
             return materialise(_moved(labels, moves), "neardup-labels")
@@ -290,7 +303,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, pick: int, key
     least id."""
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     sketches = _sketch(slim, k, pick, keys)
-    nodes = materialise(sketches.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("profile").alias("profile")), "neardup-nodes")
+    nodes = materialise(sketches.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("profile").alias("profile"), F.first("wide").alias("wide")), "neardup-nodes")
 
     marks = [f"p{i}" for i in range(LANES)]
     members = nodes.select("node", "size", *[F.get("profile", F.lit(i)).alias(m) for i, m in enumerate(marks)], F.explode("keys").alias("key"))
@@ -300,7 +313,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, pick: int, key
     chosen = members.select("node").distinct().join(nodes.select("node", "id"), "node")
     texts = slim.alias("t").join(chosen.alias("c"), (F.col("t.node") == F.col("c.node")) & F.col("t.id").eqNullSafe(F.col("c.id")), "left_semi")
     texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "neardup-texts")
-    labels = _link(members, texts, least)
+    labels = _link(members, nodes.select("node", "wide"), texts, least)
 
     grouped = nodes.select("node", "id", "copies").join(labels, "node", "left").select("node", "id", "copies", F.coalesce("label", "node").alias("label"))
     least_row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))

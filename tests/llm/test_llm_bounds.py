@@ -121,3 +121,21 @@ def test_profile_of_a_text_does_not_depend_on_its_batch():
     whole = neardup.profiles(neardup._words(pa.array(texts)))
     assert (whole[0] == whole[3]).all() and not whole[1].any()
     assert all((neardup.profiles(neardup._words(pa.array([t])))[0] == w).all() for t, w in zip(texts, whole, strict=True))
+
+
+def test_wide_profiles_tell_half_different_texts_apart(spark):
+    """Texts that share half of their words share a bucket, too: they don't become pairs, and pairs of a similarity of 0.8 do, at any length."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        n, share = (60, 300, 650, 2000)[i % 4], (0.5, 0.8)[i // 4 % 2]
+        a = rng.integers(0, 1 << 40, n)
+        b = np.where(rng.permutation(n) < round(n * share), a, rng.integers(0, 1 << 40, n))
+        for side, x in enumerate((a, b)):
+            words = neardup._words(pa.array([" ".join(f"w{v}" for v in x)]))
+            rows.append((i, f"{i}-{side}", n, *map(int, neardup.profiles(words, neardup.WIDE)[0].view(np.int64)), side, f"{i}-{side}"))
+    marks = [f"p{i}" for i in range(neardup.WIDE)]
+    nodes = spark.createDataFrame(rows, "key long, node string, size int, " + ", ".join(f"{m} long" for m in marks) + ", degree int, label string")
+    found = {r.key for r in neardup._compare(nodes.where("degree = 0"), nodes.where("degree = 1"), 0.8, neardup.WIDE).select("key").collect()}
+    assert {i for i in range(240) if i // 4 % 2} <= found
+    assert not [i for i in found if not i // 4 % 2 and i % 4 > 1]
