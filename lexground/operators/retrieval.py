@@ -22,6 +22,8 @@ from .timeline import EX
 MOST_GROUPS = 1024
 #: Dot products that a task holds at once.
 MOST = 4_000_000
+#: Examples of a block: every block meets most others, so what is shuffled falls with their number. Few examples make ``FEW`` blocks a side.
+SMALL, LARGE, FEW = 256, 1536, 8
 
 
 def _mean(products: np.ndarray, first: np.ndarray, axis: int) -> np.ndarray:
@@ -66,10 +68,16 @@ def pack(rows: DataFrame) -> DataFrame:
     return rows.groupBy(EX).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "vec"))), lambda x: x["vec"]).alias("held")).select(F.col(EX).alias("id"), "held")
 
 
-def group(packed: DataFrame, block: int) -> DataFrame:
+def block_of(n: int) -> int:
+    """Examples of a block if there are ``n``: as many as make ``FEW`` blocks, within bounds that a task can hold."""
+    return max(SMALL, min(LARGE, -(-n // FEW)))
+
+
+def group(packed: DataFrame, block: int | None = None) -> DataFrame:
     """``packed`` with ``group`` and ``sub``: the nearest of some examples' mean vectors, drawn by a hash, at most ``MOST_GROUPS``; and a
     hash that cuts a group into blocks of about ``block`` examples. Written once."""
     n = packed.count()
+    block = block or block_of(n)
     many = min(MOST_GROUPS, max(1, -(-n // block)))
     drawn = packed.orderBy(F.xxhash64("id"), "id").limit(many).select("held").collect()
     pivots = np.array([np.mean([list(v) for v in r.held], 0) for r in drawn]) if drawn else np.zeros((1, 0))
@@ -183,12 +191,13 @@ def surviving(a: DataFrame, b: DataFrame, kind: str, keep: int | None = None, ow
     return for_a.unionByName(for_b).distinct()
 
 
-def every_pair(images: DataFrame, captions: DataFrame, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def every_pair(images: DataFrame, captions: DataFrame, block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, captions, pairs of blocks) for a result of all pairs: examples are dealt to blocks by a hash, and the pairs are numbers."""
 
     def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
         packed = pack(rows)
-        n = max(1, -(-rows.select(EX).distinct().count() // block))
+        examples = rows.select(EX).distinct().count()
+        n = max(1, -(-examples // (block or block_of(examples))))
         return packed.select("id", "held", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("group"), F.lit(0).alias("sub")), n
 
     (a, na), (b, nb) = dealt(images), dealt(captions)
@@ -225,11 +234,11 @@ def own_scores(images: DataFrame, captions: DataFrame, kernel: Callable) -> Data
     return cut(pack(images).join(pack(captions).withColumnRenamed("held", "cap"), "id").mapInPandas(run, "id long, own double"), "own-scores")
 
 
-def _sides(images: DataFrame, captions: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _sides(images: DataFrame, captions: DataFrame, block: int | None) -> tuple[DataFrame, DataFrame]:
     return group(pack(images), block), group(pack(captions), block)
 
 
-def score_blocks(images: DataFrame, captions: DataFrame, kernel: Callable, block: int = 256) -> DataFrame:
+def score_blocks(images: DataFrame, captions: DataFrame, kernel: Callable, block: int | None = None) -> DataFrame:
     """(row, col, value): the kernel's value of every caption (row) and image (col), ``example_idx, idx, vec`` each."""
 
     def found(rows, cols, values, *_):
@@ -239,7 +248,7 @@ def score_blocks(images: DataFrame, captions: DataFrame, kernel: Callable, block
     return in_blocks(a, b, pairs, kernel, found, "row long, col long, value double")
 
 
-def match_similarity(images: DataFrame, captions: DataFrame, kind: str = "sisa", block: int = 256) -> DataFrame:
+def match_similarity(images: DataFrame, captions: DataFrame, kind: str = "sisa", block: int | None = None) -> DataFrame:
     """R2: mean of the dot products (sisa), max over regions then mean over frames (misa), max over frames then mean over regions
     (sima), over the true numbers of regions and frames."""
     return score_blocks(images, captions, similarity_of(kind), block)
@@ -269,7 +278,7 @@ def matrix_rows(table: DataFrame) -> np.ndarray:
     return out
 
 
-def best_in_blocks(images: DataFrame, captions: DataFrame, kind: str, k: int, block: int = 256) -> DataFrame:
+def best_in_blocks(images: DataFrame, captions: DataFrame, kind: str, k: int, block: int | None = None) -> DataFrame:
     """R3 from the vectors: (side, query, hit, rank) of ``top_k``. Only pairs of blocks that may hold one of the ``k`` best are scored, and of
     each only the best ``k`` of a caption and of an image leave the task."""
 
@@ -317,7 +326,7 @@ def recall_at_k(scores: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFram
     return recall_of_ranks(ranks, ks)
 
 
-def recall_in_blocks(images: DataFrame, captions: DataFrame, kind: str = "sisa", ks: tuple[int, ...] = (1, 5, 10), block: int = 256) -> DataFrame:
+def recall_in_blocks(images: DataFrame, captions: DataFrame, kind: str = "sisa", ks: tuple[int, ...] = (1, 5, 10), block: int | None = None) -> DataFrame:
     """R4 from the vectors: pairs of blocks in which no score can reach an example's own are left out, the others are counted where
     they are scored, and only counts leave the task. Examples without the other side have no rank."""
     kernel = similarity_of(kind)
@@ -399,7 +408,7 @@ def softmax_loss(scores: DataFrame) -> DataFrame:
     return own.agg((-F.avg(2 * F.col("value") - F.col("z_row") - F.col("z_col"))).alias("loss"))
 
 
-def softmax_loss_in_blocks(images: DataFrame, captions: DataFrame, kind: str = "sisa", block: int = 256) -> DataFrame:
+def softmax_loss_in_blocks(images: DataFrame, captions: DataFrame, kind: str = "sisa", block: int | None = None) -> DataFrame:
     """R6 from the vectors: each block gives the largest value and the sum of exponentials below it of its rows and columns."""
     kernel = similarity_of(kind)
 

@@ -77,3 +77,9 @@ def test_margin_loss_scores_three_pairs_an_item(spark):
     want = np.mean([max(0, 1 + score(i, r.caption) - score(i, i)) + max(0, 1 + score(r.image, i) - score(i, i)) for i, r in picked.items()])
     assert np.isclose(rt.margin_loss(a, b, "misa", 1.0, 4).first().loss, want)
     assert rt.margin_loss(a.where(F.col("example_idx") == 0), b, "misa", 1.0, 4).first().loss is None
+
+
+def test_blocks_grow_with_the_examples():
+    """Every block meets the others: at 256 examples a block, a hundred thousand examples are moved some four hundred times."""
+    assert rt.block_of(10) == rt.SMALL and all(n / rt.block_of(n) <= rt.FEW for n in (2048, 4000, rt.FEW * rt.LARGE)) and rt.block_of(10**9) == rt.LARGE
+    assert 120_000 / rt.block_of(120_000) < 80
