@@ -30,7 +30,7 @@ K, PICK, KEYS, SIMILAR = 5, 2, 40, 0.8
 LANES, WIDE = 4, 32
 #: Words of a text from which on an alignment holds a band of positions instead of a number for each word.
 LONG = 20_000
-#: So few pairs left, in all or (after a round of representatives, which joins large groups) for each row of the buckets, are compared in
+#: So few pairs left, in all or (after two rounds of representatives, which join large groups) for each row of the buckets, are compared in
 #: one round: most are told apart by length and profile.
 LAST_PAIRS, LAST_EACH = 100_000, 64
 _rng = np.random.default_rng(11)
@@ -228,13 +228,16 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
-def _compare(rows: DataFrame, first: DataFrame, least: float, lanes: int = LANES) -> DataFrame:
-    """Rows joined with representatives of their buckets: pairs with different labels, of lengths and words that can be similar."""
-    rep = first.select("key", F.col("node").alias("rep"), F.col("size").alias("rep_size"), *[F.col(f"p{i}").alias(f"rep_p{i}") for i in range(lanes)], F.col("label").alias("rep_label"), F.col("degree").alias("rep_degree"))
+def _compare(rows: DataFrame, first: DataFrame, least: float, lanes: int = LANES, once: bool = False) -> DataFrame:
+    """Rows joined with representatives of their buckets: pairs with different labels, of lengths and words that can be similar. With ``once``,
+    ``rows`` and ``first`` have all ``keys`` of their nodes, and a pair comes from the first bucket that both are in."""
+    rep = first.select("key", F.col("node").alias("rep"), F.col("size").alias("rep_size"), *[F.col(f"p{i}").alias(f"rep_p{i}") for i in range(lanes)], F.col("label").alias("rep_label"), F.col("degree").alias("rep_degree"), *[F.col("keys").alias("rep_keys")] * once)
     # ``similarity`` is below ``least`` for all others: by length, and by the profiles.
     apart = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"rep_p{i}"))) for i in range(1, lanes)), F.bit_count(F.col("p0").bitwiseXOR(F.col("rep_p0"))))
     both = F.col("size") + F.col("rep_size")
     alike = (2 * F.least("size", "rep_size") >= F.lit(least) * both) & (apart <= most_apart_of(least, both, 64 * lanes))
+    if once:
+        alike = alike & (F.col("key") == F.get(F.array_intersect("keys", "rep_keys"), F.lit(0)))
     return rows.join(rep, "key").where((F.col("label") != F.col("rep_label")) & alike)
 
 
@@ -256,9 +259,9 @@ def _moved(rows: DataFrame, moves: DataFrame | None) -> DataFrame:
     return rows if moves is None else rows.join(moves, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
 
 
-def _link(members: DataFrame, wide: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _link(members: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(node, label) of the nodes of ``members(key, node, size, p0, .., n)``, n nodes a bucket: equal labels for what links join. After the first
-    links, what is left has the wide profiles of ``wide(node, wide)``."""
+    links, what is left has the wide profiles of ``nodes(node, keys, wide)``."""
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     marks = [f"p{i}" for i in range(LANES)]
     rows = materialise(members.join(degree, "node").select("key", "node", "size", *marks, "degree", F.col("node").alias("label")), "neardup-rows")
@@ -275,7 +278,7 @@ def _link(members: DataFrame, wide: DataFrame, texts: DataFrame, least: float) -
         rows = rows.join(mixed, "key", "left_semi")
         if len(marks) < WIDE:
             marks = [f"p{i}" for i in range(WIDE)]
-            rows = rows.select("key", "node", "size", "degree", "label").join(wide, "node").select("key", "node", "size", *[F.get("wide", F.lit(i)).alias(m) for i, m in enumerate(marks)], "degree", "label")
+            rows = rows.select("key", "node", "size", "degree", "label").join(nodes.select("node", "wide"), "node").select("key", "node", "size", *[F.get("wide", F.lit(i)).alias(m) for i, m in enumerate(marks)], "degree", "label")
         rows = materialise(rows, "neardup-rows")
         # Of each bucket the nodes, the pairs of different labels, and the label that most nodes have.
         own = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -283,13 +286,14 @@ def _link(members: DataFrame, wide: DataFrame, texts: DataFrame, least: float) -
         left = buckets.agg(F.sum("n").alias("rows"), F.sum(F.expr("(n * n - alike) div 2")).alias("pairs")).first()
         if not left["rows"]:
             return labels
-        last = left["pairs"] <= max(LAST_PAIRS, max(reps, LAST_EACH if reps > 1 else 0) * left["rows"])
+        last = left["pairs"] <= max(LAST_PAIRS, max(reps, LAST_EACH if reps > 2 else 0) * left["rows"])
         if last:
             # All pairs of different labels: those without the commonest label meet every node.
+            rows = rows.join(nodes.select("node", "keys"), "node")
             first = rows.join(buckets.select("key", F.col("most.label").alias("most")), "key").where("label != most")
         else:
             first = materialise(top(F.pmod(F.xxhash64("node", "key"), F.lit(reps)).alias("slot")), "neardup-reps")
-        pairs = materialise(_pairs(_compare(rows, first, least, WIDE)).join(met, ["a", "b"], "left_anti"), "neardup-pairs")
+        pairs = materialise(_pairs(_compare(rows, first, least, WIDE, last)).join(met, ["a", "b"], "left_anti"), "neardup-pairs")
         moves = _moves(pairs, texts, least)
         if last:
             return materialise(_moved(labels, moves), "neardup-labels")
@@ -313,7 +317,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, pick: int, key
     chosen = members.select("node").distinct().join(nodes.select("node", "id"), "node")
     texts = slim.alias("t").join(chosen.alias("c"), (F.col("t.node") == F.col("c.node")) & F.col("t.id").eqNullSafe(F.col("c.id")), "left_semi")
     texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "neardup-texts")
-    labels = _link(members, nodes.select("node", "wide"), texts, least)
+    labels = _link(members, nodes.select("node", "keys", "wide"), texts, least)
 
     grouped = nodes.select("node", "id", "copies").join(labels, "node", "left").select("node", "id", "copies", F.coalesce("label", "node").alias("label"))
     least_row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))

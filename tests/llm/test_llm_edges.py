@@ -244,6 +244,17 @@ def test_near_duplicates_of_borderline_copies(spark, monkeypatch, last):
     assert got == dict(enumerate(label))
 
 
+def test_the_last_round_forms_a_pair_once(spark):
+    """Of two nodes that share several keys, and whichever are left of their buckets, the first key forms the pair."""
+    keys = {"a": [5, 2, 3], "b": [2, 3, 4], "c": [9, 4, 5]}
+    marks = [f"p{i}" for i in range(neardup.WIDE)]
+    rows = spark.createDataFrame([(k, n, 10, 1, n, own) for n, own in keys.items() for k in own], "key long, node string, size int, degree long, label string, keys array<long>")
+    rows = rows.select("*", *[F.lit(0).cast("long").alias(m) for m in marks])
+    pairs = lambda once: sorted((r.node, r.rep) for r in neardup._compare(rows, rows, 0.8, neardup.WIDE, once).collect())
+    assert pairs(True) == [("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")]
+    assert len(pairs(False)) == 8
+
+
 def test_banded_lcs():
     rng = np.random.default_rng(8)
     for _ in range(30):
