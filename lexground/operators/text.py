@@ -113,10 +113,18 @@ def partial_labels(examples: DataFrame, label2idx: DataFrame, name: str = "perso
     return rows.select(EX, "pos", F.when(F.col("concept") == name, F.coalesce("label_id", F.lit(-1))).otherwise(0).alias("label"))
 
 
-def doc_index_pairs(tokens: DataFrame, index: DataFrame) -> DataFrame:
-    """Distinct (doc, term) with both numbered from 1 by ``index(word, idx)`` and by example."""
-    pairs = tokens.select(EX, F.col("token").alias("word")).distinct().join(index, "word")
-    return pairs.select((F.col(EX) + 1).alias("doc"), (F.col("idx") + 1).alias("term"))
+def distinct_words(captions: DataFrame) -> DataFrame:
+    """(example_idx, token): the distinct words of each example of ``captions(example_idx, tokens)``. Only ids are shuffled, unless one has
+    several rows, whose words must meet."""
+    words = captions.select(EX, F.explode(F.array_distinct("tokens")).alias("token"))
+    again = captions.groupBy(EX).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
+    return words.distinct() if again else words
+
+
+def doc_index_pairs(words: DataFrame, index: DataFrame) -> DataFrame:
+    """Distinct (doc, term) of distinct ``words(example_idx, token)``, both numbered from 1, by ``index(word, idx)`` and by example."""
+    found = looked_up(words.select(EX, "token"), index.select("word", "idx")).where("idx IS NOT NULL")
+    return found.select((F.col(EX) + 1).alias("doc"), (F.col("idx") + 1).alias("term"))
 
 
 def phones_of_kept(rows: DataFrame, vocab: DataFrame) -> DataFrame:
