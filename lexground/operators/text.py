@@ -79,8 +79,9 @@ def tag_concepts(tokens: DataFrame, index: DataFrame, numbers: DataFrame, min_fr
     """(example_idx, pos, concept) of words that ``index(word, images)`` knows with at least ``min_freq`` images or that are in
     ``numbers(word)``; an example without any has one row 'null' at position -1."""
     known = index.where(F.col("images") >= min_freq).select("word").union(numbers.select("word")).distinct()
-    hits = tokens.join(known, F.col("token") == F.col("word"), "left_semi").select(EX, "pos", F.col("token").alias("concept"))
-    none = tokens.select(EX).distinct().join(hits, EX, "left_anti").select(EX, F.lit(-1).alias("pos"), F.lit("null").alias("concept"))
+    seen = looked_up(tokens.select(EX, "pos", "token"), known.select("word", F.lit(True).alias("_known")))
+    hits = seen.where("_known").select(EX, "pos", F.col("token").alias("concept"))
+    none = seen.groupBy(EX).agg(F.count("_known").alias("_n")).where("_n = 0").select(EX, F.lit(-1).alias("pos"), F.lit("null").alias("concept"))
     return hits.union(none)
 
 
