@@ -46,9 +46,10 @@ def filter_captions(captions: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def to_phones(tokens: DataFrame, lexicon: DataFrame, unknown: str = "UNK") -> DataFrame:
     """(example_idx, pos, phone_pos, phone): each word's pronunciation in ``lexicon(word, phones)``, the stress mark U+02C8 in
-    front of a phone removed; a word that is not there is one phone ``unknown``."""
-    found = looked_up(tokens.select(EX, "pos", "token"), lexicon.select("word", "phones"))
-    return found.select(EX, "pos", F.posexplode(F.coalesce("phones", F.array(F.lit(unknown)))).alias("phone_pos", "phone")).withColumn("phone", F.regexp_replace("phone", "^ˈ", ""))
+    front of a phone removed; a word that is not there is one phone ``unknown``. All columns of ``tokens`` but ``token`` stay, so that a table of
+    words with their counts may stand for the tokens."""
+    found = looked_up(tokens, lexicon.select("word", "phones"))
+    return found.select(*[c for c in tokens.columns if c != "token"], F.posexplode(F.coalesce("phones", F.array(F.lit(unknown)))).alias("phone_pos", "phone")).withColumn("phone", F.regexp_replace("phone", "^ˈ", ""))
 
 
 def map_words_to_concepts(freq: DataFrame, sims: DataFrame, min_freq: int, threshold: float, own: str = "person") -> DataFrame:
