@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from .timeline import EX
 MOST_GROUPS = 1024
 #: Dot products that a task holds at once.
 MOST = 4_000_000
+#: Numbers of a row of packed vectors (16 MB); a batch has two of them a row.
+HELD = 2_000_000
 #: Examples of a block: every block meets most others, so what is shuffled falls with their number. Few examples make ``FEW`` blocks a side.
 SMALL, LARGE, FEW = 256, 1536, 8
 
@@ -191,36 +194,88 @@ def surviving(a: DataFrame, b: DataFrame, kind: str, keep: int | None = None, ow
     return for_a.unionByName(for_b).distinct()
 
 
-def every_pair(images: DataFrame, captions: DataFrame, block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, captions, pairs of blocks) for a result of all pairs: examples are dealt to blocks by a hash, and the pairs are numbers."""
+def every_pair(images: DataFrame, captions: DataFrame, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(images, captions) for a result of all pairs: examples are dealt to blocks by a hash."""
 
-    def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    def dealt(rows: DataFrame) -> DataFrame:
         packed = pack(rows)
         examples = rows.select(EX).distinct().count()
         n = max(1, -(-examples // (block or block_of(examples))))
-        return packed.select("id", "held", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("group"), F.lit(0).alias("sub")), n
+        return packed.select("id", "held", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("group"), F.lit(0).alias("sub"))
 
-    (a, na), (b, nb) = dealt(images), dealt(captions)
-    numbers = images.sparkSession.range(na).select(F.col("id").cast("int").alias("_ag"), F.lit(0).alias("_as"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_bg"), F.lit(0).alias("_bs"))
-    return a, b, numbers
+    return dealt(images), dealt(captions)
 
 
-def in_blocks(a: DataFrame, b: DataFrame, pairs: DataFrame, kernel: Callable, found: Callable, schema: str, own: DataFrame | None = None) -> DataFrame:
-    """``found(caption ids, image ids, values[caption, image], captions' own values, images' own values)`` of the ``pairs`` of blocks of
-    images ``a`` and captions ``b``, rows of ``schema``. ``own(id, own)`` has a value for each example, NaN without it."""
-    pairs = cut(pairs, "block-pairs")
-    a, b = (x.join(own, "id", "left") if own is not None else x.withColumn("own", F.lit(None).cast("double")) for x in (a, b))
-    left = a.select(F.col("id").alias("x"), F.col("held").alias("xs"), F.col("own").alias("xo"), F.col("group").alias("_ag"), F.col("sub").alias("_as")).join(pairs, ["_ag", "_as"])
-    right = b.select(F.col("id").alias("y"), F.col("held").alias("ys"), F.col("own").alias("yo"), F.col("group").alias("_bg"), F.col("sub").alias("_bs")).join(pairs, ["_bg", "_bs"])
-    key = ["_ag", "_as", "_bg", "_bs"]
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+def blocks_of(side: DataFrame, own: DataFrame | None, name: str) -> DataFrame:
+    """(group, sub, ids, sizes, vectors, own): the examples of ``side`` in rows that hold many of one block each, as bytes; at most ``HELD``
+    numbers unless one example has more. Written once; the only time that a side is moved."""
+    side = side.join(own, "id", "left") if own is not None else side.withColumn("own", F.lit(None).cast("double"))
+    ddl = "group int, sub int, ids binary, sizes binary, vectors binary, own binary"
+    schema = side.sparkSession.createDataFrame([], ddl).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, load = None, [], 0
+
+        def out() -> pa.RecordBatch:
+            cols = [np.concatenate(p).tobytes() for p in zip(*parts, strict=True)]
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip([*key, *cols], schema, strict=True)], schema=schema)
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y = x.sort_values("x"), y.sort_values("y")
-        values = _scored(kernel, _stacked(x["xs"]), _stacked(y["ys"]))
-        return pd.DataFrame(found(y["y"].to_numpy(), x["x"].to_numpy(), values, y["yo"].to_numpy(float), x["xo"].to_numpy(float)), columns=names)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group, sub, ids = (b.column(i).to_numpy() for i in range(3))
+            offsets, held = pk.lists(b.column("held"))
+            x, sizes, known = pk.matrix(held), np.diff(offsets), np.asarray(b.column("own").to_numpy(zero_copy_only=False), float)
+            ends = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (sub[1:] != sub[:-1]), True])
+            for first, last in zip(ends, ends[1:]):
+                for lo, hi in pk.groups(sizes[first:last] * x.shape[1], HELD):
+                    lo, hi = lo + first, hi + first
+                    new, more = (int(group[lo]), int(sub[lo])), int(sizes[lo:hi].sum()) * x.shape[1]
+                    if parts and (new != key or load + more > HELD):
+                        yield out()
+                    load = more if not parts else load + more
+                    key = new
+                    parts.append((ids[lo:hi], sizes[lo:hi], x[offsets[lo] : offsets[hi]].ravel(), known[lo:hi]))
+        if parts:
+            yield out()
+
+    dealt = side.select("group", "sub", "id", "held", "own").repartition(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group", "sub").sortWithinPartitions("group", "sub", "id")
+    return cut(dealt.mapInArrow(run, ddl), name)
+
+
+def _unpacked(ids: pa.Scalar, sizes: pa.Scalar, vectors: pa.Scalar, own: pa.Scalar) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(ids, (vectors, first vector of each example), own values) of a row of ``blocks_of``."""
+    read = lambda v, kind: np.frombuffer(v.as_buffer(), kind)
+    first = np.r_[0, np.cumsum(read(sizes, np.int64))]
+    return read(ids, np.int64), (read(vectors, float).reshape(first[-1], -1), first), read(own, float)
+
+
+def in_blocks(a: DataFrame, b: DataFrame, pairs: DataFrame | None, kernel: Callable, found: Callable, schema: str, own: DataFrame | None = None) -> DataFrame:
+    """``found(caption ids, image ids, values[caption, image], captions' own values, images' own values)`` of the ``pairs`` of blocks of
+    images ``a`` and captions ``b`` (all without ``pairs``), rows of ``schema``. ``own(id, own)`` has a value for each example, NaN without it.
+
+    Both sides are written in blocks, and every task reads some of either from there: a Cartesian product, which copies nothing through
+    a shuffle. A row is scored alone, so a block may be in several."""
+    columns = ["ids", "sizes", "vectors", "own"]
+    named = lambda x, p, g, s: x.select(F.col("group").alias(g), F.col("sub").alias(s), *[F.col(c).alias(p + c) for c in columns])
+    left, right = named(blocks_of(a, own, "image-blocks"), "x_", "_ag", "_as"), named(blocks_of(b, own, "caption-blocks"), "y_", "_bg", "_bs")
+    met = F.lit(True)
+    if pairs is not None:
+        others = cut(pairs, "block-pairs").groupBy("_ag", "_as").agg(F.collect_list(F.struct("_bg", "_bs")).alias("_met"))
+        left = cut(left.join(others, ["_ag", "_as"]), "image-blocks")
+        met = F.array_contains("_met", F.struct("_bg", "_bs"))
+    both = left.hint("shuffle_replicate_nl").join(right, met).select(*["x_" + c for c in columns], *["y_" + c for c in columns])
+    result = a.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for row in zip(*t.columns, strict=True):
+                (cols, im, col_own), (rows, cap, row_own) = _unpacked(*row[:4]), _unpacked(*row[4:])
+                got = found(rows, cols, _scored(kernel, im, cap), row_own, col_own)
+                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in result], schema=result)
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema)
+    return both.mapInArrow(run, schema)
 
 
 def own_scores(images: DataFrame, captions: DataFrame, kernel: Callable) -> DataFrame:
@@ -244,8 +299,7 @@ def score_blocks(images: DataFrame, captions: DataFrame, kernel: Callable, block
     def found(rows, cols, values, *_):
         return {"row": np.repeat(rows, len(cols)), "col": np.tile(cols, len(rows)), "value": values.ravel()}
 
-    a, b, pairs = every_pair(images, captions, block)
-    return in_blocks(a, b, pairs, kernel, found, "row long, col long, value double")
+    return in_blocks(*every_pair(images, captions, block), None, kernel, found, "row long, col long, value double")
 
 
 def match_similarity(images: DataFrame, captions: DataFrame, kind: str = "sisa", block: int | None = None) -> DataFrame:
@@ -418,8 +472,7 @@ def softmax_loss_in_blocks(images: DataFrame, captions: DataFrame, kind: str = "
         return {"side": np.repeat(["row", "col"], [len(rows), len(cols)]), "id": np.concatenate([rows, cols]), "top": np.concatenate(top), "total": np.concatenate(sums)}
 
     own = own_scores(images, captions, kernel)
-    a, b, pairs = every_pair(images, captions, block)
-    parts = in_blocks(a, b, pairs, kernel, found, "side string, id long, top double, total double")
+    parts = in_blocks(*every_pair(images, captions, block), None, kernel, found, "side string, id long, top double, total double")
     w = Window.partitionBy("side", "id")
     whole = parts.withColumn("_m", F.max("top").over(w)).groupBy("side", "id", "_m").agg(F.sum(F.col("total") * F.exp(F.col("top") - F.col("_m"))).alias("t"))
     each = whole.groupBy("id").agg(F.sum(F.col("_m") + F.log("t")).alias("z")).join(own, "id")

@@ -83,3 +83,19 @@ def test_blocks_grow_with_the_examples():
     """Every block meets the others: at 256 examples a block, a hundred thousand examples are moved some four hundred times."""
     assert rt.block_of(10) == rt.SMALL and all(n / rt.block_of(n) <= rt.FEW for n in (2048, 4000, rt.FEW * rt.LARGE)) and rt.block_of(10**9) == rt.LARGE
     assert 120_000 / rt.block_of(120_000) < 80
+
+
+def test_blocks_meet_without_a_shuffle(spark):
+    """A shuffle would copy each side once for every block of the other."""
+    im, cap = clustered(9, 40)
+    plan = rt.match_similarity(frame(spark, im), frame(spark, cap), "sisa", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_examples_beyond_a_row_are_cut_into_several(spark, monkeypatch):
+    im, cap = clustered(10, 15, spread=1.0)
+    a, b = frame(spark, im), frame(spark, cap)
+    want = rows_of(rt.match_similarity(a, b, "misa"))
+    best = rows_of(rt.best_in_blocks(a, b, "misa", 3))
+    monkeypatch.setattr(rt, "HELD", 30)  # of four dimensions and one to six vectors an example
+    assert len(want) == 15 * 15 and rows_of(rt.match_similarity(a, b, "misa")) == want and rows_of(rt.best_in_blocks(a, b, "misa", 3)) == best
