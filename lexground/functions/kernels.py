@@ -55,32 +55,41 @@ def hmm_forward(pi: np.ndarray, init: np.ndarray, trans: np.ndarray, b: np.ndarr
 
 def hmm_estep(pi: np.ndarray, init: np.ndarray, trans: np.ndarray, b: np.ndarray, init_counts: str = "all") -> dict:
     """Expected counts of one example: init[n], trans[n, n], gamma[T, K], concept[n, K], and the log-likelihood."""
-    n, k = pi.shape
-    steps = len(b)
+    e = hmm_estep_many(pi[None], init, trans, b[None], init_counts)
+    return e | {"gamma": e["gamma"][0], "concept": e["concept"][0]}
+
+
+def hmm_estep_many(pi: np.ndarray, init: np.ndarray, trans: np.ndarray, b: np.ndarray, init_counts: str = "all") -> dict:
+    """Expected counts of ``pi[B, n, K]`` and ``b[B, T, K]``: gamma[B, T, K] and concept[B, n, K] of each example; init[n], trans[n, n] and the
+    log-likelihood of all."""
+    many, n, k = pi.shape
     stay, move = np.diag(trans), trans - np.diag(np.diag(trans))
+    b = b.transpose(1, 0, 2)[:, :, None]
     f, logs = hmm_forward(pi, init, trans, b)
-    beta = np.ones((n, k))
-    gamma, xi = np.zeros((steps, n, k)), np.zeros((n, n))
-    for t in range(steps - 1, -1, -1):
+    beta = np.ones((many, n, k))
+    gamma, first, xi = np.zeros((many, len(b), k)), np.zeros(n), np.zeros((n, n))
+    for t in range(len(b) - 1, -1, -1):
         g = f[t] * beta
-        gamma[t] = g / max(g.sum(), 1e-300)
+        g /= np.maximum(g.sum((1, 2), keepdims=True), 1e-300)
+        gamma[:, t] = g.sum(1)
+        if init_counts == "all" or not t:
+            first += g.sum((0, 2))
         if t:
             nb = b[t] * beta
-            enter = (pi * nb).sum(1)
-            step = f[t - 1].sum(1)[:, None] * move * enter[None]
-            step[np.arange(n), np.arange(n)] = stay * (f[t - 1] * nb).sum(1)
-            xi += step / max(step.sum(), 1e-300)
-            beta = stay[:, None] * nb + (move @ enter)[:, None]
-            beta = beta / max(beta.max(), 1e-300)
-    per_region = gamma.sum(2)
-    concept = np.zeros((n, k))
+            enter = (pi * nb).sum(2)
+            step = f[t - 1].sum(2)[:, :, None] * move * enter[:, None]
+            step[:, np.arange(n), np.arange(n)] = stay * (f[t - 1] * nb).sum(2)
+            xi += (step / np.maximum(step.sum((1, 2), keepdims=True), 1e-300)).sum(0)
+            beta = stay[:, None] * nb + (enter @ move.T)[..., None]
+            beta = beta / np.maximum(beta.max((1, 2), keepdims=True), 1e-300)
+    concept = np.zeros((many, n, k))
     for i in range(n):  # the region held to each concept in turn, all concepts at once
         held = np.repeat(pi[None], k, 0)
-        held[:, i] = np.eye(k)
+        held[:, :, i] = np.eye(k)[:, None]
         _, scales = hmm_forward(held, init, trans, b)
-        w = scales.sum(0) + np.log(np.maximum(pi[i], 1e-300))
-        concept[i] = np.exp(w - log_sum_exp(w))
-    return {"init": per_region.sum(0) if init_counts == "all" else per_region[0], "trans": xi, "gamma": gamma.sum(1), "concept": concept, "loglik": float(logs.sum())}
+        w = scales.sum(0).T + np.log(np.maximum(pi[:, i], 1e-300))
+        concept[:, i] = np.exp(w - log_sum_exp(w)[:, None])
+    return {"init": first, "trans": xi, "gamma": gamma, "concept": concept, "loglik": float(logs.sum())}
 
 
 def hmm_viterbi(pi: np.ndarray, init: np.ndarray, trans: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

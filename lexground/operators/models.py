@@ -18,6 +18,8 @@ from ..functions.scratch import bucketed, cut
 from ..functions.statistics import vector_sums, weighted_sums
 
 EX = "example_idx"
+#: Numbers that a task's largest array holds at once.
+MOST = 2_000_000
 
 
 def start_centroids(vectors: DataFrame, k: int, seed: int, partition: str, sample: int = 64) -> DataFrame:
@@ -427,6 +429,23 @@ def _emissions(tokens, obs: np.ndarray) -> np.ndarray:
     return obs[:, x.astype(int)].T if x.ndim == 1 else np.stack([np.asarray(r, float) for r in tokens]) @ obs.T
 
 
+def _alike(b: pd.DataFrame, obs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, pi[B, n, K], tokens[B, T] or [B, T, V], emissions[B, T, K]): examples of a batch with as many regions and positions, some at
+    once. Those without either are left out."""
+    regions, steps = (np.array([len(v) for v in b[c]], int) for c in ("post", "tokens"))
+    for n, t in np.unique(np.stack([regions, steps], 1)[(regions > 0) & (steps > 0)], axis=0):
+        same = np.flatnonzero((regions == n) & (steps == t))
+        for lo, hi in pk.groups(np.full(len(same), t * n * len(obs) ** 2), MOST):
+            rows = same[lo:hi]
+            pi = np.array([[*v] for v in b["post"].iloc[rows]], float)
+            x = np.array([[*v] for v in b["tokens"].iloc[rows]])
+            if x.ndim == 2:
+                x = x.astype(int)
+                yield rows, pi, x, obs.T[x]
+            else:
+                yield rows, pi, x, x @ obs.T
+
+
 def hmm_estep(examples: DataFrame, params: dict, init_counts: str = "all") -> DataFrame:
     """Expected counts in long form, summed over all examples: (kind, m, i, j, value) of kind 'init' (m, i), 'trans' (m, i, j),
     'obs' (k as i, v as j) and 'loglik' (m examples). Each task adds up what it sees before anything is shuffled."""
@@ -436,22 +455,19 @@ def hmm_estep(examples: DataFrame, params: dict, init_counts: str = "all") -> Da
         p = held.value
         obs, sums = np.zeros_like(p["obs"]), {}
         for b in batches:
-            for tokens, post in zip(b["tokens"], b["post"], strict=True):
-                pi = np.stack([np.asarray(r, float) for r in post]) if len(post) else np.zeros((0, len(obs)))
-                n = len(pi)
-                if not n or not len(tokens):
-                    continue
-                e = kn.hmm_estep(pi, p["init"][n], p["trans"][n], _emissions(tokens, p["obs"]), init_counts)
-                x = np.asarray(list(tokens))
-                if x.ndim == 1:
-                    np.add.at(obs.T, x.astype(int), e["gamma"])
+            for _, pi, x, emit in _alike(b, p["obs"]):
+                n = pi.shape[1]
+                e = kn.hmm_estep_many(pi, p["init"][n], p["trans"][n], emit, init_counts)
+                gamma = e["gamma"].reshape(-1, len(obs))
+                if x.ndim == 2:
+                    np.add.at(obs.T, x.ravel(), gamma)
                 else:
-                    obs += e["gamma"].T @ np.stack([np.asarray(r, float) for r in tokens])
+                    obs += gamma.T @ x.reshape(len(gamma), -1)
                 own = sums.setdefault(n, [np.zeros(n), np.zeros((n, n)), 0.0, 0])
                 own[0] += e["init"]
                 own[1] += e["trans"]
                 own[2] += e["loglik"]
-                own[3] += 1
+                own[3] += len(pi)
         rows = [("obs", 0, i, j, obs[i, j]) for i, j in np.argwhere(obs > 0).tolist()]
         for n, (init, trans, ll, count) in sums.items():
             rows += [("init", n, i, 0, init[i]) for i in range(n)] + [("trans", n, i, j, trans[i, j]) for i in range(n) for j in range(n)]
@@ -508,12 +524,11 @@ def concept_counts(examples: DataFrame, params: dict) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = held.value
         for b in batches:
-            rows = []
-            for ex, tokens, post in zip(b[EX], b["tokens"], b["post"], strict=True):
-                pi = np.stack([np.asarray(r, float) for r in post])
-                c = kn.hmm_estep(pi, p["init"][len(pi)], p["trans"][len(pi)], _emissions(tokens, p["obs"]))["concept"]
-                rows += [(ex, i, k, c[i, k]) for i in range(len(pi)) for k in range(c.shape[1])]
-            yield pd.DataFrame(rows, columns=[EX, "idx", "k", "p"])
+            for rows, pi, _, emit in _alike(b, p["obs"]):
+                n = pi.shape[1]
+                c = kn.hmm_estep_many(pi, p["init"][n], p["trans"][n], emit)["concept"]
+                _, i, k = np.indices(c.shape)
+                yield pd.DataFrame({EX: np.repeat(b[EX].to_numpy()[rows], c[0].size), "idx": i.ravel(), "k": k.ravel(), "p": c.ravel()})
 
     return examples.select(EX, "tokens", "post").where((F.size("tokens") > 0) & (F.size("post") > 0)).mapInPandas(run, f"{EX} long, idx int, k int, p double")
 
@@ -533,13 +548,12 @@ def symbol_counts(examples: DataFrame, params: dict) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = held.value
         for b in batches:
-            for ex, tokens, post in zip(b[EX], b["tokens"], b["post"], strict=True):
-                pi, x = (np.stack([np.asarray(r, float) for r in rows]) for rows in (post, tokens))
-                emit = x @ p["obs"].T
-                gamma = kn.hmm_estep(pi, p["init"][len(pi)], p["trans"][len(pi)], emit)["gamma"]
+            for rows, pi, x, emit in _alike(b, p["obs"]):
+                n = pi.shape[1]
+                gamma = kn.hmm_estep_many(pi, p["init"][n], p["trans"][n], emit)["gamma"]
                 c = x * (gamma / np.maximum(emit, 1e-300) @ p["obs"])
-                t, k = np.indices(c.shape)
-                yield pd.DataFrame({EX: ex, "idx": t.ravel(), "k": k.ravel(), "p": c.ravel()})
+                _, t, k = np.indices(c.shape)
+                yield pd.DataFrame({EX: np.repeat(b[EX].to_numpy()[rows], c[0].size), "idx": t.ravel(), "k": k.ravel(), "p": c.ravel()})
 
     return examples.select(EX, "tokens", "post").where((F.size("tokens") > 0) & (F.size("post") > 0)).mapInPandas(run, f"{EX} long, idx int, k int, p double")
 
