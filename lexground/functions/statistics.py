@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from . import packed
 
+#: Numbers of vectors that a task adds up at once.
+MOST = 1_000_000
+
 
 def vector_sums(vectors: DataFrame, key: str = "k", squares: bool = True) -> DataFrame:
     """(key, dim, n, total, squares) of ``vectors(key, vec)``: each task adds its vectors up by key, and Spark adds up the tasks' sums: keys
@@ -28,20 +31,20 @@ def vector_sums(vectors: DataFrame, key: str = "k", squares: bool = True) -> Dat
             held.clear()
             return pa.RecordBatch.from_arrays(cols, schema=schema)
 
-        for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            if not batch.num_rows:
-                continue
-            x, column = packed.matrix(batch.column(1)), batch.column(0).dictionary_encode("encode")
-            at, names = column.indices.to_numpy(), column.dictionary.to_pylist()
-            order = np.argsort(at, kind="stable")
-            begin = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
-            n, total, sq = np.diff(np.r_[begin, len(at)]), np.add.reduceat(x[order], begin, 0), np.add.reduceat(x[order] ** 2, begin, 0)
-            for i, g in enumerate(at[order][begin]):
-                old = held.get(names[g])
-                held[names[g]] = (n[i], total[i], sq[i]) if old is None else (old[0] + n[i], old[1] + total[i], old[2] + sq[i])
-            if len(held) > 10_000:
-                yield out()
+        for whole in batches:
+            whole = whole.filter(whole.column(1).is_valid())
+            for lo, hi in packed.groups(np.diff(packed.lists(whole.column(1))[0]), MOST):
+                batch = whole.slice(lo, hi - lo)
+                x, column = packed.matrix(batch.column(1)), batch.column(0).dictionary_encode("encode")
+                at, names = column.indices.to_numpy(), column.dictionary.to_pylist()
+                order = np.argsort(at, kind="stable")
+                begin = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+                n, total, sq = np.diff(np.r_[begin, len(at)]), np.add.reduceat(x[order], begin, 0), np.add.reduceat(x[order] ** 2, begin, 0)
+                for i, g in enumerate(at[order][begin]):
+                    old = held.get(names[g])
+                    held[names[g]] = (n[i], total[i], sq[i]) if old is None else (old[0] + n[i], old[1] + total[i], old[2] + sq[i])
+                if len(held) > 10_000:
+                    yield out()
         if held:
             yield out()
 

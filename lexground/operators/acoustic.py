@@ -23,6 +23,8 @@ from .models import EX, component_prior_of, mixture_round, stats_arrays
 
 #: Log densities that a task holds at once.
 MOST = 2_000_000
+#: Numbers of an array while an example's own vectors are taken out, which needs about ten such arrays.
+OWN = 500_000
 
 
 def _schema(spark, ddl: str) -> pa.Schema:
@@ -38,8 +40,9 @@ def _less_own(d: np.ndarray, x: np.ndarray, of: np.ndarray, held: np.ndarray, k:
     lo, hi = np.searchsorted(of, pairs[:, 0], "left"), np.searchsorted(of, pairs[:, 0], "right")
     which = np.repeat(np.arange(len(pairs)), hi - lo)
     rows = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange((hi - lo).sum()) if len(pairs) else which
-    for a in range(0, len(rows), 100_000):
-        r, w = rows[a : a + 100_000], which[a : a + 100_000]
+    step = max(1, OWN // x.shape[1]) if x.size else 1
+    for a in range(0, len(rows), step):
+        r, w = rows[a : a + step], which[a : a + step]
         d[r, pairs[w, 1]] = kn.own_removed(x, r, pairs[w, 1], count[w], sums[w], n, total, mu0, var, var0)
     return pairs[:, 0], pairs[:, 1], count
 

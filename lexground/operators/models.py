@@ -20,6 +20,8 @@ from ..functions.statistics import vector_sums, weighted_sums
 EX = "example_idx"
 #: Numbers that a task's largest array holds at once.
 MOST = 2_000_000
+#: Structs that a task takes out of an Arrow batch at once, but for those of one example: each is some hundred bytes in Python.
+STRUCTS = 50_000
 
 
 def start_centroids(vectors: DataFrame, k: int, seed: int, partition: str, sample: int = 64) -> DataFrame:
@@ -318,11 +320,11 @@ def pack_mixture(pairs: DataFrame, q: DataFrame) -> DataFrame:
     return caps.join(images, EX)
 
 
-def _mixture_counts(left: np.ndarray, im) -> tuple[np.ndarray, float]:
-    """Expected counts [T, K] and log-likelihood of one example, of ``left[T, K]`` = P(w_t, k)."""
-    js, at = np.unique([x["j"] for x in im], return_inverse=True)
+def _mixture_counts(left: np.ndarray, j: np.ndarray, k: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected counts [T, K] and log-likelihood of one example, of ``left[T, K]`` = P(w_t, k) and its regions' ``q`` of (j, k)."""
+    js, at = np.unique(j, return_inverse=True)
     right = np.zeros((left.shape[1], len(js)))
-    np.add.at(right, ([x["k"] for x in im], at), [x["q"] for x in im])
+    np.add.at(right, (k, at), q)
     a = left @ right
     c = a / a.sum(0)
     return c @ (right / right.sum(0)).T, float(np.log(np.maximum(a.mean(0), 1e-300)).sum())
@@ -348,36 +350,44 @@ def mixture_counts(packed: DataFrame, table: DataFrame, most: int = 4_000_000) -
         caps = packed.select(EX, F.explode("cap").alias("x")).select(EX, "x.*").join(by_word, "w").groupBy(EX).agg(F.collect_list(F.struct("t", "w", "row")).alias("cap"))
         rows = packed.drop("cap").join(caps, EX).select(EX, "cap", "im")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ddl = f"{EX} long, w {kind}, k int, value double"
+    schema = packed.sparkSession.createDataFrame([], ddl).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
 
-        def counts() -> pd.DataFrame:
-            out = pd.DataFrame({"w": np.repeat(np.array(list(held), object), ks), "k": np.tile(np.arange(ks), len(held)), "value": np.concatenate([*held.values(), np.zeros(0)])})
+        def counts() -> pa.RecordBatch:
+            value = np.concatenate([*held.values(), np.zeros(0)])
+            at = np.flatnonzero(value)
+            words = pa.array(list(held), schema.field("w").type).take(pa.array(at // ks))
             held.clear()
-            return out.assign(**{EX: None})[lambda x: x["value"] != 0]
-
-        for b in batches:
-            lls = []
-            for ex, cap, im in zip(b[EX], b["cap"], b["im"], strict=True):
-                cap = [c for c in cap if shared is None or c["w"] in shared.value]
-                if not len(cap):
-                    continue
-                left = np.zeros((len(cap), ks))
-                for i, c in enumerate(cap):
-                    if shared is not None:
-                        left[i] = shared.value[c["w"]]
-                    else:
-                        left[i, [x["k"] for x in c["row"]]] = [x["p"] for x in c["row"]]
-                c, ll = _mixture_counts(left, im)
-                for x, row in zip(cap, c, strict=True):
-                    held[x["w"]] = held[x["w"]] + row if x["w"] in held else row
-                lls.append((ex, ll))
-            yield pd.DataFrame({EX: [x for x, _ in lls], "w": None, "k": None, "value": [v for _, v in lls]})
-            if len(held) * ks > most:
-                yield counts()
+            return pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), words, pa.array(at % ks, pa.int32()), pa.array(value[at])], schema=schema)
+
+        for whole in batches:
+            for lo, hi in pk.groups(sum(np.diff(pk.lists(whole.column(c))[0]) for c in ("cap", "im")), STRUCTS):
+                b, lls = whole.slice(lo, hi - lo), []
+                offsets, im = pk.lists(b.column("im"))
+                j, k, q = (np.asarray(im.field(c)) for c in ("j", "k", "q"))
+                for ex, cap, first, last in zip(b.column(EX).to_pylist(), b.column("cap").to_pylist(), offsets, offsets[1:]):
+                    cap = [c for c in cap if shared is None or c["w"] in shared.value]
+                    if not len(cap):
+                        continue
+                    left = np.zeros((len(cap), ks))
+                    for i, c in enumerate(cap):
+                        if shared is not None:
+                            left[i] = shared.value[c["w"]]
+                        else:
+                            left[i, [x["k"] for x in c["row"]]] = [x["p"] for x in c["row"]]
+                    c, ll = _mixture_counts(left, j[first:last], k[first:last], q[first:last])
+                    for x, row in zip(cap, c, strict=True):
+                        held[x["w"]] = held[x["w"]] + row if x["w"] in held else row
+                    lls.append((ex, ll))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in lls], pa.int64()), pa.nulls(len(lls), schema.field("w").type), pa.nulls(len(lls), pa.int32()), pa.array([v for _, v in lls], pa.float64())], schema=schema)
+                if len(held) * ks > most:
+                    yield counts()
         yield counts()
 
-    out = cut(rows.mapInPandas(run, f"{EX} long, w {kind}, k int, value double"), "mixture-counts")
+    out = cut(rows.select(EX, "cap", "im").mapInArrow(run, ddl), "mixture-counts")
     return out.where("k IS NOT NULL").groupBy("w", "k").agg(F.sum("value").alias("c")), out.where("k IS NULL").select(EX, F.col("value").alias("loglik"))
 
 
