@@ -7,6 +7,7 @@ Scores are rounded to eleven decimals, so that equal vectors tie in whichever bl
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pandas as pd
@@ -27,13 +28,37 @@ MOST = 4_000_000
 HELD = 2_000_000
 #: Examples of a block: every block meets most others, so what is shuffled falls with their number. Few examples make ``FEW`` blocks a side.
 SMALL, LARGE, FEW = 256, 1536, 8
+#: Dot products that a step of R2's kernels holds: they fit a core's cache.
+STEP = 200_000
+#: Rows of a batch that leaves a task.
+ROWS = 100_000
 
 
 def _mean(products: np.ndarray, first: np.ndarray, axis: int) -> np.ndarray:
     sizes = np.diff(first)
+    if axis == 0 and (sizes == sizes[0]).all():
+        return products.reshape(len(sizes), sizes[0], -1).sum(1) / sizes[0]
     return np.add.reduceat(products, first[:-1], axis) / (sizes[:, None] if axis == 0 else sizes)
 
 
+def _mean_of_best(x, x_first, y, y_first):
+    """The mean over the vectors of each example of ``y`` of the largest dot product with one of each example of ``x``: [y, x]. The largest are
+    found vector by vector: a product with the k-th vectors of all examples that have as many."""
+    sizes = np.diff(x_first)
+    order = np.argsort(-sizes, kind="stable")
+    first, falling = x_first[:-1][order], sizes[order]
+    kth = [np.ascontiguousarray(x[first[: np.searchsorted(-falling, -k, "left")] + k].T) for k in range(falling[0])]
+    out = np.empty((len(y_first) - 1, len(sizes)))
+    for lo, hi in pk.groups(np.diff(y_first) * len(sizes), STEP):
+        own = y[y_first[lo] : y_first[hi]]
+        best = own @ kth[0]
+        for each in kth[1:]:
+            part = best[:, : each.shape[1]]
+            np.maximum(part, own @ each, out=part)
+        out[lo:hi] = _mean(best, y_first[lo : hi + 1] - y_first[lo], 0)
+    return out if falling[0] == falling[-1] else out[:, np.argsort(order)]
+
+
 def _sisa(im, im_first, cap, cap_first):
     return _mean(cap, cap_first, 0) @ _mean(im, im_first, 0).T
 
@@ -43,22 +68,52 @@ def _misa(im, im_first, cap, cap_first):
 
 
 def _sima(im, im_first, cap, cap_first):
-    return _mean(np.maximum.reduceat(cap @ im.T, cap_first[:-1], 0), im_first, 1)
+    return _mean_of_best(cap, cap_first, im, im_first).T
+
+
+def some_at_a_time(kernel: Callable) -> Callable:
+    """A kernel that holds all products of its vectors, for some captions at a time."""
+
+    def run(x, x_first, y, y_first):
+        out = np.empty((len(y_first) - 1, len(x_first) - 1))
+        for lo, hi in pk.groups(np.diff(y_first) * len(x), MOST):
+            own = y_first[lo : hi + 1]
+            out[lo:hi] = kernel(x, x_first, y[own[0] : own[-1]], own - own[0])
+        return out
+
+    return run
 
 
 def similarity_of(kind: str) -> Callable:
     """R2's kernel: (region vectors, first region of each image, frame vectors, first frame of each caption) -> values[caption, image]."""
-    return {"sisa": _sisa, "misa": _misa, "sima": _sima}[kind]
+    return {"sisa": _sisa, "misa": some_at_a_time(_misa), "sima": _sima}[kind]
 
 
 def _scored(kernel: Callable, im: tuple[np.ndarray, np.ndarray], cap: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The kernel's values of two packed blocks, some captions at a time."""
-    (x, x_first), (y, y_first) = im, cap
-    out = np.empty((len(y_first) - 1, len(x_first) - 1))
-    for lo, hi in pk.groups(np.diff(y_first) * len(x), MOST):
-        own = y_first[lo : hi + 1]
-        out[lo:hi] = kernel(x, x_first, y[own[0] : own[-1]], own - own[0])
-    return np.round(out, 11) + 0.0
+    """The kernel's values of two packed blocks."""
+    out = kernel(*im, *cap)
+    np.round(out, 11, out)
+    out += 0.0
+    return out
+
+
+def _half_up(scores: np.ndarray, digits: int) -> np.ndarray:
+    """Spark's ``round`` of scores of at most eleven decimals: a half goes away from zero by the number's shortest decimal form. Below 10,000 a
+    score's form has no more than fifteen digits and is a whole number of the last decimal; larger ones are rounded one by one."""
+    whole = np.abs(scores)
+    far = ~(whole < 1e4)
+    whole *= 1e11
+    np.rint(whole, whole)
+    whole += 5 * 10.0 ** (10 - digits)
+    whole /= 10.0 ** (11 - digits)
+    np.floor(whole, whole)
+    whole /= 10.0**digits
+    np.copysign(whole, scores, whole)
+    if far.any():
+        exact, unit = Context(prec=400, rounding=ROUND_HALF_UP), Decimal(1).scaleb(-digits)
+        whole[far] = [float(Decimal(repr(v)).quantize(unit, context=exact)) if np.isfinite(v) else v for v in scores[far].tolist()]
+    whole += 0.0
+    return whole
 
 
 def _stacked(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +307,7 @@ def _unpacked(ids: pa.Scalar, sizes: pa.Scalar, vectors: pa.Scalar, own: pa.Scal
 
 
 def in_blocks(a: DataFrame, b: DataFrame, pairs: DataFrame | None, kernel: Callable, found: Callable, schema: str, own: DataFrame | None = None) -> DataFrame:
-    """``found(caption ids, image ids, values[caption, image], captions' own values, images' own values)`` of the ``pairs`` of blocks of
+    """What ``found(caption ids, image ids, values[caption, image], captions' own values, images' own values)`` yields of the ``pairs`` of blocks of
     images ``a`` and captions ``b`` (all without ``pairs``), rows of ``schema``. ``own(id, own)`` has a value for each example, NaN without it.
 
     Both sides are written in blocks, and every task reads some of either from there: a Cartesian product, which copies nothing through
@@ -272,8 +327,8 @@ def in_blocks(a: DataFrame, b: DataFrame, pairs: DataFrame | None, kernel: Calla
         for t in batches:
             for row in zip(*t.columns, strict=True):
                 (cols, im, col_own), (rows, cap, row_own) = _unpacked(*row[:4]), _unpacked(*row[4:])
-                got = found(rows, cols, _scored(kernel, im, cap), row_own, col_own)
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in result], schema=result)
+                for got in found(rows, cols, _scored(kernel, im, cap), row_own, col_own):
+                    yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in result], schema=result)
 
     return both.mapInArrow(run, schema)
 
@@ -293,19 +348,23 @@ def _sides(images: DataFrame, captions: DataFrame, block: int | None) -> tuple[D
     return group(pack(images), block), group(pack(captions), block)
 
 
-def score_blocks(images: DataFrame, captions: DataFrame, kernel: Callable, block: int | None = None) -> DataFrame:
-    """(row, col, value): the kernel's value of every caption (row) and image (col), ``example_idx, idx, vec`` each."""
+def score_blocks(images: DataFrame, captions: DataFrame, kernel: Callable, block: int | None = None, digits: int | None = None) -> DataFrame:
+    """(row, col, value): the kernel's value of every caption (row) and image (col), ``example_idx, idx, vec`` each; with ``digits`` (ten at
+    most) rounded as by Spark's ``round``, which makes a decimal of every value and takes longer than the score."""
 
     def found(rows, cols, values, *_):
-        return {"row": np.repeat(rows, len(cols)), "col": np.tile(cols, len(rows)), "value": values.ravel()}
+        for lo, hi in pk.groups(np.full(len(rows), len(cols)), ROWS):
+            part = np.ascontiguousarray(values[lo:hi])
+            part = part if digits is None else _half_up(part, digits)
+            yield {"row": np.repeat(rows[lo:hi], len(cols)), "col": np.tile(cols, hi - lo), "value": part.ravel()}
 
     return in_blocks(*every_pair(images, captions, block), None, kernel, found, "row long, col long, value double")
 
 
-def match_similarity(images: DataFrame, captions: DataFrame, kind: str = "sisa", block: int | None = None) -> DataFrame:
+def match_similarity(images: DataFrame, captions: DataFrame, kind: str = "sisa", block: int | None = None, digits: int | None = None) -> DataFrame:
     """R2: mean of the dot products (sisa), max over regions then mean over frames (misa), max over frames then mean over regions
-    (sima), over the true numbers of regions and frames."""
-    return score_blocks(images, captions, similarity_of(kind), block)
+    (sima), over the true numbers of regions and frames; with ``digits`` rounded."""
+    return score_blocks(images, captions, similarity_of(kind), block, digits)
 
 
 def score_pairs(tokens: DataFrame, q: DataFrame, table: DataFrame, floor: float = 1e-30, score: str = "max") -> DataFrame:
@@ -320,7 +379,7 @@ def score_pairs(tokens: DataFrame, q: DataFrame, table: DataFrame, floor: float
         each = np.maximum.reduceat(a, cap_first[:-1], 0) if score == "max" else _mean(a, cap_first, 0)
         return np.add.reduceat(np.log(np.maximum(each, floor)), im_first[:-1], 1)
 
-    return score_blocks(images, caps, likelihood)
+    return score_blocks(images, caps, some_at_a_time(likelihood))
 
 
 def matrix_rows(table: DataFrame) -> np.ndarray:
@@ -341,7 +400,7 @@ def best_in_blocks(images: DataFrame, captions: DataFrame, kind: str, k: int, bl
         for side, ids, others, v in (("row", rows, cols, values), ("col", cols, rows, values.T)):
             best = np.argsort(-v, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go by id
             parts.append((np.full(best.size, side), np.repeat(ids, best.shape[1]), others[best].ravel(), np.take_along_axis(v, best, 1).ravel()))
-        return dict(zip(("side", "query", "hit", "value"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
+        yield dict(zip(("side", "query", "hit", "value"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
 
     a, b = _sides(images, captions, block)
     rows = in_blocks(a, b, surviving(a, b, kind, keep=k), similarity_of(kind), found, "side string, query long, hit long, value double")
@@ -389,7 +448,7 @@ def recall_in_blocks(images: DataFrame, captions: DataFrame, kind: str = "sisa",
         values = np.where(rows[:, None] == cols[None], -np.inf, values)  # the own one is not above itself
         sides = [("row", rows, _above(values, own_rows, cols[None, :] < rows[:, None]), own_rows), ("col", cols, _above(values.T, own_cols, rows[None, :] < cols[:, None]), own_cols)]
         known = [(side, ids[~np.isnan(own)], n[~np.isnan(own)]) for side, ids, n, own in sides]
-        return {"side": np.repeat([x[0] for x in known], [len(x[1]) for x in known]), "id": np.concatenate([x[1] for x in known]), "above": np.concatenate([x[2] for x in known])}
+        yield {"side": np.repeat([x[0] for x in known], [len(x[1]) for x in known]), "id": np.concatenate([x[1] for x in known]), "above": np.concatenate([x[2] for x in known])}
 
     own = own_scores(images, captions, kernel)
     a, b = _sides(images, captions, block)
@@ -469,7 +528,7 @@ def softmax_loss_in_blocks(images: DataFrame, captions: DataFrame, kind: str = "
     def found(rows, cols, values, *_):
         top = [values.max(1), values.max(0)]
         sums = [np.exp(values - top[0][:, None]).sum(1), np.exp(values - top[1][None]).sum(0)]
-        return {"side": np.repeat(["row", "col"], [len(rows), len(cols)]), "id": np.concatenate([rows, cols]), "top": np.concatenate(top), "total": np.concatenate(sums)}
+        yield {"side": np.repeat(["row", "col"], [len(rows), len(cols)]), "id": np.concatenate([rows, cols]), "top": np.concatenate(top), "total": np.concatenate(sums)}
 
     own = own_scores(images, captions, kernel)
     parts = in_blocks(*every_pair(images, captions, block), None, kernel, found, "side string, id long, top double, total double")

@@ -41,7 +41,7 @@ for _kind, _sql in (("sisa", "SELECT row, col, avg(x) AS value FROM dt GROUP BY
 
     @register(f"r2_{_kind}", f"WITH {DOTS}, v AS ({_sql}) SELECT row, col, round(value, 5) + 0 AS value FROM v")
     def r2_similarity(spark, d, kind=_kind):
-        return rt.match_similarity(*sides(spark, d), kind).withColumn("value", F.round("value", 5))
+        return rt.match_similarity(*sides(spark, d), kind, digits=5)
 
 
 @register("r3_top_k", f"WITH {SISA}, b AS (SELECT 'row' AS side, row AS query, col AS hit, value FROM sc UNION ALL SELECT 'col', col, row, value FROM sc), k AS (SELECT *, row_number() OVER (PARTITION BY side, query ORDER BY value DESC, hit) AS rank FROM b) SELECT side, query, hit, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")

@@ -1,10 +1,13 @@
 """Block kernels, exact pruning and sampled impostors against plain loops."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexground.operators import retrieval as rt
+from lexground.plans.retrieval import QUERIES
 
 PLAIN = {"sisa": lambda m: m.mean(), "misa": lambda m: m.max(0).mean(), "sima": lambda m: m.max(1).mean()}
 
@@ -99,3 +102,53 @@ def test_examples_beyond_a_row_are_cut_into_several(spark, monkeypatch):
     best = rows_of(rt.best_in_blocks(a, b, "misa", 3))
     monkeypatch.setattr(rt, "HELD", 30)  # of four dimensions and one to six vectors an example
     assert len(want) == 15 * 15 and rows_of(rt.match_similarity(a, b, "misa")) == want and rows_of(rt.best_in_blocks(a, b, "misa", 3)) == best
+
+
+def packed_side(side):
+    return np.concatenate(list(side.values())), np.r_[0, np.cumsum([len(v) for v in side.values()])]
+
+
+@pytest.mark.parametrize("kind", ["sima"])
+def test_kernels_hold_few_products(kind):
+    """All products of a pair of blocks are beyond a core's cache, and were walked through twice."""
+    rng = np.random.default_rng(11)
+    side = {e: rng.normal(size=(5, 4)) for e in range(300)}
+    tracemalloc.start()
+    got = rt.similarity_of(kind)(*packed_side(side), *packed_side(side))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.shape == (300, 300) and held < 0.5 * 8 * 1500**2
+
+
+@pytest.mark.parametrize("kind", ["sima"])
+@pytest.mark.parametrize("step", [1, 60, 10**6])
+def test_kernels_in_steps(kind, step, monkeypatch):
+    monkeypatch.setattr(rt, "STEP", step)
+    for im, cap in (clustered(12, 19, spread=1.0), clustered(13, 1), ({e: np.full((3, 2), -1.0 - e) for e in range(4)}, {e: np.full((2, 2), 1.0 + e) for e in range(5)})):
+        want = [[PLAIN[kind](x @ y.T) for x in im.values()] for y in cap.values()]
+        assert np.allclose(rt._scored(rt.similarity_of(kind), packed_side(im), packed_side(cap)), want, atol=1e-10)
+
+
+def test_scores_are_rounded_as_by_spark(spark):
+    rng = np.random.default_rng(14)
+    many = np.r_[rng.normal(size=2000) * 10.0 ** rng.integers(-7, 6, 2000), (rng.integers(-(10**8), 10**8, 2000) + 0.5) / 1e5, 9999.999995, -123456789.123455, 1e12, -4e-6, 5e-6, 0.0]
+    scores = np.r_[np.round(many, 11) + 0.0, np.inf, -np.inf, np.nan]
+    want = [r.v for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(scores)], "i int, v double").select("i", F.round("v", 5).alias("v")).orderBy("i").collect()]
+    assert list(map(repr, rt._half_up(scores, 5).tolist())) == list(map(repr, want))
+
+
+@pytest.mark.parametrize("kind", ["sisa", "misa", "sima"])
+def test_tasks_round_the_scores_of_all_pairs(spark, kind):
+    """Spark's round makes a decimal of every value, which took longer than the score."""
+    plan = QUERIES[f"r2_{kind}"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "round(" not in plan
+
+
+def test_batches_of_all_pairs_are_bounded(monkeypatch):
+    monkeypatch.setattr(rt, "in_blocks", lambda a, b, pairs, kernel, found, schema: found)
+    monkeypatch.setattr(rt, "every_pair", lambda *_: (None, None))
+    values = np.arange(600.0 * 700).reshape(600, 700)
+    parts = list(rt.score_blocks(None, None, None)(np.arange(600), np.arange(700), values))
+    assert max(len(p["value"]) for p in parts) <= rt.ROWS
+    row, col, value = (np.concatenate([p[c] for p in parts]) for c in ("row", "col", "value"))
+    assert (value == values[row, col]).all() and len(set(zip(row, col, strict=True))) == values.size
