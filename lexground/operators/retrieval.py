@@ -64,7 +64,7 @@ def _sisa(im, im_first, cap, cap_first):
 
 
 def _misa(im, im_first, cap, cap_first):
-    return _mean(np.maximum.reduceat(cap @ im.T, im_first[:-1], 1), cap_first, 0)
+    return _mean_of_best(im, im_first, cap, cap_first)
 
 
 def _sima(im, im_first, cap, cap_first):
@@ -86,7 +86,7 @@ def some_at_a_time(kernel: Callable) -> Callable:
 
 def similarity_of(kind: str) -> Callable:
     """R2's kernel: (region vectors, first region of each image, frame vectors, first frame of each caption) -> values[caption, image]."""
-    return {"sisa": _sisa, "misa": some_at_a_time(_misa), "sima": _sima}[kind]
+    return {"sisa": _sisa, "misa": _misa, "sima": _sima}[kind]
 
 
 def _scored(kernel: Callable, im: tuple[np.ndarray, np.ndarray], cap: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

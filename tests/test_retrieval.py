@@ -108,7 +108,7 @@ def packed_side(side):
     return np.concatenate(list(side.values())), np.r_[0, np.cumsum([len(v) for v in side.values()])]
 
 
-@pytest.mark.parametrize("kind", ["sima"])
+@pytest.mark.parametrize("kind", ["misa", "sima"])
 def test_kernels_hold_few_products(kind):
     """All products of a pair of blocks are beyond a core's cache, and were walked through twice."""
     rng = np.random.default_rng(11)
@@ -120,7 +120,7 @@ def test_kernels_hold_few_products(kind):
     assert got.shape == (300, 300) and held < 0.5 * 8 * 1500**2
 
 
-@pytest.mark.parametrize("kind", ["sima"])
+@pytest.mark.parametrize("kind", ["misa", "sima"])
 @pytest.mark.parametrize("step", [1, 60, 10**6])
 def test_kernels_in_steps(kind, step, monkeypatch):
     monkeypatch.setattr(rt, "STEP", step)
